@@ -226,7 +226,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
 
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    shards = sorted(ordered.mapInArrow(run, "shard int, path string, n_docs long, n_ids long").collect())
+    shards = sorted(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect())
     start, out = 0, []
     for s in shards:
         out.append((s.path, s.n_docs, s.n_ids, start, folder))
