@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from permitloom.llm import token_counts, token_files
+from permitloom.llm import pieces, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,12 +22,22 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, manifest, digest=True)
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number and a hash of its ids, and whether they decode to the text again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = pieces.decode(pieces.encode(docs, model), model)
+    same = F.col("decoded") == F.regexp_replace("text", pieces.SPACE, " ")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
+    "op3_pieces": op3_pieces,
     "op7_token_counts": op7_token_counts,
 }
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ from permitloom.llm.common import byte_slices, coded, out_batch, split_words, st
 
 #: Segments whose counts a worker remembers; the memory starts anew when it is full.
 MEMO = 1_000_000
+#: Segments that the library encodes at once.
+STEP = 8192
 #: Longer segments are not remembered.
 MEMO_CHARS = 64
 
@@ -50,8 +53,10 @@ class SegmentCounter:
         counts = [self.memo.get(x, -1) for x in names]
         new = [i for i, n in enumerate(counts) if n < 0]
         if new:
-            for i, e in zip(new, self.tokenizer.encode_batch_fast([names[i] for i in new], add_special_tokens=False), strict=True):
-                counts[i] = len(e)
+            for k in range(0, len(new), STEP):
+                part = new[k : k + STEP]
+                for i, e in zip(part, self.tokenizer.encode_batch_fast([names[i] for i in part], add_special_tokens=False), strict=True):
+                    counts[i] = len(e)
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
             self.memo.update((names[i], counts[i]) for i in new if len(names[i]) <= MEMO_CHARS)
@@ -71,12 +76,18 @@ class PieceCounter:
         return np.array([len(x) for x in self.model.encode(pc.fill_null(texts, "").to_pylist(), num_threads=1)], dtype=np.int64)
 
 
+@lru_cache(maxsize=2)
+def counter_of(path: str) -> SegmentCounter | PieceCounter:
+    """One counter for all tasks of a worker."""
+    return (PieceCounter if path.endswith(".model") else SegmentCounter)(path)
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key``, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > ``limit``) of each row."""
     schema = pa.schema([("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = (PieceCounter if tokenizer_path.endswith(".model") else SegmentCounter)(tokenizer_path)
+        counter = counter_of(tokenizer_path)
         for batch in byte_slices(batches, "text"):
             texts = string(batch.column("text"))
             n = counter(texts)

@@ -21,6 +21,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -36,12 +37,14 @@ from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, rag
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it starts anew with the next batch.
-MEMO = 1_000_000
-MEMO_IDS = 12_000_000
+MEMO = 600_000
+MEMO_IDS = 8_000_000
+#: Words that the library encodes at once.
+STEP = 8192
 #: Ids that a reader decodes at once.
 READ_IDS = 1 << 21
-#: White space next to white space, or at an end: such texts are encoded whole.
-UNEVEN_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
+#: White space next to white space, or at an end (or the mark used for cutting): such texts are encoded whole.
+UNEVEN_SPACE = r"\x{1f}|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
 
 
 class ByteEncoder:
@@ -71,7 +74,9 @@ class ByteEncoder:
         new = np.nonzero(at < 0)[0]
         if len(new):
             lacking = [names[i] for i in new]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False)]
+            ids = []
+            for i in range(0, len(lacking), STEP):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(lacking[i : i + STEP], add_special_tokens=False)]
             at[new] = len(self.sizes) + np.arange(len(new))
             self.memo.update(zip(lacking, at[new].tolist(), strict=True))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -86,15 +91,10 @@ class ByteEncoder:
         texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, UNEVEN_SPACE), dtype=bool)
         # A text that is encoded whole is one unit, like a first word.
-        even = pc.split_pattern(texts.filter(pa.array(~whole)), " ")
+        even = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~whole)), " ", "\x1f "), "\x1f")
         offsets, words = list_parts(even)
-        codes, distinct = coded(words)
-        first = np.zeros(len(codes), bool)
-        first[offsets[:-1]] = True
-        both, units = np.unique(codes.astype(np.int64) * 2 + ~first, return_inverse=True)
-        names = distinct.to_pylist()
-        words_at = self._pieces([" " * (x & 1) + names[x >> 1] for x in both.tolist()])
-        pieces = np.concatenate([words_at, self._pieces(texts.filter(pa.array(whole)).to_pylist())])
+        units, distinct = coded(words)
+        pieces = np.concatenate([self._pieces(distinct.to_pylist()), self._pieces(texts.filter(pa.array(whole)).to_pylist())])
         begins = np.cumsum(self.sizes) - self.sizes
         # The units of each text in row order.
         per_text = np.ones(len(texts), np.int64)
@@ -102,7 +102,7 @@ class ByteEncoder:
         rows = np.cumsum(per_text) - per_text
         order = np.empty(int(per_text.sum()), np.int64)
         order[ragged(rows[~whole], per_text[~whole])] = units
-        order[rows[whole]] = len(both) + np.arange(int(whole.sum()))
+        order[rows[whole]] = len(distinct) + np.arange(int(whole.sum()))
         order = pieces[order]
         sizes = self.sizes[order]
         ids = self.flat[ragged(begins[order], sizes)]
@@ -110,6 +110,12 @@ class ByteEncoder:
         return ids, lengths
 
 
+@lru_cache(maxsize=1)
+def byte_encoder(path: str) -> ByteEncoder:
+    """One encoder for all tasks of a worker."""
+    return ByteEncoder(path)
+
+
 class ShardWriter:
     """Writes one shard under a name of its own, then moves it into place."""
 
@@ -213,7 +219,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = None, None
         for batch in byte_slices(batches, "text"):
-            encode = encode or ByteEncoder(tokenizer_path)
+            encode = encode or byte_encoder(tokenizer_path)
             writer = writer or ShardWriter(folder, f"shard-{TaskContext.get().partitionId():06d}.s8b")
             keys = batch.column("key")
             ids, lengths = encode(string(batch.column("text")))
