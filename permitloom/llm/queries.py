@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import pieces, token_counts, token_files
+from permitloom.llm import minhash, pieces, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,10 +35,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, over=75, under=100)
+
+
 QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_pieces": op3_pieces,
     "op7_token_counts": op7_token_counts,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
