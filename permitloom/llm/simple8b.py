@@ -29,7 +29,7 @@ def bit_lengths(values: np.ndarray) -> np.ndarray:
     if values.size and values.max() < _SMALL.size:
         return _SMALL[values.astype(np.intp)]
     bits = np.zeros(values.shape, np.uint8)
-    rest = values.copy()
+    rest = values.astype(np.uint64)
     for step in (32, 16, 8, 4, 2, 1):
         high = rest >= np.uint64(1 << step)
         bits[high] += step
@@ -45,23 +45,24 @@ def _plan(bits: np.ndarray) -> np.ndarray:
         x = doubled[size]
         doubled[size * 2] = np.maximum(x[:, : x.shape[1] - size], x[:, size:])
         size *= 2
-    best = np.zeros((bits.shape[0], n), np.uint8)
-    for s in range(len(SELECTORS), 0, -1):  # later ones pack more values
-        count, width = SELECTORS[s - 1]
+    fitting = np.zeros((bits.shape[0], n), np.uint8)
+    for count, width in SELECTORS:  # a start that fits one fits all later ones, of fewer and wider values
         size = 1 << (count.bit_length() - 1)
         x = doubled[size]
-        most = np.maximum(x[:, :n], x[:, count - size : count - size + n])
-        best[most <= width] = s
-    return best
+        most = x[:, :n] if size == count else np.maximum(x[:, :n], x[:, count - size : count - size + n])
+        fitting += most <= width
+    return np.where(fitting > 0, np.uint8(len(SELECTORS) + 1) - fitting, np.uint8(0))
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, raw values, and per block the number of words and of raw values."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
+    values = np.ascontiguousarray(values)
+    if values.dtype not in (np.uint16, np.uint32):
+        values = values.astype(np.uint64)
     total, blocks = len(values), -(-len(values) // BLOCK)
     if not blocks:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grid = np.zeros((blocks, BLOCK + _PAD), np.uint64)
+    grid = np.zeros((blocks, BLOCK + _PAD), values.dtype)
     whole = total // BLOCK
     grid[:whole, :BLOCK] = values[: whole * BLOCK].reshape(whole, BLOCK)
     if whole < blocks:
@@ -77,9 +78,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         at = at + COUNT[best[lane, at]]
         on = at < limit[lane]
         lane, at = lane[on], at[on]
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    order = np.lexsort((col, row))
-    row, col = row[order], col[order]
+    # The k-th word of a block is made in step k: that gives its place without sorting.
+    steps = np.bincount(np.concatenate(rows), minlength=blocks)
+    begins = np.cumsum(steps) - steps
+    row, col = np.empty(int(steps.sum()), np.int64), np.empty(int(steps.sum()), np.int64)
+    for k, (r, c) in enumerate(zip(rows, cols, strict=True)):
+        row[begins[r] + k], col[begins[r] + k] = r, c
     selector = best[row, col]
     words = selector.astype(np.uint64) << _TOP
     flat, width = grid.ravel(), grid.shape[1]
@@ -88,14 +92,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         start = row[mine] * width + col[mine]
         packed = np.zeros(len(mine), np.uint64)
         for k in range(COUNT[s]):
-            packed |= flat[start + k] << np.uint64(k * int(WIDTH[s]))
+            packed |= flat[start + k].astype(np.uint64) << np.uint64(k * int(WIDTH[s]))
         words[mine] |= packed
     escaped = np.nonzero(selector == 0)[0]
-    raw = flat[row[escaped] * width + col[escaped]]
+    raw = flat[row[escaped] * width + col[escaped]].astype(np.uint64)
     raw_counts = np.bincount(row[escaped], minlength=blocks).astype(np.int64)
     first = np.concatenate([[0], np.cumsum(raw_counts)])
     words[escaped] |= (np.arange(len(escaped)) - first[row[escaped]]).astype(np.uint64)
-    return words, raw, np.bincount(row, minlength=blocks).astype(np.int64), raw_counts
+    return words, raw, steps.astype(np.int64), raw_counts
 
 
 def unpack(words: np.ndarray, raw: np.ndarray, word_counts: np.ndarray, raw_counts: np.ndarray, value_counts: np.ndarray) -> np.ndarray:

@@ -37,8 +37,10 @@ from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, rag
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it starts anew with the next batch.
-MEMO = 600_000
-MEMO_IDS = 8_000_000
+MEMO = 3_000_000
+MEMO_IDS = 16_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 10 << 20
 #: Words that the library encodes at once.
 STEP = 8192
 #: Ids that a reader decodes at once.
@@ -65,28 +67,28 @@ class ByteEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _pieces(self, names: list[str]) -> np.ndarray:
+    def _pieces(self, names: pa.Array) -> np.ndarray:
         """Where the store has each name; what it lacks is encoded."""
-        at = np.array([self.memo.get(x, -1) for x in names], dtype=np.int64)
-        new = np.nonzero(at < 0)[0]
-        if len(new):
-            lacking = [names[i] for i in new]
-            ids = []
-            for i in range(0, len(lacking), STEP):
-                ids += [e.ids for e in self.tokenizer.encode_batch_fast(lacking[i : i + STEP], add_special_tokens=False)]
-            at[new] = len(self.sizes) + np.arange(len(new))
-            self.memo.update(zip(lacking, at[new].tolist(), strict=True))
+        at = pc.index_in(names, value_set=self.known)
+        if at.null_count:
+            lacking = names.filter(pc.is_null(at))
+            lists, ids = lacking.to_pylist(), []
+            for i in range(0, len(lists), STEP):
+                ids += [e.ids for e in self.tokenizer.encode_batch_fast(lists[i : i + STEP], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
             self.sizes = np.concatenate([self.sizes, sizes])
-        return at
+            new = len(self.known) + np.cumsum(np.asarray(pc.is_null(at))) - 1
+            self.known = pa.concat_arrays([self.known, lacking])
+            at = pc.if_else(pc.is_null(at), pa.array(new), at.cast(pa.int64()))
+        return np.asarray(at, dtype=np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        if len(self.memo) > MEMO or len(self.flat) > MEMO_IDS:
+        if len(self.known) > MEMO or len(self.flat) > MEMO_IDS:
             self._clear()
         texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, UNEVEN_SPACE), dtype=bool)
@@ -94,7 +96,7 @@ class ByteEncoder:
         even = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~whole)), " ", "\x1f "), "\x1f")
         offsets, words = list_parts(even)
         units, distinct = coded(words)
-        pieces = np.concatenate([self._pieces(distinct.to_pylist()), self._pieces(texts.filter(pa.array(whole)).to_pylist())])
+        pieces = self._pieces(pa.concat_arrays([distinct, texts.filter(pa.array(whole))]))
         begins = np.cumsum(self.sizes) - self.sizes
         # The units of each text in row order.
         per_text = np.ones(len(texts), np.int64)
@@ -218,7 +220,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, writer = None, None
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", SLICE):
             encode = encode or byte_encoder(tokenizer_path)
             writer = writer or ShardWriter(folder, f"shard-{TaskContext.get().partitionId():06d}.s8b")
             keys = batch.column("key")
