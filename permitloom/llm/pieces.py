@@ -39,10 +39,12 @@ SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Longer chunks are relaxed one by one, not side by side.
 SIDE_BY_SIDE = 400
+#: Characters of new chunks that are indexed together.
+INDEX_CHARS = 400_000
 #: Chunks, ids and pairs that a worker remembers; beyond any it starts anew with the next batch.
-MEMO = 700_000
-MEMO_IDS = 8_000_000
-MEMO_PAIRS = 1_500_000
+MEMO = 3_000_000
+MEMO_IDS = 16_000_000
+MEMO_PAIRS = 4_000_000
 
 
 class Model:
@@ -121,9 +123,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pairs: dict[int, bool] = {}
+        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new_pairs: dict[int, bool] = {}
 
     def suffixes(self, text: np.ndarray) -> np.ndarray:
         """Positions of the classes ``text`` (0 at its end) in order of what follows, ``depth`` deep."""
@@ -169,10 +172,24 @@ class Encoder:
             lo[on], hi[on] = bounds
         return lo, hi
 
-    def _follows(self, before: int, piece: int) -> bool:
-        name = self._name
-        a, b = name(before), name(piece)
-        return self.model.merged(a + b) == [a, b]
+    def _follows(self, pair: int) -> bool:
+        """Whether merging the texts of two pieces gives these pieces again."""
+        ok = self.new_pairs.get(pair)
+        if ok is None:
+            at = int(np.searchsorted(self.pair_keys, pair))
+            if at < len(self.pair_keys) and self.pair_keys[at] == pair:
+                return bool(self.pair_ok[at])
+            a, b = self._name(pair >> 32), self._name(pair & 0xFFFFFFFF)
+            ok = self.new_pairs[pair] = self.model.merged(a + b) == [a, b]
+        return ok
+
+    def _settle(self) -> None:
+        """Move the new pairs into the sorted arrays."""
+        keys = np.concatenate([self.pair_keys, np.fromiter(self.new_pairs.keys(), np.int64, len(self.new_pairs))])
+        ok = np.concatenate([self.pair_ok, np.fromiter(self.new_pairs.values(), bool, len(self.new_pairs))])
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_ok = keys[order], ok[order]
+        self.new_pairs = {}
 
     def _name(self, t: int) -> str:
         return self.model.names[t] if t < self.base else self.foreign_chars[t - self.base]
@@ -182,13 +199,16 @@ class Encoder:
         out = before < 0
         rest = np.nonzero(~out)[0]
         keys, back = np.unique(before[rest] << 32 | piece[rest], return_inverse=True)
-        known = []
-        for k in keys.tolist():
-            v = self.pairs.get(k)
-            if v is None:
-                v = self.pairs[k] = self._follows(k >> 32, k & 0xFFFFFFFF)
-            known.append(v)
-        out[rest] = np.array(known, dtype=bool)[back]
+        ok = np.zeros(len(keys), bool)
+        if len(self.pair_keys):
+            at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+            known = self.pair_keys[at] == keys
+            ok[known] = self.pair_ok[at[known]]
+            missing = np.nonzero(~known)[0]
+        else:
+            missing = np.arange(len(keys))
+        ok[missing] = [self._follows(k) for k in keys[missing].tolist()]
+        out[rest] = ok[back]
         return out
 
     def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -242,11 +262,7 @@ class Encoder:
         for s, e, p in zip(begin[n_short:].tolist(), end[n_short:].tolist(), piece[n_short:].tolist(), strict=True):
             if label[e] < 0:
                 before = int(label[s])
-                k = before << 32 | p
-                ok = before < 0 or self.pairs.get(k)
-                if ok is None:
-                    ok = self.pairs[k] = self._follows(before, p)
-                if ok:
+                if before < 0 or self._follows(before << 32 | p):
                     label[e], back_to[e] = p, s
         # Back from the ends.
         lane, at = np.arange(len(chunks))[sizes > 0], (starts + sizes)[sizes > 0]
@@ -271,32 +287,43 @@ class Encoder:
             tokens, owner = out, np.repeat(owner, n)
         return tokens.astype(np.int32), np.bincount(owner, minlength=len(chunks)).astype(np.int64)
 
-    def _places(self, chunks: list[str]) -> np.ndarray:
-        at = np.array([self.memo.get(x, -1) for x in chunks], dtype=np.int64)
-        new = np.nonzero(at < 0)[0]
-        if len(new):
-            lacking = [chunks[i] for i in new]
-            flat, sizes = self._encode(lacking)
-            at[new] = len(self.sizes) + np.arange(len(new))
-            self.memo.update(zip(lacking, at[new].tolist(), strict=True))
-            self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
-        return at
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Where the store has each of the distinct chunks; what it lacks is encoded."""
+        at = pc.index_in(chunks, value_set=self.known)
+        if at.null_count:
+            lacking = chunks.filter(pc.is_null(at))
+            names = lacking.to_pylist()
+            ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+            start = 0
+            while start < len(names):
+                done = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, done + INDEX_CHARS, side="right")))
+                flat, sizes = self._encode(names[start:stop])
+                self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+                self._settle()
+                start = stop
+            new = len(self.known) + np.cumsum(np.asarray(pc.is_null(at))) - 1
+            self.known = pa.concat_arrays([self.known, lacking])
+            at = pc.if_else(pc.is_null(at), pa.array(new), at.cast(pa.int64()))
+        return np.asarray(at, dtype=np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
-        if len(self.memo) > MEMO or len(self.flat) > MEMO_IDS or len(self.pairs) > MEMO_PAIRS:
+        if len(self.known) > MEMO or len(self.flat) > MEMO_IDS or len(self.pair_keys) > MEMO_PAIRS:
             self._clear()
         texts = pc.fill_null(texts, "")
         uneven = np.asarray(pc.match_substring_regex(texts, f"  |{SPACE}|^ |^$|\\x00"), dtype=bool)
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~uneven)), "\n", " \n"), " ")
         offsets, words = list_parts(lists)
         codes, distinct = coded(words)
-        units = [w if w[:1] == "\n" else SPACE + w for w in distinct.to_pylist()]
+        units = pc.if_else(pc.starts_with(distinct, "\n"), distinct, pc.binary_join_element_wise(SPACE, distinct, ""))
         rest = [CHUNKS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts.filter(pa.array(uneven)).to_pylist()]
-        more = list({c: None for r in rest for c in r})
-        known = set(units)
-        units += [c for c in more if c not in known]
-        index = {c: i for i, c in enumerate(units)} if more else {}
+        more = {c: None for r in rest for c in r}
+        if more:
+            for c in units.to_pylist():
+                more.pop(c, None)
+            units = pa.concat_arrays([units, pa.array(list(more), pa.string())])
+        index = {c: i for i, c in enumerate(units.to_pylist())} if rest else {}
         places = self._places(units)
         per_text = np.zeros(len(texts), np.int64)
         per_text[~uneven] = np.diff(offsets)
