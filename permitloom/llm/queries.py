@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import decontaminate, minhash, pieces, token_counts, token_files, vectors
+from permitloom.llm import decontaminate, langid, minhash, pieces, quality, token_counts, token_files, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +39,23 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    languages = langid.learn(docs.where(~held_out))
+    return langid.identify(docs.select("doc_id", "text"), languages).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    classifier = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.assess(docs, classifier, F.col("source"), F.col("lang"), columns=["doc_id"])
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, over=75, under=100)
 
@@ -52,7 +65,9 @@ QUERIES: dict[str, Query] = {
     "op2_token_files": op2_token_files,
     "op3_pieces": op3_pieces,
     "op4_vectors": op4_vectors,
+    "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
+    "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
 }
 
