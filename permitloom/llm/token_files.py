@@ -37,14 +37,14 @@ from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, rag
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it starts anew with the next batch.
-MEMO = 3_000_000
-MEMO_IDS = 16_000_000
+MEMO = 1_200_000
+MEMO_IDS = 8_000_000
 #: Bytes of text that are encoded at once.
-SLICE = 10 << 20
+SLICE = 6 << 20
 #: Words that the library encodes at once.
 STEP = 8192
 #: Ids that a reader decodes at once.
-READ_IDS = 1 << 21
+READ_IDS = 1 << 20
 #: White space next to white space, or at an end (or the mark used for cutting): such texts are encoded whole.
 UNEVEN_SPACE = r"\x{1f}|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
 
@@ -227,6 +227,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
             ids, lengths = encode(string(batch.column("text")))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end_id)
+            pa.default_memory_pool().release_unused()
             writer.add(np.asarray(pc.fill_null(keys, 0), dtype=np.int64), np.asarray(pc.is_null(keys), dtype=bool), lengths + 1, ids)
         if writer:
             path, docs, n = writer.close()
