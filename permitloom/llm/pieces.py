@@ -42,9 +42,9 @@ SIDE_BY_SIDE = 400
 #: Characters of new chunks that are indexed together.
 INDEX_CHARS = 400_000
 #: Chunks, ids and pairs that a worker remembers; beyond any it starts anew with the next batch.
-MEMO = 3_000_000
-MEMO_IDS = 16_000_000
-MEMO_PAIRS = 4_000_000
+MEMO = 1_200_000
+MEMO_IDS = 8_000_000
+MEMO_PAIRS = 2_000_000
 
 
 class Model:
@@ -372,6 +372,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
         def step(batch, source):
             for part in byte_slices([batch], source):
                 flat, counts = encoder(string(part.column(source)))
+                pa.default_memory_pool().release_unused()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32())
                 yield pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32())), part
 
