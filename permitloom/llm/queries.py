@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import decontaminate, langid, minhash, pieces, quality, token_counts, token_files, vectors
+from permitloom.llm import chat, decontaminate, langid, minhash, pieces, quality, token_counts, token_files, vectors, warc
+from permitloom.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +40,12 @@ def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    folder, ranges = warc.archive(pages)
+    return warc.read_records(warc.lookup(pages, ranges, folder), folder).drop("url", "payload")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -60,15 +67,24 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=5, over=75, under=100)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(written(chat.format_chats(rows), "chats"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
     "op3_pieces": op3_pieces,
     "op4_vectors": op4_vectors,
+    "op5_warc": op5_warc,
     "op6_langid": op6_langid,
     "op7_token_counts": op7_token_counts,
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
+    "op10_chat": op10_chat,
 }
 
 ORACLE_SQL: dict[str, str] = {}
