@@ -9,9 +9,10 @@
    reaches the threshold is under ``miss`` (uniform prior).  Survivors are verified on
    the documents' full shingle sets: first one pair for each document, then those whose
    ends these links haven't joined.
-3. Buckets that still hold several components are compared block by block, again by
-   batches; survivors of two components are verified too.  So every pair that shares a bucket
-   is compared or already known to be in one component.
+3. In buckets that still hold several components, pairs between these are compared block by
+   block, again by batches and then on full sets, each pair in its first common bucket; a
+   block emits a forest of its links, never its pairs.  So every pair that shares a bucket is
+   compared, or known to be in one component already.
 
 At similarity 0.75 two documents share no bucket with probability (1 - 0.75^4)^32 = 5e-6,
 and ``miss`` is 1e-6 for each of eight batches.  Links are only made by exact sets.
@@ -35,12 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permitloom.llm.common import byte_slices, coded, out_batch, split_words, string, written
-from permitloom.llm.components import connected_components
+from permitloom.llm.components import Forest, connected_components
 
 HASHES, ROWS, BATCH = 128, 4, 16
 BANDS = HASHES // ROWS
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1536
+#: Members of a bucket, and characters of their texts, that one task compares with as many others.
+BLOCK = 1024
+BLOCK_CHARS = 8 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -175,24 +177,49 @@ def _prune(pairs: DataFrame, least: list[int]) -> DataFrame:
     return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, matches long")
 
 
-def _compare_cells(rows: DataFrame, least: list[int]) -> DataFrame:
-    """Pairs of different components of each cell that no batch rules out.
-
-    rows: cell (a key of both), i, j (blocks of the bucket), block, id, comp, sig, dealt out and
-    sorted by cell; a cell has at most about BLOCK rows of each of its two blocks.
+def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sorted sets a[i] and b[i]."""
+    if len(a) < 4 * len(sets):
+        out = np.zeros(len(a), np.int64)
+        for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            both = np.concatenate([sets[i], sets[j]])
+            both.sort(kind="stable")
+            out[k] = (both[1:] == both[:-1]).sum()
+        return out
+    # Many pairs of few sets: products of incidence matrices, some shingles at a time.
+    sizes = np.array([len(x) for x in sets])
+    distinct, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    common = times > 1
+    number = np.cumsum(common) - 1
+    keep = common[column]
+    column, owner = number[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, int(common.sum()), 2048):
+        lo, hi = np.searchsorted(column, [start, start + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        total += part @ part.T
+    return total[a, b].astype(np.int64)
+
+
+def _compare_cells(rows: DataFrame, least: list[int], words: int, over: int, under: int) -> DataFrame:
+    """Links between components, as a forest of each cell's.
+
+    rows: bucket, i, j (two blocks of it: the cell), side, id, comp, sig, text, dealt out and
+    sorted by cell.  A pair belongs to the first band in which its signatures agree.
     """
+    mark = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _WORD[62]
 
-    def pairs(cell: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
-        side, ids, comp, sig = (np.concatenate(x) for x in zip(*cell, strict=True))
-        if comp.min() == comp.max():
-            return ids[:0], ids[:0]
-        first = np.nonzero(side == 0)[0]
-        other = np.nonzero(side == 1)[0]
+    def candidates(bucket: int, side, ids, comp, sig) -> tuple[np.ndarray, np.ndarray]:
+        first, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
         same = not len(other)
         other = first if same else other
-        got_a, got_b = [], []
-        for start in range(0, len(first), 256):
-            f = first[start : start + 256]
+        got = [np.zeros((2, 0), np.int64)]
+        for start in range(0, len(first), 128):
+            f = first[start : start + 128]
             apart = comp[f][:, None] != comp[other][None, :]
             if same:
                 apart &= ids[f][:, None] < ids[other][None, :]
@@ -204,31 +231,48 @@ def _compare_cells(rows: DataFrame, least: list[int]) -> DataFrame:
                 seen += (sig[a, cut] == sig[b, cut]).sum(1).astype(np.int16)
                 on = seen >= m
                 a, b, seen = a[on], b[on], seen[on]
-            got_a.append(np.minimum(ids[a], ids[b]))
-            got_b.append(np.maximum(ids[a], ids[b]))
-        return np.concatenate(got_a), np.concatenate(got_b)
+            if len(a):
+                x, y = np.ascontiguousarray(sig[a]).view(np.uint64), np.ascontiguousarray(sig[b]).view(np.uint64)
+                band = (x == y).argmax(1)
+                own = mix(x[np.arange(len(a)), band] ^ mark[band]).view(np.int64) == bucket
+                got.append(np.stack([a[own], b[own]]))
+        return tuple(np.concatenate(got, axis=1))
+
+    def links(key, cell) -> pa.RecordBatch | None:
+        side, ids, comp, sig = (np.concatenate(x) for x in list(zip(*cell, strict=True))[:4])
+        if comp.min() == comp.max():
+            return None
+        a, b = candidates(key[0], side, ids, comp, sig)
+        if not len(a):
+            return None
+        used, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+        texts = pa.concat_arrays([x[4] for x in cell]).take(pa.array(used))
+        sets, counts = shingle_sets(texts, words)
+        sets = np.split(sets, np.cumsum(counts)[:-1])
+        i, j = places[: len(a)], places[len(a) :]
+        shared = shared_counts(sets, i, j)
+        near = under * shared >= over * (counts[i] + counts[j] - shared)
+        forest = Forest()
+        kept = [k for k in np.nonzero(near)[0].tolist() if forest.join(int(comp[a[k]]), int(comp[b[k]]))]
+        return pa.RecordBatch.from_arrays([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], names=["a", "b"]) if kept else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, cell = None, []
-
-        def flush():
-            if cell:
-                a, b = pairs(cell)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("bucket", "i", "j")])
             cuts = np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [batch.num_rows]])
             data = [np.asarray(batch.column(c), dtype=np.int64) for c in ("side", "id", "comp")] + [_sigs(batch.column("sig"))]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if (now := tuple(keys[:, s])) != key:
-                    yield from flush()
+            texts = string(batch.column("text"))
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if (now := tuple(keys[:, s].tolist())) != key:
+                    if cell and (found := links(key, cell)):
+                        yield found
                     key, cell = now, []
-                cell.append(tuple(x[s:e] for x in data))
-        yield from flush()
+                cell.append((*(x[s:e] for x in data), texts.slice(s, e - s)))
+        if cell and (found := links(key, cell)):
+            yield found
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -243,15 +287,11 @@ def _verify(pairs: DataFrame, texts: DataFrame, words: int, over: int, under: in
                 for c in ("text_a", "text_b"):
                     d = batch.column(c).dictionary_encode()
                     sets, counts = shingle_sets(string(d.dictionary), words)
-                    sides.append((np.asarray(d.indices), np.split(sets, np.cumsum(counts)[:-1])))
+                    sides.append((np.asarray(d.indices, dtype=np.int64), np.split(sets, np.cumsum(counts)[:-1])))
                 (ia, xs), (ib, ys) = sides
-                keep = []
-                for i, j in zip(ia.tolist(), ib.tolist(), strict=True):
-                    x, y = xs[i], ys[j]
-                    both = np.concatenate([x, y])
-                    both.sort(kind="stable")
-                    shared = int((both[1:] == both[:-1]).sum())
-                    keep.append(under * shared >= over * (len(both) - shared))
+                na, nb = np.array([len(x) for x in xs])[ia], np.array([len(y) for y in ys])[ib]
+                shared = shared_counts(xs + ys, ia, ib + len(xs))
+                keep = under * shared >= over * (na + nb - shared)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -285,7 +325,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     stars = written(_prune(stars, least), "stars")
     # The texts that may have to be compared: of buckets with three members or more, and of the survivors.
     needed = shared.where("size > 2").select("id").unionByName(stars.select(F.col("a").alias("id"))).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.join(needed, "id", "left_semi"), "texts")
+    texts = written(docs.join(needed, "id", "left_semi").withColumn("chars", F.length("text")), "texts")
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = written(_verify(best, texts, words, over, under), "links")
@@ -295,15 +335,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     comps = written(connected_components(links), "components")
 
     # Buckets that still hold several components, besides pairs with the smallest member alone.
-    here = shared.where("size > 2").join(comps, "id", "left").select("bucket", "size", "id", F.coalesce("component_id", "id").alias("comp"))
-    mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    cells = here.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    here = shared.where("size > 2").join(comps, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp")).join(texts.select("id", "chars"), "id")
+    mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo != hi")
+    mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int").alias("blocks"))
+    cells = here.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "id", "comp")
-    cells = cells.join(sigs, "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = _compare_cells(cells, least).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(_verify(more, texts, words, over, under), "links")
+    cells = cells.join(sigs, "id").join(texts.select("id", "text"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    more = written(_compare_cells(cells, least, words, over, under), "links")
     if not more.isEmpty():
         comps = written(connected_components(links.unionByName(more)), "components")
 
