@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -99,6 +100,20 @@ def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(d.indices, dtype=np.int32), d.dictionary
 
 
+def _trimmer():
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it, other libraries don't need it
+    return trim or (lambda _: 0)
+
+
+_TRIM = _trimmer()
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the machine, for the others on it."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def out_batch(arrays: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, type=f.type) for a, f in zip(arrays, schema, strict=True)], schema=schema)
 

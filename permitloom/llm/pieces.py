@@ -33,18 +33,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import byte_slices, coded, list_parts, ragged, string
+from permitloom.llm.common import byte_slices, coded, give_back, list_parts, ragged, string
 
 SPACE = "▁"
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Longer chunks are relaxed one by one, not side by side.
 SIDE_BY_SIDE = 400
 #: Characters of new chunks that are indexed together.
-INDEX_CHARS = 400_000
+INDEX_CHARS = 250_000
 #: Chunks, ids and pairs that a worker remembers; beyond any it starts anew with the next batch.
-MEMO = 1_200_000
-MEMO_IDS = 8_000_000
-MEMO_PAIRS = 2_000_000
+MEMO = 800_000
+MEMO_IDS = 6_000_000
+MEMO_PAIRS = 1_000_000
 
 
 class Model:
@@ -370,9 +370,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
         encoder = encoder_of(model_path)
 
         def step(batch, source):
-            for part in byte_slices([batch], source):
+            for part in byte_slices([batch], source, 3 << 20):
                 flat, counts = encoder(string(part.column(source)))
-                pa.default_memory_pool().release_unused()
+                give_back()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32())
                 yield pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32())), part
 
@@ -388,8 +388,9 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decode
         model = Model(model_path)
 
         def step(batch, source):
-            for start in range(0, max(1, batch.num_rows), 2048):
-                part = batch.slice(start, 2048)
+            for start in range(0, max(1, batch.num_rows), 1024):
+                part = batch.slice(start, 1024)
+                give_back()
                 lists = part.column(source)
                 counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
                 yield model.decode(np.asarray(pc.list_flatten(lists), dtype=np.int64), counts), part

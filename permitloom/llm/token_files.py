@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitloom.llm import simple8b
-from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, ragged, scratch, string
+from permitloom.llm.common import byte_slices, coded, give_back, list_parts, out_batch, ragged, scratch, string
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it starts anew with the next batch.
@@ -227,7 +227,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
             ids, lengths = encode(string(batch.column("text")))
             ends = np.cumsum(lengths)
             ids = np.insert(ids, ends, end_id)
-            pa.default_memory_pool().release_unused()
+            give_back()
             writer.add(np.asarray(pc.fill_null(keys, 0), dtype=np.int64), np.asarray(pc.is_null(keys), dtype=bool), lengths + 1, ids)
         if writer:
             path, docs, n = writer.close()
