@@ -178,7 +178,7 @@ def _prune(pairs: DataFrame, least: list[int]) -> DataFrame:
 
 
 def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sorted sets a[i] and b[i]."""
+    """Sizes of the intersections of the sorted sets number a[i] and b[i], two different numbers."""
     if len(a) < 4 * len(sets):
         out = np.zeros(len(a), np.int64)
         for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):

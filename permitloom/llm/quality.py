@@ -112,8 +112,9 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("y"), pa.array(list(x))], names=["key", "y", "x"])
 
     found = sorted(rows.mapInArrow(run, "key string, y double, x array<double>").collect())
-    x = np.array([r.x for r in found]).reshape(len(found), -1)
-    return Classifier.fit(x, np.array([r.y for r in found])) if found else Classifier.fit(np.zeros((0, features(pa.array([""])).shape[1])), np.zeros(0))
+    if not found:
+        return Classifier.fit(np.zeros((0, features(pa.array([""])).shape[1])), np.zeros(0))
+    return Classifier.fit(np.array([r.x for r in found]), np.array([r.y for r in found]))
 
 
 def with_evidence(df: DataFrame, classifier: Classifier, text: str = "text") -> DataFrame:
