@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a vectorised step holds at once; one longer text is a step of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,6 +60,7 @@ def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
         ends = np.cumsum(sizes)
         start = 0
         while start < len(sizes):
+            give_back()
             done = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)

@@ -75,11 +75,11 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.asarray(pc.utf8_length(lower), dtype=np.int64)
     points = np.frombuffer("".join(lower.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
-        return np.zeros(0, np.int64), sizes
+        return np.zeros(0, np.int32), sizes
     present = np.nonzero(np.bincount(points))[0]
     keep = np.zeros(int(present[-1]) + 1, bool)
     keep[present] = [chr(c).isalpha() for c in present.tolist()]
-    return np.where(keep[points], points, 0).astype(np.int64), sizes
+    return np.where(keep[points], points, 0).astype(np.int32), sizes
 
 
 def squeezed(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +116,7 @@ class Languages:
                     used += len(parts[-1])
             if parts:
                 points[name] = parts
-        alphabet = np.unique(np.concatenate([np.zeros(1, np.int64), *(x for p in points.values() for x in p)]))
+        alphabet = np.unique(np.concatenate([np.zeros(1, np.int32), *(x for p in points.values() for x in p)]))
         cut, size = len(alphabet) + 1, len(alphabet) + 2  # classes: blank, letters, other letters, an end of text
         tables, roots, bits, base = [], [], [], 0
         for parts in points.values():
@@ -171,7 +171,7 @@ class Languages:
         if not self.names:
             return ["und"] * len(sizes), np.zeros(len(sizes)), np.zeros(len(sizes))
         at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
-        classes = np.where(self.alphabet[at] == symbols, at, len(self.alphabet))
+        classes = np.where(self.alphabet[at] == symbols, at, len(self.alphabet)).astype(np.int32)
         rate = self.phrases(classes, sizes) * self.bits / np.maximum(sizes, 1)[:, None]
         rate = np.maximum(rate, 1e-9)
         best = rate.argmin(1)

@@ -42,9 +42,9 @@ SIDE_BY_SIDE = 400
 #: Characters of new chunks that are indexed together.
 INDEX_CHARS = 250_000
 #: Chunks, ids and pairs that a worker remembers; beyond any it starts anew with the next batch.
-MEMO = 800_000
-MEMO_IDS = 6_000_000
-MEMO_PAIRS = 1_000_000
+MEMO = 600_000
+MEMO_IDS = 4_000_000
+MEMO_PAIRS = 800_000
 
 
 class Model:
@@ -372,7 +372,6 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
         def step(batch, source):
             for part in byte_slices([batch], source, 3 << 20):
                 flat, counts = encoder(string(part.column(source)))
-                give_back()
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32())
                 yield pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32())), part
 

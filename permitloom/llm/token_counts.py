@@ -28,6 +28,8 @@ from permitloom.llm.common import byte_slices, coded, out_batch, split_words, st
 
 #: Segments whose counts a worker remembers; the memory starts anew when it is full.
 MEMO = 1_000_000
+#: Bytes of text whose segments are looked up at once.
+SLICE = 6 << 20
 #: Segments that the library encodes at once.
 STEP = 8192
 #: Longer segments are not remembered.
@@ -88,7 +90,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(tokenizer_path)
-        for batch in byte_slices(batches, "text"):
+        for batch in byte_slices(batches, "text", SLICE):
             texts = string(batch.column("text"))
             n = counter(texts)
             keyed = schema.insert(0, pa.field("key", batch.schema.field("key").type))
