@@ -60,7 +60,7 @@ def score_all(spark: SparkSession, data_dir: str, model_dir: str) -> None:
 def score_one(spark: SparkSession, source: str, features: dict[str, Any], model_dir: str) -> dict[str, Any]:
     """Predictions for one application; absent features are null, others are ignored."""
     if source not in SCORED:
-        raise ValueError(f"Unknown source: {source!r}. Must be 'dev_applications' or 'coa'.")
+        raise ValueError(f"Unknown source: {source!r} (known: {', '.join(SCORED)})")
     specs = [m for m in MODELS.values() if m.source == source]
     text = [c for c in specs[0].cat_cols]
     fields = [T.StructField(c, T.StringType() if c in text else T.DoubleType()) for c in specs[0].features]
@@ -78,7 +78,7 @@ def score_one(spark: SparkSession, source: str, features: dict[str, Any], model_
 def feature_importance(spark: SparkSession, model: str, data_dir: str, model_dir: str, builtin: bool = False, repeats: int = 10) -> DataFrame:
     """feature, importance_mean, importance_std, most important first."""
     if model not in MODELS:
-        raise ValueError(f"Unknown model: {model!r}. Must be one of: {', '.join(MODELS)}.")
+        raise ValueError(f"Unknown model: {model!r} (known: {', '.join(MODELS)})")
     spec, fitted = MODELS[model], load_model(model_dir, model)
     if builtin:
         return ml.gain_importance(fitted, spec)
