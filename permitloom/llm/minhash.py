@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import byte_slices, coded, out_batch, split_words, string, written
+from permitloom.llm.common import byte_slices, coded, forget, out_batch, split_words, string, written
 from permitloom.llm.components import Forest, connected_components
 
 HASHES, ROWS, BATCH = 128, 4, 16
@@ -346,6 +346,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     if not more.isEmpty():
         comps = written(connected_components(links.unionByName(more)), "components")
 
+    forget(shared, stars, texts)
     out = sets.select("id", "n").join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     comp = F.coalesce("component_id", "rep")

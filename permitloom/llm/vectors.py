@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import list_parts, written
+from permitloom.llm.common import forget, list_parts, written
 from permitloom.llm.components import connected_components
 
 TABLES, WIDTH, PROBES = 12, 2, 3
@@ -193,6 +193,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
         yield from flush()
 
     links = written(cells.mapInArrow(compare, "a long, b long, n long"), "links")
+    forget(coded)
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = connected_components(links).withColumnRenamed("id", "rep")
     found = valid.select("id", "label", "vec").join(classes, ["label", "vec"]).join(counts, "rep", "left").join(comps, "rep", "left")
