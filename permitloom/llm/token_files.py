@@ -36,11 +36,11 @@ from permitloom.llm import simple8b
 from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, ragged, scratch, string
 
 MAGIC = b"PLS8B\x00\x01\n"
-#: Distinct words, and their ids, that a worker keeps; beyond either it starts anew with the next batch.
-MEMO = 1_200_000
-MEMO_IDS = 8_000_000
+#: Distinct words, and their ids, that a worker keeps; beyond either it forgets those that came up once.
+MEMO = 2_000_000
+MEMO_IDS = 12_000_000
 #: Bytes of text that are encoded at once.
-SLICE = 6 << 20
+SLICE = 12 << 20
 #: Words that the library encodes at once.
 STEP = 8192
 #: Ids that a reader decodes at once.
@@ -64,15 +64,22 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
+        # Words, their ids one after another, and whether a later batch has had the word too.
         self.known = pa.array([], pa.string())
-        self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.sizes, self.flat, self.again = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keep the words that later batches have had too, if they are the smaller part; else none."""
+        keep = self.again if self.again.mean() < 0.5 else np.zeros(len(self.again), bool)
+        begins = np.cumsum(self.sizes) - self.sizes
+        self.known = pa.concat_arrays([self.known.filter(pa.array(keep))])
+        self.flat, self.sizes = self.flat[ragged(begins[keep], self.sizes[keep])], self.sizes[keep]
+        self.again = np.zeros(len(self.sizes), bool)
 
     def _pieces(self, names: pa.Array) -> np.ndarray:
         """Where the store has each name; what it lacks is encoded."""
         at = pc.index_in(names, value_set=self.known)
+        self.again[np.asarray(at.drop_null())] = True
         if at.null_count:
             lacking = names.filter(pc.is_null(at))
             lists, ids = lacking.to_pylist(), []
@@ -80,7 +87,7 @@ class ByteEncoder:
                 ids += [e.ids for e in self.tokenizer.encode_batch_fast(lists[i : i + STEP], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-            self.sizes = np.concatenate([self.sizes, sizes])
+            self.sizes, self.again = np.concatenate([self.sizes, sizes]), np.concatenate([self.again, np.zeros(len(sizes), bool)])
             new = len(self.known) + np.cumsum(np.asarray(pc.is_null(at))) - 1
             self.known = pa.concat_arrays([self.known, lacking])
             at = pc.if_else(pc.is_null(at), pa.array(new), at.cast(pa.int64()))
@@ -89,7 +96,7 @@ class ByteEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's."""
         if len(self.known) > MEMO or len(self.flat) > MEMO_IDS:
-            self._clear()
+            self._forget()
         texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, UNEVEN_SPACE), dtype=bool)
         # A text that is encoded whole is one unit, like a first word.
@@ -255,7 +262,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, digest: bool = False,
                 for doc, ids in reader.documents():
                     at = slice(doc, doc + len(ids))
                     keys = pa.array(reader.keys[at], mask=reader.nulls[at])
-                    value = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids] if digest else [x.astype(np.int64) for x in ids]
+                    value = [zlib.crc32(np.ascontiguousarray(x, dtype="<u4")) for x in ids] if digest else [x.astype(np.int64) for x in ids]
                     yield out_batch([keys, starts[at], reader.lengths[at], pa.array(value, type=last.type)], schema)
 
     shards = max(1, manifest.count())
