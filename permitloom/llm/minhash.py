@@ -19,8 +19,9 @@ and ``miss`` is 1e-6 for each of eight batches.  Links are only made by exact se
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A text of fewer than
 ``words`` words has its whole sequence as its one shingle; null, empty and blank texts have
-none and link with nothing.  Rows with a null key keep themselves (component null).  Keys
-must be unique.  Extra columns are ignored.
+none and link with nothing.  Rows with a null key keep themselves (component null).  Rows
+of one key are one document that has the links of each of them; each row has its own number
+of shingles.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -313,7 +314,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     sets = written(_sketch(docs, words), "sketch")
     full = sets.where("n > 0 and id is not null")
     classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = written(full.join(classes, ["f1", "f2", "n"]).select("id", "rep").where("id != rep"), "members")
+    members = written(full.join(classes, ["f1", "f2", "n"]).where("id != rep").groupBy("id").agg(F.min("rep").alias("rep")), "members")
     reps = full.select("id", "sig").join(members.select("id"), "id", "left_anti")
     bands = _bands(reps)
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")

@@ -175,12 +175,12 @@ def assess(df: DataFrame, classifier: Classifier, host: Column, path: Column, te
     k_host = _strength(hosts.withColumn("within", inside("host_q", "host_s", "host_n")), "host_n", "host_s", F.lit(rate))
     both = paths.where("__host is not null").join(hosts, "__host")
     k_path = _strength(both.where("__path is not null").withColumn("within", inside("q", "s", "n")), "n", "s", F.col("host_s") / F.col("host_n"))
-    sites = both.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), "n", "s", "host_n", "host_s")
+    sites = both.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), *(F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s")))
     out = scored.join(sites, (F.col("__host") == F.col("__h")) & F.col("__path").eqNullSafe(F.col("__q")), "left")
-    own = F.col("__p")
-    host_rate = F.when(F.col("host_n").isNull(), F.lit(rate)).otherwise((k_host * rate + F.col("host_s") - own) / (k_host + F.col("host_n") - 1))
-    path_rate = F.when(F.col("__path").isNull() | F.col("n").isNull(), host_rate).otherwise((k_path * host_rate + F.col("s") - own) / (k_path + F.col("n") - 1))
-    out = out.withColumn("site_docs", F.coalesce("n", F.lit(0))).withColumn("site_rate", path_rate)
+    own, n, total_s, host_n, host_s = (F.col(c) for c in ("__p", "__n", "__s", "__host_n", "__host_s"))
+    host_rate = F.when(host_n.isNull(), F.lit(rate)).otherwise((k_host * rate + host_s - own) / (k_host + host_n - 1))
+    path_rate = F.when(F.col("__path").isNull() | n.isNull(), host_rate).otherwise((k_path * host_rate + total_s - own) / (k_path + n - 1))
+    out = out.withColumn("site_docs", F.coalesce(n, F.lit(0))).withColumn("site_rate", path_rate)
     out = out.withColumn("probability", _probability(F.col("evidence") + _log_odds(F.col("site_rate")))).withColumn("kept", F.col("probability") >= threshold)
     return out.select(*columns, "evidence", "site_docs", "site_rate", "probability", "kept")
 

@@ -14,8 +14,9 @@ and a block gives a link count and a representative for each row rather than its
 With 64 dimensions and the defaults, a pair at cosine 0.93 is found with probability over
 0.99 (measured in the tests).  Vectors are compared only if labels are equal and not null
 and lengths are equal.  Null or empty vectors, zero vectors, and those with a null or
-non-finite component link with nothing; they keep themselves.  Keys must be unique; a row
-with a null key links with nothing.  Extra columns are ignored.
+non-finite component link with nothing; they keep themselves.  A row with a null key links
+with nothing.  Rows of one key are vectors of their own that share a name: each gets the most
+links and the smallest component of them.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -198,5 +199,6 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
     comps = connected_components(links).withColumnRenamed("id", "rep")
     found = valid.select("id", "label", "vec").join(classes, ["label", "vec"]).join(counts, "rep", "left").join(comps, "rep", "left")
     found = found.select("id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    found = found.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = rows.select("id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -11,9 +11,10 @@ end.  A lookup finds the file among the ranges, binary-searches the directory, r
 one block's bytes, and binary-searches its lines.  Reading pages back then fetches each
 record by offset, with the records of an archive in order of offset.
 
-A null html is an empty payload; a null url is the empty url (key ``)``); equal urls, and
-repeated pages, keep a capture each and are told apart by page id, which must be unique and
-not null.  An empty table gives no archives and no index.  Extra columns are ignored.
+A null html is an empty payload; a null url is the empty url (key ``)``); equal urls keep a
+capture each and are told apart by page id.  A null page id counts as the smallest and is read
+back as null.  Repeated pages keep a record each.  An empty table gives no archives and no
+index.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ LEVEL = 4
 READ_AHEAD = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _TAIL = 16
+#: Stands for a null page id in archives and index.
+NO_ID = -(1 << 63)
 
 
 def url_key(url: Column) -> Column:
@@ -128,12 +131,15 @@ CAPTURES = "url_key string, page_id long, url string, record_type string, digest
 
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the archives; returns the captures, a row per record (a table in the shared folder)."""
-    rows = pages.select(F.col(page).cast("long").alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     light = written(rows.select("page_id", "url", payload_digest(F.col("html")).alias("digest")), "digests")
     groups = light.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Only copies of another page are marked; a page's payload goes to one place, by its unique id.
-    copies = light.join(groups, "digest").where("page_id != first.page_id").select("page_id", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
-    marked = rows.join(copies, "page_id", "left").select("page_id", "url", url_key(F.col("url")).alias("url_key"), "html", payload_digest(F.col("html")).alias("digest"), "refers_to", "refers_url")
+    copies = light.join(groups, "digest").where("page_id != first.page_id").dropDuplicates(["page_id", "digest"]).select(F.col("digest").alias("of"), "page_id", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
+    rows = rows.withColumn("digest", payload_digest(F.col("html")))
+    copies = copies.withColumnRenamed("page_id", "copy")
+    marked = rows.join(copies, (F.col("page_id") == F.col("copy")) & (F.col("digest") == F.col("of")), "left")
+    marked = marked.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "html", "digest", "refers_to", "refers_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
@@ -212,7 +218,7 @@ class IndexFile:
 
     def captures(self, key: str, page_id: int | None = None) -> list[list]:
         """The lines with this key (and page): url_key, page_id, url, record_type, digest, file, at, size."""
-        want = (key.encode(), page_id if page_id is not None else -(1 << 63))
+        want = (key.encode(), page_id if page_id is not None else NO_ID)
         k = max(0, bisect.bisect_right(self.firsts, want) - 1)
         out = []
         while k < len(self.directory):
@@ -234,7 +240,7 @@ def lookup(wanted: DataFrame, ranges: list[dict], folder: str, url: str = "url",
     """
     firsts = [(r["url_key"].encode(), r["page_id"]) for r in ranges]
     paths = [r["path"] for r in ranges]
-    rows = wanted.select(url_key(F.col(url)).alias("url_key"), F.col(page).cast("long").alias("page_id"))
+    rows = wanted.select(url_key(F.col(url)).alias("url_key"), F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id")).distinct()
     rows = rows.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,9 +285,10 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
                     revisit = f["warc-type"] == "revisit"
                     if not revisit and base64.b32encode(hashlib.sha1(x["payload"]).digest()).decode() != digest:
                         raise ValueError(f"{name} at {at}: the payload does not match its digest")
-                    found.append((int(f["warc-page-id"]), f["warc-target-uri"], x["payload_bytes"], digest, f["warc-type"], int(f["warc-refers-to-page-id"]) if revisit else None, None if revisit else x["payload"]))
+                    page_id, first = int(f["warc-page-id"]), int(f["warc-refers-to-page-id"]) if revisit else NO_ID
+                    found.append((None if page_id == NO_ID else page_id, f["warc-target-uri"], x["payload_bytes"], digest, f["warc-type"], None if first == NO_ID else first, None if revisit else x["payload"]))
                 c = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2]), pa.array(c[3]), pa.array(c[4]), pa.array(c[5], pa.int64()), pa.array(c[6], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1]), pa.array(c[2]), pa.array(c[3]), pa.array(c[4]), pa.array(c[5], pa.int64()), pa.array(c[6], pa.binary())], names=names)
 
     return rows.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 

@@ -88,6 +88,15 @@ def test_null_keys_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_rows(spark):
+    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (9, "p q r s t u"), (9, "p q r s t u"), (9, "other words")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    assert got == [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (9, 1, 9, True), (9, 2, 9, True), (9, 2, 9, True)]
+    v = [1.0, 2.0, 3.0]
+    df = spark.createDataFrame([(4, v, 1), (4, v, 1), (2, v, 1), (7, [0.0] * 3, 1)], "vec_id long, embedding array<float>, label int")
+    assert sorted(map(tuple, vectors.near_vectors(df).collect())) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (7, 0, 7, True)]
+
+
 def test_pruning_keeps_similar_pairs():
     least = minhash.least_matches(0.75, 1e-6)
     rng = np.random.default_rng(1)

@@ -53,6 +53,14 @@ def test_odd_pages(spark, monkeypatch):
     assert warc.lookup(missing, ranges, folder).count() == 0
 
 
+def test_null_ids_and_repeated_pages(spark):
+    rows = [(None, "http://a.org/", "same"), (3, "http://a.org/", "same"), (3, "http://a.org/", "same"), (5, "http://b.org/", "own"), (5, "http://b.org/", "own"), (5, "http://b.org/", "same")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder, ranges = warc.archive(df)
+    got = warc.read_records(warc.lookup(df, ranges, folder), folder).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted([(None, "response", None), (3, "revisit", None), (3, "revisit", None), (5, "response", None), (5, "response", None), (5, "revisit", None)], key=str)
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder, ranges = warc.archive(df)

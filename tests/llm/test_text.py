@@ -140,8 +140,9 @@ def test_sites_shrink(spark):
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None, None, None), (1, "", "h", None), (2, "x " * 200_000, "h", "p")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int")
-    rows = quality.assess(df, quality.fit(df, none), F.col("source"), F.col("lang")).collect()
-    assert len(rows) == 3 and all(abs(r.probability - 0.5) < 1e-6 for r in rows)
+    clash = df.withColumns({c: F.lit("mine") for c in ("n", "s", "host_n", "key", "y", "evidence", "kept")})
+    rows = quality.assess(clash, quality.fit(clash, none), F.col("source"), F.col("lang")).collect()
+    assert all(r.n == r.s == r.host_n == r.key == r.y == "mine" for r in rows) and len(rows) == 3 and all(abs(r.probability - 0.5) < 1e-6 for r in rows)
     assert quality.assess(df.limit(0), quality.fit(df, none), F.col("source"), F.col("lang")).count() == 0
     host, path = quality.url_site(F.col("u"))
     got = spark.createDataFrame([("http://A.b.org:80/x/y?z",), ("https://u@c.d",), ("junk",), (None,)], "u string").select(host, path).collect()
