@@ -43,12 +43,12 @@ def locate(df: DataFrame) -> DataFrame:
     return df.withColumn("lon", lon).withColumn("lat", lat).withColumn("_rid", F.monotonically_increasing_id())
 
 
-def spatial_attributes(df: DataFrame, zoning: DataFrame, register: DataFrame, districts: DataFrame, plans: DataFrame) -> DataFrame:
+def spatial_attributes(df: DataFrame, zoning: DataFrame, register: DataFrame, districts: DataFrame, plans: DataFrame, radius: float = HERITAGE_RADIUS) -> DataFrame:
     """Each row once, with zoning_class, heritage flags and the secondary plan; of several matches the smallest name."""
     points = df.select("_rid", "lon", "lat")
     zone = spatial.within(points, zoning, "zoning_class", "_rid")
     plan = spatial.within(points, plans, "secondary_plan_name", "_rid")
-    listed = spatial.near(points, register, HERITAGE_RADIUS, "_rid").withColumn("in_heritage_register", F.lit(1))
+    listed = spatial.near(points, register, radius, "_rid").withColumn("in_heritage_register", F.lit(1))
     district = spatial.within(points, districts.select(F.lit("1").alias("district"), "edges"), "district", "_rid").select("_rid", F.lit(1).alias("in_heritage_district"))
     out = df.join(zone, "_rid", "left").join(listed, "_rid", "left").join(district, "_rid", "left").join(plan, "_rid", "left")
     return out.select(

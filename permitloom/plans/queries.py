@@ -15,6 +15,8 @@ from permitloom.config import ModelSpec, SourceConfig
 from permitloom.functions import scalars as S
 from permitloom.operators import ml, normalize, spatial
 from permitloom.operators.storage import replace
+from permitloom.plans import enrich
+from permitloom.sources.portal import read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -263,6 +265,53 @@ def within_distance(spark, sf_dir):
     return points.join(near, "rid", "left").select(F.col("rid").alias("c_custkey"), F.coalesce("hit", F.lit(0)).alias("in_register"))
 
 
+_PLACES = """p AS (SELECT c_custkey, (c_custkey * 37 % 1009) / 1009e0 * 10e0 AS lon, (c_custkey * 101 % 997) / 997e0 * 10e0 AS lat FROM customer)"""
+
+
+@query(f"""WITH {_PLACES}, e(zone, x1, y1, x2, y2) AS (VALUES {_zone_edges()}),
+    h AS (SELECT c_custkey, zone FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+    z AS (SELECT c_custkey, min(zone) AS zone FROM h GROUP BY 1), d AS (SELECT DISTINCT c_custkey FROM h WHERE zone = 'm'), q AS (SELECT c_custkey, zone FROM h WHERE zone = 'a'),
+    r AS (SELECT (s_suppkey * 37 % 1009) / 1009e0 * 10e0 + 1e-3 AS x, (s_suppkey * 101 % 997) / 997e0 * 10e0 AS y FROM supplier)
+    SELECT p.c_custkey, z.zone AS zoning_class, CASE WHEN EXISTS (SELECT 1 FROM r WHERE pow(lon - x, 2) + pow(lat - y, 2) <= 5e-2 * 5e-2) THEN 1 ELSE 0 END AS in_heritage_register,
+      CASE WHEN d.c_custkey IS NOT NULL THEN 1 ELSE 0 END AS in_heritage_district, q.zone AS secondary_plan_name, CASE WHEN q.zone IS NOT NULL THEN 1 ELSE 0 END AS in_secondary_plan
+    FROM p LEFT JOIN z USING (c_custkey) LEFT JOIN d USING (c_custkey) LEFT JOIN q USING (c_custkey)""")
+def spatial_assemble(spark, sf_dir):
+    """All four spatial lookups on one spine: each row once."""
+
+    def place(df, key, shift=0.0):
+        k = F.col(key)
+        return df.select(k, (k * 37 % 1009 / F.lit(1009.0) * 10 + shift).alias("lon"), (k * 101 % 997 / F.lit(997.0) * 10).alias("lat"))
+
+    polygons, _ = spatial.parse_geojson(F.col("geometry"))
+    zones = spark.createDataFrame([(n, json.dumps(g)) for n, g in _ZONES.items()], "zone string, geometry string").select("zone", spatial.edges_of(polygons).alias("edges"))
+    apps = place(table(spark, sf_dir, "customer"), "c_custkey").withColumn("_rid", F.col("c_custkey"))
+    register = place(table(spark, sf_dir, "supplier"), "s_suppkey", 1e-3)
+    named = lambda name, keep: zones.where(F.col("zone").isin(keep)).withColumnRenamed("zone", name)
+    out = enrich.spatial_attributes(apps, named("zoning_class", list(_ZONES)), register, named("district", ["m"]), named("secondary_plan_name", ["a"]), radius=5e-2)
+    return out.drop("_rid", "lon", "lat")
+
+
+@query("""SELECT s_suppkey AS suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS name, s_acctbal AS acctbal, 0::INT AS year, 'csv' AS source_name FROM supplier""")
+def csv_scan(spark, sf_dir):
+    """Text files with a header: rows too long are cut, too short ones filled, numbers inferred, names normalized."""
+    path = _scratch(spark, "csv")
+    key, name, balance = F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_acctbal").cast("string")
+    short = F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws(",", balance, key)).otherwise(F.concat_ws(",", balance, key, F.concat(F.lit('"'), name, F.lit('"')), F.lit("extra")))
+    head = spark.createDataFrame([("Acctbal,SuppKey#,Name",)], "value string")
+    head.unionByName(table(spark, sf_dir, "supplier").select(short.alias("value"))).coalesce(1).write.text(path)
+    return normalize.normalize(normalize.infer_numbers(read_csv(spark, path)), SourceConfig("csv", "bulk_csv"))
+
+
+@query("""SELECT o_orderkey AS order_key, o_orderdate::DATE AS application_date, CASE WHEN o_orderkey > 100 THEN o_orderpriority END AS priority, year(o_orderdate)::INT AS year, 'pages' AS source_name FROM orders WHERE year(o_orderdate) >= 1997""")
+def json_pages_scan(spark, sf_dir):
+    """Staged pages of records: types from all of them, the year window over parsed dates."""
+    path = _scratch(spark, "pages")
+    priority = F.when(F.col("o_orderkey") > 100, F.col("o_orderpriority"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Application Date"), priority.alias("PRIORITY"))
+    rows.write.json(path)
+    return normalize.year_window(normalize.normalize(spark.read.json(path), SourceConfig("pages", "datastore", 1997)), 1997)
+
+
 @query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
 def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
