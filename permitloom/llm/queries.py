@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import chat, decontaminate, langid, minhash, pieces, quality, token_counts, token_files, vectors, warc
+from permitloom.llm import chat, decontaminate, langid, minhash, oracle, pieces, quality, token_counts, token_files, vectors, warc
 from permitloom.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,4 +87,10 @@ QUERIES: dict[str, Query] = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_T = chat.TURNS
+ORACLE_SQL: dict[str, str] = {
+    "op4_vectors": oracle.OP4,
+    "op5_warc": oracle.OP5,
+    "op9_minhash": oracle.OP9,
+    "op10_chat": oracle.op10(_T.all_controls(), chat.MARK, len(_T.before) + len(_T.between) + len(_T.after)),
+}
