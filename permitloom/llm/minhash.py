@@ -44,6 +44,8 @@ BANDS = HASHES // ROWS
 #: Members of a bucket, and characters of their texts, that one task compares with as many others.
 BLOCK = 1024
 BLOCK_CHARS = 8 << 20
+#: Tasks that a bucket's rows are dealt to while its number of blocks is looked up.
+SALTS = 16
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -339,7 +341,10 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     here = shared.where("size > 2").join(comps, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp")).join(texts.select("id", "chars"), "id")
     mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo != hi")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int").alias("blocks"))
-    cells = here.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # A large bucket's rows meet its one row in several tasks.
+    here = here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cells = here.join(mixed, ["bucket", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("bucket", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "id", "comp")
     cells = cells.join(sigs, "id").join(texts.select("id", "text"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
