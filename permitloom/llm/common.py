@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -75,6 +76,35 @@ def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLI
             start = stop
 
 
+#: Characters of a part of a longer text.
+PART_CHARS = 2 << 20
+
+
+def in_parts(text: str, boundary: re.Pattern, limit: int) -> Iterator[str]:
+    """Cut a long text at boundaries (whose own characters go) into parts of little over ``limit`` characters."""
+    start = 0
+    while len(text) - start > limit and (m := boundary.search(text, start + limit)):
+        yield text[start : m.start()]
+        start = m.end()
+    yield text[start:]
+
+
+def apart(texts: pa.Array, boundary: re.Pattern, limit: int) -> tuple[pa.Array, np.ndarray]:
+    """The texts with long ones in parts, and the number of parts of each."""
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
+    if not (sizes > limit).any():
+        return texts, np.ones(len(texts), np.int64)
+    cut = [list(in_parts(t, boundary, limit)) if n > limit else [t] for t, n in zip(texts.to_pylist(), sizes.tolist(), strict=True)]
+    return pa.array([p for parts in cut for p in parts], pa.string()), np.array([len(parts) for parts in cut], dtype=np.int64)
+
+
+def part_sums(values: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Sums over the parts of each text."""
+    sums = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype), np.cumsum(values, axis=0)])
+    ends = np.cumsum(parts)
+    return sums[ends] - sums[ends - parts]
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i]+counts[i]-1`` of all i, one after another."""
     counts = counts.astype(np.int64)

@@ -36,7 +36,7 @@ MASKS = [(0, 1, 2, 3, 4, 5), (0, 1, 3, 6, 7, 10), (0, 2, 3, 5, 9, 10), (0, 1, 4,
 SPAN = 11
 LEAST = 5
 PENALTY = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _FACTORS = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

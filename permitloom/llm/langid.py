@@ -19,6 +19,7 @@ nothing was learned.  Repeated rows are predicted each; extra columns are ignore
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import byte_slices, out_batch, string
+from permitloom.llm.common import PART_CHARS, apart, byte_slices, out_batch, part_sums, string
 
 SAMPLE_TEXTS = 100
 SAMPLE_SYMBOLS = 40_000
 PIECE = 1024
 BLANK = 0
+ANYWHERE = re.compile("")
 
 
 def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
@@ -163,16 +165,29 @@ class Languages:
             out[k] = np.bincount(owner, count[k], len(sizes))
         return out.T
 
+    def _count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases against each language, symbols, and letters (1 or 0) of each text."""
+        symbols, sizes = squeezed(*letters(texts))
+        if not len(symbols) or not self.names:
+            return np.zeros((len(sizes), len(self.names)), np.int64), sizes, np.zeros(len(sizes), np.int64)
+        starts = np.cumsum(sizes) - sizes
+        has = (np.add.reduceat(np.append(symbols, 0) > 0, starts) > 0) & (sizes > 0)
+        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
+        classes = np.where(self.alphabet[at] == symbols, at, len(self.alphabet)).astype(np.int32)
+        return self.phrases(classes, sizes), sizes, has.astype(np.int64)
+
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of each text the language, the score, and the bits per symbol of that language."""
-        symbols, sizes = squeezed(*letters(texts))
-        has = np.add.reduceat(np.append(symbols, 0) > 0, np.minimum(np.cumsum(sizes) - sizes, len(symbols))) > 0 if len(sizes) else np.zeros(0, bool)
-        has &= sizes > 0
+        texts, parts = apart(texts, ANYWHERE, PART_CHARS)
+        if (parts > 1).any():
+            each = [self._count(texts.slice(k, 1)) for k in range(len(texts))]
+            counts, sizes, has = (part_sums(np.concatenate(x), parts) for x in zip(*each, strict=True))
+        else:
+            counts, sizes, has = self._count(texts)
+        has = has > 0
         if not self.names:
             return ["und"] * len(sizes), np.zeros(len(sizes)), np.zeros(len(sizes))
-        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
-        classes = np.where(self.alphabet[at] == symbols, at, len(self.alphabet)).astype(np.int32)
-        rate = self.phrases(classes, sizes) * self.bits / np.maximum(sizes, 1)[:, None]
+        rate = counts * self.bits / np.maximum(sizes, 1)[:, None]
         rate = np.maximum(rate, 1e-9)
         best = rate.argmin(1)
         least = rate[np.arange(len(best)), best]

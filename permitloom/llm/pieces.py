@@ -33,9 +33,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import byte_slices, coded, give_back, list_parts, ragged, string
+from permitloom.llm.common import PART_CHARS, apart, byte_slices, coded, give_back, list_parts, part_sums, ragged, string
 
 SPACE = "▁"
+#: Where a long text may be cut: at a space between two other characters, which each part's own leading space replaces.
+BETWEEN = re.compile(f"(?<=[^ {SPACE}]) (?=[^ {SPACE}])")
 CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 #: Longer chunks are relaxed one by one, not side by side.
 SIDE_BY_SIDE = 400
@@ -308,10 +310,16 @@ class Encoder:
         return np.asarray(at, dtype=np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's."""
+        """All ids, and the number of each text's; long ones are encoded in parts."""
+        texts, parts = apart(pc.fill_null(texts, ""), BETWEEN, PART_CHARS)
+        if (parts > 1).any():
+            each = [self._texts(texts.slice(k, 1)) for k in range(len(texts))]
+            return np.concatenate([ids for ids, _ in each]), part_sums(np.concatenate([n for _, n in each]), parts)
+        return self._texts(texts)
+
+    def _texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MEMO or len(self.flat) > MEMO_IDS or len(self.pair_keys) > MEMO_PAIRS:
             self._clear()
-        texts = pc.fill_null(texts, "")
         uneven = np.asarray(pc.match_substring_regex(texts, f"  |{SPACE}|^ |^$|\\x00"), dtype=bool)
         lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~uneven)), "\n", " \n"), " ")
         offsets, words = list_parts(lists)

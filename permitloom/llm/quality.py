@@ -50,8 +50,12 @@ def features(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     sizes = np.asarray(pc.binary_length(texts), dtype=np.int64)
     data = np.frombuffer("".join(texts.to_pylist()).encode(), np.uint8)
-    spots = np.repeat(np.arange(n) * _CLASSES, sizes) + _CLASS[data]
-    shares = np.bincount(spots, minlength=n * _CLASSES).reshape(n, _CLASSES) / np.maximum(sizes, 1)[:, None]
+    found, ends = np.zeros(n * _CLASSES, np.int64), np.cumsum(sizes)
+    for start in range(0, len(data), 4 << 20):
+        part = data[start : start + (4 << 20)]
+        owner = np.searchsorted(ends, np.arange(start, start + len(part)), side="right")
+        found += np.bincount(owner * _CLASSES + _CLASS[part], minlength=n * _CLASSES)
+    shares = found.reshape(n, _CLASSES) / np.maximum(sizes, 1)[:, None]
     offsets, words = split_words(texts)
     codes, distinct = coded(words)
     counts = np.diff(offsets)

@@ -10,12 +10,13 @@ batch every text is split at safe boundaries, and each distinct segment is encod
   encoded whole.
 
 Nulls count as empty texts (0 bytes, 0 tokens); a text without white space is one
-segment, however long; extra columns are ignored; repeated rows are counted each.
+segment, however long, and a long text is counted in parts cut at white space; extra columns are ignored; repeated rows are counted each.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from permitloom.llm.common import byte_slices, coded, out_batch, split_words, string
+from permitloom.llm.common import PART_CHARS, apart, byte_slices, coded, out_batch, part_sums, split_words, string
 
 #: Segments whose counts a worker remembers; the memory starts anew when it is full.
 MEMO = 1_000_000
@@ -34,6 +35,7 @@ SLICE = 6 << 20
 STEP = 8192
 #: Longer segments are not remembered.
 MEMO_CHARS = 64
+WHITE = re.compile("[ \\t-\\r]+")
 
 
 class SegmentCounter:
@@ -49,6 +51,13 @@ class SegmentCounter:
         self.memo: dict[str, int] = {}
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        """The count of each text; a long one is the sum of its parts, counted one after another."""
+        texts, parts = apart(texts, WHITE, PART_CHARS)
+        step = len(texts) if (parts == 1).all() else 1
+        counts = [self._count(texts.slice(k, step)) for k in range(0, len(texts), max(1, step))]
+        return part_sums(np.concatenate([np.zeros(0, np.int64), *counts]), parts)
+
+    def _count(self, texts: pa.Array) -> np.ndarray:
         offsets, words = split_words(texts)
         codes, distinct = coded(words)
         names = distinct.to_pylist()

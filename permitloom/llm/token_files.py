@@ -18,6 +18,7 @@ table gives no shards; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitloom.llm import simple8b
-from permitloom.llm.common import byte_slices, coded, list_parts, out_batch, ragged, scratch, string
+from permitloom.llm.common import PART_CHARS, apart, byte_slices, coded, list_parts, out_batch, part_sums, ragged, scratch, string
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it forgets those that came up once.
@@ -49,6 +50,10 @@ READ_IDS = 1 << 20
 UNEVEN_SPACE = r"\x{1f}|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}|^[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]$"
 
 
+#: Where a long text may be cut: before a space that stands between two characters that are none.
+BETWEEN = re.compile(r"(?<=\S)(?= \S)")
+
+
 class ByteEncoder:
     """Ids of whole texts by a byte-level ``tokenizers`` file, each distinct word encoded once.
 
@@ -94,10 +99,16 @@ class ByteEncoder:
         return np.asarray(at, dtype=np.int64)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the number of each text's."""
+        """All ids, and the number of each text's; long ones are encoded in parts."""
+        texts, parts = apart(pc.fill_null(texts, ""), BETWEEN, PART_CHARS)
+        if (parts > 1).any():
+            each = [self._encode(texts.slice(k, 1)) for k in range(len(texts))]
+            return np.concatenate([ids for ids, _ in each]), part_sums(np.concatenate([n for _, n in each]), parts)
+        return self._encode(texts)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > MEMO or len(self.flat) > MEMO_IDS:
             self._forget()
-        texts = pc.fill_null(texts, "")
         whole = np.asarray(pc.match_substring_regex(texts, UNEVEN_SPACE), dtype=bool)
         # A text that is encoded whole is one unit, like a first word.
         even = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~whole)), " ", "\x1f "), "\x1f")

@@ -82,6 +82,15 @@ def test_phrases_against_brute_force():
         assert got == [phrases(plain, s) for s in learned]
 
 
+def test_languages_in_parts(monkeypatch):
+    model = langid.Languages.learn({"a": ["the cat and the dog " * 9], "b": ["der hund und die katze " * 9]})
+    texts = pa.array(["the dog and " * 30, "", None, "und die katze " * 30, "12"], pa.string())
+    whole = model.predict(texts)
+    monkeypatch.setattr(langid, "PART_CHARS", 17)
+    parts = model.predict(texts)
+    assert whole[0] == parts[0] == ["a", "und", "und", "b", "und"] and np.abs(whole[1] - parts[1]).max() < 0.2
+
+
 def test_suffix_automaton_holds_all_substrings():
     rng = random.Random(3)
     s = [rng.randrange(3) for _ in range(60)]

@@ -114,6 +114,25 @@ def test_suffix_ranges_are_occurrences():
         assert sorted(order[a:b].tolist()) == [i for i in range(len(raw)) if raw.startswith(p, i)]
 
 
+@pytest.mark.parametrize("limit", [1, 7, 40])
+def test_long_texts_in_parts(monkeypatch, limit):
+    """Cutting texts into parts changes nothing."""
+    for m in (pieces, token_counts, token_files):
+        monkeypatch.setattr(m, "PART_CHARS", limit)
+    rng = random.Random(limit)
+    texts = ODD + ["".join(rng.choice("abe 's.\n  ▁é1") for _ in range(rng.randint(1, 120))) for _ in range(300)]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    want = {
+        pieces.Encoder(pieces.Model(path)): sentencepiece.SentencePieceProcessor(model_file=path).encode([t or "" for t in texts]),
+        token_files.ByteEncoder(public_tokenizers.path("byte_bpe_50k.json")): [e.ids for e in library("byte_bpe_50k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)],
+    }
+    for encode, right in want.items():
+        ids, n = encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == right
+    counts = token_counts.SegmentCounter(public_tokenizers.path("word_bpe_49k.json"))(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(e) for e in library("word_bpe_49k.json").encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(pieces, "MEMO", 1)
     monkeypatch.setattr(pieces, "INDEX_CHARS", 4)
