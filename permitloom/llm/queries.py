@@ -37,7 +37,8 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    rows = table(spark, sf_dir, "embeddings")
+    return vectors.near_vectors(rows, threshold=0.93, **vectors.plan_for(rows))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

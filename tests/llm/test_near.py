@@ -156,6 +156,15 @@ def test_vectors(spark, monkeypatch):
         monkeypatch.setattr(vectors, "BLOCK", block)
         assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()} == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
+    for width, tables, probes in vectors.SIZES[1:]:
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, width=width, tables=tables, probes=probes).collect()} == want
+
+
+def test_plans(spark):
+    widths = [vectors.plan(n, 64)["width"] for n in (0, 50_000, 5_000_000, 10_000_000, 10**9)]
+    assert widths == [2, 2, 2, 3, 4]
+    df = spark.createDataFrame([(1, [1.0] * 64, 1), (2, None, None)], "vec_id long, embedding array<float>, label int")
+    assert vectors.plan_for(df) == {"width": 2, "tables": 12, "probes": 3} == vectors.plan_for(df.limit(0))
 
 
 def test_hadamard_is_a_rotation():
