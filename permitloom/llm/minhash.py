@@ -315,7 +315,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sets = written(_sketch(docs, words), "sketch")
     full = sets.where("n > 0 and id is not null")
+    # As a table, so that the join is a stage of its own, in which a large class can be split.
     classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
+    classes = written(classes, "classes")
     members = written(full.join(classes, ["f1", "f2", "n"]).where("id != rep").groupBy("id").agg(F.min("rep").alias("rep")), "members")
     reps = full.select("id", "sig").join(members.select("id"), "id", "left_anti")
     bands = _bands(reps)
