@@ -225,8 +225,8 @@ class Encoder:
         order = self.suffixes(text)
         lo, hi = self.ranges(text, order)
         found = hi - lo
-        begin = order[ragged(lo, found)]
-        end = begin + np.repeat(self.lengths, found)
+        begin = order[ragged(lo, found)].astype(np.int32)
+        end = begin + np.repeat(self.lengths.astype(np.int32), found)
         piece = np.repeat(self.piece_ids, found)
         # A character without a piece of its own is an edge too; it becomes bytes later.
         odd = np.nonzero(~self.single[text] & (text > 0))[0]
@@ -388,6 +388,26 @@ def encode(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids")
     return _with(df, ids, "array<int>", text, make)
 
 
+def encode_checked(df: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the struct column ``ids``: ids, and round_trip (they decode to the text, U+2581 as space), in one pass."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+    def make():
+        encoder = encoder_of(model_path)
+
+        def step(batch, source):
+            for part in byte_slices([batch], source):
+                texts = pc.fill_null(string(part.column(source)), "")
+                flat, counts = encoder(texts)
+                same = pc.equal(encoder.model.decode(flat, counts), pc.replace_substring(texts, SPACE, " "))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32()), pa.array(flat, type=pa.int32()))
+                yield pa.StructArray.from_arrays([lists, same], fields=list(kind)), part
+
+        return step
+
+    return _with(df, ids, "struct<ids:array<int>,round_trip:boolean>", text, make)
+
+
 def decode(df: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the string column ``text`` that the ids stand for (null ids: an empty text)."""
 

@@ -30,10 +30,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the number and a hash of its ids, and whether they decode to the text again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    both = pieces.decode(pieces.encode(docs, model), model)
-    same = F.col("decoded") == F.regexp_replace("text", pieces.SPACE, " ")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+    both = pieces.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), model, ids="found").select("doc_id", "found.*")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), "round_trip")
 
 
 def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
