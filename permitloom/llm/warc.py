@@ -7,8 +7,9 @@ are ``revisit`` records that refer to it and carry its HTTP head only.
 Index: captures are sorted by their key, the URL with its host reversed (com,example,www)/path,
 and cut into compressed blocks of ``LINES`` lines in one file per range of keys.  A sparse
 directory holds each block's first key, offset and length, and a file's directory is at its
-end.  A lookup finds the file among the ranges, binary-searches the directory, reads that
-one block's bytes, and binary-searches its lines.  Reading pages back then fetches each
+end.  A lookup finds the file among the ranges, binary-searches the directory, reads the
+first block that can hold the key, binary-searches its lines, and goes on to the next block
+while lines are equal.  Reading pages back then fetches each
 record by offset, with the records of an archive in order of offset.
 
 A null html is an empty payload; a null url is the empty url (key ``)``); equal urls keep a
@@ -219,7 +220,8 @@ class IndexFile:
     def captures(self, key: str, page_id: int | None = None) -> list[list]:
         """The lines with this key (and page): url_key, page_id, url, record_type, digest, file, at, size."""
         want = (key.encode(), page_id if page_id is not None else NO_ID)
-        k = max(0, bisect.bisect_right(self.firsts, want) - 1)
+        # Equal lines may fill the end of the block before the first that starts with them, and whole ones after it.
+        k = max(0, bisect.bisect_left(self.firsts, want) - 1)
         out = []
         while k < len(self.directory):
             self._block(k)

@@ -61,6 +61,16 @@ def test_null_ids_and_repeated_pages(spark):
     assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=str) == sorted([(None, "response", None), (3, "revisit", None), (3, "revisit", None), (5, "response", None), (5, "response", None), (5, "revisit", None)], key=str)
 
 
+def test_equal_lines_across_blocks(spark, monkeypatch):
+    """Lines of one key and page that end, fill and begin blocks are all found."""
+    monkeypatch.setattr(warc, "LINES", 3)
+    rows = [*((k, "http://a.org/", f"a{k}") for k in range(2)), *((7, "http://b.org/", f"b{k % 3}") for k in range(11)), *((None, None, f"n{k}") for k in range(10)), *((None, "http://c.org/", "c") for _ in range(2)), (8, "http://c.org/", "d"), (8, "http://c.org/", "d")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder, ranges = warc.archive(df)
+    got = warc.read_records(warc.lookup(df, ranges, folder), folder).collect()
+    assert sorted(((r.page_id, r.url) for r in got), key=str) == sorted(((k, u or "") for k, u, _ in rows), key=str)
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder, ranges = warc.archive(df)
