@@ -75,7 +75,7 @@ def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(offsets)
     long = n >= words
     h = np.zeros(len(w), np.uint64)
-    for k in range(words):
+    for k in range(min(words, len(w))):
         h[: len(w) - k] += w[k:] * _WORD[k]
     h = mix(h)
     parts, counts = [], np.zeros(len(n), np.int64)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from permitloom.llm import components, minhash, queries, vectors
@@ -82,6 +83,24 @@ def test_on_the_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in queries.op9_minhash(spark, SF).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("words", [5, 3])
+def test_slices_of_few_words(words):
+    """A slice that holds one text of 0 to 6 words in all, alone or beside empty ones."""
+    for n in range(7):
+        text = " ".join("abcdef"[:n])
+        for texts in ([text], ["", text, None]):
+            sets, counts = minhash.shingle_sets(pa.array(texts, pa.string()), words)
+            want = max(1, n - words + 1) if n else 0
+            assert len(sets) == counts.sum() == want and len(set(sets.tolist())) == want
+        # The same sets as in a slice with other words.
+        assert minhash.shingle_sets(pa.array([text, "p q r s t u v"], pa.string()), words)[0][:want].tolist() == sets.tolist()
+
+
+def test_one_short_text(spark):
+    df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(1, 1, 1, True)]
+
+
 def test_null_keys_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert sorted(map(tuple, minhash.near_duplicates(df).collect()), key=str) == [(1, 2, 1, True), (None, 2, None, True)]
