@@ -8,12 +8,17 @@ substitution ``-PENALTY``, so three quarters of a stretch agree) are the verifie
 overlaps.  A document is contaminated by an item if verified stretches cover at least
 ``need`` = min(13, 80 % of the item's words) different words of the item.
 
+An item of fewer words than the masks span is aligned as a whole, and its stretch counts if
+``need`` of its words agree.  Its masks are made for its length: the words are cut into two
+runs more than may differ, and each mask takes two of these runs, or all but one if one word
+may differ, so that any such copy has a window that agrees in all chosen positions.
+
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text
 (or of one longer item), and each block's hash table is sent to all executors, so what is
 broadcast has that bound whatever the benchmark's size.  Documents are never shuffled.
 
-Words are runs of letters and digits in lower case.  Items of fewer words than the masks span
-are looked for as a whole and exactly; those of fewer than ``LEAST`` words never count.
+Words are runs of letters and digits in lower case.  Items of fewer than ``LEAST`` words never
+count.
 Null and empty texts, of items or documents, hit nothing; a null key is kept in the result
 as null; repeated rows are reported each; extra columns are ignored (``clean`` keeps them).
 """
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +55,13 @@ def _need(words: np.ndarray) -> np.ndarray:
     return np.minimum(13, np.ceil(0.8 * words)).astype(np.int64)
 
 
+def short_masks(words: int) -> list[tuple[int, ...]]:
+    """Masks over an item of fewer than ``SPAN`` words, one of which misses all words that differ if ``need`` agree."""
+    other = words - int(_need(np.array(words)))
+    runs = np.array_split(np.arange(words), other + 2)
+    return [tuple(np.concatenate(kept).tolist()) for kept in combinations(runs, 2)]
+
+
 def _keys(ids: np.ndarray, at: np.ndarray, mask: tuple[int, ...], number: int) -> np.ndarray:
     """Hashes of the windows that start at ``at``."""
     h = np.full(len(at), _FACTORS[number % 32], np.uint64)
@@ -78,12 +91,14 @@ class Block:
         ids, vocabulary = coded(words)
         ids = ids.astype(np.int64)
         sizes, starts = np.diff(offsets), offsets[:-1]
-        masks = [*MASKS, *(tuple(range(n)) for n in range(LEAST, SPAN) if (sizes == n).any())]
-        keys, places, filters = [], [], []
-        for number, mask in enumerate(masks):
-            whole = number >= len(MASKS)
-            on = np.nonzero(sizes == len(mask) if whole else sizes >= SPAN)[0]
-            at = starts[on] if whole else ragged(starts[on], sizes[on] - mask[-1])
+        chosen = [(0, m) for m in MASKS] + [(n, m) for n in range(LEAST, SPAN) if (sizes == n).any() for m in short_masks(n)]
+        masks, keys, places, filters = [], [], [], []
+        for number, (words_of, mask) in enumerate(chosen):
+            first = mask[0]
+            mask = tuple(o - first for o in mask)
+            masks.append(mask)
+            on = np.nonzero(sizes == words_of if words_of else sizes >= SPAN)[0]
+            at = starts[on] + first if words_of else ragged(starts[on], sizes[on] - mask[-1])
             h = _keys(ids, at, mask, number)
             order = np.argsort(h, kind="stable")
             keys.append(h[order])
@@ -116,6 +131,16 @@ class Block:
                 a, b = lo[k : k + 50_000], hi[k : k + 50_000]
                 yield np.repeat(at[k : k + 50_000], b - a), places[ragged(a, b - a)]
 
+    def _agrees(self, ids: np.ndarray, offsets: np.ndarray, row: np.ndarray, item: np.ndarray, lined: np.ndarray) -> np.ndarray:
+        """Whether items that begin at ``lined`` are long, or agree there in as many words as they need."""
+        n = self.sizes[item]
+        agreed = np.zeros(len(item), np.int64)
+        for k in range(SPAN - 1):
+            at = lined + k
+            on = np.nonzero((k < n) & (n < SPAN) & (at >= offsets[row]) & (at < offsets[row + 1]))[0]
+            agreed[on] += ids[at[on]] == self.ids[self.starts[item[on]] + k]
+        return (n >= SPAN) | (agreed >= _need(n))
+
     def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words covered, words of the longest stretch, where it starts) of contaminated rows."""
         offsets, words = plain_words(texts)
@@ -125,6 +150,8 @@ class Block:
             row = np.searchsorted(offsets, at, side="right") - 1
             item = np.searchsorted(self.starts, place, side="right") - 1
             lined = at - (place - self.starts[item])  # where the item's first word would be
+            on = self._agrees(ids, offsets, row, item, lined)
+            row, item, lined = row[on], item[on], lined[on]
             spots.update(zip(row.tolist(), item.tolist(), lined.tolist(), strict=True))
         covered: dict[tuple[int, int], list] = {}
         for row, item, lined in sorted(spots):
@@ -132,7 +159,12 @@ class Block:
             a, b = max(0, int(offsets[row]) - lined), min(n, int(offsets[row + 1]) - lined)
             mine = self.ids[self.starts[item] + a : self.starts[item] + b]
             equal = ids[lined + a : lined + b] == mine
-            for s, e in stretches(equal, min(n, 6)):
+            if n < SPAN:
+                on = np.nonzero(equal)[0]
+                found = [(int(on[0]), int(on[-1]) + 1)]
+            else:
+                found = stretches(equal, 6)
+            for s, e in found:
                 got = covered.setdefault((row, item), [np.zeros(n, bool), 0, 0])
                 got[0][a + s : a + e] |= equal[s:e]
                 if e - s > got[1]:

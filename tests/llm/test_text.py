@@ -47,6 +47,27 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect())) == whole and whole
 
 
+def test_short_items():
+    """Copies of items of 5 to 12 words with as many words changed, or cut off by the text's ends, as 80 % allows; 4 words never count."""
+    rng = random.Random(7)
+    texts, want = [], set()
+    items = [words(rng, n) for n in (4, 5, 6, 7, 8, 9, 10)]
+    for i, x in enumerate(items):
+        n = len(x)
+        other = n - -(-8 * n // 10)
+        for gone in [set(), *({a} for a in range(n)), *({a, b} for a in range(n) for b in range(a))]:
+            copy = ["other" if k in gone else w for k, w in enumerate(x)]
+            cut = " ".join([w for k, w in enumerate(x) if k not in gone])
+            edge = gone in ({0}, {n - 1}, {0, 1}, {n - 1, n - 2}, {0, n - 1})
+            for t in [" ".join([*words(rng, 9), *copy, *words(rng, 9)]), " ".join(copy), *([cut] if edge else [])]:
+                if len(gone) <= other and n > 4:
+                    want.add((len(texts), i, n - len(gone)))
+                texts.append(t)
+    block = decontaminate.Block.of([(k, " ".join(x)) for k, x in enumerate(items)])
+    assert {(r, i, c) for r, i, c, _, _ in block.overlaps(pa.array(texts))} == want
+    assert {(n, at) for r, i, c, n, at in block.overlaps(pa.array(["a b " + " ".join(items[-1])]))} == {(10, 2)}
+
+
 def test_contamination_against_brute_force(spark):
     """Every document that holds an item's words in a row is found, and none without 13 of an item's words."""
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet").collect() for t in ("documents", "benchmark"))
