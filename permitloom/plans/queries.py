@@ -370,7 +370,6 @@ def class_balance(spark, sf_dir):
 
 _CLASSIFIER = ModelSpec("orders_done", "orders", "done", ("o_orderpriority", "c_mktsegment"), ("o_totalprice", "c_acctbal", "year"))
 _REGRESSOR = ModelSpec("orders_days", "orders", "days", ("o_orderpriority", "c_mktsegment"), ("o_totalprice", "c_acctbal", "year"), regression=True)
-_TREES = 10
 
 
 def _applications(spark, sf_dir):
@@ -382,7 +381,7 @@ def _applications(spark, sf_dir):
 @query()
 def train_classifier(spark, sf_dir):
     df = _applications(spark, sf_dir)
-    model, n = ml.fit(df, _CLASSIFIER, _TREES)
+    model, n = ml.fit(df, _CLASSIFIER)
     auc = ml.metric(model.transform(ml.training_frame(df, _CLASSIFIER)), _CLASSIFIER)
     return spark.createDataFrame([(_CLASSIFIER.name, n, auc)], "model string, n long, roc_auc double")
 
@@ -390,14 +389,14 @@ def train_classifier(spark, sf_dir):
 @query()
 def train_regressor(spark, sf_dir):
     df = _applications(spark, sf_dir)
-    model, n = ml.fit(df, _REGRESSOR, _TREES)
+    model, n = ml.fit(df, _REGRESSOR)
     r2 = ml.metric(model.transform(ml.training_frame(df, _REGRESSOR)), _REGRESSOR)
     return spark.createDataFrame([(_REGRESSOR.name, n, r2)], "model string, n long, r2 double")
 
 
 @query()
 def cross_validate(spark, sf_dir):
-    r = ml.evaluate(_applications(spark, sf_dir), _CLASSIFIER, F.col("o_orderkey"), 3, 3)
+    r = ml.evaluate(_applications(spark, sf_dir), _CLASSIFIER, F.col("o_orderkey"), 3)
     return spark.createDataFrame([(r["mean"], r["std"], r["n"])], "mean double, std double, n long")
 
 
@@ -405,7 +404,7 @@ def cross_validate(spark, sf_dir):
 def score_batch(spark, sf_dir):
     df = _applications(spark, sf_dir)
     for spec in (_CLASSIFIER, _REGRESSOR):
-        df = ml.predict(ml.fit(df, spec, 3)[0], df, spec)
+        df = ml.predict(ml.fit(df, spec)[0], df, spec)
     return df.select("o_orderkey", "pred_done", "prob_done", "pred_days")
 
 
@@ -413,15 +412,15 @@ def score_batch(spark, sf_dir):
 def score_one(spark, sf_dir):
     df = _applications(spark, sf_dir)
     one = spark.createDataFrame([("1-URGENT", None, 1000.0, None, 1998.0)], "o_orderpriority string, c_mktsegment string, o_totalprice double, c_acctbal double, year double")
-    return ml.predict(ml.fit(df, _CLASSIFIER, 3)[0], one, _CLASSIFIER).select("pred_done", "prob_done")
+    return ml.predict(ml.fit(df, _CLASSIFIER)[0], one, _CLASSIFIER).select("pred_done", "prob_done")
 
 
 @query()
 def importance_gain(spark, sf_dir):
-    return ml.gain_importance(ml.fit(_applications(spark, sf_dir), _CLASSIFIER, 3)[0], _CLASSIFIER)
+    return ml.gain_importance(ml.fit(_applications(spark, sf_dir), _CLASSIFIER)[0], _CLASSIFIER)
 
 
 @query()
 def importance_permutation(spark, sf_dir):
     df = _applications(spark, sf_dir)
-    return ml.permutation_importance(ml.fit(df, _CLASSIFIER, 3)[0], df, _CLASSIFIER, 2)
+    return ml.permutation_importance(ml.fit(df, _CLASSIFIER)[0], df, _CLASSIFIER)

@@ -1,12 +1,14 @@
 """Every query that has SQL gives DuckDB's rows and types."""
 
 import datetime
+import inspect
 import math
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from permitloom.operators import ml
 from permitloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +60,21 @@ def test_model_queries(spark, name):
         assert len(rows) == 5
     if name == "importance_gain":
         assert abs(sum(r["importance_mean"] for r in rows) - 1) < 1e-9 and all(r["importance_std"] == 0 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["train_classifier", "train_regressor", "score_batch", "score_one", "importance_gain", "importance_permutation", "cross_validate"])
+def test_model_queries_have_production_size(spark, monkeypatch, name):
+    trees, repeats, pipeline, permute = [], [], ml.pipeline, ml.permutation_importance
+
+    def small(spec, n=ml.TREES):
+        trees.append(n)
+        return pipeline(spec, 1)
+
+    def once(model, df, spec, n=inspect.signature(permute).parameters["repeats"].default):
+        repeats.append(n)
+        return permute(model, df, spec, 1)
+
+    monkeypatch.setattr(ml, "pipeline", small)
+    monkeypatch.setattr(ml, "permutation_importance", once)
+    assert entry.queries()[name](spark, SF).count() > 0
+    assert set(trees) == {100} and repeats == [10] * (name == "importance_permutation")
