@@ -1,8 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. One pass over the texts gives each document's number of distinct word shingles, a
+1. One pass over the texts gives each row a number, its number of distinct word shingles, a
    128-bit fingerprint of that set, and a signature of 128 minima (16 bits kept of each).
-   Documents with equal sets form a class, and only its smallest key goes on.
+   Rows with equal sets form a class, and only one row of it goes on.
 2. Signatures are cut into 32 bands of 4.  In each band's bucket every member is a
    candidate with the smallest one; of these pairs, signature batches are compared one
    after another, and a pair goes as soon as the posterior probability that its similarity
@@ -10,18 +10,23 @@
    the documents' full shingle sets: first one pair for each document, then those whose
    ends these links haven't joined.
 3. In buckets that still hold several components, pairs between these are compared block by
-   block, again by batches and then on full sets, each pair in its first common bucket; a
-   block emits a forest of its links, never its pairs.  So every pair that shares a bucket is
-   compared, or known to be in one component already.
+   block, again by batches on signatures alone; texts go only where a pair is left, and full
+   sets decide.  A block emits a forest of its links, never its pairs, and each pair belongs to
+   its first common bucket.  So every pair that shares a bucket is compared, or known to be
+   in one component already.
 
 At similarity 0.75 two documents share no bucket with probability (1 - 0.75^4)^32 = 5e-6,
-and ``miss`` is 1e-6 for each of eight batches.  Links are only made by exact sets.
+and ``miss`` is 1e-6 for each of eight batches.  Links between different sets are only made by
+comparing these; equal sets are known by their sizes and fingerprints, which differ for
+different sets but for a chance of 1e-18 in 10^10 documents.  Shingles are 64-bit hashes.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased.  A text of fewer than
 ``words`` words has its whole sequence as its one shingle; null, empty and blank texts have
-none and link with nothing.  Rows with a null key keep themselves (component null).  Rows
-of one key are one document that has the links of each of them; each row has its own number
-of shingles.  Extra columns are ignored.
+none and link with nothing.  Long texts are read whole, one at a time if they are beyond 3 MB.
+Rows with a null key keep themselves (component null).  Rows of one key are one
+document that has the links of each of them; each row has its own number of shingles.  Of
+equal candidates for a row the smallest row number is taken, which changes no component.
+An empty table gives an empty result.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +52,8 @@ BLOCK = 1024
 BLOCK_CHARS = 8 << 20
 #: Tasks that a bucket's rows are dealt to while its number of blocks is looked up.
 SALTS = 16
+#: Tasks, at most, that the pairs with one row in common are dealt to.
+HUBS = 1024
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _A = _RNG.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -125,9 +133,11 @@ def least_matches(threshold: float, miss: float) -> list[int]:
 
 
 def _sketch(df: DataFrame, words: int) -> DataFrame:
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
+    """row (a number of its own for each row), and what later steps need of it beside the text."""
+    schema = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("chars", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in byte_slices(batches, "text", 3 << 20):
             sets, counts = shingle_sets(string(batch.column("text")), words)
             full = counts > 0
@@ -137,13 +147,16 @@ def _sketch(df: DataFrame, words: int) -> DataFrame:
                 marks[0, full] = np.add.reduceat(mix(sets ^ _WORD[60]), starts).view(np.int64)
                 marks[1, full] = np.add.reduceat(mix(sets ^ _WORD[61]), starts).view(np.int64)
             sigs = iter(signatures(sets, counts))
-            yield out_batch([batch.column("id"), counts, marks[0], marks[1], pa.array([next(sigs).tobytes() if f else None for f in full], pa.binary())], schema)
+            rows = np.arange(row, row + len(counts))
+            row += len(counts)
+            yield out_batch([rows, *(batch.column(c) for c in ("id", "mark", "chars")), counts, marks[0], marks[1], pa.array([next(sigs).tobytes() if f else None for f in full], pa.binary())], schema)
 
-    return df.mapInArrow(run, "id long, n long, f1 long, f2 long, sig binary")
+    lean = df.select("id", "mark", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), "text")
+    return lean.mapInArrow(run, "row long, id long, mark long, chars long, n long, f1 long, f2 long, sig binary")
 
 
 def _bands(df: DataFrame) -> DataFrame:
-    """bucket, id of every band of each signature."""
+    """bucket, row of every band of each signature."""
     mark = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _WORD[62]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +165,9 @@ def _bands(df: DataFrame) -> DataFrame:
                 part = batch.slice(start, 4096)
                 sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint16).reshape(part.num_rows, HASHES)
                 key = mix(np.ascontiguousarray(sig).view(np.uint64) ^ mark)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("id")), BANDS))], names=["bucket", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.asarray(part.column("row")), BANDS))], names=["bucket", "row"])
 
-    return df.select("id", "sig").mapInArrow(run, "bucket long, id long")
+    return df.select("row", "sig").mapInArrow(run, "bucket long, row long")
 
 
 def _sigs(column: pa.Array) -> np.ndarray:
@@ -208,98 +221,125 @@ def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nd
     return total[a, b].astype(np.int64)
 
 
-def _compare_cells(rows: DataFrame, least: list[int], words: int, over: int, under: int) -> DataFrame:
-    """Links between components, as a forest of each cell's.
-
-    rows: bucket, i, j (two blocks of it: the cell), side, id, comp, sig, text, dealt out and
-    sorted by cell.  A pair belongs to the first band in which its signatures agree.
-    """
+def _candidates(least: list[int], bucket: int, side: np.ndarray, rows: np.ndarray, comp: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell, of different components, that no batch rules out and whose first equal band is this bucket."""
     mark = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _WORD[62]
+    first, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    same = not len(other)
+    other = first if same else other
+    got = [np.zeros((2, 0), np.int64)]
+    for start in range(0, len(first), 128):
+        f = first[start : start + 128]
+        apart = comp[f][:, None] != comp[other][None, :]
+        if same:
+            apart &= rows[f][:, None] < rows[other][None, :]
+        a, b = np.nonzero(apart)
+        a, b = f[a], other[b]
+        seen = np.zeros(len(a), np.int16)
+        for k, m in enumerate(least):
+            cut = slice(k * BATCH, (k + 1) * BATCH)
+            seen += (sig[a, cut] == sig[b, cut]).sum(1).astype(np.int16)
+            on = seen >= m
+            a, b, seen = a[on], b[on], seen[on]
+        if len(a):
+            x, y = np.ascontiguousarray(sig[a]).view(np.uint64), np.ascontiguousarray(sig[b]).view(np.uint64)
+            band = (x == y).argmax(1)
+            own = mix(x[np.arange(len(a)), band] ^ mark[band]).view(np.int64) == bucket
+            got.append(np.stack([a[own], b[own]]))
+    return tuple(np.concatenate(got, axis=1))
+
+
+def _cells(batches: Iterator[pa.RecordBatch], text: bool) -> Iterator[tuple]:
+    """(key, side, row, comp, sig, texts) of each cell of rows sorted by bucket, i, j."""
+    key, parts = None, []
+
+    def whole():
+        numbers = [np.concatenate([p[k] for p in parts]) for k in range(4)]
+        return key, *numbers, pa.concat_arrays([p[4] for p in parts]) if text else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("bucket", "i", "j")])
+        cuts = np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [batch.num_rows]])
+        data = [np.asarray(batch.column(c), dtype=np.int64) for c in ("side", "row", "comp")] + [_sigs(batch.column("sig"))]
+        texts = string(batch.column("text")) if text else None
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if (now := tuple(keys[:, s].tolist())) != key:
+                if parts:
+                    yield whole()
+                key, parts = now, []
+            parts.append((*(x[s:e] for x in data), texts.slice(s, e - s) if text else None))
+    if parts:
+        yield whole()
+
+
+def _promising(cells: DataFrame, least: list[int]) -> DataFrame:
+    """The rows of each cell, without texts, that are in a pair which no batch rules out: at most as many as it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, side, rows, comp, sig, _ in _cells(batches, text=False):
+            if comp.min() == comp.max():
+                continue
+            a, b = _candidates(least, key[0], side, rows, comp, sig)
+            on = np.unique(np.concatenate([a, b]))
+            if len(on):
+                fixed = [pa.array(np.full(len(on), k, np.int64)) for k in key]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(side[on]), pa.array(rows[on]), pa.array(comp[on])], names=["bucket", "i", "j", "side", "row", "comp"])
+
+    return cells.mapInArrow(run, "bucket long, i long, j long, side long, row long, comp long")
 
-    def candidates(bucket: int, side, ids, comp, sig) -> tuple[np.ndarray, np.ndarray]:
-        first, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        same = not len(other)
-        other = first if same else other
-        got = [np.zeros((2, 0), np.int64)]
-        for start in range(0, len(first), 128):
-            f = first[start : start + 128]
-            apart = comp[f][:, None] != comp[other][None, :]
-            if same:
-                apart &= ids[f][:, None] < ids[other][None, :]
-            a, b = np.nonzero(apart)
-            a, b = f[a], other[b]
-            seen = np.zeros(len(a), np.int16)
-            for k, m in enumerate(least):
-                cut = slice(k * BATCH, (k + 1) * BATCH)
-                seen += (sig[a, cut] == sig[b, cut]).sum(1).astype(np.int16)
-                on = seen >= m
-                a, b, seen = a[on], b[on], seen[on]
-            if len(a):
-                x, y = np.ascontiguousarray(sig[a]).view(np.uint64), np.ascontiguousarray(sig[b]).view(np.uint64)
-                band = (x == y).argmax(1)
-                own = mix(x[np.arange(len(a)), band] ^ mark[band]).view(np.int64) == bucket
-                got.append(np.stack([a[own], b[own]]))
-        return tuple(np.concatenate(got, axis=1))
-
-    def links(key, cell) -> pa.RecordBatch | None:
-        side, ids, comp, sig = (np.concatenate(x) for x in list(zip(*cell, strict=True))[:4])
-        if comp.min() == comp.max():
-            return None
-        a, b = candidates(key[0], side, ids, comp, sig)
-        if not len(a):
-            return None
-        used, places = np.unique(np.concatenate([a, b]), return_inverse=True)
-        texts = pa.concat_arrays([x[4] for x in cell]).take(pa.array(used))
-        sets, counts = shingle_sets(texts, words)
-        sets = np.split(sets, np.cumsum(counts)[:-1])
-        i, j = places[: len(a)], places[len(a) :]
-        shared = shared_counts(sets, i, j)
-        near = under * shared >= over * (counts[i] + counts[j] - shared)
-        forest = Forest()
-        kept = [k for k in np.nonzero(near)[0].tolist() if forest.join(int(comp[a[k]]), int(comp[b[k]]))]
-        return pa.RecordBatch.from_arrays([pa.array(ids[a[kept]]), pa.array(ids[b[kept]])], names=["a", "b"]) if kept else None
+
+def _compare_cells(cells: DataFrame, least: list[int], words: int, over: int, under: int) -> DataFrame:
+    """Links between components, as a forest of each cell's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, cell = None, []
-        for batch in batches:
-            if not batch.num_rows:
+        for key, side, rows, comp, sig, texts in _cells(batches, text=True):
+            a, b = _candidates(least, key[0], side, rows, comp, sig)
+            if not len(a):
                 continue
-            keys = np.stack([np.asarray(batch.column(c), dtype=np.int64) for c in ("bucket", "i", "j")])
-            cuts = np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [batch.num_rows]])
-            data = [np.asarray(batch.column(c), dtype=np.int64) for c in ("side", "id", "comp")] + [_sigs(batch.column("sig"))]
-            texts = string(batch.column("text"))
-            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if (now := tuple(keys[:, s].tolist())) != key:
-                    if cell and (found := links(key, cell)):
-                        yield found
-                    key, cell = now, []
-                cell.append((*(x[s:e] for x in data), texts.slice(s, e - s)))
-        if cell and (found := links(key, cell)):
-            yield found
-
-    return rows.mapInArrow(run, "a long, b long")
+            used, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+            sets, counts = shingle_sets(texts.take(pa.array(used)), words)
+            sets = np.split(sets, np.cumsum(counts)[:-1])
+            i, j = places[: len(a)], places[len(a) :]
+            shared = shared_counts(sets, i, j)
+            near = under * shared >= over * (counts[i] + counts[j] - shared)
+            forest = Forest()
+            kept = [k for k in np.nonzero(near)[0].tolist() if forest.join(int(comp[a[k]]), int(comp[b[k]]))]
+            if kept:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[a[kept]]), pa.array(rows[b[kept]])], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, words: int, over: int, under: int) -> DataFrame:
-    """The pairs a, b whose full sets are similar enough: under * intersection >= over * union."""
+    """The pairs a, b whose full sets are similar enough: under * intersection >= over * union.
+
+    A row that many pairs begin with goes to up to ``HUBS`` tasks, once to each; its
+    partners' texts stream past it.
+    """
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(HUBS)).alias("salt"))
+    heads = salted.select("a", "salt").distinct().join(texts.select(F.col("row").alias("a"), "text"), "a").select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "text")
+    tails = salted.join(texts.select(F.col("row").alias("b"), "text"), "b").select("a", "salt", F.lit(1).alias("side"), "b", "text")
+    rows = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in byte_slices([whole], "text_b", 1 << 20):
-                sides = []
-                for c in ("text_a", "text_b"):
-                    d = batch.column(c).dictionary_encode()
-                    sets, counts = shingle_sets(string(d.dictionary), words)
-                    sides.append((np.asarray(d.indices, dtype=np.int64), np.split(sets, np.cumsum(counts)[:-1])))
-                (ia, xs), (ib, ys) = sides
-                na, nb = np.array([len(x) for x in xs])[ia], np.array([len(y) for y in ys])[ib]
-                shared = shared_counts(xs + ys, ia, ib + len(xs))
-                keep = under * shared >= over * (na + nb - shared)
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    y = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+        held = np.zeros(0, np.uint64)
+        for batch in byte_slices(batches, "text", 1 << 20):
+            sets, counts = shingle_sets(string(batch.column("text")), words)
+            sets = [held, *np.split(sets, np.cumsum(counts)[:-1])]
+            head = np.asarray(batch.column("side"), dtype=np.int64) == 0
+            at = np.maximum.accumulate(np.where(head, np.arange(1, len(head) + 1), 0))
+            j = np.nonzero(~head)[0] + 1
+            i = at[j - 1]
+            held = sets[at[-1]].copy()
+            if len(j):
+                size = np.array([len(x) for x in sets])
+                shared = shared_counts(sets, i, j)
+                near = j[under * shared >= over * (size[i] + size[j] - shared)] - 1
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(near))
+
+    return rows.select("a", "b", "side", "text").mapInArrow(run, "a long, b long")
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -312,50 +352,76 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, over: int = 75, under: int = 100, miss: float = 1e-6) -> DataFrame:
     """``key``, n_shingles, component_id, kept of each row: linked if under * intersection >= over * union."""
     least = least_matches(over / under, miss)
-    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     sets = written(_sketch(docs, words), "sketch")
     full = sets.where("n > 0 and id is not null")
     # As a table, so that the join is a stage of its own, in which a large class can be split.
-    classes = full.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")).where("size > 1").drop("size")
-    classes = written(classes, "classes")
-    members = written(full.join(classes, ["f1", "f2", "n"]).where("id != rep").groupBy("id").agg(F.min("rep").alias("rep")), "members")
-    reps = full.select("id", "sig").join(members.select("id"), "id", "left_anti")
+    classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    classes = written(classes.select("f1", "f2", "n", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id")), "classes")
+    members = written(full.join(classes, ["f1", "f2", "n"]).where("row != rep").select("row", "id", "rep", "rep_id"), "members")
+    forget(classes)
+    repeated = not members.where("id = rep_id").isEmpty()  # rows that say the same under the same key
+
+    def texts_of(rows: DataFrame) -> DataFrame:
+        """row, text; a row is found again by its key and a hash of its text."""
+        wanted = written(rows.distinct().join(full.select("row", "id", "mark"), "row"), "wanted")
+        found = docs.join(wanted, ["id", "mark"]).select("row", "text")
+        found = written(found.dropDuplicates(["row"]) if repeated else found, "texts")
+        forget(wanted)
+        return found
+
+    # Rows of one key are one document, so their classes belong together.
+    nodes = sets.where("id is not null").select("row", "id").join(members.select("row", "rep"), "row", "left").select("id", F.coalesce("rep", "row").alias("node"))
+    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
+    links = written(nodes.join(several, "id").where("node != a").select("a", F.col("node").alias("b")).distinct(), "links")
+
+    reps = full.select("row", "sig").join(members.select("row"), "row", "left_anti")
     bands = _bands(reps)
-    buckets = bands.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("size")).where("size > 1")
-    shared = written(bands.join(buckets, "bucket").select("bucket", "a", "id", "size"), "buckets")
-    sigs = full.select("id", "sig")
+    buckets = bands.groupBy("bucket").agg(F.min("row").alias("a"), F.count("*").alias("size")).where("size > 1")
+    shared = written(bands.join(buckets, "bucket").select("bucket", "a", "row", "size"), "buckets")
+    sigs = full.select("row", "sig")
 
-    stars = shared.where("a != id").select("a", F.col("id").alias("b")).distinct()
-    stars = stars.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    stars = shared.where("a != row").select("a", F.col("row").alias("b")).distinct()
+    stars = stars.join(sigs.select(F.col("row").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("row").alias("b"), F.col("sig").alias("sig_b")), "b")
     stars = written(_prune(stars, least), "stars")
-    # The texts that may have to be compared: of buckets with three members or more, and of the survivors.
-    needed = shared.where("size > 2").select("id").unionByName(stars.select(F.col("a").alias("id"))).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.join(needed, "id", "left_semi").withColumn("chars", F.length("text")), "texts")
+    texts = texts_of(stars.select(F.col("a").alias("row")).unionByName(stars.select(F.col("b").alias("row"))))
 
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    links = written(_verify(best, texts, words, over, under), "links")
+    found = written(_verify(best, texts, words, over, under), "links")
+    tables, links = [links, found], links.unionByName(found)
     comps = written(connected_components(links), "components")
     rest = _apart(stars.join(best, ["a", "b"], "left_anti"), comps)
-    links = links.unionByName(written(_verify(rest, texts, words, over, under), "links"))
+    found = written(_verify(rest, texts, words, over, under), "links")
+    forget(comps, stars, texts)
+    tables, links = [*tables, found], links.unionByName(found)
     comps = written(connected_components(links), "components")
 
     # Buckets that still hold several components, besides pairs with the smallest member alone.
-    here = shared.where("size > 2").join(comps, "id", "left").select("bucket", "id", F.coalesce("component_id", "id").alias("comp")).join(texts.select("id", "chars"), "id")
+    here = shared.where("size > 2").select("bucket", "row").join(comps.withColumnRenamed("id", "row"), "row", "left").join(full.select("row", "chars"), "row")
+    here = here.select("bucket", "row", F.coalesce("component_id", "row").alias("comp"), "chars")
     mixed = here.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("chars").alias("chars")).where("lo != hi")
     mixed = mixed.select("bucket", F.greatest(F.ceil(F.col("n") / F.lit(BLOCK)), F.ceil(F.col("chars") / F.lit(BLOCK_CHARS)), F.lit(1)).cast("int").alias("blocks"))
     # A large bucket's rows meet its one row in several tasks.
-    here = here.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    here = here.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
     mixed = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cells = here.join(mixed, ["bucket", "salt"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    cells = here.join(mixed, ["bucket", "salt"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "id", "comp")
-    cells = cells.join(sigs, "id").join(texts.select("id", "text"), "id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    more = written(_compare_cells(cells, least, words, over, under), "links")
-    if not more.isEmpty():
-        comps = written(connected_components(links.unionByName(more)), "components")
-
-    forget(shared, stars, texts)
-    out = sets.select("id", "n").join(members, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(comps.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    comp = F.coalesce("component_id", "rep")
+    cells = cells.select("bucket", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "row", "comp")
+    dealt = lambda x: x.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    # Signatures go to every cell of a row, its text only to those where they leave a pair to compare.
+    promising = written(_promising(dealt(cells.join(sigs, "row")), least), "promising")
+    if not promising.isEmpty():
+        texts = texts_of(promising.select("row"))
+        found = written(_compare_cells(dealt(promising.join(sigs, "row").join(texts, "row")), least, words, over, under), "links")
+        forget(comps, texts)
+        tables, links = [*tables, found], links.unionByName(found)
+        comps = written(connected_components(links), "components")
+    forget(shared, promising, *tables)
+
+    # A component's name is the smallest key in it.
+    names = comps.join(sets.select(F.col("row").alias("id"), F.col("id").alias("key")), "id").groupBy("component_id").agg(F.min("key").alias("name"))
+    out = sets.select("row", "id", "n").join(members.select("row", "rep", "rep_id"), "row", "left")
+    out = out.select("id", "n", F.coalesce("rep", "row").alias("node"), F.coalesce("rep_id", "id").alias("alone"))
+    out = out.join(comps.withColumnRenamed("id", "node"), "node", "left").join(names, "component_id", "left")
+    comp = F.coalesce("name", "alone")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
