@@ -7,93 +7,172 @@ ones, in order of the distance lost.  Two vectors meet in a bucket if it is one'
 among the other's probes.
 
 Vectors with equal components and label form a class and are compared once.  The rows of a
-bucket are compared in blocks by matrix products in double precision, so a large bucket is
-many tasks and never all in one; each pair is counted in the first bucket in which it meets,
-and a block gives a link count and a representative for each row rather than its pairs.
-
-With 64 dimensions and the defaults, a pair at cosine 0.93 is found with probability over
-0.999 (measured in the tests); ``plan_for`` widens the hashes for larger labels.  Vectors are compared only if labels are equal and not null
-and lengths are equal.  Null or empty vectors, zero vectors, and those with a null or
-non-finite component link with nothing; they keep themselves.  A row with a null key links
-with nothing.  Rows of one key are vectors of their own that share a name: each gets the most
-links and the smallest component of them.  Extra columns are ignored.
+bucket are compared in blocks, so a large bucket is many tasks and never all in one: first
+by ``BITS`` signs of another rotation, which rule out a pair at the threshold with a
+probability under 1e-10, then those that are left by products in double precision.  Each pair is
+counted in the first bucket in which it meets, and a block gives a link count and a
+representative for each row rather than its pairs.
+
+A pair at cosine 0.93 meets in a table with a rate that ``plan`` makes up for by the number of
+tables, for each dimension and size of a label, so that it misses under 1e-5 of such pairs if
+tables are independent (measured in the tests).  Vectors are compared only if labels are equal
+and not null and lengths are equal.  Null or empty vectors, zero vectors, and those with a null
+or non-finite component link with nothing; they keep themselves.  A row with a null key links
+with nothing.  Rows of one key are vectors of their own: each has its own links, component
+(the smallest key in it) and mark, and is a link of the others if near.  Long vectors are held
+some at a time.  An empty table gives an empty result.  Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from permitloom.llm.common import forget, list_parts, written
+from permitloom.llm.common import forget, list_parts, ragged, written
 from permitloom.llm.components import connected_components
 
 TABLES, WIDTH, PROBES = 12, 2, 3
-#: Width, tables and probes for more and more vectors of a label; at cosine 0.93 in 64 dimensions
-#: a pair meets in a table with rate 0.64, 0.55, 0.36 (measured), so each misses under 5e-6.
-SIZES = [(2, 12, 3), (3, 16, 6), (4, 28, 6)]
+#: For more and more vectors of a label: width, tables in 64 dimensions, probes, and the share of tables that each doubling of the dimensions adds.
+SIZES = [(2, 12, 3, 0.15), (3, 16, 6, 0.235), (4, 29, 6, 0.31)]
 #: Best axes of each rotation that probes are made of.
 AXES = 3
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Signs that are compared before vectors are.
+BITS = 128
+#: Cells of at most so many rows are compared many at once, so many pairs at a time.
+SMALL, PAIRS = 64, 100_000
+#: Bytes of vectors that a vectorised step holds.
+STEP_BYTES = 8 << 20
+
+
+@lru_cache
+def _butterfly(n: int) -> np.ndarray:
+    h = np.ones((1, 1))
+    while len(h) < n:
+        h = np.block([[h, h], [h, -h]])
+    return h
+
+
+def _transform(x: np.ndarray) -> np.ndarray:
+    rows, n = x.shape
+    if n <= 8:
+        return x @ _butterfly(n)
+    x = (x.reshape(-1, 8) @ _butterfly(8)).reshape(rows, n // 8, 8).transpose(0, 2, 1)
+    x = _transform(np.ascontiguousarray(x).reshape(rows * 8, n // 8))
+    return x.reshape(rows, 8, n // 8).transpose(0, 2, 1).reshape(rows, n)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row; the length is a power of two."""
-    n, h = x.shape[1], 1
-    while h < n:
-        y = x.reshape(len(x), -1, 2, h)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(len(x), n)
-        h *= 2
-    return x / np.sqrt(n)
+    """The fast Walsh-Hadamard transform of each row, in radix 8; the length is a power of two."""
+    return _transform(x) / np.sqrt(x.shape[1])
+
+
+def _padded(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 1 << max(1, (x.shape[1] - 1).bit_length())))
+    out[:, : x.shape[1]] = x
+    return out
+
+
+def _rotated(padded: np.ndarray, *seed: int) -> np.ndarray:
+    rng, y = np.random.Generator(np.random.PCG64([*seed, padded.shape[1]])), padded
+    for _ in range(3):
+        y = hadamard(y * rng.choice([-1.0, 1.0], padded.shape[1]))
+    return y
 
 
 def codes(x: np.ndarray, tables: int, width: int, probes: int) -> np.ndarray:
-    """Of unit rows, the buckets of each table, best first: rows x tables x probes."""
-    size = 1 << max(1, (x.shape[1] - 1).bit_length())
-    padded = np.zeros((len(x), size))
-    padded[:, : x.shape[1]] = x
+    """Of unit rows, 31-bit names of the buckets of each table, best first: rows x tables x probes.
+
+    Should two probes of a table have one name, the later is negative and no bucket.
+    """
+    padded, row = _padded(x), np.arange(len(x))
+    size = padded.shape[1]
     axes = min(AXES, size)
-    out = np.empty((len(x), tables, probes), np.int64)
+    out = np.empty((len(x), tables, probes), np.int32)
     combos = np.stack(np.meshgrid(*[np.arange(axes)] * width, indexing="ij"), -1).reshape(-1, width)
     for t in range(tables):
         lost, axis = [], []
         for k in range(width):
-            rng = np.random.Generator(np.random.PCG64([7, t, k, size]))
-            y = padded
-            for _ in range(3):
-                y = hadamard(y * rng.choice([-1.0, 1.0], size))
-            top = np.argsort(-np.abs(y), axis=1, kind="stable")[:, :axes]
-            v = np.take_along_axis(y, top, 1)
-            axis.append(2 * top + (v < 0))
-            lost.append((np.abs(v[:, :1]) - np.abs(v)) ** 2)
+            y = _rotated(padded, 7, t, k)
+            rest, top = np.abs(y), np.empty((len(x), axes), np.int64)
+            far = np.empty((len(x), axes))
+            for j in range(axes):
+                top[:, j] = rest.argmax(1)
+                far[:, j] = rest[row, top[:, j]]
+                rest[row, top[:, j]] = -1
+            axis.append(2 * top + (np.take_along_axis(y, top, 1) < 0))
+            lost.append((far[:, :1] - far) ** 2)
         cost = sum(lost[k][:, combos[:, k]] for k in range(width))
         best = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-        key = np.zeros((len(x), probes), np.int64)
+        key = np.zeros((len(x), best.shape[1]), np.uint64)
         for k in range(width):
-            key = key * (2 * size) + np.take_along_axis(axis[k], combos[best, k], 1)
-        out[:, t] = key
+            key = key * np.uint64(2 * size) + np.take_along_axis(axis[k], combos[best, k], 1).astype(np.uint64)
+        name = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int32)
+        for j in range(probes):
+            if j >= name.shape[1]:  # fewer axes than probes
+                out[:, t, j] = -1 - j
+            else:
+                out[:, t, j] = np.where((name[:, :j] == name[:, j : j + 1]).any(1), -1 - j, name[:, j])
     return out
 
 
-def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, label, vec (float bytes, or null where it links with nothing)."""
-    for batch in batches:
-        offsets, values = list_parts(batch.column("vec"))
-        data = np.asarray(values.fill_null(np.nan) if values.null_count else values, dtype=np.float64)
-        vecs = []
-        for i, null in enumerate(batch.column("vec").is_null().to_pylist()):
-            x = data[offsets[i] : offsets[i + 1]]
-            vecs.append(x.tobytes() if not null and len(x) and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(vecs, pa.binary())], names=["id", "label", "vec"])
+def signs(x: np.ndarray) -> np.ndarray:
+    """``BITS`` signs of rotations of each row, as 64-bit words."""
+    padded, parts, got = _padded(x), [], 0
+    while got < BITS:
+        parts.append(_rotated(padded, 13, len(parts)) > 0)
+        got += padded.shape[1]
+    return np.packbits(np.concatenate(parts, axis=1)[:, :BITS], axis=1).view(np.int64)
 
 
-def _units(vecs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vecs), np.float64).reshape(len(vecs), -1)
-    x = x / np.abs(x).max(1, keepdims=True)
+def most_differing(threshold: float, miss: float = 1e-10) -> int:
+    """The most signs that may differ, so that a pair at the threshold goes with a probability under ``miss``."""
+    p, tail, m = math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 0.0, BITS
+    while m > 0 and tail + (chance := math.comb(BITS, m) * p**m * (1 - p) ** (BITS - m)) < miss:
+        tail, m = tail + chance, m - 1
+    return m
+
+
+def _valid(dtype: np.dtype) -> Callable:
+    """row, id, label, vec (the components' bytes, or null where it links with nothing)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            lists = batch.column("vec")
+            offsets, values = list_parts(lists)
+            data = np.ascontiguousarray(np.asarray(values.fill_null(np.nan) if values.null_count else values, dtype=dtype))
+            upto = lambda on: np.concatenate([[0], np.cumsum(on)])
+            odd, full = upto(~np.isfinite(data)), upto(data != 0)
+            begin, end = offsets[:-1], offsets[1:]
+            good = np.asarray(lists.is_valid()) & (odd[end] == odd[begin]) & (full[end] > full[begin])
+            vecs = pa.Array.from_buffers(pa.binary(), len(lists), [pa.array(good).buffers()[1], pa.py_buffer((offsets * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+            rows = pa.array(np.arange(row, row + len(lists)))
+            row += len(lists)
+            yield pa.RecordBatch.from_arrays([rows, batch.column("id"), batch.column("label"), vecs], names=["row", "id", "label", "vec"])
+
+    return run
+
+
+def _units(vecs: pa.Array, dtype: np.dtype) -> np.ndarray:
+    """Unit rows, filled with zeros where vectors are of different lengths."""
+    found = [np.frombuffer(v, dtype) for v in vecs.to_pylist()]
+    x = np.zeros((len(found), max(map(len, found))))
+    for k, v in enumerate(found):
+        x[k, : len(v)] = v
+    x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -102,47 +181,124 @@ def _meets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
 
 
-def _cell(table: int, bucket: int, side: np.ndarray, ids: np.ndarray, own: np.ndarray, size: np.ndarray, x: np.ndarray, code: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
-    """ids, their smallest linked id, and their links, of the pairs that this cell owns."""
-    first, other = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-    same = not len(other)
-    other = first if same else other
-    got = []
-    for start in range(0, len(first), 256):
-        f = first[start : start + 256]
-        near = (x[f] @ x[other].T >= threshold) & (own[f][:, None] | own[other][None, :])
-        if same:
-            near &= ids[f][:, None] < ids[other][None, :]
-        a, b = np.nonzero(near)
-        for k in range(0, len(a), 20_000):
-            i, j = f[a[k : k + 20_000]], other[b[k : k + 20_000]]
-            ab, ba = _meets(code[i, : table + 1], code[j, : table + 1])
-            here = np.minimum(np.where(ab[:, table], code[i, table, 0], 1 << 62), np.where(ba[:, table], code[j, table, 0], 1 << 62))
-            mine = ~(ab[:, :table] | ba[:, :table]).any(1) & (here == bucket)
-            got.append(np.stack([i[mine], j[mine]]))
-    i, j = np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)
-    if not len(i):
-        return ids[:0], ids[:0], ids[:0]
-    links = np.bincount(i, size[j], len(ids)) + np.bincount(j, size[i], len(ids))
-    root = ids.copy()
-    while True:
-        before = root.copy()
-        least = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
-        if (root == before).all():
-            break
-    on = np.nonzero(links)[0]
-    return ids[on], root[on], links[on].astype(np.int64)
+CELL = ["lab", "place", "i", "j"]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Some whole cells at a time, of rows sorted by cell, and where each begins; the last entry is the end."""
+    held = None
+    parts = chain.from_iterable((b.slice(s, rows) for s in range(0, b.num_rows, rows)) for b in batches)
+    for part in chain(parts, [None]):
+        if part is None:
+            if held is not None:
+                yield held, _cuts(held)
+            return
+        t = pa.Table.from_batches([part])
+        t = t if held is None else pa.concat_tables([held, t])
+        cuts = _cuts(t)
+        if len(cuts) > 2:
+            yield t.slice(0, cuts[-2]), cuts[:-1]
+        held = t.slice(cuts[-2])
+
+
+def _cuts(t: pa.Table) -> np.ndarray:
+    keys = np.stack([np.asarray(t.column(c)) for c in CELL])
+    return np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [t.num_rows]])
+
+
+def _pairs(cuts: np.ndarray, side: np.ndarray, own: np.ndarray, some: Callable, cross: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell, one at least in its own bucket, for which ``some(a, b)`` holds, or ``cross`` as a matrix."""
+    sizes = np.diff(cuts)
+    two = np.add.reduceat(side, cuts[:-1]) > 0
+    few = (sizes <= SMALL) & ~two
+    at = ragged(cuts[:-1][few], sizes[few])
+    later = np.repeat(cuts[1:][few], sizes[few]) - at - 1
+    ends, start = np.cumsum(later), 0
+    while start < len(at):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, side="right")))
+        a, b = np.repeat(at[start:stop], later[start:stop]), ragged(at[start:stop] + 1, later[start:stop])
+        on = own[a] | own[b]
+        a, b = a[on], b[on]
+        if len(a):
+            on = some(a, b)
+            yield a[on], b[on]
+        start = stop
+    for s, e, both in zip(cuts[:-1][~few].tolist(), cuts[1:][~few].tolist(), two[~few].tolist(), strict=True):
+        here = np.arange(s, e)
+        first, other = (here[side[s:e] == 0], here[side[s:e] == 1]) if both else (here, here)
+        for k in range(0, len(first), 256):
+            f = first[k : k + 256]
+            on = cross(f, other) & (own[f][:, None] | own[other][None, :])
+            if not both:
+                on &= f[:, None] < other[None, :]
+            a, b = np.nonzero(on)
+            for c in range(0, len(a), PAIRS):
+                yield f[a[c : c + PAIRS]], other[b[c : c + PAIRS]]
+
+
+def _promising(limit: int) -> Callable:
+    """The rows of cells that have a partner whose signs differ in at most ``limit`` places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _whole_cells(batches, 8192):
+            side, own = np.asarray(t.column("side")), np.asarray(t.column("own"))
+            s1, s2 = (np.asarray(t.column(c)).view(np.uint64) for c in ("s1", "s2"))
+            differ = lambda a, b: np.bitwise_count(s1[a] ^ s1[b]).astype(np.int16) + np.bitwise_count(s2[a] ^ s2[b])
+            found = np.zeros(t.num_rows, bool)
+            for a, b in _pairs(cuts, side, own, lambda a, b: differ(a, b) <= limit, lambda f, o: differ(f[:, None], o[None, :]) <= limit):
+                found[a] = found[b] = True
+            if found.any():
+                kept = t.select([*CELL, "side", "rep", "own"]).filter(pa.array(found)).combine_chunks()
+                yield from kept.to_batches()
+
+    return run
+
+
+def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows: int) -> Callable:
+    """Of the rows of cells with links that the cell owns: the row, the smallest row linked with it there, and its links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, cuts in _whole_cells(batches, rows):
+            place, side, ids, own, size = (np.asarray(t.column(c)) for c in ("place", "side", "rep", "own", "size"))
+            x = _units(t.column("vec").combine_chunks(), dtype)
+            code = np.asarray(t.column("codes").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), tables, probes)
+            got = [np.zeros((2, 0), np.int64)]
+            near = _pairs(cuts, side, own, lambda a, b: np.einsum("ij,ij->i", x[a], x[b]) >= threshold, lambda f, o: x[f] @ x[o].T >= threshold)
+            for a, b in near:
+                # A pair is the cell's where it meets first; in one table it may meet in two.
+                ab, ba = _meets(code[a], code[b])
+                table, name = place[a] >> 31, place[a] & 0x7FFFFFFF
+                pick, first = np.arange(len(a)), (ab | ba).argmax(1)
+                here = np.minimum(np.where(ab[pick, table], code[a, table, 0], 1 << 62), np.where(ba[pick, table], code[b, table, 0], 1 << 62))
+                mine = (first == table) & (here == name)
+                got.append(np.stack([a[mine], b[mine]]))
+            i, j = np.concatenate(got, axis=1)
+            if not len(i):
+                continue
+            links = np.bincount(i, size[j], len(ids)) + np.bincount(j, size[i], len(ids))
+            root = ids.copy()
+            while True:
+                before, least = root.copy(), np.minimum(root[i], root[j])
+                np.minimum.at(root, i, least)
+                np.minimum.at(root, j, least)
+                if (root == before).all():
+                    break
+            on = np.nonzero(links)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[on]), pa.array(root[on]), pa.array(links[on].astype(np.int64))], names=["a", "b", "n"])
+
+    return run
 
 
 def plan(rows: int, dimensions: int) -> dict[str, int]:
-    """Width, tables and probes with which unlike vectors of a label of so many rows fill no more than about a block of a bucket."""
-    axes = 2 << max(1, (dimensions - 1).bit_length())
-    for width, tables, probes in SIZES:
-        if rows * probes <= BLOCK * axes**width:
+    """Width, tables and probes with which unlike vectors of a label of so many rows fill no more than about a block of a bucket.
+
+    All of them find a pair at cosine 0.93 alike; the choice is one of speed.
+    """
+    doublings = max(1, (dimensions - 1).bit_length())
+    for width, tables, probes, more in SIZES:
+        if rows * probes <= BLOCK * (2 << doublings) ** width:
             break
-    return {"width": width, "tables": tables, "probes": probes}
+    return {"width": width, "tables": math.ceil(tables * (1 + more * max(0, doublings - 6))), "probes": probes}
 
 
 def plan_for(df: DataFrame, vector: str = "embedding", label: str = "label") -> dict[str, int]:
@@ -154,70 +310,59 @@ def plan_for(df: DataFrame, vector: str = "embedding", label: str = "label") ->
 
 def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embedding", label: str = "label", key: str = "vec_id", tables: int = TABLES, width: int = WIDTH, probes: int = PROBES) -> DataFrame:
     """``key``, n_links, component_id, kept of each row."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))
+    short = isinstance(df.schema[vector].dataType.elementType, T.FloatType)
+    dtype = np.dtype(np.float32 if short else np.float64)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast(f"array<{'float' if short else 'double'}>").alias("vec"))
     kind = rows.schema["label"].dataType.simpleString()
-    rows = written(rows.mapInArrow(_valid, f"id long, label {kind}, vec binary"), "vectors")
-    valid = rows.where("vec is not null and label is not null and id is not null")
-    classes = written(valid.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "classes")
+    rows = written(rows.mapInArrow(_valid(dtype), f"row long, id long, label {kind}, vec binary"), "vectors")
+    valid = rows.where("vec is not null and label is not null and id is not null").withColumn("dim", F.octet_length("vec"))
+    # A number for each label and length.
+    labels = written(valid.groupBy("label", "dim").agg(F.min("row").alias("lab")), "labels")
+    valid = valid.join(labels, ["label", "dim"]).select("row", "id", "lab", "vec")
+    first = F.min(F.struct("id", "row")).alias("first")
+    classes = written(valid.groupBy("lab", "vec").agg(first, F.count("*").alias("size")).select("lab", "vec", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id"), "size"), "classes")
+    copies = written(classes.where("size > 1").select("lab", "vec", "rep"), "copies")
+    members = written(valid.join(copies, ["lab", "vec"]).where("row != rep").select("row", "rep"), "members")
+    forget(copies)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 2048):
                 batch = whole.slice(start, 2048)
-                vecs = batch.column("vec").to_pylist()
-                lengths = np.array([len(v) for v in vecs])
-                out = np.empty((len(vecs), tables, probes), np.int64)
+                lengths = np.asarray(pc.binary_length(batch.column("vec")))
+                out, bits = np.empty((len(lengths), tables, probes), np.int32), np.empty((len(lengths), BITS // 64), np.int64)
                 for n in np.unique(lengths).tolist():
                     at = np.nonzero(lengths == n)[0]
-                    out[at] = codes(_units([vecs[i] for i in at]), tables, width, probes)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * tables * probes), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "rep", "size", "vec")), flat], names=["label", "rep", "size", "vec", "codes"])
-
-    coded = written(classes.select("label", "rep", "size", "vec").mapInArrow(code, f"label {kind}, rep long, size long, vec binary, codes array<long>"), "codes")
-    place = ["label", "dim", "table", "bucket"]
-    light = coded.select("label", F.length("vec").alias("dim"), "rep", F.posexplode("codes").alias("pos", "bucket"))
-    light = light.select("label", "dim", "rep", F.floor(F.col("pos") / probes).cast("int").alias("table"), "bucket", (F.col("pos") % probes == 0).alias("own"))
-    filled = light.groupBy(*place).agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").drop("any_own")
-    cells = light.join(filled, place)
+                    x = _units(batch.column("vec").take(pa.array(at)), dtype)
+                    out[at], bits[at] = codes(x, tables, width, probes), signs(x)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * tables * probes), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, flat, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=[*batch.schema.names, "codes", "s1", "s2"])
+
+    coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<int>, s1 long, s2 long"), "codes")
+    light = coded.select("lab", "rep", "s1", "s2", F.posexplode("codes").alias("pos", "name")).where("name >= 0")
+    light = light.select("lab", F.expr(f"shiftleft(cast(pos div {probes} as bigint), 31) + name").alias("place"), "rep", (F.col("pos") % probes == 0).cast("long").alias("own"), "s1", "s2")
+    filled = light.groupBy("lab", "place").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own = 1").drop("any_own")
+    cells = light.join(filled, ["lab", "place"])
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(*place, F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), (F.col("block") > F.col("to")).cast("int").alias("side"), "rep", "own")
-    cells = cells.join(coded.select("rep", "size", "vec", "codes"), "rep")
-    whole = [*place, "i", "j"]
-    cells = cells.repartition(*whole).sortWithinPartitions(*whole)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, parts = None, []
+    side = (F.col("block") > F.col("to")).cast("int").alias("side")
+    cells = cells.select("lab", "place", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), side, "rep", (F.col("own") == 1).alias("own"), "s1", "s2")
+    dealt = lambda x: x.repartition(*CELL).sortWithinPartitions(*CELL)
+    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "lab long, place long, i int, j int, side int, rep long, own boolean")
+    promising = written(promising, "promising")
+    step = max(64, STEP_BYTES // (8 * max(1, labels.agg(F.max("dim")).first()[0] or 1) // dtype.itemsize))
+    verified = dealt(promising.join(coded.select("rep", "size", "vec", "codes"), "rep"))
+    links = written(verified.mapInArrow(_compare(threshold, dtype, tables, probes, step), "a long, b long, n long"), "links")
+    forget(coded, promising, labels)
 
-        def flush():
-            if parts:
-                side, ids, own, size, x, code = (np.concatenate(z) for z in zip(*parts, strict=True))
-                got = _cell(key[2], key[3], side, ids, own, size, x, code, threshold)
-                if len(got[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in got], names=["a", "b", "n"])
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                part = batch.slice(start, 4096)
-                keys = list(zip(*(part.column(c).to_pylist() for c in whole), strict=True))
-                cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-                vecs = part.column("vec").to_pylist()
-                code = np.asarray(part.column("codes").flatten(), dtype=np.int64).reshape(len(keys), tables, probes)
-                side, ids, size = (np.asarray(part.column(c), dtype=np.int64) for c in ("side", "rep", "size"))
-                own = np.asarray(part.column("own").cast(pa.int8())).astype(bool)
-                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                    if keys[s] != key:
-                        yield from flush()
-                        key, parts = keys[s], []
-                    parts.append((side[s:e], ids[s:e], own[s:e], size[s:e], _units(vecs[s:e]), code[s:e]))
-        yield from flush()
-
-    links = written(cells.mapInArrow(compare, "a long, b long, n long"), "links")
-    forget(coded)
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    comps = connected_components(links).withColumnRenamed("id", "rep")
-    found = valid.select("id", "label", "vec").join(classes, ["label", "vec"]).join(counts, "rep", "left").join(comps, "rep", "left")
-    found = found.select("id", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    found = found.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.select("id").join(found, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    comps = written(connected_components(links), "components")
+    # A component's name is the smallest key in it.
+    names = comps.join(classes.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name"))
+    named = comps.join(names, "component_id").select(F.col("id").alias("rep"), "name")
+    results = classes.select("rep", "rep_id", "size").join(counts, "rep", "left").join(named, "rep", "left")
+    results = written(results.select("rep", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "rep_id").alias("component_id")), "results")
+    forget(links, comps, classes)
+    out = rows.select("row", "id").join(members, "row", "left").withColumn("rep", F.coalesce("rep", "row")).join(results, "rep", "left")
+    out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from permitloom.llm import components, minhash, queries, vectors
 
@@ -107,13 +108,66 @@ def test_null_keys_and_no_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_repeated_rows(spark):
-    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (9, "p q r s t u"), (9, "p q r s t u"), (9, "other words")], "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
-    assert got == [(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (9, 1, 9, True), (9, 2, 9, True), (9, 2, 9, True)]
-    v = [1.0, 2.0, 3.0]
-    df = spark.createDataFrame([(4, v, 1), (4, v, 1), (2, v, 1), (7, [0.0] * 3, 1)], "vec_id long, embedding array<float>, label int")
-    assert sorted(map(tuple, vectors.near_vectors(df).collect())) == [(2, 2, 2, True), (4, 2, 2, False), (4, 2, 2, False), (7, 0, 7, True)]
+def brute_rows(rows):
+    """Rows of one key are one document with the links of each."""
+    s = [shingles(t) for _, t in rows]
+    groups = Sets(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(s[i] & s[j])
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            near = None not in (rows[i][0], rows[j][0]) and both and 100 * both >= 75 * (len(s[i]) + len(s[j]) - both)
+            if same or near:
+                groups.join(i, j)
+    names = {}
+    for i, (k, _) in enumerate(rows):
+        if k is not None:
+            names[groups.find(i)] = min(k, names.get(groups.find(i), k))
+    return sorted(((k, len(s[i]), None if k is None else names[groups.find(i)], k is None or names[groups.find(i)] == k) for i, (k, _) in enumerate(rows)), key=str)
+
+
+X, Y = "a b c d e f g h", "p q r s t u v w x y z"
+REPEATED = [
+    [(5, X), (5, X), (3, X), (9, Y), (9, Y), (9, "other words")],
+    [(3, X), (5, X), (5, Y), (7, Y + " end")],
+    [(3, X), (5, X), (5, Y), (4, Y)],
+    [(5, X), (5, ""), (5, None), (2, Y), (2, X), (1, ""), (8, "")],
+    [(None, X), (None, X), (4, X), (None, None)],
+    [(6, Y), (6, X), (6, X), (2, X + " i"), (2, "alone in it"), (1, "alone in it")],
+]
+
+
+@pytest.mark.parametrize("rows", REPEATED)
+def test_repeated_keys(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "doc_id long, text string, row int, mark string").repartition(3)
+    got = minhash.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute_rows(rows)
+
+
+def test_random_repeated_keys(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(8):
+        words = [rng.choice("abcdefgh") + str(rng.randrange(30)) for _ in range(rng.randint(5, 60))]
+        rows += [(rng.randrange(40), variant(rng, words, rng.choice([0, 0, 0.02, 0.05]))) for _ in range(9)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute_rows(rows)
+
+
+def test_long_text(spark):
+    """Texts beyond the bytes of a slice, and a near copy of one."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(500_000)]
+    rows = [(4, " ".join(words)), (2, " ".join(words[:-20_000])), (3, "w1 " * 1_200_000), (1, "w1 " * 7)]
+    got = {r.doc_id: (r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {4: (2, False), 2: (2, True), 3: (1, False), 1: (1, True)}
+
+
+def test_hub_in_several_tasks(spark, monkeypatch):
+    rows = [(k, t) for k, t in enumerate([variant(random.Random(k), [f"w{i}" for i in range(90)], 0.01 * (k > 0)) for k in range(60)])]
+    monkeypatch.setattr(minhash, "HUBS", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
 
 
 def test_pruning_keeps_similar_pairs():
@@ -147,14 +201,23 @@ def test_components(spark, kind):
 
 
 def brute_vectors(rows, threshold=0.93):
-    links, groups = {r[0]: 0 for r in rows}, Sets([r[0] for r in rows])
-    good = [(k, np.array(v, float), c) for k, v, c in rows if v and c is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    """Each row is a vector of its own."""
+    links, groups = [0] * len(rows), Sets(range(len(rows)))
+    good = [(n, np.array(v, float), c) for n, (k, v, c) in enumerate(rows) if v and k is not None and c is not None and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
     for i, (a, x, c) in enumerate(good):
         for b, y, d in good[i + 1 :]:
             if c == d and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
                 links[a], links[b] = links[a] + 1, links[b] + 1
                 groups.join(a, b)
-    return {k: (links[k], groups.find(k), groups.find(k) == k) for k in links}
+    names = {}
+    for n, (k, _, _) in enumerate(rows):
+        if k is not None:
+            names[groups.find(n)] = min(k, names.get(groups.find(n), k))
+    return sorted(((k, links[n], names.get(groups.find(n)), k is None or names[groups.find(n)] == k) for n, (k, _, _) in enumerate(rows)), key=str)
+
+
+def found_vectors(df, **how):
+    return sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, **how).collect()), key=str)
 
 
 def test_vectors(spark, monkeypatch):
@@ -169,14 +232,40 @@ def test_vectors(spark, monkeypatch):
                 k += 1
     one = rows[0][1]
     rows += [(k, None, 0), (k + 1, [], 0), (k + 2, [0.0] * 64, 0), (k + 3, [float("nan")] + one[1:], 0), (k + 4, [None] + one[1:], 0), (k + 5, one, None), (k + 6, one[:63], 0), (k + 7, one, 0), (k + 8, [float("inf")] + one[1:], 0)]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
+    rows += [(None, one, 0), (3, one, 1), (3, one, 1), (3, one, 2), (3, one[:40], 2), (5, one[:40], 2)]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, n_links int, row int")
     want = brute_vectors(rows)
     for block in (vectors.BLOCK, 5):
         monkeypatch.setattr(vectors, "BLOCK", block)
-        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect()} == want
+        assert found_vectors(df) == want
+    monkeypatch.setattr(vectors, "SMALL", 1)
+    assert found_vectors(df) == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
-    for width, tables, probes in vectors.SIZES[1:]:
-        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df, width=width, tables=tables, probes=probes).collect()} == want
+    for width, tables, probes, _ in vectors.SIZES[1:]:
+        assert found_vectors(df, width=width, tables=tables, probes=probes) == want
+    doubles = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert found_vectors(doubles) == want
+
+
+@pytest.mark.parametrize("rows", [
+    [(5, [1.0, 2.0, 3.0], 1), (5, [1.0, 2.0], 2), (4, [1.0, 2.0], 2)],
+    [(5, [1.0, 2.0, 3.0], 1), (5, [3.0, -2.0, 1.0], 2), (4, [3.0, -2.0, 1.0], 2), (3, [1.0, 2.0, 3.0], 1)],
+    [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (5, None, 1), (5, [0.0, 0.0], 1)],
+    [(4, [1.0, 2.0, 3.0], 1), (4, [1.0, 2.0, 3.0], 1), (2, [1.0, 2.0, 3.0], 1), (7, [0.0] * 3, 1), (8, [-0.0, 1.0], 1), (9, [0.0, 1.0], 1), (6, [5.0], 1), (1, [7.0], 1)],
+])
+def test_repeated_vector_keys(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    assert found_vectors(df) == brute_vectors(rows)
+
+
+def test_long_vectors(spark):
+    """Beyond the bytes of a step, and of lengths that are no power of two."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in (3000, 100):
+        base = rng.normal(size=n)
+        rows += [(len(rows) + k, (base + rng.normal(size=n) * 0.1).tolist(), 1) for k in range(70)]
+    assert found_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")) == brute_vectors(rows)
 
 
 def test_plans(spark):
@@ -192,11 +281,19 @@ def test_hadamard_is_a_rotation():
     assert np.allclose(x @ x.T, y @ y.T) and np.allclose(vectors.hadamard(y), x)
 
 
-def test_recall_at_the_threshold():
+@pytest.mark.parametrize("dimensions", [64, 128, 300, 768])
+def test_recall_at_the_threshold(dimensions):
+    """Of every width, from the rate at which pairs at the threshold meet in a table; and signs rule none out."""
     rng = np.random.default_rng(1)
-    a, b = rng.normal(size=(2, 2000, 64))
+    a, b = rng.normal(size=(2, 1500, dimensions))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b -= (a * b).sum(1, keepdims=True) * a
     b = 0.93 * a + np.sqrt(1 - 0.93**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    x, y = vectors._meets(*(vectors.codes(v, vectors.TABLES, vectors.WIDTH, vectors.PROBES) for v in (a, b)))
-    assert (x | y).any(1).mean() > 0.999
+    axes = 2 << (dimensions - 1).bit_length()
+    for width, _, probes, _ in vectors.SIZES:
+        how = vectors.plan(vectors.BLOCK * axes**width // probes, dimensions)
+        assert (how["width"], how["probes"]) == (width, probes)
+        x, y = vectors._meets(*(vectors.codes(v, 3, width, probes) for v in (a, b)))
+        assert (1 - (x | y).mean()) ** how["tables"] < 2e-5
+    s, t = (vectors.signs(v).view(np.uint64) for v in (a, b))
+    assert np.bitwise_count(s ^ t).sum(1).max() <= vectors.most_differing(0.93) < 64
