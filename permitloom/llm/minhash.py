@@ -365,7 +365,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     def texts_of(rows: DataFrame) -> DataFrame:
         """row, text; a row is found again by its key and a hash of its text."""
         wanted = written(rows.distinct().join(full.select("row", "id", "mark"), "row"), "wanted")
-        found = docs.join(wanted, ["id", "mark"]).select("row", "text")
+        found = docs.join(wanted.hint("merge"), ["id", "mark"]).select("row", "text")
         found = written(found.dropDuplicates(["row"]) if repeated else found, "texts")
         forget(wanted)
         return found
