@@ -7,19 +7,28 @@ symbols and a sample of N symbols, c * log2(N) / n estimates the cross entropy i
 symbol; the language with the least wins (ties: the first in order of name).
 
 Texts are lower-cased, and each run of characters that are no letters is one blank.  They
-are parsed in pieces of ``PIECE`` symbols, all pieces of a batch side by side.
+are parsed in pieces of ``PIECE`` symbols, all pieces of a batch side by side, as if each began a
+phrase.  Then each piece is entered again with the phrase that its predecessor left open, and
+followed until both parses begin a phrase at one place, after which they are the same; where
+that doesn't happen the next piece is entered again too.  So the count is that of the parse of
+the whole text.  A text of over ``PART_CHARS`` characters goes through in parts, each
+beginning with the state that the last one left.
 
-Training takes for each language up to ``SAMPLE_TEXTS`` texts in order of a hash of the text
-(those of 200 to 8,000 characters first), and of these up to ``SAMPLE_SYMBOLS`` symbols.
+Automata are one hash table of (state, symbol) with room for twice its entries or more, so their
+size follows from the samples' symbols and not from the alphabet.
+
+Training takes for each language up to ``SAMPLE_TEXTS`` different texts in order of a hash of
+the text (those of 200 to 8,000 characters first), and of these up to ``SAMPLE_SYMBOLS`` symbols; that
+is what the driver gathers and all executors get, for each language in the data.
 Rows with a null language or text teach nothing.  Of the rows to predict only the text is
 used.  A text that is null or has no letter is ``und`` with score 0; so is every text if
-nothing was learned.  Repeated rows are predicted each; extra columns are ignored.
+nothing was learned, as from an empty table.  An empty table to predict gives an empty result.
+Repeated rows are predicted each; columns of the output's names are replaced, others are kept.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,17 +38,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import PART_CHARS, apart, byte_slices, out_batch, part_sums, string
+from permitloom.llm.common import PART_CHARS, byte_slices, out_batch, string
 
 SAMPLE_TEXTS = 100
 SAMPLE_SYMBOLS = 40_000
 PIECE = 1024
 BLANK = 0
-ANYWHERE = re.compile("")
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions states x ``size`` of the automaton of all substrings (-1: none); state 0 is the start."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all substrings; state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for s in symbols:
@@ -65,10 +73,41 @@ def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = copy
         last = new
-    table = np.full((len(step), size), -1, np.int32)
-    for k, t in enumerate(step):
-        table[k, list(t.keys())] = list(t.values())
-    return table
+    return step
+
+
+class Steps:
+    """A hash table from (state, symbol) to the next state, asked for many at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[slot[todo]] < 0
+            self.keys[slot[todo[free]]] = keys[todo[free]]  # of several, one stays
+            mine = self.keys[slot[todo]] == keys[todo]
+            self.values[slot[todo[mine]]] = values[todo[mine]]
+            todo = todo[~mine]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values; -1 where there is none."""
+        slot = self._slot(keys)
+        have = self.keys[slot]
+        out = np.where(have == keys, self.values[slot], -1)
+        rest = np.nonzero((have != keys) & (have >= 0))
+        while len(rest[0]):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            have = self.keys[slot[rest]]
+            hit = have == keys[rest]
+            out[tuple(r[hit] for r in rest)] = self.values[slot[tuple(r[hit] for r in rest)]]
+            rest = tuple(r[~hit & (have >= 0)] for r in rest)
+        return out
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -84,10 +123,10 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(keep[points], points, 0).astype(np.int32), sizes
 
 
-def squeezed(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each run of blanks as one; none at a text's start."""
+def squeezed(symbols: np.ndarray, sizes: np.ndarray, begun: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Each run of blanks as one; none at a text's start (that has not ``begun`` before with a letter)."""
     first = np.zeros(len(symbols) + 1, bool)
-    first[np.cumsum(sizes) - sizes] = True
+    first[np.cumsum(sizes) - sizes] = not begun
     blank = symbols == BLANK
     drop = blank & (first[:-1] | np.concatenate([[False], blank[:-1]]))
     kept = np.concatenate([[0], np.cumsum(~drop)])
@@ -101,8 +140,10 @@ class Languages:
 
     names: list[str]
     alphabet: np.ndarray
-    table: np.ndarray
+    steps: Steps
+    #: The first state of each language, and where each symbol leads from there.
     roots: np.ndarray
+    first: np.ndarray
     bits: np.ndarray
 
     @staticmethod
@@ -119,76 +160,145 @@ class Languages:
             if parts:
                 points[name] = parts
         alphabet = np.unique(np.concatenate([np.zeros(1, np.int32), *(x for p in points.values() for x in p)]))
-        cut, size = len(alphabet) + 1, len(alphabet) + 2  # classes: blank, letters, other letters, an end of text
-        tables, roots, bits, base = [], [], [], 0
-        for parts in points.values():
+        cut, width = len(alphabet) + 1, len(alphabet) + 2  # classes: blank, letters, other letters, an end of text
+        keys, values, roots, bits, base = [], [], [], [], 0
+        first = np.full((len(points), width), -1, np.int64)
+        for n, parts in enumerate(points.values()):
             row: list[int] = []
             for x in parts:
                 row += [*np.searchsorted(alphabet, x).tolist(), cut]
-            t = suffix_automaton(row, size)
-            tables.append(np.where(t >= 0, t + base, -1).astype(np.int32))
+            automaton = suffix_automaton(row)
+            first[n, list(automaton[0])] = [base + t for t in automaton[0].values()]
+            keys.append(np.fromiter(((base + k) * width + c for k, t in enumerate(automaton) for c in t), np.int64))
+            values.append(np.fromiter((base + v for t in automaton for v in t.values()), np.int64))
             roots.append(base)
             bits.append(math.log2(len(row) + 1))
-            base += len(t)
-        return Languages(list(points), alphabet, np.concatenate(tables) if tables else np.zeros((0, size), np.int32), np.array(roots, dtype=np.int64), np.array(bits))
+            base += len(automaton)
+        none = [np.zeros(0, np.int64)]
+        return Languages(list(points), alphabet, Steps(np.concatenate(keys or none), np.concatenate(values or none)), np.array(roots, dtype=np.int64), first, np.array(bits))
+
+    def _begins(self, state: np.ndarray, open_: np.ndarray, c: np.ndarray, roots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One symbol further: whether a phrase begins with it, the state, and whether the phrase is still open."""
+        to = self.steps(state * first.shape[-1] + c)
+        begins = ~open_ | (to < 0)
+        again = first[roots[0], c] if len(roots) == 2 else first[:, c]
+        lone = (to < 0) & (again < 0)  # a letter that the language lacks is a phrase by itself
+        home = roots[1] if len(roots) == 2 else self.roots[:, None]
+        return begins, np.where(to >= 0, to, np.where(lone, home, again)), ~lone
+
+    def phrases(self, classes: np.ndarray, sizes: np.ndarray, entry: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Phrases of each text (rows) against each language (columns), and the states that the last text ends with.
 
-    def phrases(self, classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each text (rows) against each language (columns)."""
+        ``entry``: states that the one text goes on from; the phrase open there isn't counted.
+        """
         pieces = -(-sizes // PIECE)
         owner = np.repeat(np.arange(len(sizes)), pieces)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         start = (np.cumsum(sizes) - sizes)[owner] + nth * PIECE
         length = np.minimum(PIECE, sizes[owner] - nth * PIECE)
+        n = len(self.names)
+        starts_here = np.zeros((n, len(classes)), bool)
+        state, open_ = np.repeat(self.roots[:, None], len(start), axis=1), np.zeros((n, len(start)), bool)
+        count = np.zeros((n, len(start)), np.int64)
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        n, width = len(self.names), self.table.shape[1]
-        flat = self.table.ravel()
-        state = np.repeat(self.roots[:, None], len(start), axis=1)
-        count = np.zeros(state.shape, np.int64)
-        open_ = np.zeros(state.shape, bool)
-        active = len(start)
-        for k in range(int(length[0]) if len(length) else 0):
-            while length[active - 1] <= k:
+        s, o, t = state[:, order], open_[:, order], start[order]
+        active, lengths = len(start), length[order]
+        for k in range(int(lengths[0]) if len(lengths) else 0):
+            while lengths[active - 1] <= k:
                 active -= 1
-            c = classes[start[:active] + k]
-            to = flat[state[:, :active] * width + c]
-            ended = to < 0
-            count[:, :active] += ended & open_[:, :active]
-            again = flat[self.roots[:, None] * width + c]
-            lone = ended & (again < 0)  # a letter that the language lacks is a phrase by itself
-            count[:, :active] += lone
-            state[:, :active] = np.where(ended, np.where(lone, self.roots[:, None], again), to)
-            open_[:, :active] = ~lone
-        count += open_
+            at = t[:active] + k
+            begins, s[:, :active], o[:, :active] = self._begins(s[:, :active], o[:, :active], classes[at], (), self.first)
+            starts_here[:, at] = begins
+        state[:, order], open_[:, order] = s, o
+        for k in range(n):
+            upto = np.concatenate([[0], np.cumsum(starts_here[k])])
+            count[k] = upto[start + length] - upto[start]
+
+        # Enter pieces with what their predecessors left open, until no end changes any more.
+        follows = np.nonzero(nth > 0)[0]
+        lang, piece = np.repeat(np.arange(n), len(follows)), np.tile(follows, n)
+        from_state, from_open = state[lang, piece - 1], open_[lang, piece - 1]
+        if entry is not None and len(start):
+            lang, piece = np.concatenate([lang, np.arange(n)]), np.concatenate([piece, np.zeros(n, np.int64)])
+            from_state, from_open = np.concatenate([from_state, entry[0]]), np.concatenate([from_open, entry[1]])
+        plain_state, plain_open = state.copy(), open_.copy()
+        while len(lang):
+            count[lang, piece], apart, end_state, end_open = self._enter(classes, start, length, starts_here, lang, piece, from_state, from_open)
+            # Where both parses never met, the piece may have another end, and the next one another beginning.
+            end_state, end_open = np.where(apart, end_state, plain_state[lang, piece]), np.where(apart, end_open, plain_open[lang, piece])
+            new = (end_state != state[lang, piece]) | (end_open != open_[lang, piece])
+            lang, piece, from_state, from_open = lang[new], piece[new], end_state[new], end_open[new]
+            state[lang, piece], open_[lang, piece] = from_state, from_open
+            more = piece + 1 < len(start)
+            more[more] = nth[piece[more] + 1] > 0
+            lang, piece, from_state, from_open = lang[more], piece[more] + 1, from_state[more], from_open[more]
         out = np.zeros((n, len(sizes)), np.int64)
         for k in range(n):
             out[k] = np.bincount(owner, count[k], len(sizes))
-        return out.T
+        return out.T, (state[:, -1], open_[:, -1]) if len(start) else (entry or (self.roots, np.zeros(n, bool)))
+
+    def _enter(self, classes: np.ndarray, start: np.ndarray, length: np.ndarray, plain: np.ndarray, lang: np.ndarray, piece: np.ndarray, state: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Phrases that begin in pieces entered with open ones; whether they ended apart from the plain parse, and how.
+
+        ``plain`` has the beginnings of the plain parse of all pieces.
+        """
+        total = np.zeros(len(lang), np.int64)
+        apart, end_state, end_open = np.zeros(len(lang), bool), state.copy(), open_.copy()
+        on, state, open_ = np.arange(len(lang)), state.copy(), open_.copy()
+        met = np.full(len(lang), -1, np.int64)
+        k = 0
+        while len(on):
+            over = length[piece[on]] <= k
+            if over.any():
+                gone = on[over]
+                apart[gone], end_state[gone], end_open[gone] = True, state[over], open_[over]
+                on, state, open_ = on[~over], state[~over], open_[~over]
+                continue
+            at = start[piece[on]] + k
+            begins, state, open_ = self._begins(state, open_, classes[at], (lang[on], self.roots[lang[on]]), self.first)
+            both = begins & plain[lang[on], at]
+            met[on[both]] = at[both]
+            total[on] += begins & ~both
+            on, state, open_ = on[~both], state[~both], open_[~both]
+            k += 1
+        # From where both met, the plain parse's beginnings count.
+        for n in np.unique(lang[met >= 0]).tolist():
+            here = np.nonzero((lang == n) & (met >= 0))[0]
+            upto = np.concatenate([[0], np.cumsum(plain[n])])
+            total[here] += upto[(start + length)[piece[here]]] - upto[met[here]]
+        return total, apart, end_state, end_open
+
+    def _classes(self, symbols: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == symbols, at, len(self.alphabet)).astype(np.int32)
 
     def _count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases against each language, symbols, and letters (1 or 0) of each text."""
+        """Phrases against each language, symbols, and whether there are letters, of each text."""
         symbols, sizes = squeezed(*letters(texts))
-        if not len(symbols) or not self.names:
-            return np.zeros((len(sizes), len(self.names)), np.int64), sizes, np.zeros(len(sizes), np.int64)
         starts = np.cumsum(sizes) - sizes
-        has = (np.add.reduceat(np.append(symbols, 0) > 0, starts) > 0) & (sizes > 0)
-        at = np.minimum(np.searchsorted(self.alphabet, symbols), len(self.alphabet) - 1)
-        classes = np.where(self.alphabet[at] == symbols, at, len(self.alphabet)).astype(np.int32)
-        return self.phrases(classes, sizes), sizes, has.astype(np.int64)
+        has = (np.add.reduceat(np.append(symbols, 0) > 0, starts) > 0) & (sizes > 0) if len(sizes) else sizes > 0
+        return self.phrases(self._classes(symbols), sizes)[0], sizes, has
+
+    def _count_long(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same of one text, in parts."""
+        entry, begun, total, count, has = None, False, 0, np.zeros((1, len(self.names)), np.int64), False
+        for start in range(0, len(text), PART_CHARS):
+            symbols, sizes = squeezed(*letters(pa.array([text[start : start + PART_CHARS]], pa.string())), begun)
+            if len(symbols):
+                found, entry = self.phrases(self._classes(symbols), sizes, entry)
+                count, total, has, begun = count + found, total + len(symbols), has or bool(symbols.any()), bool(symbols[-1] != BLANK)
+        return count, np.array([total]), np.array([has])
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Of each text the language, the score, and the bits per symbol of that language."""
-        texts, parts = apart(texts, ANYWHERE, PART_CHARS)
-        if (parts > 1).any():
-            each = [self._count(texts.slice(k, 1)) for k in range(len(texts))]
-            counts, sizes, has = (part_sums(np.concatenate(x), parts) for x in zip(*each, strict=True))
-        else:
-            counts, sizes, has = self._count(texts)
-        has = has > 0
         if not self.names:
-            return ["und"] * len(sizes), np.zeros(len(sizes)), np.zeros(len(sizes))
-        rate = counts * self.bits / np.maximum(sizes, 1)[:, None]
-        rate = np.maximum(rate, 1e-9)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        counts, sizes, has = np.zeros((len(texts), len(self.names)), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        long = np.asarray(pc.fill_null(pc.utf8_length(texts), 0)) > PART_CHARS
+        counts[~long], sizes[~long], has[~long] = self._count(texts.filter(pa.array(~long)))
+        for k in np.nonzero(long)[0].tolist():
+            counts[k], sizes[k], has[k] = (x[0] for x in self._count_long(texts[k].as_py()))
+        rate = np.maximum(counts * self.bits / np.maximum(sizes, 1)[:, None], 1e-9)
         best = rate.argmin(1)
         least = rate[np.arange(len(best)), best]
         score = (1 / least) / (1 / rate).sum(1)
@@ -198,10 +308,13 @@ class Languages:
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     """Automata from the labelled rows of ``df`` (a bounded sample of each language's)."""
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    order = [~F.length("text").between(200, 8000), F.xxhash64("text"), F.col("text")]
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("k") <= SAMPLE_TEXTS)
+    rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("odd", ~F.length("text").between(200, 8000))
+    # Copies are one: numbers of hashes, not of rows, are taken, and texts are read for these only.
+    order = Window.partitionBy("lang").orderBy("odd", "mark")
+    chosen = rows.select("lang", "odd", "mark").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
+    found = rows.join(chosen, ["lang", "odd", "mark"]).select("lang", "k", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"))
     samples: dict[str, list[str]] = {}
-    for r in rows.select("lang", "k", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text")).orderBy("lang", "k").collect():
+    for r in found.groupBy("lang", "k").agg(F.min("text").alias("text")).orderBy("lang", "k").collect():
         samples.setdefault(r.lang, []).append(r.text)
     return Languages.learn(samples)
 

@@ -154,41 +154,93 @@ def phrases(text, sample):
     return count
 
 
-def test_phrases_against_brute_force():
-    rng = random.Random(2)
-    samples = {"x": ["".join(rng.choice("abc ") for _ in range(300))], "y": ["".join(rng.choice("bcd ") for _ in range(300))]}
+def plain_letters(text):
+    return "".join(" " if s == 0 else chr(s) for s in langid.squeezed(*langid.letters(pa.array([text])))[0])
+
+
+def brute_phrases(samples, texts):
+    learned = {k: "\n".join(map(plain_letters, v)) for k, v in sorted(samples.items())}
+    return [[phrases(plain_letters(t), s) for s in learned.values()] for t in texts]
+
+
+def parse_texts(rng):
+    letters = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    samples = {"x": [letters("abc ", 400), letters("ab", 90)], "y": [letters("bcd ", 300)]}
+    texts = [letters("abcdé ", rng.randint(1, 200)) for _ in range(40)]
+    # Whole copies of a sample, so that phrases go over many pieces; and texts of one letter.
+    texts += [samples["x"][0] * 3, letters("de", 30) + samples["x"][0][5:] + letters("abc", 50), samples["y"][0], "b" * 500, "é" * 90, "a1" * 200, "", " 12 "]
+    return samples, texts
+
+
+def test_phrases_against_brute_force(monkeypatch):
+    """Texts in pieces, parsed as a whole: also with pieces of few symbols."""
+    samples, texts = parse_texts(random.Random(2))
+    want = brute_phrases(samples, texts)
     model = langid.Languages.learn(samples)
-    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 200))) for _ in range(60)]
-    for t in texts:
-        symbols, sizes = langid.squeezed(*langid.letters(pa.array([t])))
-        at = np.minimum(np.searchsorted(model.alphabet, symbols), len(model.alphabet) - 1)
-        got = model.phrases(np.where(model.alphabet[at] == symbols, at, len(model.alphabet)), sizes)[0].tolist()
-        plain = "".join(" " if s == 0 else chr(s) for s in symbols)
-        learned = ["".join(" " if s == 0 else chr(s) for s in langid.squeezed(*langid.letters(pa.array(samples[k])))[0]) for k in ("x", "y")]
-        assert got == [phrases(plain, s) for s in learned]
+    for piece in (1024, 64, 7, 1):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert model._count(pa.array(texts))[0].tolist() == want
+        assert [model._count(pa.array([t]))[0][0].tolist() for t in texts] == want
+
+
+def test_phrases_of_long_texts():
+    """Beyond a piece, with phrases of all lengths."""
+    rng = random.Random(5)
+    samples = {"x": ["".join(rng.choice("abcdefgh ") for _ in range(5000))]}
+    text = "".join(samples["x"][0][k : k + rng.choice([1, 3, 40, 1500])] for k in (rng.randrange(4000) for _ in range(60)))
+    assert len(text) > 5000
+    assert langid.Languages.learn(samples)._count(pa.array([text]))[0].tolist() == brute_phrases(samples, [text])
 
 
 def test_languages_in_parts(monkeypatch):
-    model = langid.Languages.learn({"a": ["the cat and the dog " * 9], "b": ["der hund und die katze " * 9]})
-    texts = pa.array(["the dog and " * 30, "", None, "und die katze " * 30, "12"], pa.string())
-    whole = model.predict(texts)
-    monkeypatch.setattr(langid, "PART_CHARS", 17)
-    parts = model.predict(texts)
-    assert whole[0] == parts[0] == ["a", "und", "und", "b", "und"] and np.abs(whole[1] - parts[1]).max() < 0.2
+    """A text in parts is predicted as a whole one, to the last bit."""
+    samples, texts = parse_texts(random.Random(3))
+    model = langid.Languages.learn(samples)
+    whole = model.predict(pa.array([*texts, None]))
+    for part, piece in ((17, 1024), (100, 7), (1, 1)):
+        monkeypatch.setattr(langid, "PART_CHARS", part)
+        monkeypatch.setattr(langid, "PIECE", piece)
+        parts = model.predict(pa.array([*texts, None]))
+        assert whole[0] == parts[0] and (whole[1] == parts[1]).all() and (whole[2] == parts[2]).all()
+
+
+def test_size_of_automata():
+    """A language of 3,000 letters takes no more room than one of 60, a symbol of the sample at most 100 bytes."""
+    rng = random.Random(1)
+    for n in (60, 3000):
+        model = langid.Languages.learn({"x": ["".join(chr(0x4E00 + rng.randrange(n)) for _ in range(40_000))]})
+        assert model.steps.keys.nbytes + model.steps.values.nbytes < 100 * 40_000
+    assert model.predict(pa.array(["\u4e00" * 30]))[0] == ["x"]
+
+
+def test_copies_are_one_sample(spark, monkeypatch):
+    """Many copies of a text don't fill a language's sample."""
+    monkeypatch.setattr(langid, "SAMPLE_TEXTS", 3)
+    rows = [(f"{w} " * 60, "a") for w in ("one", "two", "three")] + [("one " * 60, "a")] * 30 + [("two " * 60, "a")] * 30
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert model._count(pa.array(["one", "two", "three"]))[0].tolist() == [[1], [1], [1]]
 
 
 def test_suffix_automaton_holds_all_substrings():
     rng = random.Random(3)
     s = [rng.randrange(3) for _ in range(60)]
-    t = langid.suffix_automaton(s, 3)
+    t = langid.suffix_automaton(s)
     inside = {tuple(s[a:b]) for a in range(60) for b in range(a, 61)}
     for _ in range(3000):
         w, at = tuple(rng.randrange(3) for _ in range(rng.randint(1, 7))), 0
         for c in w:
-            at = t[at, c] if at >= 0 else -1
+            at = t[at].get(c, -1) if at >= 0 else -1
         assert (at >= 0) == (w in inside)
 
 
+def test_steps():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 40, 5000))
+    table = langid.Steps(keys, np.arange(len(keys)))
+    assert (table(keys) == np.arange(len(keys))).all() and (table(keys[:100].reshape(10, 10)) == np.arange(100).reshape(10, 10)).all()
+    assert (table(np.setdiff1d(np.arange(5000), keys)) == -1).all()
+
+
 def test_languages(spark):
     got = {r.doc_id: r for r in queries.op6_langid(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
