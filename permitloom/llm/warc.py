@@ -12,10 +12,16 @@ first block that can hold the key, binary-searches its lines, and goes on to the
 while lines are equal.  Reading pages back then fetches each
 record by offset, with the records of an archive in order of offset.
 
+An attempt of a task writes files of its own, and only those of the attempt that Spark
+accepts are ever named, so a lost executor's or a late attempt's files are never read.
+
 A null html is an empty payload; a null url is the empty url (key ``)``); equal urls keep a
 capture each and are told apart by page id.  A null page id counts as the smallest and is read
-back as null.  Repeated pages keep a record each.  An empty table gives no archives and no
-index.  Extra columns are ignored.
+back as null.  Repeated pages keep a record each; of equal payloads of one smallest id, each
+with that id is a response.  A payload is the bytes of the column's string, valid UTF-8 or
+not; in a url, bytes that are no UTF-8 are replaced.  A long payload is one record, held whole
+by the one task that writes or reads it.  An empty table gives no archives and no index.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,10 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import scratch, written
+from permitloom.llm.common import forget, scratch, written
 
 LINES = 1000
 LEVEL = 4
+#: Bytes of an archive that one task reads, and rows that one task looks up.
+READ_BYTES, LOOKUPS = 16 << 20, 100_000
 #: A neighbour's records within this many bytes are read along with a record.
 READ_AHEAD = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -57,8 +65,8 @@ def url_key(url: Column) -> Column:
 
 
 def payload_digest(html: Column) -> Column:
-    """SHA-1 of the UTF-8 payload, in hex; null: of an empty one."""
-    return F.sha1(F.coalesce(html, F.lit("")).cast("binary"))
+    """SHA-1 of the payload's bytes, in hex."""
+    return F.sha1(html)
 
 
 def base32(hexadecimal: str) -> str:
@@ -107,13 +115,13 @@ def parse_record(member: bytes) -> dict:
 
 
 class _File:
-    """A file in the shared folder that appears under its name when it is whole."""
+    """A file in the shared folder, of this attempt alone."""
 
-    def __init__(self, folder: str, name: str):
-        self.fs, base = pafs.FileSystem.from_uri(folder)
-        self.fs.create_dir(base, recursive=True)
-        self.path, self._part = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
-        self._out = self.fs.open_output_stream(self._part)
+    def __init__(self, folder: str, kind: str, ending: str):
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        self.path = f"{base}/{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{ending}"
+        self._out = fs.open_output_stream(self.path, compression=None)
         self.at = 0
 
     def write(self, data: bytes) -> tuple[int, int]:
@@ -124,7 +132,6 @@ class _File:
 
     def close(self) -> None:
         self._out.close()
-        self.fs.move(self._part, self.path)
 
 
 CAPTURES = "url_key string, page_id long, url string, record_type string, digest string, file string, at long, size long"
@@ -132,7 +139,7 @@ CAPTURES = "url_key string, page_id long, url string, record_type string, digest
 
 def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write the archives; returns the captures, a row per record (a table in the shared folder)."""
-    rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id"), F.coalesce(url, F.lit("")).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
+    rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id"), F.make_valid_utf8(F.coalesce(url, F.lit(""))).alias("url"), F.coalesce(html, F.lit("")).cast("binary").alias("html"))
     light = written(rows.select("page_id", "url", payload_digest(F.col("html")).alias("digest")), "digests")
     groups = light.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     # Only copies of another page are marked; a page's payload goes to one place, by its unique id.
@@ -140,24 +147,26 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     rows = rows.withColumn("digest", payload_digest(F.col("html")))
     copies = copies.withColumnRenamed("page_id", "copy")
     marked = rows.join(copies, (F.col("page_id") == F.col("copy")) & (F.col("digest") == F.col("of")), "left")
-    marked = marked.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "html", "digest", "refers_to", "refers_url")
+    marked = marked.select("page_id", "url", url_key(F.col("url")).alias("url_key"), "html", "digest", "refers_to", "refers_url").sortWithinPartitions("page_id", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                out = out or _File(folder, f"pages-{TaskContext.get().partitionId():06d}.warc.gz")
+                out = out or _File(folder, "pages", "warc.gz")
                 found = []
                 for x in batch.to_pylist():
                     digest = base32(x["digest"])
-                    at, size = out.write(record(x["page_id"], x["url"], x["html"].encode(), digest, x["refers_to"], x["refers_url"]))
+                    at, size = out.write(record(x["page_id"], x["url"], x["html"], digest, x["refers_to"], x["refers_url"]))
                     found.append((x["url_key"], x["page_id"], x["url"], "response" if x["refers_to"] is None else "revisit", digest, out.path, at, size))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["url_key", "page_id", "url", "record_type", "digest", "file", "at", "size"])
         if out:
             out.close()
 
-    return written(marked.mapInArrow(run, CAPTURES), "captures")
+    captures = written(marked.mapInArrow(run, CAPTURES), "captures")
+    forget(light)
+    return captures
 
 
 def _line(x: dict) -> str:
@@ -181,7 +190,7 @@ def write_index(captures: DataFrame, folder: str) -> list[dict]:
 
         for batch in batches:
             for x in batch.to_pylist():
-                out = out or _File(folder, f"index-{TaskContext.get().partitionId():06d}.cdx")
+                out = out or _File(folder, "index", "cdx")
                 held.append(x)
                 if len(held) == LINES:
                     block()
@@ -235,6 +244,10 @@ class IndexFile:
         return out
 
 
+def _tasks(df: DataFrame, least: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, least)
+
+
 def lookup(wanted: DataFrame, ranges: list[dict], folder: str, url: str = "url", page: str = "page_id") -> DataFrame:
     """The capture of each wanted url and page: page_id, record_type, digest, file, at, size.
 
@@ -243,7 +256,9 @@ def lookup(wanted: DataFrame, ranges: list[dict], folder: str, url: str = "url",
     firsts = [(r["url_key"].encode(), r["page_id"]) for r in ranges]
     paths = [r["path"] for r in ranges]
     rows = wanted.select(url_key(F.col(url)).alias("url_key"), F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id")).distinct()
-    rows = rows.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", "page_id")
+    # By number: rows are small and the blocks that they ask for are not, so their own bytes say nothing.
+    tasks = _tasks(wanted, -(-wanted.count() // LOOKUPS))
+    rows = rows.repartitionByRange(tasks, "url_key", "page_id").sortWithinPartitions("url_key", "page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, index = -1, None
@@ -265,9 +280,13 @@ def lookup(wanted: DataFrame, ranges: list[dict], folder: str, url: str = "url",
 def read_records(captures: DataFrame, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and payload (null for revisits) of captures.
 
-    An archive's records are read in order of offset; each is checked against its own digest.
+    An archive's records are read in order of offset, ``READ_BYTES`` of it by a task; each is
+    checked against its own digest.
     """
-    rows = captures.select("file", "at", "size").repartition("file").sortWithinPartitions("file", "at")
+    rows = written(captures.select("file", "at", "size"), "pointers")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    part = F.floor(F.col("at") / F.lit(READ_BYTES))
+    rows = rows.repartition(_tasks(rows, -(-total // READ_BYTES)), "file", part).sortWithinPartitions("file", "at")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

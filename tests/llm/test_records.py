@@ -71,6 +71,26 @@ def test_equal_lines_across_blocks(spark, monkeypatch):
     assert sorted(((r.page_id, r.url) for r in got), key=str) == sorted(((k, u or "") for k, u, _ in rows), key=str)
 
 
+def test_read_back_in_several_tasks(spark, monkeypatch):
+    """An archive is read by several tasks, whose number doesn't follow from the pointers' bytes."""
+    monkeypatch.setattr(warc, "READ_BYTES", 2000)
+    monkeypatch.setattr(warc, "LOOKUPS", 10)
+    rows = [(k, f"http://h{k % 5}.org/{k}", hashlib.sha1(str(k).encode()).hexdigest() * 20) for k in range(80)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    folder, ranges = warc.archive(df)
+    found = warc.read_records(warc.lookup(df, ranges, folder), folder)
+    assert found.select(F.spark_partition_id()).distinct().count() > 8
+    assert facts(found.drop("url", "payload")) == expected(rows)
+
+
+def test_payloads_that_are_no_utf8(spark):
+    df = spark.createDataFrame([(1, "http://a.org/", "fffe41"), (2, "http://b.org/", "41")], "page_id long, url string, hex string")
+    df = df.select("page_id", F.concat(F.col("url"), F.unhex("hex").cast("string")).alias("url"), F.unhex("hex").cast("string").alias("html"))
+    folder, ranges = warc.archive(df)
+    got = {r.page_id: r for r in warc.read_records(warc.lookup(df, ranges, folder), folder).collect()}
+    assert bytes(got[1].payload) == b"\xff\xfeA" and bytes(got[2].payload) == b"A" and got[1].url.startswith("http://a.org/") and got[1].url.endswith("A")
+
+
 def test_no_pages(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder, ranges = warc.archive(df)
