@@ -10,9 +10,13 @@ footer: per block byte offset (u64), words, raw values, values (u32 each), per d
 key (i64), null mark (u8), ids (u32); then the numbers of blocks and of documents and the
 footer's offset (u64 each), and the magic again.
 
+An attempt of a task writes a file of its own, and the manifest names those of the attempts that
+Spark accepts.
+
 Rows with null keys come first and keep a null key; null texts are empty and give the
-end id alone; repeated keys keep their own rows (ties are ordered by text); an empty
-table gives no shards; extra columns are ignored.
+end id alone; long texts are encoded whole, in parts cut where the tokenizer cuts too; repeated
+keys keep their own rows (ties are ordered by text); an empty table gives no shards; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,13 +141,13 @@ def byte_encoder(path: str) -> ByteEncoder:
 
 
 class ShardWriter:
-    """Writes one shard under a name of its own, then moves it into place."""
+    """Writes one shard, a file of this attempt alone."""
 
     def __init__(self, folder: str, name: str):
         self.fs, base = pafs.FileSystem.from_uri(folder)
         self.fs.create_dir(base, recursive=True)
-        self.path, self.part = f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.part)
+        self.path = f"{base}/{name}-{uuid.uuid4().hex}.s8b"
+        self.out = self.fs.open_output_stream(self.path, compression=None)
         self.out.write(MAGIC)
         self.at = len(MAGIC)
         self.rest = np.zeros(0, np.uint32)
@@ -181,7 +185,6 @@ class ShardWriter:
         self.out.write(keys.astype("<i8").tobytes() + nulls.astype("u1").tobytes() + lengths.astype("<u4").tobytes())
         self.out.write(np.array([blocks.shape[1], len(keys), self.at], "<u8").tobytes() + MAGIC)
         self.out.close()
-        self.fs.move(self.part, self.path)
         return self.path, len(keys), int(lengths.sum())
 
 
@@ -240,7 +243,7 @@ def write_tokens(df: DataFrame, tokenizer_path: str, end_id: int, text: str = "t
         encode, writer = None, None
         for batch in byte_slices(batches, "text", SLICE):
             encode = encode or byte_encoder(tokenizer_path)
-            writer = writer or ShardWriter(folder, f"shard-{TaskContext.get().partitionId():06d}.s8b")
+            writer = writer or ShardWriter(folder, f"shard-{TaskContext.get().partitionId():06d}")
             keys = batch.column("key")
             ids, lengths = encode(string(batch.column("text")))
             ends = np.cumsum(lengths)
