@@ -349,18 +349,23 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where("coalesce(comp_a, a) != coalesce(comp_b, b)")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, over: int = 75, under: int = 100, miss: float = 1e-6) -> DataFrame:
-    """``key``, n_shingles, component_id, kept of each row: linked if under * intersection >= over * union."""
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, over: int = 75, under: int = 100, miss: float = 1e-6, by_key: bool = True) -> DataFrame:
+    """``key``, n_shingles, component_id, kept of each row: linked if under * intersection >= over * union.
+
+    Without ``by_key``, texts of one key are documents of their own: one of each component is
+    kept, that of the smallest key and then of the smallest text_mark (a hash of the text,
+    another column then); rows that repeat one text under one key are kept together.
+    """
     least = least_matches(over / under, miss)
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("mark", F.xxhash64("text"))
     sets = written(_sketch(docs, words), "sketch")
     full = sets.where("n > 0 and id is not null")
     # As a table, so that the join is a stage of its own, in which a large class can be split.
-    classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("size")).where("size > 1")
-    classes = written(classes.select("f1", "f2", "n", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id")), "classes")
-    members = written(full.join(classes, ["f1", "f2", "n"]).where("row != rep").select("row", "id", "rep", "rep_id"), "members")
+    classes = full.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "mark", "row")).alias("first"), F.count("*").alias("size")).where("size > 1")
+    classes = written(classes.select("f1", "f2", "n", F.col("first.row").alias("rep"), F.struct("first.id", "first.mark").alias("first")), "classes")
+    members = written(full.join(classes, ["f1", "f2", "n"]).where("row != rep").select("row", "id", "rep", "first"), "members")
     forget(classes)
-    repeated = not members.where("id = rep_id").isEmpty()  # rows that say the same under the same key
+    repeated = not members.where("id = first.id").isEmpty()  # rows that say the same under the same key
 
     def texts_of(rows: DataFrame) -> DataFrame:
         """row, text; a row is found again by its key and a hash of its text."""
@@ -372,7 +377,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
 
     # Rows of one key are one document, so their classes belong together.
     nodes = sets.where("id is not null").select("row", "id").join(members.select("row", "rep"), "row", "left").select("id", F.coalesce("rep", "row").alias("node"))
-    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z").select("id", "a")
+    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z" if by_key else "false").select("id", "a")
     links = written(nodes.join(several, "id").where("node != a").select("a", F.col("node").alias("b")).distinct(), "links")
 
     reps = full.select("row", "sig").join(members.select("row"), "row", "left_anti")
@@ -419,9 +424,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     forget(shared, promising, *tables)
 
     # A component's name is the smallest key in it.
-    names = comps.join(sets.select(F.col("row").alias("id"), F.col("id").alias("key")), "id").groupBy("component_id").agg(F.min("key").alias("name"))
-    out = sets.select("row", "id", "n").join(members.select("row", "rep", "rep_id"), "row", "left")
-    out = out.select("id", "n", F.coalesce("rep", "row").alias("node"), F.coalesce("rep_id", "id").alias("alone"))
+    own = F.struct("id", "mark")
+    names = comps.join(sets.select(F.col("row").alias("id"), own.alias("own")), "id").groupBy("component_id").agg(F.min("own").alias("name"))
+    out = sets.select("row", "id", "mark", "n").join(members.select("row", "rep", "first"), "row", "left")
+    out = out.select("id", "mark", "n", F.coalesce("rep", "row").alias("node"), F.coalesce("first", own).alias("alone"))
     out = out.join(comps.withColumnRenamed("id", "node"), "node", "left").join(names, "component_id", "left")
-    comp = F.coalesce("name", "alone")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
+    first = F.coalesce("name", "alone")
+    kept = first["id"] == F.col("id") if by_key else first == own
+    out = out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), first["id"].alias("component_id"), F.coalesce(kept, F.lit(True)).alias("kept"), F.col("mark").alias("text_mark"))
+    return out.drop("text_mark") if by_key else out

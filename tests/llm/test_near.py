@@ -144,6 +144,13 @@ def test_repeated_keys(spark, rows):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == brute_rows(rows)
 
 
+def test_texts_of_one_key_apart(spark):
+    rows = [(5, X), (5, Y), (3, X), (5, Y), (7, "unlike these"), (8, Y + " end"), (None, X), (8, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), by_key=False).collect()
+    kept = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got]
+    assert sorted(kept, key=str) == sorted([(5, 4, 3, False), (5, 7, 5, True), (3, 4, 3, True), (5, 7, 5, True), (7, 1, 7, True), (8, 8, 5, False), (None, 4, None, True), (8, 0, 8, True)], key=str)
+
+
 def test_random_repeated_keys(spark):
     rng = random.Random(9)
     rows = []
