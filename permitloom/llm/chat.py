@@ -14,8 +14,9 @@ Control strings inside a turn's text are escaped: their first character is follo
 no control string, and taking one mark off each such place gives the text back exactly.
 
 Rows with a null conversation id form one conversation; null turns come first; rows of equal
-turn are ordered by role and text; a null role is the empty role; null texts are empty.  An
-empty table has no conversations.  Extra columns are ignored.
+turn are ordered by role and text, and repeated rows are turns each; a null role is the empty
+role; null and empty texts are empty turns; a long text is one turn, held by itself.  An empty
+table has no conversations.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,9 +16,10 @@ encoding pass that test, and a sequence of which all neighbours pass it is the e
 Just one edge per position passes, and the result equals the library's.
 
 Null texts count as empty; an empty text has no ids and decodes to an empty text;
-characters without a piece become byte pieces; extra columns stay as they are, but a
-column of the output's name is replaced; every row is encoded by itself, so ties and
-repeats need no rule.  U+2581 in a text means a space, as in the library.
+characters without a piece become byte pieces; a long text is encoded whole, in parts cut at
+single spaces that no piece reaches across; an empty table gives an empty result; extra columns
+stay as they are, but a column of the output's name is replaced; every row is encoded by
+itself, so ties and repeats need no rule.  U+2581 in a text means a space, as in the library.
 """
 
 from __future__ import annotations

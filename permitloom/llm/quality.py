@@ -1,8 +1,9 @@
 """Quality by hierarchical empirical Bayes: a document's evidence on top of its site's record.
 
 1. A logistic regression on the shares of character classes and on word statistics is
-   fitted on at most ``SAMPLE`` labelled rows (in order of a hash of their key).  Its log odds
-   without the sample's prior are the document's evidence.
+   fitted on at most ``SAMPLE`` labelled keys (in order of a hash of the key), one text of each.
+   Its log odds without the sample's prior are the document's evidence, computed once
+   for each document and written.
 2. Each host, and each path of it, sums up the probabilities of its documents (grouped
    aggregation over all documents).  The global rate is the prior of a host's, and the
    host's rate the prior of its paths'; each prior counts as many documents as the spread
@@ -11,10 +12,17 @@
 3. A document's prior odds are those of its path without the document itself; together
    with the evidence they give its probability.
 
-Null and empty texts are documents without any character and are judged like others.  A null
-host has no record of its own, so the global rate is the prior; with a null path, the
-host's.  Without labels of both kinds the evidence is 0 and the rate 1/2.  Repeated keys in
-the labels count once (the lowest label).  Columns of the output's names are replaced.
+Host and path are columns that the caller names: ``url_site`` gives both for a URL; the
+documents' table has none, so there a document's ``source`` is its host and its ``lang`` the
+section of it that it comes from.
+
+Null and empty texts are documents without any character and are judged like others.  A long
+text is read whole, by itself if beyond 2 MB.  A null host has no record of its own, so the
+global rate is the prior; with a null path, the host's.  Without labels of both kinds the
+evidence is 0 and the rate 1/2.  Repeated keys in the labels count once (the lowest label), and
+of several documents of a labelled key one teaches (that with the smallest hash of its text);
+all are judged, each row by itself.  A probability equal to the threshold is kept.  An empty
+table gives an empty result.  Columns of the output's names are replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -109,6 +117,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     # At most SAMPLE rows of two numbers: that is the bound of the broadcast.
     chosen = chosen.orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("key", "text", F.col("y").cast("double").alias("y"))
+    # One row for each key, so what is gathered has the bound of the sample whatever is repeated.
+    rows = rows.groupBy("key", "y").agg(F.min(F.struct(F.xxhash64("text").alias("mark"), F.col("text").alias("text"))).alias("first")).select("key", "first.text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
@@ -167,11 +177,12 @@ def assess(df: DataFrame, classifier: Classifier, host: Column, path: Column, te
     """``columns`` of ``df`` (all by default) with evidence, site_docs, site_rate, probability, kept."""
     columns = columns if columns is not None else [c for c in df.columns if c not in ("evidence", "site_docs", "site_rate", "probability", "kept")]
     base = float(np.log(classifier.rate / (1 - classifier.rate)))
-    keyed = df.select(*columns, *([text] if text not in columns else []), host.alias("__host"), path.alias("__path"))
-    scored = with_evidence(keyed, classifier, text).withColumn("__p", _probability(F.col("evidence") + base))
-    lean = with_evidence(df.select(F.col(text).alias("text"), host.alias("__host"), path.alias("__path")), classifier).withColumn("__p", _probability(F.col("evidence") + base))
+    tick = lambda c: F.col(f"`{c}`")
+    keyed = df.select(*map(tick, columns), *([tick(text)] if text not in columns else []), host.alias("__host"), path.alias("__path"))
+    scored = with_evidence(keyed, classifier, text)
+    scored = written(scored if text in columns else scored.drop(text), "evidence").withColumn("__p", _probability(F.col("evidence") + base))
     # A row per path; hosts and the whole are sums of these.
-    paths = written(lean.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") ** 2).alias("q")), "sites")
+    paths = written(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("s"), F.sum(F.col("__p") ** 2).alias("q")), "sites")
     total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     rate = (total.s / total.n) if total.n else 0.5
     hosts = paths.where("__host is not null").groupBy("__host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"), F.sum("q").alias("host_q"))
@@ -186,7 +197,7 @@ def assess(df: DataFrame, classifier: Classifier, host: Column, path: Column, te
     path_rate = F.when(F.col("__path").isNull() | n.isNull(), host_rate).otherwise((k_path * host_rate + total_s - own) / (k_path + n - 1))
     out = out.withColumn("site_docs", F.coalesce(n, F.lit(0))).withColumn("site_rate", path_rate)
     out = out.withColumn("probability", _probability(F.col("evidence") + _log_odds(F.col("site_rate")))).withColumn("kept", F.col("probability") >= threshold)
-    return out.select(*columns, "evidence", "site_docs", "site_rate", "probability", "kept")
+    return out.select(*map(tick, columns), "evidence", "site_docs", "site_rate", "probability", "kept")
 
 
 def url_site(url: Column) -> tuple[Column, Column]:

@@ -10,7 +10,9 @@ batch every text is split at safe boundaries, and each distinct segment is encod
   encoded whole.
 
 Nulls count as empty texts (0 bytes, 0 tokens); a text without white space is one
-segment, however long, and a long text is counted in parts cut at white space; extra columns are ignored; repeated rows are counted each.
+segment, however long, and a long text is counted in parts cut at white space; an empty table
+gives an empty result; extra columns are ignored, whatever their names; repeated rows are counted
+each.
 """
 
 from __future__ import annotations

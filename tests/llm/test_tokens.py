@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from permitloom.llm import pieces, queries, simple8b, token_counts, token_files
@@ -56,6 +57,26 @@ def test_piece_counts(spark):
     assert sorted((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, model, 5).collect()) == [(1, len(sentencepiece.SentencePieceProcessor(model_file=model).encode("a b"))), (2, 0)]
 
 
+def test_count_query(spark):
+    """The query's rows on the documents, counted by the library one by one."""
+    tokenizer = library("word_bpe_49k.json")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    n = {d.doc_id: len(tokenizer.encode(d.text or "", add_special_tokens=False).ids) for d in docs}
+    want = sorted((d.doc_id, len((d.text or "").encode()), n[d.doc_id], n[d.doc_id] > 2048) for d in docs)
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op7_token_counts(spark, SF).collect()) == want
+
+
+def test_piece_query(spark):
+    """The query's rows on the documents: the library's ids, their number and hash, and the way back."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    ids = spark.createDataFrame([(d.doc_id, model.encode(d.text or "")) for d in docs], "doc_id long, ids array<int>")
+    want = {r.doc_id: (r.n, r.h) for r in ids.select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("h")).collect()}
+    back = {d.doc_id: model.decode(model.encode(d.text or "")) == (d.text or "").replace("\u2581", " ") for d in docs}
+    got = queries.op3_pieces(spark, SF).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_hash) for r in got} == want and {r.doc_id: r.round_trip for r in got} == back
+
+
 @pytest.mark.parametrize("name", ["op7_token_counts", "op2_token_files", "op3_pieces", "op1_decontaminate", "op6_langid"])
 def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "benchmark"):
