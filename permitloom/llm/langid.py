@@ -43,6 +43,8 @@ from permitloom.llm.common import PART_CHARS, byte_slices, out_batch, string
 SAMPLE_TEXTS = 100
 SAMPLE_SYMBOLS = 40_000
 PIECE = 1024
+#: Shares that a language is dealt to for its sample.
+SHARES = 64
 BLANK = 0
 
 
@@ -77,19 +79,23 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Steps:
-    """A hash table from (state, symbol) to the next state, asked for many at once."""
+    """A hash table from (state, symbol) to the next state, asked for many at once.
+
+    An entry is one number of key and value, so a look takes one access.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
-        todo, slot = np.arange(len(keys)), self._slot(keys)
+        self.low = int(values.max(initial=1)).bit_length()
+        if int(keys.max(initial=1)).bit_length() + self.low > 63:
+            raise ValueError("too many states for the table: learn fewer languages or symbols")
+        self.entries = np.full(1 << bits, -1, np.int64)
+        todo, slot, entries = np.arange(len(keys)), self._slot(keys), (keys << self.low) | values
         while len(todo):
-            free = self.keys[slot[todo]] < 0
-            self.keys[slot[todo[free]]] = keys[todo[free]]  # of several, one stays
-            mine = self.keys[slot[todo]] == keys[todo]
-            self.values[slot[todo[mine]]] = values[todo[mine]]
-            todo = todo[~mine]
+            free = self.entries[slot[todo]] < 0
+            self.entries[slot[todo[free]]] = entries[todo[free]]  # of several, one stays
+            todo = todo[self.entries[slot[todo]] != entries[todo]]
             slot[todo] = (slot[todo] + 1) & self.mask
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -97,17 +103,16 @@ class Steps:
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The values; -1 where there is none."""
+        shape, keys = keys.shape, keys.ravel()
         slot = self._slot(keys)
-        have = self.keys[slot]
-        out = np.where(have == keys, self.values[slot], -1)
-        rest = np.nonzero((have != keys) & (have >= 0))
-        while len(rest[0]):
+        out = self.entries[slot]
+        rest = np.nonzero(((out >> self.low) != keys) & (out >= 0))[0]
+        while len(rest):
             slot[rest] = (slot[rest] + 1) & self.mask
-            have = self.keys[slot[rest]]
-            hit = have == keys[rest]
-            out[tuple(r[hit] for r in rest)] = self.values[slot[tuple(r[hit] for r in rest)]]
-            rest = tuple(r[~hit & (have >= 0)] for r in rest)
-        return out
+            have = self.entries[slot[rest]]
+            out[rest] = have
+            rest = rest[((have >> self.low) != keys[rest]) & (have >= 0)]
+        return np.where(out < 0, -1, out & ((1 << self.low) - 1)).reshape(shape)
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -310,9 +315,13 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> Languages:
     rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("mark", F.xxhash64("text")).withColumn("odd", ~F.length("text").between(200, 8000))
     # Copies are one: numbers of hashes, not of rows, are taken, and texts are read for these only.
-    order = Window.partitionBy("lang").orderBy("odd", "mark")
-    chosen = rows.select("lang", "odd", "mark").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
-    found = rows.join(chosen, ["lang", "odd", "mark"]).select("lang", "k", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"))
+    # The first of each share of a language, and then of all: no task sees a whole language.
+    chosen = rows.select("lang", "odd", "mark").distinct().withColumn("share", F.pmod("mark", F.lit(SHARES)))
+    for part in (["lang", "share"], ["lang"]):
+        order = Window.partitionBy(*part).orderBy("odd", "mark")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_TEXTS)
+    # SAMPLE_TEXTS rows of three numbers for each language: that is the bound of the broadcast.
+    found = rows.join(F.broadcast(chosen.drop("share")), ["lang", "odd", "mark"]).select("lang", "k", F.substring("text", 1, SAMPLE_SYMBOLS).alias("text"))
     samples: dict[str, list[str]] = {}
     for r in found.groupBy("lang", "k").agg(F.min("text").alias("text")).orderBy("lang", "k").collect():
         samples.setdefault(r.lang, []).append(r.text)
