@@ -23,16 +23,16 @@ def _table(title: str, heads: Sequence[str], rows: Sequence[Sequence[str]]) -> N
 
 
 def sync(spark: SparkSession, data_dir: str, source: str | None) -> int:
-    if source is not None and source not in SOURCES:
-        print(f"Unknown source: {source!r}")
-        print(f"Available sources: {', '.join(SOURCES)}")
+    wanted = SOURCES if source is None else {k: v for k, v in SOURCES.items() if k == source}
+    if not wanted:
+        print(f"There is no source {source!r}; there are: {', '.join(SOURCES)}")
         return 1
-    for name in [source] if source else list(SOURCES):
-        print(f"Syncing {name}...")
+    for name, portal in wanted.items():
         try:
-            print(f"  {write_source(SOURCES[name].fetch(spark), name, data_dir):,} rows written")
+            outcome = f"{write_source(portal.fetch(spark), name, data_dir):,} rows written"
         except Exception as why:  # one source's failure doesn't stop the others
-            print(f"  failed: {why}")
+            outcome = f"failed: {why}"
+        print(f"{name}: {outcome}")
     return 0
 
 
@@ -47,7 +47,7 @@ def status(spark: SparkSession, data_dir: str) -> int:
 
 def run_enrich(spark: SparkSession, data_dir: str, fetch: bool) -> int:
     if fetch:
-        fetch_layers(f"{data_dir}/reference")
+        fetch_layers(spark, f"{data_dir}/reference")
     for title, step in (("committee applications", enrich.enrich_coa), ("development applications", enrich.enrich_dev)):
         print(f"Enriching {title}...")
         try:

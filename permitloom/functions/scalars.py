@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257222101
 CENTRAL_MERIDIAN, SCALE, FALSE_EASTING = -81.0, 0.9996, 500000.0
 LEAST_NORTHING = 4_000_000.0
+#: How numbers are written: a cast alone would take Java's suffixes (12D) and NaN too.
+WHOLE, DECIMAL = r"^[+-]?[0-9]+$", r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def strip(c: Column) -> Column:
@@ -62,7 +64,8 @@ def present_flag(c: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    return text.try_cast("double")
+    """The number that a text is in decimal digits; null for all else, as ``12D`` or ``NaN``."""
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 
 def usable_northing(y: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitloom.config import ModelSpec
+from permitloom.operators.scratch import forget, stored
 
 MISSING = "__missing__"
 NO_NUMBER = -1.0
@@ -30,16 +31,19 @@ def with_missing_columns(df: DataFrame, spec: ModelSpec) -> DataFrame:
 
 
 def fill_features(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Categories as text with a word for null; numbers as double (trees here take no null: a value below all others)."""
+    """Categories as text with a word for null; numbers as double, with a flag for null.
+
+    Trees here take no null: it becomes -1, and the flag tells it from a real -1.
+    """
+    plain = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in spec.num_cols}
     filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.cat_cols}
-    filled |= {c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(NO_NUMBER)) for c in spec.num_cols}
-    return df.withColumns({f"f_{c}": v for c, v in filled.items()})
+    filled |= {c: F.coalesce(v, F.lit(NO_NUMBER)) for c, v in plain.items()}
+    return df.withColumns({f"f_{c}": v for c, v in filled.items()} | {f"m_{c}": v.isNull().cast("double") for c, v in plain.items()})
 
 
-def ordinal_encode(df: DataFrame, column: str, categories: list[str], out: str) -> DataFrame:
-    """The place of each value among the sorted categories; -1 for others."""
-    known = F.array(*[F.lit(c) for c in sorted(categories)])
-    return df.withColumn(out, F.array_position(known, F.col(column)).cast("double") - 1.0)
+def inputs(spec: ModelSpec, feature: str | None = None) -> list[str]:
+    """The columns that ``fill_features`` adds, of one feature or of all."""
+    return [f"f_{c}" for c in spec.features if feature in (None, c)] + [f"m_{c}" for c in spec.num_cols if feature in (None, c)]
 
 
 def pipeline(spec: ModelSpec, trees: int = TREES) -> Pipeline:
@@ -48,12 +52,16 @@ def pipeline(spec: ModelSpec, trees: int = TREES) -> Pipeline:
     The codes pass through an expression that drops their nominal metadata, so trees split
     them as ordered numbers.
     """
-    cats = list(spec.cat_cols)
-    index = StringIndexer(inputCols=[f"f_{c}" for c in cats], outputCols=[f"i_{c}" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep")
-    assemble = VectorAssembler(inputCols=[*[f"o_{c}" for c in cats], *[f"f_{c}" for c in spec.num_cols]], outputCol="features")
+    assemble = VectorAssembler(inputCols=[*[f"o_{c}" for c in spec.cat_cols], *[f"f_{c}" for c in spec.num_cols], *[f"m_{c}" for c in spec.num_cols]], outputCol="features")
     common = {"featuresCol": "features", "labelCol": "label", "maxIter": trees, "stepSize": STEP, "maxDepth": DEPTH, "minInstancesPerNode": LEAF, "maxBins": BINS, "seed": SEED}
     trees_stage = GBTRegressor(lossType="squared", **common) if spec.regression else GBTClassifier(**common)
-    return Pipeline(stages=[index, _Codes(cats), assemble, trees_stage])
+    return Pipeline(stages=[*encoder(list(spec.cat_cols)), assemble, trees_stage])
+
+
+def encoder(cats: list[str]) -> list:
+    """Stages that give each f_ column's place among the sorted values that were fitted as o_, -1 for others."""
+    index = StringIndexer(inputCols=[f"f_{c}" for c in cats], outputCols=[f"i_{c}" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep")
+    return [index, _Codes(cats)]
 
 
 class _Codes(Pipeline):
@@ -82,7 +90,7 @@ def training_frame(df: DataFrame, spec: ModelSpec) -> DataFrame:
 
 def fit(df: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[PipelineModel, int]:
     """The fitted model, and the number of rows it saw."""
-    frame = training_frame(df, spec).select("label", *[f"f_{c}" for c in spec.features]).cache()
+    frame = training_frame(df, spec).select("label", *inputs(spec)).cache()
     try:
         return pipeline(spec, trees).fit(frame), frame.count()
     finally:
@@ -92,7 +100,7 @@ def fit(df: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[PipelineMod
 def predict(model: PipelineModel, df: DataFrame, spec: ModelSpec) -> DataFrame:
     """``df`` with pred_<label>, and for a classifier prob_<label> (of class 1); all rows, labelled or not."""
     kept = df.columns
-    out = model.transform(fill_features(df, spec))
+    out = model.transform(fill_features(with_missing_columns(df, spec), spec))
     pred = F.col("prediction") if spec.regression else F.col("prediction").cast("bigint")
     columns = [pred.alias(f"pred_{spec.label}")]
     if not spec.regression:
@@ -131,7 +139,7 @@ def evaluate(df: DataFrame, spec: ModelSpec, order: Column, k: int = 3, trees: i
     and so do the mean and the spread of no other folds.
     """
     frame = training_frame(df, spec)
-    frame = folds(frame, k, order, None if spec.regression else "label").select("label", "fold", *[f"f_{c}" for c in spec.features]).cache()
+    frame = folds(frame, k, order, None if spec.regression else "label").select("label", "fold", *inputs(spec)).cache()
     try:
         seen = {r.fold: (r.n, r.kinds) for r in frame.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("label").alias("kinds")).collect()}
         total, scores = sum(n for n, _ in seen.values()), []
@@ -158,13 +166,13 @@ def metric(predicted: DataFrame, spec: ModelSpec) -> float:
 
 def gain_importance(model: PipelineModel, spec: ModelSpec) -> DataFrame:
     """Summed split gains (weighted by rows) over all trees, at least 0, as shares of their sum; spread 0."""
-    rows = [0.0] * len(spec.features)
+    rows, of = [0.0] * len(spec.features), [*range(len(spec.features)), *range(len(spec.cat_cols), len(spec.features))]  # a flag's gains are its number's
     for tree in model.stages[-1].trees:
         stack = [tree._java_obj.rootNode()]  # noqa: SLF001
         while stack:
             node = stack.pop()
             if node.getClass().getSimpleName() == "InternalNode":
-                rows[node.split().featureIndex()] += max(0.0, node.gain()) * node.impurityStats().count()
+                rows[of[node.split().featureIndex()]] += max(0.0, node.gain()) * node.impurityStats().count()
                 stack += [node.leftChild(), node.rightChild()]
     total = sum(rows)
     data = [(f, g / total if total else 0.0, 0.0) for f, g in zip(spec.features, rows, strict=True)]
@@ -174,38 +182,62 @@ def gain_importance(model: PipelineModel, spec: ModelSpec) -> DataFrame:
 def permutation_importance(model: PipelineModel, df: DataFrame, spec: ModelSpec, repeats: int = 10) -> DataFrame:
     """Mean and population spread of the metric's drop when one feature's values are dealt out anew.
 
-    Values are paired by two orders of the same rows, one of them random; the rows are numbered
-    by partition offsets, not by a global window.
+    A repeat numbers the rows in a random order once, and pairs that order with the first one; each
+    feature in turn then takes its values (and its null flags) from the partner row.
     """
-    frame = training_frame(df, spec).select("label", *[f"f_{c}" for c in spec.features]).cache()
-    try:
-        base = metric(model.transform(frame), spec)
-        data = []
+    frame = training_frame(df, spec).select("label", *inputs(spec))
+    fixed = numbered(frame)
+    base = metric(model.transform(fixed), spec)
+    drops: dict[str, list[float]] = {f: [] for f in spec.features}
+    for k in range(repeats):
+        dealt = numbered(fixed.select(*[F.col(c).alias(f"d_{c}") for c in inputs(spec)]).orderBy(F.rand(SEED + k)))
+        paired = stored(fixed.join(dealt, "row_number"), "dealt")
         for f in spec.features:
-            drops = []
-            for k in range(repeats):
-                fixed = numbered(frame.drop(f"f_{f}"))
-                dealt = numbered(frame.select(f"f_{f}").orderBy(F.rand(SEED + k)))
-                drops.append(base - metric(model.transform(fixed.join(dealt, "row_number").drop("row_number")), spec))
-            mean = sum(drops) / len(drops)
-            data.append((f, mean, math.sqrt(sum((x - mean) ** 2 for x in drops) / len(drops))))
-        return ranked(df.sparkSession.createDataFrame(data, "feature string, importance_mean double, importance_std double"))
-    finally:
-        frame.unpersist()
+            mine = set(inputs(spec, f))
+            anew = paired.select("label", *[F.col(f"d_{c}" if c in mine else c).alias(c) for c in inputs(spec)])
+            drops[f].append(base - metric(model.transform(anew), spec))
+        forget(dealt, paired)
+    forget(fixed)
+    data = []
+    for f, d in drops.items():
+        mean = sum(d) / len(d)
+        data.append((f, mean, math.sqrt(sum((x - mean) ** 2 for x in d) / len(d))))
+    return ranked(df.sparkSession.createDataFrame(data, "feature string, importance_mean double, importance_std double"))
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """``row_number`` 0..n-1 in the present order, from partition sizes."""
-    marked = df.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).cache()
+    """``row_number`` 0..n-1 in the present order, from partition sizes.
+
+    The rows are a table in the shared folder (``forget`` deletes it), so a row has its number
+    for good, whatever executors are lost.
+    """
+    marked = stored(df.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "numbered")
     sizes = {r.part: r.n for r in marked.groupBy("part").agg(F.count("*").alias("n")).collect()}
     offsets, seen = [], 0
     for part in sorted(sizes):
         offsets.append((part, seen - (part << 33)))
         seen += sizes[part]
-    if not offsets:
-        return marked.withColumn("row_number", F.col("at")).drop("part", "at")
-    shift = df.sparkSession.createDataFrame(offsets, "part int, shift long")
-    return marked.join(F.broadcast(shift), "part").withColumn("row_number", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    shift = df.sparkSession.createDataFrame(offsets or [(0, 0)], "part int, shift long")  # a row for each partition
+    out = marked.join(F.broadcast(shift), "part").withColumn("row_number", F.col("at") + F.col("shift")).drop("part", "at", "shift")
+    out.scratch_path = marked.scratch_path
+    return out
+
+
+def label_summary(df: DataFrame, label: str) -> DataFrame:
+    """positives, negatives: rows with label 1, and with label 0."""
+    return df.agg(F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) == 0).alias("negatives"))
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float]) -> dict[str, float | None]:
+    """Exact quantiles with linear interpolation, by a distributed sort: two rows of each reach the driver."""
+    rows = numbered(df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")).orderBy("x"))
+    n = rows.count()
+    places = {name: share * (n - 1) for name, share in shares.items()}
+    wanted = sorted({min(n - 1, int(p) + k) for p in places.values() for k in (0, 1)}) if n else []
+    found = {r.row_number: r.x for r in rows.where(F.col("row_number").isin(wanted)).collect()}
+    forget(rows)
+    at = lambda p: found[int(p)] + (p - int(p)) * (found[min(n - 1, int(p) + 1)] - found[int(p)])
+    return {name: at(p) if n else None for name, p in places.items()}
 
 
 def ranked(importances: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permitloom.config import SourceConfig
-from permitloom.functions.scalars import year_or_zero
+from permitloom.functions.scalars import WHOLE, number, year_or_zero
 
-#: Tried in this order on the first value of a date column.
+# The date formats that columns may have; of equally good ones the first counts.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy"]
 
 
@@ -22,6 +22,7 @@ def snake_names(names: Sequence[str]) -> list[str]:
 
     A suffixed name that another column already has is passed over, so all results differ.
     """
+    # Fixed value: what becomes an underscore.
     bases = [re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_") for c in names]
     taken, count, out = set(bases), {}, []
     for base in bases:
@@ -43,24 +44,27 @@ def rename_columns(df: DataFrame) -> DataFrame:
 
 
 def parse_dates(df: DataFrame) -> DataFrame:
-    """Columns with "date" in their name become dates if their first value has a known format.
+    """Columns with "date" in their name become dates if their values have a known format.
 
-    One pass finds the first values of all of them.  Cells that don't parse become null; a
-    column in no known format stays text.
+    One pass counts for all of them how many values each format parses, and the one that
+    parses most is taken.  Cells that don't parse become null; a column in no known format stays
+    text.
     """
     names = [c for c in df.columns if "date" in c and not isinstance(df.schema[c].dataType, T.DateType)]
-    if not names:
-        return df
-    text = {c: F.col(c).cast("string") for c in names}
-    checks = [F.first(text[c], ignorenulls=True).alias(c) for c in names]
-    firsts = df.agg(*checks)
-    probes = firsts.select(*[F.try_to_date(F.col(c), f).isNotNull().alias(f"{i}_{k}") for i, c in enumerate(names) for k, f in enumerate(DATE_FORMATS)]).first()
-    for i, c in enumerate(names):
-        fits = [f for k, f in enumerate(DATE_FORMATS) if probes[f"{i}_{k}"]]
-        if isinstance(df.schema[c].dataType, T.TimestampType):
+    sniffed = [c for c in names if not isinstance(df.schema[c].dataType, T.TimestampType)]
+    text = {c: F.col(f"`{c}`").cast("string") for c in names}
+    fits = {}
+    if sniffed:
+        counts = df.agg(*[F.count(F.try_to_date(text[c], f)).alias(f"{i}_{k}") for i, c in enumerate(sniffed) for k, f in enumerate(DATE_FORMATS)]).first()
+        for i, c in enumerate(sniffed):
+            n, k = max((counts[f"{i}_{k}"], -k) for k in range(len(DATE_FORMATS)))
+            if n:
+                fits[c] = DATE_FORMATS[-k]
+    for c in names:
+        if c in fits:
+            df = df.withColumn(c, F.try_to_date(text[c], fits[c]))
+        elif c not in sniffed:
             df = df.withColumn(c, F.to_date(c))
-        elif fits:
-            df = df.withColumn(c, F.try_to_date(text[c], fits[0]))
     return df
 
 
@@ -82,18 +86,27 @@ def year_window(df: DataFrame, start: int) -> DataFrame:
     return df.where((F.col("year") == 0) | (F.col("year") >= start)) if "year" in df.columns else df
 
 
-def infer_numbers(df: DataFrame) -> DataFrame:
-    """Text columns whose every value is a whole number become bigint, a number double; one pass over the table."""
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns whose every value is a whole number become bigint, a number double, true or false boolean; one pass over the table.
+
+    A number is written in decimal digits, with a point or an exponent if it is no whole one:
+    ``12D``, ``3F``, ``NaN`` and ``Infinity`` are text.
+    """
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
     at = {c: F.col(f"`{c}`") for c in names}
+    as_kind = {
+        "bigint": lambda c: F.when(c.rlike(WHOLE), c.try_cast("bigint")),
+        "double": number,
+        "boolean": lambda c: F.when(F.lower(c).isin("true", "false"), F.lower(c) == "true"),
+    }
     checks = []
     for i, c in enumerate(names):
-        checks += [F.count(at[c]).alias(f"n{i}"), F.count(at[c].try_cast("bigint")).alias(f"l{i}"), F.count(at[c].try_cast("double")).alias(f"d{i}")]
+        checks += [F.count(at[c]).alias(f"n{i}"), *[F.count(make(at[c])).alias(f"{kind}{i}") for kind, make in as_kind.items()]]
     row = df.agg(*checks).first()
-    kinds = {c: "bigint" if row[f"n{i}"] == row[f"l{i}"] else "double" if row[f"n{i}"] == row[f"d{i}"] else None for i, c in enumerate(names) if row[f"n{i}"]}
-    return df.select(*[F.col(f"`{c}`").try_cast(kinds[c]).alias(c) if kinds.get(c) else F.col(f"`{c}`") for c in df.columns])
+    kinds = {c: next((k for k in as_kind if row[f"{k}{i}"] == row[f"n{i}"]), None) for i, c in enumerate(names) if row[f"n{i}"]}
+    return df.select(*[as_kind[kinds[c]](at[c]).alias(c) if kinds.get(c) else F.col(f"`{c}`") for c in df.columns])
 
 
 def diagonal_union(frames: Sequence[DataFrame]) -> DataFrame:

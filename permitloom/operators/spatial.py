@@ -37,9 +37,11 @@ def edges_of(polygons: Column) -> Column:
 
 
 def inside(x: Column, y: Column, edges: Column) -> Column:
-    """Whether a ray from the point to the right crosses an odd number of edges."""
+    """Whether a ray from the point to the right crosses an odd number of edges; a point on an edge is not inside."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"])
-    return F.size(F.filter(edges, crosses)) % 2 == 1
+    between = lambda v, a, b: (v >= F.least(a, b)) & (v <= F.greatest(a, b))
+    holds = lambda e: between(x, e["x1"], e["x2"]) & between(y, e["y1"], e["y2"]) & ((e["x2"] - e["x1"]) * (y - e["y1"]) == (e["y2"] - e["y1"]) * (x - e["x1"]))
+    return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, holds)
 
 
 def _cells(low: Column, high: Column, cell: float) -> Column:

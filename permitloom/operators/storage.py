@@ -24,6 +24,11 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move(spark: SparkSession, path: str, target: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.rename(p, _fs(spark, target)[1])
+
+
 def replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write beside the target and then swap, so a failed write leaves the old data."""
     spark = df.sparkSession
@@ -42,11 +47,14 @@ def write_source(df: DataFrame, name: str, data_dir: str) -> int:
     as well, so that a large year is not one task's.
     """
     spark, path = df.sparkSession, f"{data_dir}/{name}"
-    if not df.columns or df.isEmpty():
+    n = 0
+    if df.columns:
+        replace(df.hint("rebalance", F.col("year")), path, "year")
+        # From file footers.  Without rows there are no year folders, and no schema but the given one.
+        n = spark.read.schema(df.schema).parquet(path).count()
+    if not n:
         delete(spark, path)
-        return 0
-    replace(df.hint("rebalance", F.col("year")), path, "year")
-    return spark.read.parquet(path).count()
+    return n
 
 
 def row_count(spark: SparkSession, name: str, data_dir: str) -> int | None:

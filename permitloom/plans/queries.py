@@ -5,18 +5,24 @@ The driver's tables hold no permits, so each operator meets an analogue of its i
 
 from __future__ import annotations
 
+import io
 import json
+import struct
+import zipfile
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permitloom.config import ModelSpec, SourceConfig
 from permitloom.functions import scalars as S
 from permitloom.operators import ml, normalize, spatial
-from permitloom.operators.storage import replace
-from permitloom.plans import enrich
-from permitloom.sources.portal import read_csv
+from permitloom.operators.scratch import scratch
+from permitloom.operators.storage import last_modified, replace, row_count, write_source
+from permitloom.plans import enrich, models
+from permitloom.sources import layers
+from permitloom.sources.portal import RECORDS, PortalSource, read_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,14 +43,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/permitloom-{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT l_linestatus, count(*) AS n_items,
     sum(CASE WHEN o_orderstatus IN ('F') THEN 1 ELSE 0 END)::BIGINT AS n_approved,
     avg(CASE WHEN o_orderstatus IN ('F') THEN date_diff('day', o_orderdate::DATE, l_shipdate::DATE) END) AS avg_days
@@ -134,17 +132,21 @@ def diagonal_union(spark, sf_dir):
     return normalize.diagonal_union([a, b])
 
 
-@query("""SELECT p_partkey, p_size::BIGINT AS size, p_retailprice AS price, p_brand AS brand FROM part""")
+@query("""SELECT p_partkey, p_size::BIGINT AS size, p_retailprice AS price, p_brand AS brand, p_size || CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE 'F' END AS unit,
+    CASE WHEN p_partkey % 3 = 0 THEN 'NaN' ELSE '1' END AS odd, p_size > 20 AS large FROM part""")
 def infer_types(spark, sf_dir):
-    """All-text columns, as a CSV gives them, become numbers where every value is one."""
-    raw = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.col("p_retailprice").cast("string").alias("price"), F.col("p_brand").alias("brand"))
-    return normalize.infer_numbers(raw)
+    """All-text columns, as a CSV gives them, become numbers or booleans where every value is one; 12D, 3F and NaN are none."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    unit, odd = F.concat(size, F.when(key % 2 == 0, "D").otherwise("F")).alias("unit"), F.when(key % 3 == 0, "NaN").otherwise("1").alias("odd")
+    large = F.when(F.col("p_size") > 20, "True").otherwise("false").alias("large")
+    raw = table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), F.col("p_retailprice").cast("string").alias("price"), F.col("p_brand").alias("brand"), unit, odd, large)
+    return normalize.infer_types(raw)
 
 
 @query("""SELECT year(o_orderdate)::INT AS year, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS sum_keys FROM orders GROUP BY 1""")
 def partitioned_roundtrip(spark, sf_dir):
     """Write by year, read back with the partition column, count per year."""
-    path = _scratch(spark, "roundtrip")
+    path = scratch(spark, "roundtrip")
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
     replace(df.hint("rebalance", F.col("year")), path, "year")
     return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_keys"))
@@ -153,7 +155,7 @@ def partitioned_roundtrip(spark, sf_dir):
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1998""")
 def partition_pruning(spark, sf_dir):
     """A year's rows from year folders: only that folder is listed and read."""
-    path = _scratch(spark, "pruning")
+    path = scratch(spark, "pruning")
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
     replace(df.hint("rebalance", F.col("year")), path, "year")
     return spark.read.parquet(path).where("year = 1998").drop("year")
@@ -193,7 +195,8 @@ def left_join_assemble(spark, sf_dir):
     return j.select("c_custkey", "n_name", F.coalesce("n_orders", F.lit(0)).alias("n_orders"), F.coalesce("n_open", F.lit(0)).alias("n_open"), "last_date")
 
 
-def _lonlat_sql() -> str:
+def _lonlat_ctes(of: str, key: str, name: str) -> str:
+    """CTEs that end with ``name``: k, lon, lat of each row of a table with a key."""
     f = 1 / 298.257222101
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
@@ -202,26 +205,25 @@ def _lonlat_sql() -> str:
     north = " - ".join(["xi", *(f"{b[k]:.17e} * sin({2 * k + 2}e0 * xi) * cosh({2 * k + 2}e0 * eta)" for k in range(3))])
     east = " - ".join(["eta", *(f"{b[k]:.17e} * cos({2 * k + 2}e0 * xi) * sinh({2 * k + 2}e0 * eta)" for k in range(3))])
     lat = " + ".join(["chi", *(f"{d[k]:.17e} * sin({2 * k + 2}e0 * chi)" for k in range(3))])
-    return f"""WITH g AS (SELECT c_custkey, TRY_CAST(x AS DOUBLE) AS x, TRY_CAST(y AS DOUBLE) AS y FROM (
-      SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'abc' WHEN c_custkey % 13 = 0 THEN NULL ELSE (600000 + c_custkey % 60000)::VARCHAR END AS x,
-        CASE WHEN c_custkey % 17 = 0 THEN '3999999' ELSE (4830000 + (c_custkey * 7) % 30000)::VARCHAR END AS y FROM customer)),
-    s AS (SELECT c_custkey, y / {a:.17e} AS xi, (x - 5e5) / {a:.17e} AS eta FROM g WHERE x IS NOT NULL AND y >= 4e6),
-    t AS (SELECT c_custkey, {north} AS n, {east} AS e FROM s),
-    u AS (SELECT c_custkey, asin(sin(n) / cosh(e)) AS chi, -81e0 + degrees(atan2(sinh(e), cos(n))) AS lon FROM t)
-    SELECT g.c_custkey, round(lon, 6) AS lon, round(degrees({lat}), 6) AS lat FROM g LEFT JOIN u USING (c_custkey)"""
+    return f"""{name}_g AS (SELECT k, TRY_CAST(x AS DOUBLE) AS x, TRY_CAST(y AS DOUBLE) AS y FROM (
+      SELECT {key} AS k, CASE WHEN {key} % 11 = 0 THEN 'abc' WHEN {key} % 13 = 0 THEN NULL ELSE (600000 + {key} % 60000)::VARCHAR END AS x,
+        CASE WHEN {key} % 17 = 0 THEN '3999999' ELSE (4830000 + ({key} * 7) % 30000)::VARCHAR END AS y FROM {of})),
+    {name}_s AS (SELECT k, y / {a:.17e} AS xi, (x - 5e5) / {a:.17e} AS eta FROM {name}_g WHERE x IS NOT NULL AND y >= 4e6),
+    {name}_t AS (SELECT k, {north} AS n, {east} AS e FROM {name}_s),
+    {name}_u AS (SELECT k, asin(sin(n) / cosh(e)) AS chi, -81e0 + degrees(atan2(sinh(e), cos(n))) AS lon FROM {name}_t),
+    {name} AS (SELECT {name}_g.k, lon, degrees({lat}) AS lat FROM {name}_g LEFT JOIN {name}_u USING (k))"""
 
 
-def _grid_points(spark, sf_dir):
-    k = F.col("c_custkey")
-    x = F.when(k % 11 == 0, F.lit("abc")).when(k % 13 == 0, F.lit(None)).otherwise((600000 + k % 60000).cast("string"))
-    y = F.when(k % 17 == 0, F.lit("3999999")).otherwise((4830000 + (k * 7) % 30000).cast("string"))
-    lon, lat = S.grid_to_lonlat(S.number(x), S.number(y))
-    return table(spark, sf_dir, "customer").select("c_custkey", lon.alias("lon"), lat.alias("lat"))
+def _grid_text(k):
+    """x and y of a key as a dataset may have them: text, some of it odd or missing."""
+    x = F.when(k % 11 == 0, F.lit("abc")).when(k % 13 == 0, F.lit(None)).when(k % 19 == 0, F.concat((600000 + k % 60000).cast("string"), F.lit(".0"))).otherwise((600000 + k % 60000).cast("string"))
+    return x, F.when(k % 17 == 0, F.lit("3999999")).otherwise((4830000 + (k * 7) % 30000).cast("string"))
 
 
-@query(_lonlat_sql())
+@query(f"WITH {_lonlat_ctes('customer', 'c_custkey', 'p')} SELECT k AS c_custkey, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p")
 def utm_to_lonlat(spark, sf_dir):
-    return _grid_points(spark, sf_dir).select("c_custkey", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+    lon, lat = S.grid_to_lonlat(*map(S.number, _grid_text(F.col("c_custkey"))))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 _ZONES = {
@@ -231,18 +233,23 @@ _ZONES = {
 }
 
 
-def _zone_edges() -> str:
+def _edges(zones: dict) -> str:
     rows = []
-    for name, g in _ZONES.items():
+    for name, g in zones.items():
         for polygon in [g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"]:
             for ring in polygon:
                 rows += [f"('{name}', {x1}e0, {y1}e0, {x2}e0, {y2}e0)" for (x1, y1), (x2, y2) in zip(ring[:-1], ring[1:], strict=True)]
     return ", ".join(rows)
 
 
+#: A point is in a zone if a ray to the right crosses an odd number of its edges, and none of them holds it.
+_INSIDE = """HAVING count_if((y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / CASE WHEN y2 = y1 THEN 1e0 ELSE y2 - y1 END + x1) % 2 = 1
+      AND NOT bool_or(lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) AND (x2 - x1) * (lat - y1) = (y2 - y1) * (lon - x1))"""
+
+
 @query(f"""WITH p AS (SELECT p_partkey, ((p_partkey * 37) % 1009) / 1009e0 * 10e0 AS lon, ((p_partkey * 101) % 997) / 997e0 * 10e0 AS lat FROM part),
-    e(zone, x1, y1, x2, y2) AS (VALUES {_zone_edges()}),
-    h AS (SELECT p_partkey, zone FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)
+    e(zone, x1, y1, x2, y2) AS (VALUES {_edges(_ZONES)}),
+    h AS (SELECT p_partkey, zone FROM p, e GROUP BY ALL {_INSIDE})
     SELECT p.p_partkey, min(zone) AS zone FROM p LEFT JOIN h ON p.p_partkey = h.p_partkey GROUP BY p.p_partkey""")
 def point_in_polygon(spark, sf_dir):
     """GeoJSON polygons with a hole and parts; points in several get the smallest name."""
@@ -268,8 +275,8 @@ def within_distance(spark, sf_dir):
 _PLACES = """p AS (SELECT c_custkey, (c_custkey * 37 % 1009) / 1009e0 * 10e0 AS lon, (c_custkey * 101 % 997) / 997e0 * 10e0 AS lat FROM customer)"""
 
 
-@query(f"""WITH {_PLACES}, e(zone, x1, y1, x2, y2) AS (VALUES {_zone_edges()}),
-    h AS (SELECT c_custkey, zone FROM p, e WHERE (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
+@query(f"""WITH {_PLACES}, e(zone, x1, y1, x2, y2) AS (VALUES {_edges(_ZONES)}),
+    h AS (SELECT c_custkey, zone FROM p, e GROUP BY ALL {_INSIDE}),
     z AS (SELECT c_custkey, min(zone) AS zone FROM h GROUP BY 1), d AS (SELECT DISTINCT c_custkey FROM h WHERE zone = 'm'), q AS (SELECT c_custkey, zone FROM h WHERE zone = 'a'),
     r AS (SELECT (s_suppkey * 37 % 1009) / 1009e0 * 10e0 + 1e-3 AS x, (s_suppkey * 101 % 997) / 997e0 * 10e0 AS y FROM supplier)
     SELECT p.c_custkey, z.zone AS zoning_class, CASE WHEN EXISTS (SELECT 1 FROM r WHERE pow(lon - x, 2) + pow(lat - y, 2) <= 5e-2 * 5e-2) THEN 1 ELSE 0 END AS in_heritage_register,
@@ -294,18 +301,19 @@ def spatial_assemble(spark, sf_dir):
 @query("""SELECT s_suppkey AS suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_name END AS name, s_acctbal AS acctbal, 0::INT AS year, 'csv' AS source_name FROM supplier""")
 def csv_scan(spark, sf_dir):
     """Text files with a header: rows too long are cut, too short ones filled, numbers inferred, names normalized."""
-    path = _scratch(spark, "csv")
+    path = scratch(spark, "csv")
     key, name, balance = F.col("s_suppkey").cast("string"), F.col("s_name"), F.col("s_acctbal").cast("string")
     short = F.when(F.col("s_suppkey") % 3 == 0, F.concat_ws(",", balance, key)).otherwise(F.concat_ws(",", balance, key, F.concat(F.lit('"'), name, F.lit('"')), F.lit("extra")))
-    head = spark.createDataFrame([("Acctbal,SuppKey#,Name",)], "value string")
-    head.unionByName(table(spark, sf_dir, "supplier").select(short.alias("value"))).coalesce(1).write.text(path)
-    return normalize.normalize(normalize.infer_numbers(read_csv(spark, path)), SourceConfig("csv", "bulk_csv"))
+    first = F.monotonically_increasing_id() % (1 << 33) == 0  # of each file: it begins with the names
+    head = F.when(first, F.lit("Acctbal,SuppKey#,Name\n")).otherwise("")
+    table(spark, sf_dir, "supplier").select(F.concat(head, short).alias("value")).write.text(path)
+    return normalize.normalize(normalize.infer_types(read_csv(spark, path)), SourceConfig("csv", "bulk_csv"))
 
 
 @query("""SELECT o_orderkey AS order_key, o_orderdate::DATE AS application_date, CASE WHEN o_orderkey > 100 THEN o_orderpriority END AS priority, year(o_orderdate)::INT AS year, 'pages' AS source_name FROM orders WHERE year(o_orderdate) >= 1997""")
 def json_pages_scan(spark, sf_dir):
     """Staged pages of records: types from all of them, the year window over parsed dates."""
-    path = _scratch(spark, "pages")
+    path = scratch(spark, "pages")
     priority = F.when(F.col("o_orderkey") > 100, F.col("o_orderpriority"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("Order Key"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Application Date"), priority.alias("PRIORITY"))
     rows.write.json(path)
@@ -329,10 +337,11 @@ def stratified_kfold_assign(spark, sf_dir):
 
 @query("""SELECT p_partkey, CASE WHEN p_size > 45 THEN -1e0 ELSE (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE END AS code FROM part""")
 def ordinal_encode(spark, sf_dir):
+    """The encoder of the models: fitted on all brands, some of which are replaced by one that it has not seen."""
     df = table(spark, sf_dir, "part")
-    brands = [r[0] for r in df.select("p_brand").distinct().collect()]  # categories: a model keeps them all anyhow
-    seen = df.withColumn("value", F.when(F.col("p_size") > 45, F.lit("unseen")).otherwise(F.col("p_brand")))
-    return ml.ordinal_encode(seen, "value", brands, "code").select("p_partkey", "code")
+    model = Pipeline(stages=ml.encoder(["p_brand"])).fit(df.select(F.col("p_brand").alias("f_p_brand")))
+    seen = df.select("p_partkey", F.when(F.col("p_size") > 45, F.lit("unseen")).otherwise(F.col("p_brand")).alias("f_p_brand"))
+    return model.transform(seen).select("p_partkey", F.col("o_p_brand").alias("code"))
 
 
 @query("""SELECT avg(o_totalprice) AS mean, stddev_pop(o_totalprice) AS std, count(*) AS n FROM orders""")
@@ -364,8 +373,9 @@ def row_count_status(spark, sf_dir):
 @query("""SELECT count_if(o_orderstatus = 'F')::BIGINT AS positives, count_if(o_orderstatus <> 'F')::BIGINT AS negatives,
     round(quantile_cont(o_totalprice, 0.5), 4) AS median, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders""")
 def class_balance(spark, sf_dir):
-    df = table(spark, sf_dir, "orders")
-    return df.agg(F.count_if(F.col("o_orderstatus") == "F").alias("positives"), F.count_if(F.col("o_orderstatus") != "F").alias("negatives"), F.round(F.percentile("o_totalprice", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90"))
+    df = table(spark, sf_dir, "orders").withColumn("done", S.label(F.col("o_orderstatus"), (["f"], 1), (["o", "p"], 0)))
+    found = ml.quantiles(df, "o_totalprice", {"median": 0.5, "p90": 0.9})
+    return ml.label_summary(df, "done").select("positives", "negatives", *[F.round(F.lit(x), 4).alias(c) for c, x in found.items()])
 
 
 _CLASSIFIER = ModelSpec("orders_done", "orders", "done", ("o_orderpriority", "c_mktsegment"), ("o_totalprice", "c_acctbal", "year"))
@@ -424,3 +434,141 @@ def importance_gain(spark, sf_dir):
 def importance_permutation(spark, sf_dir):
     df = _applications(spark, sf_dir)
     return ml.permutation_importance(ml.fit(df, _CLASSIFIER)[0], df, _CLASSIFIER)
+
+
+_SAVED = """SELECT count(*) AS n_rows, count_if(o_orderstatus IN ('F', 'O'))::BIGINT AS n_labelled, count(*) AS n_by_threshold, count(*) AS n_probabilities, 5::BIGINT AS n_features, 1e0 AS shares
+    FROM orders JOIN customer ON o_custkey = c_custkey"""
+
+
+@query(_SAVED)
+def saved_model(spark, sf_dir):
+    """A model trained, saved, loaded and applied: what can be said of its scores and shares without the model."""
+    df, folder, spec = _applications(spark, sf_dir), scratch(spark, "models"), _CLASSIFIER
+    n = models.train_model(df, spec, folder)
+    model = models.load_model(folder, spec.name)
+    scored = ml.predict(model, df, spec)
+    shares = ml.gain_importance(model, spec).agg(F.count("*").alias("n"), F.sum("importance_mean").alias("s")).first()
+    by_threshold = F.count_if(F.col("pred_done") == (F.col("prob_done") > 0.5).cast("bigint"))
+    counts = scored.agg(F.count("*").alias("n_rows"), by_threshold.alias("n_by_threshold"), F.count_if(F.col("prob_done").between(0, 1)).alias("n_probabilities"))
+    return counts.select("n_rows", F.lit(n).cast("long").alias("n_labelled"), "n_by_threshold", "n_probabilities", F.lit(shares.n).cast("long").alias("n_features"), F.lit(round(shares.s, 9)).alias("shares"))
+
+
+class _Portal:
+    """A portal that has a table's rows, as pages of records or as files."""
+
+    def __init__(self, resources: list[dict], records: list[dict] = (), files: dict[str, bytes] | None = None):
+        self.resources, self.records, self.files = resources, records, files or {}
+
+    def get_json(self, path, params):
+        if path == RECORDS:
+            return {"result": {"records": self.records[params["offset"] : params["offset"] + params["limit"]]}}
+        return {"result": {"resources": self.resources}}
+
+    def get_bytes(self, url):
+        return self.files[url]
+
+
+@query("""SELECT k AS supp_key, s_name AS name, s_nationkey::BIGINT AS name_2, d AS application_date, s_acctbal AS balance, coalesce(year(d), 0)::INT AS year, 'suppliers' AS source_name
+    FROM (SELECT *, s_suppkey::BIGINT AS k, CASE WHEN s_suppkey % 9 <> 0 THEN make_date((1990 + s_suppkey % 10)::INT, 3, 4) END AS d FROM supplier) WHERE d IS NULL OR year(d) >= 1995""")
+def portal_records(spark, sf_dir):
+    """A dataset fetched page by page: names, dates, year window and source name as ``sync`` stores them."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").collect()  # the portal's side
+    when = lambda k: None if k % 9 == 0 else f"{1990 + k % 10}-03-04"
+    records = [{"Supp Key#": r.s_suppkey, "NAME": r.s_name, "name": r.s_nationkey, "Application Date": when(r.s_suppkey), "Balance": r.s_acctbal} for r in rows]
+    portal = _Portal([{"id": "files"}, {"id": "rows", "datastore_active": True}], records)
+    return PortalSource(SourceConfig("suppliers", "datastore", 1995), portal, scratch(spark, "staging"), page=97).fetch(spark)
+
+
+@query("""SELECT CASE WHEN s_suppkey % 4 = 3 THEN 'S' ELSE '' END || s_suppkey AS supp_key, s_acctbal AS balance, s_suppkey % 3 = 0 AS flag, s_suppkey || 'D' AS unit,
+    CASE WHEN s_suppkey % 4 = 2 THEN s_name END AS name, 0::INT AS year, 'by_year' AS source_name FROM supplier WHERE s_suppkey % 4 > 0""")
+def portal_csv_years(spark, sf_dir):
+    """A dataset of a CSV a year: those from the start year on, whose columns and types differ."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").collect()  # the portal's side
+    files = {}
+    for y in range(4):
+        mine = [r for r in rows if r.s_suppkey % 4 == y]
+        lines = [f"{'S' * (y == 3)}{r.s_suppkey},{r.s_acctbal},{str(r.s_suppkey % 3 == 0).lower()},{r.s_suppkey}D" + (f',"{r.s_name}"' if y == 2 else "") for r in mine]
+        files[f"/{2018 + y}.csv"] = "\n".join(["Supp Key,Balance,FLAG,Unit" + ",Name" * (y == 2), *lines, ""]).encode()
+    resources = [{"name": f"Suppliers {2018 + y}", "format": "csv", "url": f"/{2018 + y}.csv"} for y in range(4)]
+    portal = _Portal([*resources, {"name": "Suppliers 2020", "format": "XML", "url": "/none"}, {"name": "Read me", "format": "CSV", "url": "/none"}], files=files)
+    return PortalSource(SourceConfig("by_year", "bulk_csv", 2019), portal, scratch(spark, "staging")).fetch(spark)
+
+
+@query("""SELECT count(*) AS written, count(*) AS counted, true AS changed, true AS gone FROM orders""")
+def stored_source(spark, sf_dir):
+    """A dataset written, counted and dated, and replaced by one without rows."""
+    folder = scratch(spark, "data")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    n, counted, at = write_source(df, "orders", folder), row_count(spark, "orders", folder), last_modified(spark, "orders", folder)
+    gone = write_source(df.limit(0), "orders", folder) == 0 and row_count(spark, "orders", folder) is None and last_modified(spark, "orders", folder) is None
+    return spark.createDataFrame([(n, counted, at is not None, gone)], "written long, counted long, changed boolean, gone boolean")
+
+
+@query("""SELECT o_orderkey, (o_custkey % 25)::VARCHAR AS ward_number, year(o_orderdate)::INT AS year_submitted, approved AS coa_approved,
+    CASE WHEN approved = 1 THEN CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderkey % 200 END END::INT AS coa_days_to_approval
+    FROM (SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 0 WHEN 3 THEN 0 END::TINYINT AS approved FROM orders)""")
+def enrich_committee(spark, sf_dir):
+    """Committee applications through the enrichment of the command line."""
+    folder, k = scratch(spark, "data"), F.col("o_orderkey")
+    words = F.array(*[F.lit(w) for w in (" Approved\t", "conditional approval", "Refused", "WITHDRAWN", "Deferred", None)])
+    final = F.when(k % 11 != 0, F.date_add(F.col("o_orderdate").cast("date"), (k % 200).cast("int")))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("ward"), F.col("o_orderdate").cast("date").alias("in_date"), final.alias("finaldate"), words[(k % 6).cast("int")].alias("c_of_a_descision"), F.year("o_orderdate").alias("year"))
+    write_source(df, "coa", folder)
+    enrich.enrich_coa(spark, folder)
+    return spark.read.parquet(f"{folder}/enriched/coa.parquet").select("o_orderkey", "ward_number", "year_submitted", "coa_approved", "coa_days_to_approval")
+
+
+_CITY = {
+    "RD": {"type": "Polygon", "coordinates": [[[-79.7, 43.62], [-79.3, 43.62], [-79.3, 43.8], [-79.7, 43.8], [-79.7, 43.62]], [[-79.6, 43.65], [-79.5, 43.65], [-79.5, 43.7], [-79.6, 43.7], [-79.6, 43.65]]]},
+    "CR": {"type": "MultiPolygon", "coordinates": [[[[-79.55, 43.6], [-79.1, 43.7], [-79.35, 43.88], [-79.55, 43.6]]], [[[-79.8, 43.81], [-79.72, 43.81], [-79.76, 43.87], [-79.8, 43.81]]]]},
+}
+_DISTRICT = {"1": {"type": "Polygon", "coordinates": [[[-79.5, 43.7], [-79.4, 43.7], [-79.4, 43.8], [-79.5, 43.8], [-79.5, 43.7]]]}}
+_PLAN = {"Midtown": {"type": "Polygon", "coordinates": [[[-79.45, 43.66], [-79.2, 43.68], [-79.25, 43.84], [-79.45, 43.66]]]}}
+
+
+def _shp(records: list[tuple[int, bytes]]) -> bytes:
+    body = b""
+    for k, (kind, data) in enumerate(records, 1):
+        body += struct.pack(">2i", k, (len(data) + 4) // 2) + struct.pack("<i", kind) + data
+    return bytes(100) + body
+
+
+def _zip(name: str, data: bytes) -> bytes:
+    with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
+        z.writestr(name, data)
+    return out.getvalue()
+
+
+def _in(zones: dict, name: str) -> str:
+    return f"{name}_e(zone, x1, y1, x2, y2) AS (VALUES {_edges(zones)}), {name} AS (SELECT k, min(zone) AS zone FROM (SELECT k, zone FROM p, {name}_e WHERE lon IS NOT NULL GROUP BY k, lon, lat, zone {_INSIDE}) GROUP BY k)"
+
+
+@query(f"""WITH {_lonlat_ctes("customer", "c_custkey", "p")}, {_lonlat_ctes("supplier", "s_suppkey", "r")}, {_in(_CITY, "z")}, {_in(_DISTRICT, "d")}, {_in(_PLAN, "q")},
+    n AS (SELECT DISTINCT p.k FROM p, r WHERE r.lon IS NOT NULL AND pow(p.lon - (r.lon + 1e-4), 2) + pow(p.lat - r.lat, 2) <= 2e-4 * 2e-4)
+    SELECT p.k AS c_custkey, z.zone AS zoning_class, (n.k IS NOT NULL)::INT AS in_heritage_register, (d.k IS NOT NULL)::INT AS in_heritage_district, q.zone AS secondary_plan_name,
+      (q.k IS NOT NULL)::INT AS in_secondary_plan, (p.k % 3 <> 0)::TINYINT AS has_community_meeting, CASE p.k % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 END::TINYINT AS dev_approved,
+      CASE p.k % 5 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 END::TINYINT AS dev_no_appeal, (2015 + p.k % 8)::INT AS year_submitted
+    FROM p LEFT JOIN z USING (k) LEFT JOIN d USING (k) LEFT JOIN q USING (k) LEFT JOIN n USING (k)""")
+def enrich_development(spark, sf_dir):
+    """Development applications through the enrichment of the command line: layers fetched from a portal, unpacked, read and joined."""
+    folder = scratch(spark, "data")
+    lon, lat = S.grid_to_lonlat(*map(S.number, _grid_text(F.col("s_suppkey"))))
+    register = table(spark, sf_dir, "supplier").select(lon.alias("lon"), lat.alias("lat")).where("lon is not null").collect()  # the portal's side
+    points = _shp([(1, struct.pack("<2d", r.lon + 1e-4, r.lat)) for r in register])
+    ring = [v for p in _DISTRICT["1"]["coordinates"][0] for v in p]
+    district = _shp([(5, struct.pack("<4d2i1i", 0, 0, 0, 0, 1, len(ring) // 2, 0) + struct.pack(f"<{len(ring)}d", *ring))])
+    quoted = lambda g: json.dumps(g).replace('"', '""')
+    zoning = "\n".join(["_id,ZN_ZONE,geometry", *(f'{k},{name},"{quoted(g)}"' for k, (name, g) in enumerate(_CITY.items())), ""])
+    plans = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"SECONDARY_PLAN_NAME": name}, "geometry": g} for name, g in _PLAN.items()]}
+    urls = layers.LAYER_URLS
+    files = {urls["zoning"]: zoning.encode(), urls["secondary_plans"]: json.dumps(plans).encode(), urls["heritage_register"]: _zip("a/points.shp", points), urls["heritage_districts"]: _zip("districts.shp", district)}
+    layers.fetch_layers(spark, f"{folder}/reference", _Portal([], files=files))
+    k = F.col("c_custkey")
+    x, y = _grid_text(k)
+    words = F.array(*[F.lit(w) for w in ("Closed", " refused", "OMB Approved", "Appeal Received", None)])
+    submitted = F.make_date((2015 + k % 8).cast("int"), F.lit(5), F.lit(6))
+    df = table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y"), words[(k % 5).cast("int")].alias("status"), submitted.alias("date_submitted"), F.when(k % 3 != 0, "").alias("community_meeting_date"), F.year(submitted).alias("year"))
+    write_source(df, "dev_applications", folder)
+    enrich.enrich_dev(spark, folder)
+    out = spark.read.parquet(f"{folder}/enriched/dev_applications.parquet")
+    return out.select("c_custkey", "zoning_class", "in_heritage_register", "in_heritage_district", "secondary_plan_name", "in_secondary_plan", "has_community_meeting", "dev_approved", "dev_no_appeal", "year_submitted")

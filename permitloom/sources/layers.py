@@ -1,4 +1,4 @@
-"""Reference layers: zoning CSV, shapefiles, GeoJSON, and their local cache."""
+"""Reference layers: zoning CSV, shapefiles, GeoJSON, and their cache beside the data."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import io
 import struct
 import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +13,25 @@ from pyspark.sql import functions as F
 
 from permitloom.config import LAYER_URLS, PORTAL
 from permitloom.operators.spatial import edges_of, parse_geojson
+from permitloom.operators.storage import exists, move
 from permitloom.sources.base import Client, HttpClient
-from permitloom.sources.portal import read_csv
+from permitloom.sources.portal import read_csv, write_text
 
 
-def fetch_layers(folder: str, client: Client | None = None) -> None:
-    """Download what is not there yet; archives are unpacked beside and moved into place whole."""
-    client, base = client or HttpClient(PORTAL), Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
+def fetch_layers(spark: SparkSession, folder: str, client: Client | None = None) -> None:
+    """Download what is not there yet, to any file system Spark knows; each layer appears under its name when it is whole."""
+    client = client or HttpClient(PORTAL)
     for name, target in (("zoning", "zoning.csv"), ("secondary_plans", "secondary_plans.geojson")):
-        if not (path := base / target).exists():
-            part = path.with_suffix(".part")
-            part.write_bytes(client.get_bytes(LAYER_URLS[name]))
-            part.rename(path)
+        if not exists(spark, path := f"{folder}/{target}"):
+            write_text(spark, f"{path}.part", iter([client.get_bytes(LAYER_URLS[name])]))
+            move(spark, f"{path}.part", path)
     for name in ("heritage_register", "heritage_districts"):
-        if not (path := base / name).exists():
-            part = base / f"{name}.part"
+        if not exists(spark, path := f"{folder}/{name}"):
             with zipfile.ZipFile(io.BytesIO(client.get_bytes(LAYER_URLS[name]))) as z:
-                z.extractall(part)
-            part.rename(path)
+                for member in z.infolist():
+                    if not member.is_dir() and ".." not in member.filename.split("/"):
+                        write_text(spark, f"{path}.part/{member.filename.lstrip('/')}", iter([z.read(member)]))
+            move(spark, f"{path}.part", path)
 
 
 def zoning(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
@@ -10,10 +11,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 from permitloom.config import PORTAL, SOURCE_CONFIGS, SourceConfig
-from permitloom.operators.normalize import diagonal_union, infer_numbers, normalize, year_window
+from permitloom.operators.normalize import diagonal_union, infer_types, normalize, year_window
 from permitloom.sources.base import Client, HttpClient
 
+# Fixed values of the portal: rows of a page, its request paths below, and how a file's name gives its year.
 PAGE = 32_000
+PACKAGE, RECORDS = "/api/3/action/package_show", "/api/3/action/datastore_search"
 _YEAR = re.compile(r"\b(20\d{2})\b")
 
 
@@ -32,8 +35,8 @@ def write_text(spark: SparkSession, path: str, parts: Iterator[bytes]) -> bool:
 class PortalSource:
     """One dataset; raw pages and files are staged as they are, then read by Spark."""
 
-    def __init__(self, config: SourceConfig, client: Client | None = None, staging: str | None = None):
-        self.config, self.name = config, config.dataset_id
+    def __init__(self, config: SourceConfig, client: Client | None = None, staging: str | None = None, page: int = PAGE):
+        self.config, self.name, self.page = config, config.dataset_id, page
         self.client = client or HttpClient(PORTAL)
         self.staging = staging
 
@@ -51,44 +54,52 @@ class PortalSource:
         base = self.staging or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
         return f"{base.rstrip('/')}/staging-{uuid.uuid4().hex}/{name}"
 
+    def _resources(self) -> list[dict]:
+        return self.client.get_json(PACKAGE, {"id": self.config.dataset_id})["result"]["resources"]
+
     def resource_id(self) -> str:
-        answer = self.client.get_json("/api/3/action/package_show", {"id": self.config.dataset_id})
-        for resource in answer["result"]["resources"]:
-            if resource.get("datastore_active"):
-                return str(resource["id"])
-        raise ValueError(f"{self.config.dataset_id} has no resource with an active datastore")
+        """The dataset's first resource that can be asked for records."""
+        ids = (str(r["id"]) for r in self._resources() if r.get("datastore_active"))
+        if (found := next(ids, None)) is None:
+            raise ValueError(f"{self.config.dataset_id} has no resource with an active datastore")
+        return found
 
     def pages(self) -> Iterator[list[dict]]:
         """Pages of records until an empty one."""
-        resource, offset = self.resource_id(), 0
-        while True:
-            page = self.client.get_json("/api/3/action/datastore_search", {"id": resource, "limit": PAGE, "offset": offset})["result"]["records"]
-            if not page:
+        resource = self.resource_id()
+        for k in itertools.count():
+            ask = {"id": resource, "limit": self.page, "offset": k * self.page}
+            if not (records := self.client.get_json(RECORDS, ask)["result"]["records"]):
                 return
-            yield page
-            offset += PAGE
+            yield records
 
     def _datastore(self, spark: SparkSession) -> DataFrame:
-        """One page is held at a time; types come from all records."""
+        """One page is held at a time; types come from all records.
+
+        Raw records are parsed once and kept as a table, which all later passes read.
+        """
         path = self._stage(spark, "records.json")
         lines = ("".join(json.dumps(r) + "\n" for r in page).encode() for page in self.pages())
-        return spark.read.json(path) if write_text(spark, path, lines) else spark.createDataFrame([], "")
+        return self._kept(spark.read.json(path)) if write_text(spark, path, lines) else spark.createDataFrame([], "")
+
+    def _kept(self, raw: DataFrame) -> DataFrame:
+        """The rows as a table, whose columns go by position: names may differ in case only."""
+        path = self._stage(raw.sparkSession, "table")
+        plain = raw.toDF(*[f"c{k}" for k in range(len(raw.columns))])
+        plain.write.parquet(path)
+        return raw.sparkSession.read.schema(plain.schema).parquet(path).toDF(*raw.columns)
 
     def csv_urls(self) -> list[str]:
         """CSV resources with a year from the start year on in their names."""
-        answer, urls = self.client.get_json("/api/3/action/package_show", {"id": self.config.dataset_id}), []
-        for resource in answer["result"]["resources"]:
-            year = _YEAR.search(resource.get("name") or "")
-            if (resource.get("format") or "").upper() == "CSV" and year and int(year[1]) >= self.config.year_start:
-                urls.append(resource["url"])
-        return urls
+        named = ((r, _YEAR.search(r.get("name") or "")) for r in self._resources() if (r.get("format") or "").upper() == "CSV")
+        return [r["url"] for r, year in named if year and int(year[1]) >= self.config.year_start]
 
     def _bulk_csv(self, spark: SparkSession) -> DataFrame:
         frames = []
         for k, url in enumerate(self.csv_urls()):
             path = self._stage(spark, f"{k}.csv")
             write_text(spark, path, iter([self.client.get_bytes(url)]))
-            frames.append(infer_numbers(read_csv(spark, path)))
+            frames.append(infer_types(self._kept(read_csv(spark, path))))
         return diagonal_union(frames) if frames else spark.createDataFrame([], "")
 
 

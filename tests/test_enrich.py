@@ -24,10 +24,13 @@ def test_feature_order():
 
 
 def test_coa_labels(spark):
-    rows = [(5, D(2022, 1, 15), D(2022, 4, 20), "Approved"), (10, D(2022, 3, 1), D(2022, 5, 15), "Refused"), (15, D(2022, 6, 10), None, "Deferred"), (20, D(2022, 9, 1), D(2022, 11, 30), "approved with conditions"), (1, D(2022, 1, 1), D(2021, 12, 30), " Approved\t "), (2, None, None, None)]
+    rows = [
+        (4, D(2023, 5, 2), D(2023, 5, 30), "Conditional Approval"), (6, D(2020, 2, 28), D(2020, 3, 1), "withdrawn"), (7, D(2024, 12, 31), None, "Adjourned"),
+        (8, D(2021, 7, 7), None, "approved on condition"), (1, D(2022, 1, 1), D(2021, 12, 30), " Approved\t "), (2, None, None, None),
+    ]
     df = enrich.label_coa(spark.createDataFrame(rows, "ward bigint, in_date date, finaldate date, c_of_a_descision string"))
     got = {r.ward_number: (r.coa_approved, r.coa_days_to_approval, r.year_submitted) for r in df.collect()}
-    assert got == {"5": (1, 95, 2022), "10": (0, None, 2022), "15": (None, None, 2022), "20": (1, 90, 2022), "1": (1, -2, 2022), "2": (None, None, None)}
+    assert got == {"4": (1, 28, 2023), "6": (0, None, 2020), "7": (None, None, 2024), "8": (1, None, 2021), "1": (1, -2, 2022), "2": (None, None, None)}
     assert dict(df.dtypes)["coa_approved"] == "tinyint"
 
 
@@ -57,9 +60,9 @@ PARTS = {"type": "MultiPolygon", "coordinates": [[[[3, 3], [6, 3], [6, 6], [3, 6
 def test_polygons(spark):
     polygons, _ = spatial.parse_geojson(F.col("g"))
     layer = spark.createDataFrame([("z", json.dumps(HOLED)), ("p", json.dumps(PARTS)), ("none", None), ("bad", "{}")], "name string, g string").select("name", spatial.edges_of(polygons).alias("edges"))
-    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 5.0, 1.0), (4, 3.5, 3.5), (5, 8.5, 8.5), (6, None, 1.0)], "rid int, lon double, lat double")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 5.0, 1.0), (4, 3.5, 3.5), (5, 8.5, 8.5), (6, None, 1.0), (7, 0.0, 2.0), (8, 1.0, 1.5), (9, 4.0, 4.0), (10, 2.0, 0.0), (11, 8.0, 8.0)], "rid int, lon double, lat double")
     for cell in (0.3, 1.0, 50.0):
-        assert sorted(map(tuple, spatial.within(points, layer, "name", cell=cell).collect())) == [(1, "z"), (4, "p"), (5, "p")]
+        assert sorted(map(tuple, spatial.within(points, layer, "name", cell=cell).collect())) == [(1, "z"), (4, "p"), (5, "p"), (9, "p")]  # a point on an edge is not inside
 
 
 def test_near_across_cells(spark):
@@ -100,7 +103,7 @@ def test_assembly_from_layers(spark, tmp_path):
     assert pick(got["3"]) == (None, 0, 0, None, 0, 1, None, 2022)
 
 
-def test_layers_are_fetched_once(tmp_path):
+def test_layers_are_fetched_once(spark, tmp_path):
     import io
     import zipfile
 
@@ -116,5 +119,5 @@ def test_layers_are_fetched_once(tmp_path):
             return b"id,geometry\n1,{}"
 
     for _ in range(2):
-        layers.fetch_layers(str(tmp_path), Client())
-    assert len(asked) == 4 and (tmp_path / "heritage_register" / "a.shp").exists()
+        layers.fetch_layers(spark, f"file://{tmp_path}/new", Client())
+    assert len(asked) == 4 and (tmp_path / "new" / "heritage_register" / "a.shp").exists() and not list((tmp_path / "new").glob("*.part"))

@@ -134,6 +134,23 @@ def test_stream_ingest(spark, tmp_path):
     assert run() == [("a", 2021), ("c", 0), ("d", 2022)]
 
 
-def test_infer_numbers_keeps_text(spark):
-    df = N.infer_numbers(spark.createDataFrame([("1", "1.5", "x", None)], "a string, b string, c string, d string"))
-    assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "string"] and df.select(F.col("b")).first().b == 1.5
+def test_infer_types(spark):
+    rows = [("1", "1.5", "x", None, "12D", "NaN", "true", "1e3", "007"), ("-2", "2.", "", None, "3F", "1", "False", ".5", "+8"), (None,) * 9]
+    df = N.infer_types(spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string, h string, i string"))
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "string", "string", "string", "string", "boolean", "double", "bigint"]
+    assert [tuple(r) for r in df.select("b", "g", "h", "i").collect()] == [(1.5, True, 1000.0, 7), (2.0, False, 0.5, 8), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("odd", ["3F", "12D", "12f", "1d", "NaN", "Infinity", "-inf", "0x1p3", "1_000", " 5", "5 ", "", "1e", "."])
+def test_no_numbers(spark, odd):
+    from permitloom.functions.scalars import number
+
+    df = spark.createDataFrame([(odd,), ("7",)], "v string")
+    assert N.infer_types(df).dtypes == [("v", "string")] and [r[0] for r in df.select(number(F.col("v"))).collect()] == [None, 7.0]
+
+
+def test_date_format_of_most_values(spark):
+    """One odd cell, wherever it stands, doesn't decide for the column."""
+    for values in (["2021-01-02", "31/12/2021", "30/11/2021"], ["31/12/2021", "2021-01-02", "30/11/2021"]):
+        df = N.parse_dates(spark.createDataFrame([(v,) for v in values], "the_date string"))
+        assert sorted(str(r[0]) for r in df.collect()) == ["2021-11-30", "2021-12-31", "None"]

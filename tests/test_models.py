@@ -81,7 +81,7 @@ def test_small_tables_give_constant_models(spark, tmp_path):
 def test_command_line(spark, data, tmp_path, capsys, monkeypatch):
     base = data[0]
     assert cli.main(["--data-dir", str(tmp_path), "sync", "--source", "nope"], spark) == 1
-    assert "Unknown source" in capsys.readouterr().out
+    assert "no source 'nope'" in capsys.readouterr().out
 
     class Good:
         def fetch(self, spark):
@@ -102,3 +102,24 @@ def test_command_line(spark, data, tmp_path, capsys, monkeypatch):
     assert cli.main(["--data-dir", base, "importance", "nope", "--model-dir", f"{base}/models"], spark) == 1
     assert cli.main(["--data-dir", str(tmp_path), "train"], spark) == 1
     assert cli.main(["--data-dir", str(tmp_path), "enrich", "--no-fetch-ref"], spark) == 0
+
+
+def test_missing_numbers_are_told_from_real_ones(spark):
+    """A null and a real -1 are two values to the trees."""
+    df = spark.createDataFrame([(-1 if k % 2 else None, k % 2, "a") for k in range(200)], "year_submitted int, coa_approved int, application_type string")
+    spec = MODELS["coa_approved"]
+    model, n = ml.fit(df, spec, 5)
+    rows = ml.predict(model, df, spec).collect()
+    assert n == 200 and all(r.pred_coa_approved == r.coa_approved for r in rows)
+    shares = {r.feature: r.importance_mean for r in ml.gain_importance(model, spec).collect()}
+    drops = {r.feature: r.importance_mean for r in ml.permutation_importance(model, df, spec, 2).collect()}
+    assert shares["year_submitted"] == 1 and drops["year_submitted"] > 0.2 and not any(drops[f] for f in spec.features if f != "year_submitted")
+
+
+def test_numbers_and_quantiles(spark):
+    df = spark.createDataFrame([(float(k),) for k in range(101)] + [(None,)], "x double").repartition(5)
+    rows = ml.numbered(df.orderBy("x"))
+    assert [r.x for r in rows.orderBy("row_number").collect()] == [None, *map(float, range(101))]
+    assert ml.quantiles(df, "x", {"a": 0.5, "b": 0.905, "c": 1.0, "d": 0.0}) == pytest.approx({"a": 50.0, "b": 90.5, "c": 100.0, "d": 0.0})
+    assert ml.quantiles(df.limit(0), "x", {"a": 0.5}) == {"a": None} and ml.numbered(df.limit(0)).count() == 0
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
