@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Edges are first contracted inside each partition, so what is shuffled is no more than a
-forest per partition.  Each round then needs joins and minima only; no node's neighbours
+Edges are first contracted inside each partition, ``CHUNK`` at a time, so what is shuffled is no
+more than a forest per chunk and what a task holds has that bound.  Each round then needs joins and minima only; no node's neighbours
 are ever held together, and a hub's rows can be split by a skewed join.  A round's
 edges are written to the shared folder, which cuts the lineage and outlives executors.
 """
@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import remove, scratch
+from permitloom.llm.common import forget, remove, scratch, written
 
 ROUNDS = 60
+CHUNK = 1 << 20
 
 
 class Forest:
@@ -42,13 +43,19 @@ class Forest:
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out() -> pa.RecordBatch:
+        nodes = list(forest.up)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["u", "v"])
+
     forest = Forest()
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             forest.join(a, b)
-    nodes = list(forest.up)
-    if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["u", "v"])
+            if len(forest.up) >= CHUNK:
+                yield out()
+                forest = Forest()
+    if forest.up:
+        yield out()
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -69,6 +76,14 @@ def _is_stars(e: DataFrame) -> bool:
     return bad.isEmpty()
 
 
+def components_table(edges: DataFrame) -> DataFrame:
+    """``connected_components`` as a table by itself, made by ``written``."""
+    found = connected_components(edges)
+    out = written(found, "components")
+    forget(found)
+    return out
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id``, ``component_id`` (the smallest reachable id) of every node that has an edge to another.
 
@@ -82,7 +97,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = spark.read.schema("u long, v long").parquet(path)
     for _ in range(ROUNDS):
         if _is_stars(e):
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+            out = e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
+            out.scratch_path = path
+            return out
         new = scratch(spark, "edges")
         _small_star(_large_star(e)).write.parquet(new)
         remove(spark, path)

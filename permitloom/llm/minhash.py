@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from permitloom.llm.common import byte_slices, coded, forget, out_batch, split_words, string, written
-from permitloom.llm.components import Forest, connected_components
+from permitloom.llm.components import Forest, components_table
 
 HASHES, ROWS, BATCH = 128, 4, 16
 BANDS = HASHES // ROWS
@@ -394,12 +394,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     found = written(_verify(best, texts, words, over, under), "links")
     tables, links = [links, found], links.unionByName(found)
-    comps = written(connected_components(links), "components")
+    comps = components_table(links)
     rest = _apart(stars.join(best, ["a", "b"], "left_anti"), comps)
     found = written(_verify(rest, texts, words, over, under), "links")
     forget(comps, stars, texts)
     tables, links = [*tables, found], links.unionByName(found)
-    comps = written(connected_components(links), "components")
+    comps = components_table(links)
 
     # Buckets that still hold several components, besides pairs with the smallest member alone.
     here = shared.where("size > 2").select("bucket", "row").join(comps.withColumnRenamed("id", "row"), "row", "left").join(full.select("row", "chars"), "row")
@@ -420,7 +420,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
         found = written(_compare_cells(dealt(promising.join(sigs, "row").join(texts, "row")), least, words, over, under), "links")
         forget(comps, texts)
         tables, links = [*tables, found], links.unionByName(found)
-        comps = written(connected_components(links), "components")
+        comps = components_table(links)
     forget(shared, promising, *tables)
 
     # A component's name is the smallest key in it.

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permitloom.llm.common import forget, list_parts, ragged, written
-from permitloom.llm.components import connected_components
+from permitloom.llm.components import components_table
 
 TABLES, WIDTH, PROBES = 12, 2, 3
 #: For more and more vectors of a label: width, tables in 64 dimensions, probes, and the share of tables that each doubling of the dimensions adds.
@@ -356,7 +356,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
     forget(coded, promising, labels)
 
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    comps = written(connected_components(links), "components")
+    comps = components_table(links)
     # A component's name is the smallest key in it.
     names = comps.join(classes.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name"))
     named = comps.join(names, "component_id").select(F.col("id").alias("rep"), "name")

@@ -317,4 +317,7 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
 def archive(pages: DataFrame, page: str = "page_id", url: str = "url", html: str = "html") -> tuple[str, list[dict]]:
     """Write archives and index of ``pages`` to a fresh folder: the folder and the index's ranges."""
     folder = scratch(pages.sparkSession, "warc")
-    return folder, write_index(write_archives(pages, folder, page, url, html), folder)
+    captures = write_archives(pages, folder, page, url, html)
+    ranges = write_index(captures, folder)
+    forget(captures)
+    return folder, ranges

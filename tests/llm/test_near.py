@@ -207,6 +207,37 @@ def test_components(spark, kind):
     assert got == {x: groups.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_contraction_in_chunks(monkeypatch):
+    """Forests of few nodes at a time join what one forest joins."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["u", "v"])
+    monkeypatch.setattr(components, "CHUNK", 9)
+    parts = list(components._contract(iter([batch])))
+    whole, again = Sets(range(200)), Sets(range(200))
+    for a, b in edges:
+        whole.join(a, b)
+    for a, b in (e for p in parts for e in zip(*(c.to_pylist() for c in p.columns), strict=True)):
+        again.join(a, b)
+    assert len(parts) > 5 and [whole.find(x) for x in range(200)] == [again.find(x) for x in range(200)]
+
+
+def test_small_and_large_cells_agree(monkeypatch):
+    """Pairs of cells compared many at once are those of cells compared one by one, some at a time."""
+    rng = np.random.default_rng(4)
+    cuts = np.concatenate([[0], np.cumsum(rng.integers(1, 30, 40))])
+    own, x = rng.random(cuts[-1]) < 0.5, rng.integers(0, 6, cuts[-1])
+    found = []
+    for small, pairs in ((64, 100_000), (64, 7), (1, 100_000), (10, 50)):
+        monkeypatch.setattr(vectors, "SMALL", small)
+        monkeypatch.setattr(vectors, "PAIRS", pairs)
+        got = vectors._pairs(cuts, np.zeros(cuts[-1], int), own, lambda a, b: x[a] == x[b], lambda f, o: x[f][:, None] == x[o][None, :])
+        found.append(sorted((i, j) for a, b in got for i, j in zip(a.tolist(), b.tolist(), strict=True)))
+    cell = np.searchsorted(cuts, np.arange(cuts[-1]), side="right")
+    want = [(i, j) for i in range(cuts[-1]) for j in range(i + 1, cuts[-1]) if cell[i] == cell[j] and x[i] == x[j] and (own[i] or own[j])]
+    assert all(f == want for f in found)
+
+
 def brute_vectors(rows, threshold=0.93):
     """Each row is a vector of its own."""
     links, groups = [0] * len(rows), Sets(range(len(rows)))
@@ -245,8 +276,6 @@ def test_vectors(spark, monkeypatch):
     for block in (vectors.BLOCK, 5):
         monkeypatch.setattr(vectors, "BLOCK", block)
         assert found_vectors(df) == want
-    monkeypatch.setattr(vectors, "SMALL", 1)
-    assert found_vectors(df) == want
     assert vectors.near_vectors(df.limit(0)).count() == 0
     for width, tables, probes, _ in vectors.SIZES[1:]:
         assert found_vectors(df, width=width, tables=tables, probes=probes) == want
