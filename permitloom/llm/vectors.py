@@ -9,7 +9,7 @@ among the other's probes.
 Vectors with equal components and label form a class and are compared once.  The rows of a
 bucket are compared in blocks, so a large bucket is many tasks and never all in one: first
 by ``BITS`` signs of another rotation, which rule out a pair at the threshold with a
-probability under 1e-10, then those that are left by products in double precision.  Each pair is
+probability under 1e-7, then those that are left by products in double precision.  Each pair is
 counted in the first bucket in which it meets, and a block gives a link count and a
 representative for each row rather than its pairs.
 
@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 
 from permitloom.llm.common import forget, list_parts, ragged, written
 from permitloom.llm.components import components_table
+from permitloom.llm.minhash import mix
 
 TABLES, WIDTH, PROBES = 12, 2, 3
 #: For more and more vectors of a label: width, tables in 64 dimensions, probes, and the share of tables that each doubling of the dimensions adds.
@@ -137,7 +138,7 @@ def signs(x: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate(parts, axis=1)[:, :BITS], axis=1).view(np.int64)
 
 
-def most_differing(threshold: float, miss: float = 1e-10) -> int:
+def most_differing(threshold: float, miss: float = 1e-7) -> int:
     """The most signs that may differ, so that a pair at the threshold goes with a probability under ``miss``."""
     p, tail, m = math.acos(max(-1.0, min(1.0, threshold))) / math.pi, 0.0, BITS
     while m > 0 and tail + (chance := math.comb(BITS, m) * p**m * (1 - p) ** (BITS - m)) < miss:
@@ -181,7 +182,7 @@ def _meets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
 
 
-CELL = ["lab", "place", "i", "j"]
+CELL = ["cell", "i", "j"]
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -259,7 +260,7 @@ def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole_cells(batches, rows):
-            place, side, ids, own, size = (np.asarray(t.column(c)) for c in ("place", "side", "rep", "own", "size"))
+            cell, side, ids, own, size, lab = (np.asarray(t.column(c)) for c in ("cell", "side", "rep", "own", "size", "lab"))
             x = _units(t.column("vec").combine_chunks(), dtype)
             code = np.asarray(t.column("codes").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), tables, probes)
             got = [np.zeros((2, 0), np.int64)]
@@ -267,10 +268,10 @@ def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows:
             for a, b in near:
                 # A pair is the cell's where it meets first; in one table it may meet in two.
                 ab, ba = _meets(code[a], code[b])
-                table, name = place[a] >> 31, place[a] & 0x7FFFFFFF
                 pick, first = np.arange(len(a)), (ab | ba).argmax(1)
-                here = np.minimum(np.where(ab[pick, table], code[a, table, 0], 1 << 62), np.where(ba[pick, table], code[b, table, 0], 1 << 62))
-                mine = (first == table) & (here == name)
+                none = np.iinfo(np.int64).max
+                here = np.minimum(np.where(ab[pick, first], code[a, first, 0], none), np.where(ba[pick, first], code[b, first, 0], none))
+                mine = (here == cell[a]) & (lab[a] == lab[b])
                 got.append(np.stack([a[mine], b[mine]]))
             i, j = np.concatenate(got, axis=1)
             if not len(i):
@@ -335,23 +336,27 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
                     at = np.nonzero(lengths == n)[0]
                     x = _units(batch.column("vec").take(pa.array(at)), dtype)
                     out[at], bits[at] = codes(x, tables, width, probes), signs(x)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * tables * probes), pa.array(out.ravel()))
+                # One number for label, table and name; negative where there is no bucket.
+                lab = mix(np.asarray(batch.column("lab")).view(np.uint64))[:, None, None]
+                cell = mix(lab ^ ((np.arange(tables, dtype=np.uint64) << np.uint64(31))[:, None] | np.maximum(out, 0).astype(np.uint64))) >> np.uint64(1)
+                cell = np.where(out < 0, out.astype(np.int64), cell.view(np.int64))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * tables * probes), pa.array(cell.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=[*batch.schema.names, "codes", "s1", "s2"])
 
-    coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<int>, s1 long, s2 long"), "codes")
-    light = coded.select("lab", "rep", "s1", "s2", F.posexplode("codes").alias("pos", "name")).where("name >= 0")
-    light = light.select("lab", F.expr(f"shiftleft(cast(pos div {probes} as bigint), 31) + name").alias("place"), "rep", (F.col("pos") % probes == 0).cast("long").alias("own"), "s1", "s2")
-    filled = light.groupBy("lab", "place").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own = 1").drop("any_own")
-    cells = light.join(filled, ["lab", "place"])
+    coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<long>, s1 long, s2 long"), "codes")
+    light = coded.select("rep", "s1", "s2", F.posexplode("codes").alias("pos", "cell")).where("cell >= 0")
+    light = light.select("cell", "rep", (F.col("pos") % probes == 0).alias("own"), "s1", "s2")
+    filled = light.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").drop("any_own")
+    cells = light.join(filled, "cell")
     cells = cells.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = (F.col("block") > F.col("to")).cast("int").alias("side")
-    cells = cells.select("lab", "place", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), side, "rep", (F.col("own") == 1).alias("own"), "s1", "s2")
+    cells = cells.select("cell", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), side, "rep", "own", "s1", "s2")
     dealt = lambda x: x.repartition(*CELL).sortWithinPartitions(*CELL)
-    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "lab long, place long, i int, j int, side int, rep long, own boolean")
+    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "cell long, i int, j int, side int, rep long, own boolean")
     promising = written(promising, "promising")
     step = max(64, STEP_BYTES // (8 * max(1, labels.agg(F.max("dim")).first()[0] or 1) // dtype.itemsize))
-    verified = dealt(promising.join(coded.select("rep", "size", "vec", "codes"), "rep"))
+    verified = dealt(promising.join(coded.select("rep", "lab", "size", "vec", "codes"), "rep"))
     links = written(verified.mapInArrow(_compare(threshold, dtype, tables, probes, step), "a long, b long, n long"), "links")
     forget(coded, promising, labels)
 
