@@ -58,9 +58,13 @@ SMALL, PAIRS = 64, 100_000
 STEP_BYTES = 8 << 20
 
 
+#: Radix of the Hadamard transform: a product with so small a matrix is faster than its butterflies.
+RADIX = 64
+
+
 @lru_cache
-def _butterfly(n: int) -> np.ndarray:
-    h = np.ones((1, 1))
+def _butterfly(n: int, dtype: np.dtype) -> np.ndarray:
+    h = np.ones((1, 1), dtype)
     while len(h) < n:
         h = np.block([[h, h], [h, -h]])
     return h
@@ -68,20 +72,21 @@ def _butterfly(n: int) -> np.ndarray:
 
 def _transform(x: np.ndarray) -> np.ndarray:
     rows, n = x.shape
-    if n <= 8:
-        return x @ _butterfly(n)
-    x = (x.reshape(-1, 8) @ _butterfly(8)).reshape(rows, n // 8, 8).transpose(0, 2, 1)
-    x = _transform(np.ascontiguousarray(x).reshape(rows * 8, n // 8))
-    return x.reshape(rows, 8, n // 8).transpose(0, 2, 1).reshape(rows, n)
+    if n <= RADIX:
+        return x @ _butterfly(n, x.dtype)
+    x = (x.reshape(-1, RADIX) @ _butterfly(RADIX, x.dtype)).reshape(rows, n // RADIX, RADIX).transpose(0, 2, 1)
+    x = _transform(np.ascontiguousarray(x).reshape(rows * RADIX, n // RADIX))
+    return x.reshape(rows, RADIX, n // RADIX).transpose(0, 2, 1).reshape(rows, n)
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row, in radix 8; the length is a power of two."""
-    return _transform(x) / np.sqrt(x.shape[1])
+    """The fast Walsh-Hadamard transform of each row, in radix ``RADIX``; the length is a power of two."""
+    return _transform(x) / math.sqrt(x.shape[1])
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(x), 1 << max(1, (x.shape[1] - 1).bit_length())))
+    """Rows of a power of two of components, in single precision: hashes need no more."""
+    out = np.zeros((len(x), 1 << max(1, (x.shape[1] - 1).bit_length())), np.float32)
     out[:, : x.shape[1]] = x
     return out
 
@@ -89,7 +94,7 @@ def _padded(x: np.ndarray) -> np.ndarray:
 def _rotated(padded: np.ndarray, *seed: int) -> np.ndarray:
     rng, y = np.random.Generator(np.random.PCG64([*seed, padded.shape[1]])), padded
     for _ in range(3):
-        y = hadamard(y * rng.choice([-1.0, 1.0], padded.shape[1]))
+        y = hadamard(y * rng.choice([-1.0, 1.0], padded.shape[1]).astype(padded.dtype))
     return y
 
 
