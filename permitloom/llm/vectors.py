@@ -7,7 +7,10 @@ ones, in order of the distance lost.  Two vectors meet in a bucket if it is one'
 among the other's probes.
 
 Vectors with equal components and label form a class and are compared once.  The rows of a
-bucket are compared in blocks, so a large bucket is many tasks and never all in one: first
+bucket of over ``BLOCK`` are compared in blocks, so a large bucket is many tasks and never all in
+one; such buckets are found by counting a sixteenth of the vectors, which decides how rows are dealt
+and not what is compared (one of twice that size is overlooked, and done by one task, with a chance
+of 1e-9).  Rows are compared first
 by ``BITS`` signs of another rotation, which rule out a pair at the threshold with a
 probability under 1e-7, then those that are left by products in double precision.  Each pair is
 counted in the first bucket in which it meets, and a block gives a link count and a
@@ -50,6 +53,8 @@ SIZES = [(2, 12, 3, 0.15), (3, 16, 6, 0.235), (4, 29, 6, 0.31)]
 AXES = 3
 #: Rows of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: A share of rows (one in so many) whose buckets are counted to find those to be cut into blocks, and the most such buckets that are broadcast.
+COUNTED, BROADCAST = 16, 100_000
 #: Signs that are compared before vectors are.
 BITS = 128
 #: Cells of at most so many rows are compared many at once, so many pairs at a time.
@@ -174,24 +179,25 @@ def _valid(dtype: np.dtype) -> Callable:
 
 def _units(vecs: pa.Array, dtype: np.dtype) -> np.ndarray:
     """Unit rows, filled with zeros where vectors are of different lengths."""
-    found = [np.frombuffer(v, dtype) for v in vecs.to_pylist()]
-    x = np.zeros((len(found), max(map(len, found))))
-    for k, v in enumerate(found):
-        x[k, : len(v)] = v
+    sizes = np.asarray(pc.binary_length(vecs)) // dtype.itemsize
+    first = np.frombuffer(vecs.buffers()[1], np.int32)[vecs.offset]
+    flat = np.frombuffer(vecs.buffers()[2], dtype, sizes.sum(), first)
+    x = np.zeros((len(sizes), sizes.max()))
+    x[np.arange(x.shape[1]) < sizes[:, None]] = flat
     x /= np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _meets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of pairs of code rows (pairs x tables x probes): whether a's own bucket is among b's, and b's among a's."""
-    return (a[:, :, :1] == b).any(2), (b[:, :, :1] == a).any(2)
-
-
-CELL = ["cell", "i", "j"]
+    ab, ba = a[:, :, 0] == b[:, :, 0], a[:, :, 0] == b[:, :, 0]
+    for k in range(1, a.shape[2]):
+        ab, ba = ab | (a[:, :, 0] == b[:, :, k]), ba | (b[:, :, 0] == a[:, :, k])
+    return ab, ba
 
 
 def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Some whole cells at a time, of rows sorted by cell, and where each begins; the last entry is the end."""
+    """Some whole cells at a time, of rows sorted by ``at``, and where each begins; the last entry is the end."""
     held = None
     parts = chain.from_iterable((b.slice(s, rows) for s in range(0, b.num_rows, rows)) for b in batches)
     for part in chain(parts, [None]):
@@ -208,8 +214,8 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple
 
 
 def _cuts(t: pa.Table) -> np.ndarray:
-    keys = np.stack([np.asarray(t.column(c)) for c in CELL])
-    return np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(0))[0] + 1, [t.num_rows]])
+    at = np.asarray(t.column("at"))
+    return np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1, [t.num_rows]])
 
 
 def _pairs(cuts: np.ndarray, side: np.ndarray, own: np.ndarray, some: Callable, cross: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -247,14 +253,15 @@ def _promising(limit: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole_cells(batches, 8192):
-            side, own = np.asarray(t.column("side")), np.asarray(t.column("own"))
+            who, side = np.asarray(t.column("who")), np.asarray(t.column("side"))
+            own = (who & 1).astype(bool)
             s1, s2 = (np.asarray(t.column(c)).view(np.uint64) for c in ("s1", "s2"))
             differ = lambda a, b: np.bitwise_count(s1[a] ^ s1[b]).astype(np.int16) + np.bitwise_count(s2[a] ^ s2[b])
             found = np.zeros(t.num_rows, bool)
             for a, b in _pairs(cuts, side, own, lambda a, b: differ(a, b) <= limit, lambda f, o: differ(f[:, None], o[None, :]) <= limit):
                 found[a] = found[b] = True
             if found.any():
-                kept = t.select([*CELL, "side", "rep", "own"]).filter(pa.array(found)).combine_chunks()
+                kept = t.select(["at", "cell", "side", "who"]).filter(pa.array(found)).combine_chunks()
                 yield from kept.to_batches()
 
     return run
@@ -265,7 +272,8 @@ def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole_cells(batches, rows):
-            cell, side, ids, own, size, lab = (np.asarray(t.column(c)) for c in ("cell", "side", "rep", "own", "size", "lab"))
+            cell, side, ids, who, size, lab = (np.asarray(t.column(c)) for c in ("cell", "side", "rep", "who", "size", "lab"))
+            own = (who & 1).astype(bool)
             x = _units(t.column("vec").combine_chunks(), dtype)
             code = np.asarray(t.column("codes").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), tables, probes)
             got = [np.zeros((2, 0), np.int64)]
@@ -276,7 +284,7 @@ def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows:
                 pick, first = np.arange(len(a)), (ab | ba).argmax(1)
                 none = np.iinfo(np.int64).max
                 here = np.minimum(np.where(ab[pick, first], code[a, first, 0], none), np.where(ba[pick, first], code[b, first, 0], none))
-                mine = (here == cell[a]) & (lab[a] == lab[b])
+                mine = (here == cell[a]) & (here == cell[b]) & (lab[a] == lab[b])
                 got.append(np.stack([a[mine], b[mine]]))
             i, j = np.concatenate(got, axis=1)
             if not len(i):
@@ -349,21 +357,31 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=[*batch.schema.names, "codes", "s1", "s2"])
 
     coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<long>, s1 long, s2 long"), "codes")
+    # A row of a bucket; ``who`` is the vector and, in its last bit, whether the bucket is its own.
+    who = F.shiftleft("rep", 1).bitwiseOR((F.col("pos") % probes == 0).cast("long")).alias("who")
     light = coded.select("rep", "s1", "s2", F.posexplode("codes").alias("pos", "cell")).where("cell >= 0")
-    light = light.select("cell", "rep", (F.col("pos") % probes == 0).alias("own"), "s1", "s2")
-    filled = light.groupBy("cell").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").drop("any_own")
-    cells = light.join(filled, "cell")
-    cells = cells.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = (F.col("block") > F.col("to")).cast("int").alias("side")
-    cells = cells.select("cell", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), side, "rep", "own", "s1", "s2")
-    dealt = lambda x: x.repartition(*CELL).sortWithinPartitions(*CELL)
-    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "cell long, i int, j int, side int, rep long, own boolean")
-    promising = written(promising, "promising")
+    light = light.select("cell", who, "s1", "s2")
+    counted = coded.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).select(F.explode("codes").alias("cell")).where("cell >= 0")
+    crowded = counted.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // COUNTED)
+    crowded = written(crowded.select("cell", F.ceil(F.col("n") * COUNTED / F.lit(BLOCK)).cast("int").alias("parts")), "crowded")
+    crowds = crowded.count()
+    if crowds:
+        light = light.join(F.broadcast(crowded) if crowds <= BROADCAST else crowded.hint("merge"), "cell", "left")
+        light = light.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("who"), F.col("parts")))
+        light = light.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
+        pair = F.least("block", "to") * F.col("parts") + F.greatest("block", "to")
+        at = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", pair))
+        cells = light.select(at.alias("at"), "cell", (F.col("block") > F.col("to")).cast("int").alias("side"), "who", "s1", "s2")
+    else:
+        cells = light.select(F.col("cell").alias("at"), "cell", F.lit(0).alias("side"), "who", "s1", "s2")
+    # One number as the key of a pair of blocks, so that rows are sorted by radix.
+    dealt = lambda x: x.repartition("at").sortWithinPartitions("at")
+    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "at long, cell long, side int, who long")
+    promising = written(promising.withColumn("rep", F.shiftright("who", 1)), "promising")
     step = max(64, STEP_BYTES // (8 * max(1, labels.agg(F.max("dim")).first()[0] or 1) // dtype.itemsize))
     verified = dealt(promising.join(coded.select("rep", "lab", "size", "vec", "codes"), "rep"))
     links = written(verified.mapInArrow(_compare(threshold, dtype, tables, probes, step), "a long, b long, n long"), "links")
-    forget(coded, promising, labels)
+    forget(coded, promising, labels, crowded)
 
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = components_table(links)
