@@ -160,7 +160,7 @@ def _valid(dtype: np.dtype) -> Callable:
     """row, id, label, vec (the components' bytes, or null where it links with nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 30
         for batch in batches:
             lists = batch.column("vec")
             offsets, values = list_parts(lists)
@@ -219,7 +219,7 @@ def _cuts(t: pa.Table) -> np.ndarray:
 
 
 def _pairs(cuts: np.ndarray, side: np.ndarray, own: np.ndarray, some: Callable, cross: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one cell, one at least in its own bucket, for which ``some(a, b)`` holds, or ``cross`` as a matrix."""
+    """Pairs of rows of one cell (of sides 1 and 2 if they are two blocks, all of side 0 if one), one at least in its own bucket, for which ``some(a, b)`` holds, or ``cross`` as a matrix."""
     sizes = np.diff(cuts)
     two = np.add.reduceat(side, cuts[:-1]) > 0
     few = (sizes <= SMALL) & ~two
@@ -237,7 +237,7 @@ def _pairs(cuts: np.ndarray, side: np.ndarray, own: np.ndarray, some: Callable,
         start = stop
     for s, e, both in zip(cuts[:-1][~few].tolist(), cuts[1:][~few].tolist(), two[~few].tolist(), strict=True):
         here = np.arange(s, e)
-        first, other = (here[side[s:e] == 0], here[side[s:e] == 1]) if both else (here, here)
+        first, other = (here[side[s:e] == 1], here[side[s:e] == 2]) if both else (here, here)
         for k in range(0, len(first), 256):
             f = first[k : k + 256]
             on = cross(f, other) & (own[f][:, None] | own[other][None, :])
@@ -248,21 +248,25 @@ def _pairs(cuts: np.ndarray, side: np.ndarray, own: np.ndarray, some: Callable,
                 yield f[a[c : c + PAIRS]], other[b[c : c + PAIRS]]
 
 
-def _promising(limit: int) -> Callable:
-    """The rows of cells that have a partner whose signs differ in at most ``limit`` places."""
+def _promising(limit: int, codes: int, probes: int) -> Callable:
+    """The rows of cells that have a partner whose signs differ in at most ``limit`` places.
+
+    A row's ``who`` is the vector, times ``codes``, plus the place of the cell in its codes, times 4, plus its side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole_cells(batches, 8192):
-            who, side = np.asarray(t.column("who")), np.asarray(t.column("side"))
-            own = (who & 1).astype(bool)
+            who = np.asarray(t.column("who"))
+            side, pos, ids = who & 3, (who >> 2) % codes, (who >> 2) // codes
+            own = pos % probes == 0
             s1, s2 = (np.asarray(t.column(c)).view(np.uint64) for c in ("s1", "s2"))
             differ = lambda a, b: np.bitwise_count(s1[a] ^ s1[b]).astype(np.int16) + np.bitwise_count(s2[a] ^ s2[b])
             found = np.zeros(t.num_rows, bool)
             for a, b in _pairs(cuts, side, own, lambda a, b: differ(a, b) <= limit, lambda f, o: differ(f[:, None], o[None, :]) <= limit):
                 found[a] = found[b] = True
             if found.any():
-                kept = t.select(["at", "cell", "side", "who"]).filter(pa.array(found)).combine_chunks()
-                yield from kept.to_batches()
+                columns = [np.asarray(t.column("at")), ids, pos, side]
+                yield pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns], names=["at", "rep", "pos", "side"])
 
     return run
 
@@ -272,10 +276,11 @@ def _compare(threshold: float, dtype: np.dtype, tables: int, probes: int, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, cuts in _whole_cells(batches, rows):
-            cell, side, ids, who, size, lab = (np.asarray(t.column(c)) for c in ("cell", "side", "rep", "who", "size", "lab"))
-            own = (who & 1).astype(bool)
+            pos, side, ids, size, lab = (np.asarray(t.column(c)) for c in ("pos", "side", "rep", "size", "lab"))
+            own = pos % probes == 0
             x = _units(t.column("vec").combine_chunks(), dtype)
             code = np.asarray(t.column("codes").combine_chunks().flatten(), dtype=np.int64).reshape(len(ids), tables, probes)
+            cell = code.reshape(len(ids), -1)[np.arange(len(ids)), pos]
             got = [np.zeros((2, 0), np.int64)]
             near = _pairs(cuts, side, own, lambda a, b: np.einsum("ij,ij->i", x[a], x[b]) >= threshold, lambda f, o: x[f] @ x[o].T >= threshold)
             for a, b in near:
@@ -357,27 +362,26 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=[*batch.schema.names, "codes", "s1", "s2"])
 
     coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<long>, s1 long, s2 long"), "codes")
-    # A row of a bucket; ``who`` is the vector and, in its last bit, whether the bucket is its own.
-    who = F.shiftleft("rep", 1).bitwiseOR((F.col("pos") % probes == 0).cast("long")).alias("who")
     light = coded.select("rep", "s1", "s2", F.posexplode("codes").alias("pos", "cell")).where("cell >= 0")
-    light = light.select("cell", who, "s1", "s2")
+    who = (F.col("rep") * (tables * probes) + F.col("pos")) * 4
     counted = coded.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).select(F.explode("codes").alias("cell")).where("cell >= 0")
     crowded = counted.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK // COUNTED)
     crowded = written(crowded.select("cell", F.ceil(F.col("n") * COUNTED / F.lit(BLOCK)).cast("int").alias("parts")), "crowded")
     crowds = crowded.count()
     if crowds:
         light = light.join(F.broadcast(crowded) if crowds <= BROADCAST else crowded.hint("merge"), "cell", "left")
-        light = light.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("who"), F.col("parts")))
+        light = light.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")))
         light = light.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - F.lit(1).cast("long"))))
         pair = F.least("block", "to") * F.col("parts") + F.greatest("block", "to")
+        side = F.when(F.col("block") == F.col("to"), 0).when(F.col("block") < F.col("to"), 1).otherwise(2)
         at = F.when(F.col("parts") == 1, F.col("cell")).otherwise(F.xxhash64("cell", pair))
-        cells = light.select(at.alias("at"), "cell", (F.col("block") > F.col("to")).cast("int").alias("side"), "who", "s1", "s2")
+        cells = light.select(at.alias("at"), (who + side).alias("who"), "s1", "s2")
     else:
-        cells = light.select(F.col("cell").alias("at"), "cell", F.lit(0).alias("side"), "who", "s1", "s2")
+        cells = light.select(F.col("cell").alias("at"), who.alias("who"), "s1", "s2")
     # One number as the key of a pair of blocks, so that rows are sorted by radix.
     dealt = lambda x: x.repartition("at").sortWithinPartitions("at")
-    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold)), "at long, cell long, side int, who long")
-    promising = written(promising.withColumn("rep", F.shiftright("who", 1)), "promising")
+    promising = dealt(cells).mapInArrow(_promising(most_differing(threshold), tables * probes, probes), "at long, rep long, pos long, side long")
+    promising = written(promising, "promising")
     step = max(64, STEP_BYTES // (8 * max(1, labels.agg(F.max("dim")).first()[0] or 1) // dtype.itemsize))
     verified = dealt(promising.join(coded.select("rep", "lab", "size", "vec", "codes"), "rep"))
     links = written(verified.mapInArrow(_compare(threshold, dtype, tables, probes, step), "a long, b long, n long"), "links")
