@@ -342,7 +342,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
     classes = written(valid.groupBy("lab", "vec").agg(first, F.count("*").alias("size")).select("lab", "vec", F.col("first.row").alias("rep"), F.col("first.id").alias("rep_id"), "size"), "classes")
     copies = written(classes.where("size > 1").select("lab", "vec", "rep"), "copies")
     members = written(valid.join(copies, ["lab", "vec"]).where("row != rep").select("row", "rep"), "members")
-    forget(copies)
+    keys = written(rows.select("row", "id"), "keys")
+    forget(copies, rows)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -361,7 +362,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1, dtype=np.int32) * tables * probes), pa.array(cell.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, flat, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], names=[*batch.schema.names, "codes", "s1", "s2"])
 
-    coded = written(classes.select("lab", "rep", "size", "vec").mapInArrow(code, "lab long, rep long, size long, vec binary, codes array<long>, s1 long, s2 long"), "codes")
+    coded = written(classes.select("lab", "rep", "rep_id", "size", "vec").mapInArrow(code, "lab long, rep long, rep_id long, size long, vec binary, codes array<long>, s1 long, s2 long"), "codes")
+    forget(classes)
     light = coded.select("rep", "s1", "s2", F.posexplode("codes").alias("pos", "cell")).where("cell >= 0")
     who = (F.col("rep") * (tables * probes) + F.col("pos")) * 4
     counted = coded.where(F.pmod(F.xxhash64("rep"), F.lit(COUNTED)) == 0).select(F.explode("codes").alias("cell")).where("cell >= 0")
@@ -385,16 +387,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
     step = max(64, STEP_BYTES // (8 * max(1, labels.agg(F.max("dim")).first()[0] or 1) // dtype.itemsize))
     verified = dealt(promising.join(coded.select("rep", "lab", "size", "vec", "codes"), "rep"))
     links = written(verified.mapInArrow(_compare(threshold, dtype, tables, probes, step), "a long, b long, n long"), "links")
-    forget(coded, promising, labels, crowded)
+    forget(promising, labels, crowded)
 
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = components_table(links)
     # A component's name is the smallest key in it.
-    names = comps.join(classes.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name"))
+    names = comps.join(coded.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name"))
     named = comps.join(names, "component_id").select(F.col("id").alias("rep"), "name")
-    results = classes.select("rep", "rep_id", "size").join(counts, "rep", "left").join(named, "rep", "left")
+    results = coded.select("rep", "rep_id", "size").join(counts, "rep", "left").join(named, "rep", "left")
     results = written(results.select("rep", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "rep_id").alias("component_id")), "results")
-    forget(links, comps, classes)
-    out = rows.select("row", "id").join(members, "row", "left").withColumn("rep", F.coalesce("rep", "row")).join(results, "rep", "left")
+    forget(links, comps, coded)
+    out = keys.join(members, "row", "left").withColumn("rep", F.coalesce("rep", "row")).join(results, "rep", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
