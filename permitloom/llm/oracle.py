@@ -48,3 +48,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum({around} + length(role) + length({escaped}))::BIGINT AS formatted_chars,
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' ELSE false END) AS valid
 FROM u GROUP BY conv_id"""
+
+
+def _assigned(n: int) -> str:
+    """a<n>: each part's entry of the codebook b<n>, and the distance."""
+    return f"""d{n} AS (SELECT r, part, min({{'d': list_sum(list_transform(list_zip(y, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': e}}) AS m
+  FROM p JOIN b{n} USING (part) GROUP BY r, part), a{n} AS (SELECT r, part, m.d AS d, m.e AS e FROM d{n})"""
+
+
+def _means(n: int) -> str:
+    """b<n + 1>: the floored means of the parts, or the entry before where it has none."""
+    return f"""t{n} AS (SELECT part, e, j, sum(y[j])::BIGINT AS s, count(*) AS n FROM a{n} JOIN p USING (r, part), range(1, len(y) + 1) u(j) GROUP BY part, e, j),
+u{n} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM t{n} GROUP BY part, e),
+b{n + 1} AS (SELECT part, e, coalesce(u.c, b.c) AS c FROM b{n} b LEFT JOIN u{n} u USING (part, e))"""
+
+
+OP13 = f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+p AS (SELECT r, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS y FROM k, range(16) q(part)),
+b0 AS (SELECT part, r - 1 AS e, y AS c FROM p WHERE r <= 64),
+{_assigned(0)},
+{_means(0)},
+{_assigned(1)},
+{_means(1)},
+{_assigned(2)},
+f AS (SELECT r, string_agg(format('{{:02x}}', e), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY r),
+h AS (SELECT sha256(string_agg(z::VARCHAR, ',' ORDER BY part, e, j)) AS codebooks_sha256 FROM (SELECT part, e, unnest(c) AS z, unnest(range(1, len(c) + 1)) AS j FROM b2))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN f USING (r), h"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import chat, decontaminate, langid, minhash, oracle, pieces, quality, token_counts, token_files, vectors, warc
+from permitloom.llm import chat, codes, decontaminate, langid, minhash, oracle, pieces, quality, token_counts, token_files, vectors, warc
 from permitloom.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,12 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_chats(rows), "chats"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = codes.with_label_errors(found.codes)
+    return rows.select(F.col("key").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(found.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "op13_codes": op13_codes,
 }
 
 _T = chat.TURNS
@@ -92,4 +99,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": oracle.OP5,
     "op9_minhash": oracle.OP9,
     "op10_chat": oracle.op10(_T.all_controls(), chat.MARK, len(_T.before) + len(_T.between) + len(_T.after)),
+    "op13_codes": oracle.OP13,
 }
