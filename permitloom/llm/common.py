@@ -11,7 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step holds at once; one longer text is a step of its own.
 SLICE_BYTES = 2 << 20
@@ -62,6 +63,11 @@ def forget(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.scratch_path)
 
 
+def valid_text(text: Column) -> Column:
+    """The text with U+FFFD for bytes that are no UTF-8, which Arrow and Python would refuse."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def byte_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds at most ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:

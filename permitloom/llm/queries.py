@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import chat, codes, decontaminate, langid, minhash, oracle, pieces, quality, token_counts, token_files, vectors, warc
+from permitloom.llm import chat, codes, decontaminate, langid, minhash, oracle, packing, pieces, quality, token_counts, token_files, vectors, warc
 from permitloom.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_chats(rows), "chats"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, digest=True)
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = codes.compress(table(spark, sf_dir, "embeddings"))
     rows = codes.with_label_errors(found.codes)
@@ -90,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "op12_packing": op12_packing,
     "op13_codes": op13_codes,
 }
 
