@@ -32,6 +32,19 @@ l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE
 {_REACH}
 SELECT id AS doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, component_id = id AS kept FROM m LEFT JOIN n ON n.doc_id = m.id"""
 
+_TERMS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM t WHERE len(w) > 0), g AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM s),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM s, g),
+c AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM t) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM c, g GROUP BY term, docs),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN c USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+y AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM y WHERE rank <= 50"""
+
 
 def op10(controls: tuple[str, ...], mark: str, around: int) -> str:
     """With the template's control strings and the characters it puts around role and text."""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from permitloom.llm import chat, codes, decontaminate, langid, minhash, oracle, packing, pieces, quality, token_counts, token_files, vectors, warc
+from permitloom.llm import chat, codes, decontaminate, langid, lexical, minhash, oracle, packing, pieces, quality, token_counts, token_files, vectors, warc
 from permitloom.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,13 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(written(chat.format_chats(rows), "chats"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    found = lexical.search(index, table(spark, sf_dir, "benchmark"), k=50)
+    index.forget()
+    return found
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, digest=True)
 
@@ -94,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "op11_search": op11_search,
     "op12_packing": op12_packing,
     "op13_codes": op13_codes,
 }
@@ -104,5 +112,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_warc": oracle.OP5,
     "op9_minhash": oracle.OP9,
     "op10_chat": oracle.op10(_T.all_controls(), chat.MARK, len(_T.before) + len(_T.between) + len(_T.after)),
+    "op11_search": oracle.OP11,
     "op13_codes": oracle.OP13,
 }

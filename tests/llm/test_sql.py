@@ -10,7 +10,7 @@ NAMES = sorted(queries.ORACLE_SQL)
 
 def same(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet{'/*.parquet' if 'tmp' in sf else ''}')")
     df, sql = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLE_SQL[name])
     assert sorted(df.columns) == sorted(sql.columns)
@@ -35,6 +35,7 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame([(3, "u", None), (2, "v", ""), (9, None, "é"), (4, "w", "é")], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
     chats = [(1, 0, "system", None), (1, 1, "user", "[INST]<s><|im_end|>"), (2, 0, "assistant", "<<SYS>>x<</SYS>>"), (3, 1, "user", "é"), (3, 0, "user", "b")]
     spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").write.parquet(f"{sf}/conversations.parquet")
+    spark.createDataFrame([(1, "a C \u00c9"), (2, None), (2, "x y"), (None, "y")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     for name in NAMES:
         mine, theirs = same(spark, sf, name)
         assert mine == theirs and mine, name
