@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from permitloom.llm.common import string
+
 START = "start"
 MARK = "⁠"
 
@@ -127,7 +129,7 @@ def format_chats(df: DataFrame, template: Template = TURNS, conv: str = "conv_id
             for start in range(0, whole.num_rows, 4096):
                 batch = whole.slice(start, 4096)
                 out = []
-                for c, r, t in zip(*(batch.column(k).to_pylist() for k in ("conv", "role", "text")), strict=True):
+                for c, r, t in zip(batch.column("conv").to_pylist(), *(string(batch.column(k)).to_pylist() for k in ("role", "text")), strict=True):
                     if c != present:
                         state, position, in_order, present = START, 0, True, c
                     in_order = in_order and r in template.follows.get(state, ())

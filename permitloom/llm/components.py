@@ -2,8 +2,9 @@
 
 Edges are first contracted inside each partition, ``CHUNK`` at a time, so what is shuffled is no
 more than a forest per chunk and what a task holds has that bound.  Each round then needs joins and minima only; no node's neighbours
-are ever held together, and a hub's rows can be split by a skewed join.  A round's
-edges are written to the shared folder, which cuts the lineage and outlives executors.
+are ever held together.  The minima are tables of their own: their join with the edges has a plain
+exchange on both sides, so that a hub's rows are split as a skewed join's.  A round's
+edges are written to the shared folder too, which cuts the lineage and outlives executors.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 from permitloom.llm.common import forget, remove, scratch, written
 
-ROUNDS = 60
 CHUNK = 1 << 20
 
 
@@ -58,16 +58,17 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's edges, and the table of minima that they are made from."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    least = written(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     rest = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def _is_stars(e: DataFrame) -> bool:
@@ -95,13 +96,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     path = scratch(spark, "edges")
     e.mapInArrow(_contract, "u long, v long").distinct().write.parquet(path)
     e = spark.read.schema("u long, v long").parquet(path)
-    for _ in range(ROUNDS):
+    while True:  # each round brings every node nearer to its smallest
         if _is_stars(e):
             out = e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())
             out.scratch_path = path
             return out
-        new = scratch(spark, "edges")
-        _small_star(_large_star(e)).write.parquet(new)
-        remove(spark, path)
-        path, e = new, spark.read.schema("u long, v long").parquet(new)
-    raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
+        for step in (_large_star, _small_star):
+            new = scratch(spark, "edges")
+            edges, least = step(e)
+            edges.write.parquet(new)
+            forget(least)
+            remove(spark, path)
+            path, e = new, spark.read.schema("u long, v long").parquet(new)

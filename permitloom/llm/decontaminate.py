@@ -9,7 +9,8 @@ item is laid along the document without gaps, its words against the document's,
 * else those that agree and lie in ``RUN`` (8) words in a row of which ``AGREE`` (7) agree.
 
 A document is contaminated by an item if all such alignments cover at least min(13, 80 %)
-different words of it.  Items of fewer than ``LEAST`` (5) words never count.
+different words of it.  An item of fewer than ``LEAST`` (5) words contaminates the documents that it is the whole of:
+its words, and no others, looked up by a hash of them all.
 
 The four masks miss none of these.  They find five words of which four agree, whichever
 the fifth is.  An item of n words with 80 % in place differs in n // 5 at most, so of its n // 5
@@ -93,6 +94,17 @@ def _windows(ids: np.ndarray, rows: np.ndarray, number: int) -> tuple[np.ndarray
     return at, _keys(ids, at, number)
 
 
+def _whole_keys(ids: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where texts of fewer words than an item is looked for in begin, and the hashes of all their words."""
+    on = np.nonzero((n > 0) & (n < LEAST))[0]
+    h = _FACTORS[48 + n[on]]
+    for k in range(LEAST - 1):
+        more = n[on] > k
+        h[more] = (h[more] ^ ids[starts[on[more]] + k]) * _FACTORS[56 + k]
+        h ^= h >> np.uint64(29)
+    return starts[on], h
+
+
 @dataclass
 class Items:
     """Items as flat word numbers."""
@@ -163,7 +175,8 @@ class Verdicts:
         pair, words = np.unique(self.covered // self.most, return_counts=True)
         row, item = np.divmod(pair, max(1, len(self.items.sizes)))
         n = self.items.sizes[item]
-        on = (words >= _need(n)) & (n >= LEAST)
+        # A shorter item counts where it is the whole document.
+        on = (words >= _need(n)) & ((n >= LEAST) | (n == self.offsets[row + 1] - self.offsets[row]))
         return list(zip(*(x[on].tolist() for x in (row, item, words, self.best[2], self.best[3])), strict=True))
 
 
@@ -177,6 +190,7 @@ class Block:
     places: np.ndarray
     bits: np.ndarray
     shift: int
+    short: dict
 
     @staticmethod
     def of(items: list[tuple[object, str]]) -> Block:
@@ -189,7 +203,10 @@ class Block:
         wide = min(26, max(16, (32 * len(keys)).bit_length()))
         seen = np.zeros(1 << wide, bool)
         seen[(keys >> np.uint64(64 - wide)).astype(np.int64)] = True
-        return Block([k for k, _ in items], found, keys[order], at[order], np.packbits(seen), 64 - wide)
+        short: dict[tuple[int, ...], list[int]] = {}
+        for k in np.nonzero((found.sizes > 0) & (found.sizes < LEAST))[0].tolist():
+            short.setdefault(tuple(found.ids[found.starts[k] : found.starts[k] + found.sizes[k]].tolist()), []).append(k)
+        return Block([k for k, _ in items], found, keys[order], at[order], np.packbits(seen), 64 - wide, short)
 
     def overlaps(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(row, item, words covered, length of the best alignment's cover, where it starts) of contaminated rows."""
@@ -222,6 +239,11 @@ class Block:
             pair, lined = np.divmod(np.unique((rows[where] * len(self.items.sizes) + item) * wide + lined), wide)
             verdicts.add(*np.divmod(pair, len(self.items.sizes)), lined - verdicts.most)
             start = stop
+        if self.short:
+            n = np.diff(offsets)
+            whole = [(r, k) for r in np.nonzero((n > 0) & (n < LEAST))[0].tolist() for k in self.short.get(tuple(ids[offsets[r] : offsets[r + 1]].tolist()), ())]
+            r, k = np.array(whole, np.int64).reshape(-1, 2).T
+            verdicts.add(r, k, offsets[r])
         return verdicts.found()
 
 
@@ -284,6 +306,8 @@ def _joined(texts: DataFrame, benchmark: DataFrame, item_key: str, item_text: st
             for k in range(len(MASKS)):
                 at, h = _windows(hashes, rows, k)
                 at, h = at[n[rows[at]] >= LEAST], h[n[rows[at]] >= LEAST]
+                if k == 0:
+                    at, h = (np.concatenate(x) for x in zip((at, h), _whole_keys(hashes, starts, n), strict=True))
                 r = rows[at]
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(names[r]), pa.array(at - starts[r]), pa.array(n[r])], names=["h", "item", "place", "words"])
 
@@ -300,6 +324,8 @@ def _joined(texts: DataFrame, benchmark: DataFrame, item_key: str, item_text: st
             starts = np.cumsum(n) - n
             for k in range(len(MASKS)):
                 at, h = _windows(hashes, rows, k)
+                if k == 0:
+                    at, h = (np.concatenate(x) for x in zip((at, h), _whole_keys(hashes, starts, n), strict=True))
                 f = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
                 maybe = (bits.value[f >> 3] >> (7 - (f & 7)).astype(np.uint8)) & 1 > 0
                 at, h = at[maybe], h[maybe]

@@ -81,15 +81,17 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Steps:
     """A hash table from (state, symbol) to the next state, asked for many at once.
 
-    An entry is one number of key and value, so a look takes one access.
+    An entry is one number of key and value, so a look takes one access; where they don't fit (hundreds
+    of languages), values are in an array of their own.
     """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.low = int(values.max(initial=1)).bit_length()
+        self.apart = None
         if int(keys.max(initial=1)).bit_length() + self.low > 63:
-            raise ValueError("too many states for the table: learn fewer languages or symbols")
+            self.apart, self.low, values, own = np.zeros(1 << bits, values.dtype), 0, 0, values
         self.entries = np.full(1 << bits, -1, np.int64)
         todo, slot, entries = np.arange(len(keys)), self._slot(keys), (keys << self.low) | values
         while len(todo):
@@ -97,6 +99,8 @@ class Steps:
             self.entries[slot[todo[free]]] = entries[todo[free]]  # of several, one stays
             todo = todo[self.entries[slot[todo]] != entries[todo]]
             slot[todo] = (slot[todo] + 1) & self.mask
+        if self.apart is not None:
+            self.apart[slot] = own
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
@@ -112,7 +116,8 @@ class Steps:
             have = self.entries[slot[rest]]
             out[rest] = have
             rest = rest[((have >> self.low) != keys[rest]) & (have >= 0)]
-        return np.where(out < 0, -1, out & ((1 << self.low) - 1)).reshape(shape)
+        value = out & ((1 << self.low) - 1) if self.apart is None else self.apart[slot]
+        return np.where(out < 0, -1, value).reshape(shape)
 
 
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -377,13 +377,15 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
 
     # Rows of one key are one document, so their classes belong together.
     nodes = sets.where("id is not null").select("row", "id").join(members.select("row", "rep"), "row", "left").select("id", F.coalesce("rep", "row").alias("node"))
-    several = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z" if by_key else "false").select("id", "a")
+    # Here and below, what is grouped by a key is a table before it is joined on it, so that a hot key's rows are split.
+    several = written(nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z" if by_key else "false").select("id", "a"), "several")
     links = written(nodes.join(several, "id").where("node != a").select("a", F.col("node").alias("b")).distinct(), "links")
 
     reps = full.select("row", "sig").join(members.select("row"), "row", "left_anti")
     bands = _bands(reps)
-    buckets = bands.groupBy("bucket").agg(F.min("row").alias("a"), F.count("*").alias("size")).where("size > 1")
-    shared = written(bands.join(buckets, "bucket").select("bucket", "a", "row", "size"), "buckets")
+    buckets = written(bands.groupBy("bucket").agg(F.min("row").alias("a"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = written(bands.join(buckets, "bucket").select("bucket", "a", "row", "size"), "shared")
+    forget(several, buckets)
     sigs = full.select("row", "sig")
 
     stars = shared.where("a != row").select("a", F.col("row").alias("b")).distinct()
@@ -425,7 +427,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
 
     # A component's name is the smallest key in it.
     own = F.struct("id", "mark")
-    names = comps.join(sets.select(F.col("row").alias("id"), own.alias("own")), "id").groupBy("component_id").agg(F.min("own").alias("name"))
+    names = written(comps.join(sets.select(F.col("row").alias("id"), own.alias("own")), "id").groupBy("component_id").agg(F.min("own").alias("name")), "names")
     out = sets.select("row", "id", "mark", "n").join(members.select("row", "rep", "first"), "row", "left")
     out = out.select("id", "mark", "n", F.coalesce("rep", "row").alias("node"), F.coalesce("first", own).alias("alone"))
     out = out.join(comps.withColumnRenamed("id", "node"), "node", "left").join(names, "component_id", "left")

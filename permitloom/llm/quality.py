@@ -190,7 +190,8 @@ def assess(df: DataFrame, classifier: Classifier, host: Column, path: Column, te
     k_host = _strength(hosts.withColumn("within", inside("host_q", "host_s", "host_n")), "host_n", "host_s", F.lit(rate))
     both = paths.where("__host is not null").join(hosts, "__host")
     k_path = _strength(both.where("__path is not null").withColumn("within", inside("q", "s", "n")), "n", "s", F.col("host_s") / F.col("host_n"))
-    sites = both.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), *(F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s")))
+    # As a table, so that a hot site's documents are split as a skewed join's key.
+    sites = written(both.select(F.col("__host").alias("__h"), F.col("__path").alias("__q"), *(F.col(c).alias(f"__{c}") for c in ("n", "s", "host_n", "host_s"))), "rates")
     out = scored.join(sites, (F.col("__host") == F.col("__h")) & F.col("__path").eqNullSafe(F.col("__q")), "left")
     own, n, total_s, host_n, host_s = (F.col(c) for c in ("__p", "__n", "__s", "__host_n", "__host_s"))
     host_rate = F.when(host_n.isNull(), F.lit(rate)).otherwise((k_host * rate + host_s - own) / (k_host + host_n - 1))

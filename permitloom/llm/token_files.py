@@ -32,13 +32,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitloom.llm import simple8b
-from permitloom.llm.common import PART_CHARS, apart, byte_slices, coded, list_parts, out_batch, part_sums, ragged, scratch, string
+from permitloom.llm.common import PART_CHARS, apart, byte_slices, coded, file_system, list_parts, out_batch, part_sums, ragged, scratch, string
 
 MAGIC = b"PLS8B\x00\x01\n"
 #: Distinct words, and their ids, that a worker keeps; beyond either it forgets those that came up once.
@@ -144,7 +143,7 @@ class ShardWriter:
     """Writes one shard, a file of this attempt alone."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, base = pafs.FileSystem.from_uri(folder)
+        self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
         self.path = f"{base}/{name}-{uuid.uuid4().hex}.s8b"
         self.out = self.fs.open_output_stream(self.path, compression=None)
@@ -192,7 +191,7 @@ class ShardReader:
     """Documents of one shard; blocks are fetched by offset and decoded many at a time."""
 
     def __init__(self, folder: str, path: str):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         tail = self.file.read_at(24 + len(MAGIC), size - 24 - len(MAGIC))

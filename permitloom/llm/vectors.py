@@ -156,12 +156,22 @@ def most_differing(threshold: float, miss: float = 1e-7) -> int:
     return m
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``STEP_BYTES`` of components, one row at least."""
+    for whole in batches:
+        begin, at = 8 * list_parts(whole.column("vec"))[0], 0
+        while at < whole.num_rows:
+            stop = max(at + 1, int(np.searchsorted(begin, begin[at] + STEP_BYTES, side="right")) - 1)
+            yield whole.slice(at, stop - at)
+            at = stop
+
+
 def _valid(dtype: np.dtype) -> Callable:
     """row, id, label, vec (the components' bytes, or null where it links with nothing)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 30
-        for batch in batches:
+        for batch in _parts(batches):
             lists = batch.column("vec")
             offsets, values = list_parts(lists)
             data = np.ascontiguousarray(np.asarray(values.fill_null(np.nan) if values.null_count else values, dtype=dtype))
@@ -391,12 +401,12 @@ def near_vectors(df: DataFrame, threshold: float = 0.93, vector: str = "embeddin
 
     counts = links.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comps = components_table(links)
-    # A component's name is the smallest key in it.
-    names = comps.join(coded.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name"))
+    # A component's name is the smallest key in it; as a table, so that a large component's rows are split.
+    names = written(comps.join(coded.select(F.col("rep").alias("id"), "rep_id"), "id").groupBy("component_id").agg(F.min("rep_id").alias("name")), "names")
     named = comps.join(names, "component_id").select(F.col("id").alias("rep"), "name")
     results = coded.select("rep", "rep_id", "size").join(counts, "rep", "left").join(named, "rep", "left")
     results = written(results.select("rep", (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("name", "rep_id").alias("component_id")), "results")
-    forget(links, comps, coded)
+    forget(links, comps, names, coded)
     out = keys.join(members, "row", "left").withColumn("rep", F.coalesce("rep", "row")).join(results, "rep", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -36,12 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from permitloom.llm.common import forget, scratch, written
+from permitloom.llm.common import file_system, forget, scratch, written
 
 LINES = 1000
 LEVEL = 4
@@ -118,7 +117,7 @@ class _File:
     """A file in the shared folder, of this attempt alone."""
 
     def __init__(self, folder: str, kind: str, ending: str):
-        fs, base = pafs.FileSystem.from_uri(folder)
+        fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
         self.path = f"{base}/{kind}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{ending}"
         self._out = fs.open_output_stream(self.path, compression=None)
@@ -141,7 +140,8 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
     """Write the archives; returns the captures, a row per record (a table in the shared folder)."""
     rows = pages.select(F.coalesce(F.col(page).cast("long"), F.lit(NO_ID)).alias("page_id"), F.make_valid_utf8(F.coalesce(url, F.lit(""))).alias("url"), F.coalesce(html, F.lit("")).cast("binary").alias("html"))
     light = written(rows.select("page_id", "url", payload_digest(F.col("html")).alias("digest")), "digests")
-    groups = light.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # As a table, so that a payload that many pages share is split as a skewed join's key.
+    groups = written(light.groupBy("digest").agg(F.min_by(F.struct("page_id", "url"), "page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "groups")
     # Only copies of another page are marked; a page's payload goes to one place, by its unique id.
     copies = light.join(groups, "digest").where("page_id != first.page_id").dropDuplicates(["page_id", "digest"]).select(F.col("digest").alias("of"), "page_id", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
     rows = rows.withColumn("digest", payload_digest(F.col("html")))
@@ -165,7 +165,7 @@ def write_archives(pages: DataFrame, folder: str, page: str = "page_id", url: st
             out.close()
 
     captures = written(marked.mapInArrow(run, CAPTURES), "captures")
-    forget(light)
+    forget(light, groups)
     return captures
 
 
@@ -211,7 +211,7 @@ class IndexFile:
     """Lookups in one index file: directory in memory, the last block kept."""
 
     def __init__(self, folder: str, path: str):
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = file_system(folder)
         self.file = fs.open_input_file(path)
         size = self.file.size()
         at, length = np.frombuffer(self.file.read_at(_TAIL, size - _TAIL), "<u8").tolist()
@@ -296,7 +296,7 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
                 found = []
                 for name, at, size in zip(*(whole.slice(start, 512).column(k).to_pylist() for k in range(3)), strict=True):
                     if name != path:
-                        fs, _ = pafs.FileSystem.from_uri(folder)
+                        fs, _ = file_system(folder)
                         path, file, held, begin = name, fs.open_input_file(name), b"", 0
                     if not begin <= at <= at + size <= begin + len(held):
                         held, begin = file.read_at(max(size, READ_AHEAD), at), at

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from permitloom.llm import components, minhash, queries, vectors
+from permitloom.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -207,6 +208,24 @@ def test_components(spark, kind):
     assert got == {x: groups.find(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_hubs_are_split(spark):
+    """The final plans of both steps deal a hub's rows to several tasks."""
+    edges = spark.range(20_000).select((F.col("id") + 1).alias("u"), F.lit(0).cast("long").alias("v")).unionByName(spark.range(3000).select((F.col("id") * 2 + 50_001).alias("u"), (F.col("id") * 2 + 50_000).alias("v")))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.shuffle.partitions": "8", "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        turned = written(edges.select(F.col("v").alias("u"), F.col("u").alias("v")).repartition(8), "edges")
+        for step, e in ((components._large_star, turned), (components._small_star, turned)):
+            out, _ = step(e)
+            out.collect()
+            assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_contraction_in_chunks(monkeypatch):
     """Forests of few nodes at a time join what one forest joins."""
     rng = random.Random(2)

@@ -6,6 +6,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from permitloom.llm import decontaminate, langid
+from permitloom.llm.common import written
 
 SF = "/root/testdata/sf0.01"
 
@@ -14,7 +15,7 @@ def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, kept = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).cache()
+        docs = written(stage(spark, docs, SF), "stage")
         assert docs.columns == columns
         kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -55,7 +56,7 @@ def test_odd_rows(spark, tmp_path):
     folder = copy_of(spark, tmp_path / "odd", both)
     stage, kept = both, {}
     for name, f in corpus_pipeline.STAGES[:-1]:
-        stage = f(spark, stage, folder).cache()
+        stage = written(f(spark, stage, folder), "stage")
         assert stage.columns == both.columns and stage.where(" or ".join(f"cast(`{n}` as string) != 'mine {n}'" for n in names)).isEmpty()
         kept[name] = [(r.doc_id, r.text) for r in stage.collect()]
     before, found = kept["language id"], kept["minhash near-dedup"]

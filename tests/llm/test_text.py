@@ -84,10 +84,11 @@ def test_large_benchmark(spark, monkeypatch):
     rng = random.Random(5)
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [(9000 + n, " ".join(words(rng, n))) for n in (3, 5, 7, 9, 10, 14)] + [(9100, None), (9101, ""), (9000, "twice " * 9), (9000, "twice " * 9)]
-    texts = [(None, f"a b {items[1][1]} c"), (None, None), (70, items[4][1]), (70, items[4][1]), (71, items[5][1].replace(" ", " odd ", 1)), (72, items[3][1] + " x"), (73, "twice " * 30)]
+    texts = [(None, f"a b {items[1][1]} c"), (None, None), (70, items[4][1]), (70, items[4][1]), (71, items[5][1].replace(" ", " odd ", 1)), (72, items[3][1] + " x"), (73, "twice " * 30), (74, f"{items[0][1].upper()}!"), (75, f"{items[0][1]} more")]
     bench = bench.select("item_id", "text").unionByName(spark.createDataFrame(items, "item_id long, text string"))
     docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame(texts, "doc_id long, text string")).withColumn("m1", F.lit("clash"))
     whole = sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str)
+    assert [r[1:] for r in whole if r[0] in (74, 75)] == [(9003, 3, 3, 3, 0)]
     left = sorted(map(tuple, decontaminate.clean(docs, bench).collect()), key=str)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
     assert sorted(map(tuple, decontaminate.contamination(docs, bench).collect()), key=str) == whole and len(whole) > 8
@@ -113,7 +114,7 @@ def test_random_substitutions():
 
 
 def test_short_items():
-    """Copies of items of 5 to 10 words with as many words changed, or cut off by the text's ends, as 80 % allows; 4 words never count."""
+    """Copies of items of 5 to 10 words with as many words changed, or cut off by the text's ends, as 80 % allows; 4 words count where they are the whole text."""
     rng = random.Random(7)
     texts, want = [], set()
     items = [words(rng, n) for n in (4, 5, 6, 7, 8, 9, 10)]
@@ -125,7 +126,7 @@ def test_short_items():
             cut = " ".join([w for k, w in enumerate(x) if k not in gone])
             edge = gone in ({0}, {n - 1}, {0, 1}, {n - 1, n - 2}, {0, n - 1})
             for t in [" ".join([*words(rng, 9), *copy, *words(rng, 9)]), " ".join(copy), *([cut] if edge else [])]:
-                if len(gone) <= other and n > 4:
+                if len(gone) <= other and (n > 4 or len(t.split()) == n):
                     want.add((len(texts), i, n - len(gone)))
                 texts.append(t)
     block = decontaminate.Block.of([(k, " ".join(x)) for k, x in enumerate(items)])
@@ -240,6 +241,16 @@ def test_steps():
     table = langid.Steps(keys, np.arange(len(keys)))
     assert (table(keys) == np.arange(len(keys))).all() and (table(keys[:100].reshape(10, 10)) == np.arange(100).reshape(10, 10)).all()
     assert (table(np.setdiff1d(np.arange(5000), keys)) == -1).all()
+    wide = langid.Steps(keys << 20, np.arange(len(keys)) << 20)  # too wide for one number
+    assert wide.apart is not None and (wide(keys << 20) == np.arange(len(keys)) << 20).all() and (wide(keys) == -1).all()
+
+
+def test_many_languages():
+    """A thousand languages with ten thousand letters."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 10_000)]
+    samples = {f"l{k:04}": ["".join(letters[(k * 10 + j) % 10_000] for j in range(30))] for k in range(1000)}
+    found = langid.Languages.of(samples).predict(pa.array([samples["l0007"][0], samples["l0500"][0]]))
+    assert list(found[0]) == ["l0007", "l0500"]
 
 
 def test_languages(spark):
