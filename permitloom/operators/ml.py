@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import SQLTransformer, StringIndexer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from permitloom.config import ModelSpec
+from permitloom.operators import boosting
+from permitloom.operators.boosting import Boosted
 from permitloom.operators.scratch import forget, stored
+from permitloom.operators.storage import read_text, write_text
 
 MISSING = "__missing__"
-NO_NUMBER = -1.0
-TREES, STEP, DEPTH, LEAF, BINS, SEED = 100, 0.1, 5, 20, 255, 42
+TREES, SEED = 100, 42
 
 
 def with_missing_columns(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -31,35 +34,61 @@ def with_missing_columns(df: DataFrame, spec: ModelSpec) -> DataFrame:
 
 
 def fill_features(df: DataFrame, spec: ModelSpec) -> DataFrame:
-    """Categories as text with a word for null; numbers as double, with a flag for null.
+    """Categories as text with a word for null, as f_ columns; numbers as double, in which NaN is null: trees have a way for it."""
+    filled = {f"f_{c}": F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.cat_cols}
+    return df.withColumns(filled | {f"f_{c}": F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in spec.num_cols})
 
-    Trees here take no null: it becomes -1, and the flag tells it from a real -1.
-    """
-    plain = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in spec.num_cols}
-    filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in spec.cat_cols}
-    filled |= {c: F.coalesce(v, F.lit(NO_NUMBER)) for c, v in plain.items()}
-    return df.withColumns({f"f_{c}": v for c, v in filled.items()} | {f"m_{c}": v.isNull().cast("double") for c, v in plain.items()})
 
+def inputs(spec: ModelSpec) -> list[str]:
+    """The columns that ``fill_features`` adds."""
+    return [f"f_{c}" for c in spec.features]
 
-def inputs(spec: ModelSpec, feature: str | None = None) -> list[str]:
-    """The columns that ``fill_features`` adds, of one feature or of all."""
-    return [f"f_{c}" for c in spec.features if feature in (None, c)] + [f"m_{c}" for c in spec.num_cols if feature in (None, c)]
 
+class Fitted:
+    """The encoder of the categories, and boosted trees over their codes and the numbers."""
 
-def pipeline(spec: ModelSpec, trees: int = TREES) -> Pipeline:
-    """Sorted ordinal codes (-1: unseen), then numbers, then boosted trees.
+    def __init__(self, encoder: PipelineModel, trees: Boosted, cat_cols: list[str], num_cols: list[str]):
+        self.encoder, self.trees, self.cat_cols, self.num_cols = encoder, trees, list(cat_cols), list(num_cols)
+
+    def encoded(self, filled: DataFrame) -> DataFrame:
+        """x: the codes and the numbers, in the order of the features."""
+        return with_x(self.encoder.transform(filled), self.cat_cols, self.num_cols)
+
+    def transform(self, filled: DataFrame) -> DataFrame:
+        """raw, prediction, and of a classifier probability (of class 1)."""
+        out = self.encoded(filled)
+        out = out.withColumn("raw", self.trees.column(F.col("x")))
+        if self.trees.regression:
+            return out.withColumn("prediction", F.col("raw"))
+        return out.withColumn("prediction", (F.col("raw") > 0).cast("double")).withColumn("probability", 1 / (1 + F.exp(-F.col("raw"))))
+
+    def save(self, path: str) -> None:
+        """Replaces what was there."""
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        about = {"cat_cols": self.cat_cols, "num_cols": self.num_cols, "model": json.loads(self.trees.to_json())}
+        write_text(SparkSession.active(), f"{path}/trees.json", iter([json.dumps(about).encode()]))
+
+    @staticmethod
+    def load(path: str) -> Fitted:
+        about = json.loads(read_text(SparkSession.active(), f"{path}/trees.json"))
+        return Fitted(PipelineModel.load(f"{path}/encoder"), Boosted.from_json(json.dumps(about["model"])), about["cat_cols"], about["num_cols"])
 
-    The codes pass through an expression that drops their nominal metadata, so trees split
-    them as ordered numbers.
-    """
-    assemble = VectorAssembler(inputCols=[*[f"o_{c}" for c in spec.cat_cols], *[f"f_{c}" for c in spec.num_cols], *[f"m_{c}" for c in spec.num_cols]], outputCol="features")
-    common = {"featuresCol": "features", "labelCol": "label", "maxIter": trees, "stepSize": STEP, "maxDepth": DEPTH, "minInstancesPerNode": LEAF, "maxBins": BINS, "seed": SEED}
-    trees_stage = GBTRegressor(lossType="squared", **common) if spec.regression else GBTClassifier(**common)
-    return Pipeline(stages=[*encoder(list(spec.cat_cols)), assemble, trees_stage])
+
+def with_x(df: DataFrame, cat_cols: list[str], num_cols: list[str]) -> DataFrame:
+    return df.withColumn("x", F.array(*[F.col(f"o_{c}") for c in cat_cols], *[F.col(f"f_{c}") for c in num_cols]).cast("array<double>"))
+
+
+def fit_frame(frame: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[Fitted, int]:
+    """The model fitted on label and filled features: sorted ordinal codes (-1: unseen), then numbers, then trees; and the number of rows."""
+    codes = Pipeline(stages=encoder(list(spec.cat_cols))).fit(frame)
+    boosted, n = boosting.fit(with_x(codes.transform(frame), spec.cat_cols, spec.num_cols), len(spec.features), spec.regression, trees)
+    return Fitted(codes, boosted, spec.cat_cols, spec.num_cols), n
 
 
 def encoder(cats: list[str]) -> list:
     """Stages that give each f_ column's place among the sorted values that were fitted as o_, -1 for others."""
+    if not cats:
+        return []
     index = StringIndexer(inputCols=[f"f_{c}" for c in cats], outputCols=[f"i_{c}" for c in cats], stringOrderType="alphabetAsc", handleInvalid="keep")
     return [index, _Codes(cats)]
 
@@ -88,23 +117,19 @@ def training_frame(df: DataFrame, spec: ModelSpec) -> DataFrame:
     return fill_features(df, spec).withColumn("label", F.col(spec.label).cast("double"))
 
 
-def fit(df: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[PipelineModel, int]:
+def fit(df: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[Fitted, int]:
     """The fitted model, and the number of rows it saw."""
-    frame = training_frame(df, spec).select("label", *inputs(spec)).cache()
-    try:
-        return pipeline(spec, trees).fit(frame), frame.count()
-    finally:
-        frame.unpersist()
+    return fit_frame(training_frame(df, spec).select("label", *inputs(spec)), spec, trees)
 
 
-def predict(model: PipelineModel, df: DataFrame, spec: ModelSpec) -> DataFrame:
+def predict(model: Fitted, df: DataFrame, spec: ModelSpec) -> DataFrame:
     """``df`` with pred_<label>, and for a classifier prob_<label> (of class 1); all rows, labelled or not."""
     kept = df.columns
     out = model.transform(fill_features(with_missing_columns(df, spec), spec))
     pred = F.col("prediction") if spec.regression else F.col("prediction").cast("bigint")
     columns = [pred.alias(f"pred_{spec.label}")]
     if not spec.regression:
-        columns.append(F.element_at(vector_to_array("probability"), 2).alias(f"prob_{spec.label}"))
+        columns.append(F.col("probability").alias(f"prob_{spec.label}"))
     return out.select(*kept, *columns)
 
 
@@ -147,7 +172,7 @@ def evaluate(df: DataFrame, spec: ModelSpec, order: Column, k: int = 3, trees: i
             n, kinds = seen.get(fold, (0, 0))
             if not n or total == n or (kinds < 2 and not spec.regression):
                 continue
-            model = pipeline(spec, trees).fit(frame.where(F.col("fold") != fold))
+            model, _ = fit_frame(frame.where(F.col("fold") != fold), spec, trees)
             scores.append(metric(model.transform(frame.where(F.col("fold") == fold)), spec))
         scores = [s for s in scores if not math.isnan(s)]
         mean = sum(scores) / len(scores) if scores else math.nan
@@ -161,42 +186,81 @@ def metric(predicted: DataFrame, spec: ModelSpec) -> float:
     """Exact ROC AUC of a classifier, R squared of a regressor."""
     if spec.regression:
         return RegressionEvaluator(metricName="r2").evaluate(predicted)
-    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(predicted)
-
-
-def gain_importance(model: PipelineModel, spec: ModelSpec) -> DataFrame:
-    """Summed split gains (weighted by rows) over all trees, at least 0, as shares of their sum; spread 0."""
-    rows, of = [0.0] * len(spec.features), [*range(len(spec.features)), *range(len(spec.cat_cols), len(spec.features))]  # a flag's gains are its number's
-    for tree in model.stages[-1].trees:
-        stack = [tree._java_obj.rootNode()]  # noqa: SLF001
-        while stack:
-            node = stack.pop()
-            if node.getClass().getSimpleName() == "InternalNode":
-                rows[of[node.split().featureIndex()]] += max(0.0, node.gain()) * node.impurityStats().count()
-                stack += [node.leftChild(), node.rightChild()]
-    total = sum(rows)
-    data = [(f, g / total if total else 0.0, 0.0) for f, g in zip(spec.features, rows, strict=True)]
+    return BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0, rawPredictionCol="raw").evaluate(predicted)
+
+
+def gain_importance(model: Fitted, spec: ModelSpec) -> DataFrame:
+    """Summed split gains over all trees, at least 0, as shares of their sum; spread 0."""
+    gains = model.trees.gains(len(spec.features)).tolist()
+    total = sum(gains)
+    data = [(f, g / total if total else 0.0, 0.0) for f, g in zip(spec.features, gains, strict=True)]
     return ranked(SparkSession.active().createDataFrame(data, "feature string, importance_mean double, importance_std double"))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, spec: ModelSpec, repeats: int = 10) -> DataFrame:
+def _dealt_scores(trees: Boosted, features: int) -> Callable:
+    """Of each row a row per feature: its score with that feature's value from the partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            label = batch.column("label")
+            x, d = boosting.matrix(batch.column("x")), boosting.matrix(batch.column("d"))
+            for f in range(features):
+                mixed = x.copy()
+                mixed[:, f] = d[:, f]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f)), label, pa.array(trees.raw(mixed))], names=["feature", "label", "raw"])
+
+    return run
+
+
+def grouped_metric(scores: DataFrame, regression: bool) -> dict[int, float]:
+    """Exact ROC AUC or R squared of each feature's rows (feature, label, raw); not a number where there is none.
+
+    For the AUC, rows are counted by score, and the counts sorted by range partitions; each partition adds the
+    negatives below it.  No partition, and no feature's rows, need to be in one task.
+    """
+    if regression:
+        y, p = F.col("label"), F.col("raw")
+        sums = scores.groupBy("feature").agg(F.sum((y - p) ** 2).alias("rest"), (F.var_pop("label") * F.count("*")).alias("all"))
+        return {r.feature: 1 - r.rest / r["all"] if r["all"] else math.nan for r in sums.collect()}
+    counts = scores.groupBy("feature", "raw").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n"))
+    table = stored(counts.repartitionByRange("feature", "raw").withColumn("part", F.spark_partition_id()), "ranked")
+    below, out, offsets = {}, {}, []
+    totals = table.groupBy("part", "feature").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).collect()
+    for r in sorted(totals, key=lambda r: (r.feature, r.part)):
+        offsets.append((r.part, r.feature, below.get(r.feature, (0, 0))[1]))
+        p, n = below.get(r.feature, (0, 0))
+        below[r.feature] = (p + r.p, n + r.n)
+    shift = table.sparkSession.createDataFrame(offsets or [(0, 0, 0)], "part int, feature long, shift long")  # a row for each partition and feature
+    here = Window.partitionBy("part", "feature").orderBy("raw").rowsBetween(Window.unboundedPreceding, -1)
+    rows = table.withColumn("under", F.coalesce(F.sum("n").over(here), F.lit(0))).join(F.broadcast(shift), ["part", "feature"])
+    for r in rows.groupBy("feature").agg(F.sum(F.col("p") * (F.col("shift") + F.col("under") + F.col("n") / 2)).alias("s")).collect():
+        p, n = below[r.feature]
+        out[r.feature] = r.s / (p * n) if p and n else math.nan
+    forget(table)
+    return out
+
+
+def permutation_importance(model: Fitted, df: DataFrame, spec: ModelSpec, repeats: int = 10, first: Column | None = None, dealt: Callable[[int], Column] | None = None) -> DataFrame:
     """Mean and population spread of the metric's drop when one feature's values are dealt out anew.
 
-    A repeat numbers the rows in a random order once, and pairs that order with the first one; each
-    feature in turn then takes its values (and its null flags) from the partner row.
+    A repeat numbers the rows in a random order (or by ``dealt``) once and pairs that order with the first one; one pass then
+    scores every row once for each feature, with that feature's value from the partner, and one
+    aggregate ranks all features' scores.
     """
-    frame = training_frame(df, spec).select("label", *inputs(spec))
-    fixed = numbered(frame)
-    base = metric(model.transform(fixed), spec)
+    frame = training_frame(df, spec)
+    rows = model.encoded(frame.withColumns({f"deal{k}": dealt(k) for k in range(repeats)} if dealt else {}))
+    rows = rows.orderBy(first) if first is not None else rows
+    fixed = numbered(rows.select("label", "x", *([f"deal{k}" for k in range(repeats)] if dealt else [])))
+    whole = fixed.select(F.lit(0).cast("long").alias("feature"), "label", model.trees.column(F.col("x")).alias("raw"))
+    base = grouped_metric(whole, spec.regression).get(0, math.nan)
     drops: dict[str, list[float]] = {f: [] for f in spec.features}
     for k in range(repeats):
-        dealt = numbered(fixed.select(*[F.col(c).alias(f"d_{c}") for c in inputs(spec)]).orderBy(F.rand(SEED + k)))
-        paired = stored(fixed.join(dealt, "row_number"), "dealt")
-        for f in spec.features:
-            mine = set(inputs(spec, f))
-            anew = paired.select("label", *[F.col(f"d_{c}" if c in mine else c).alias(c) for c in inputs(spec)])
-            drops[f].append(base - metric(model.transform(anew), spec))
-        forget(dealt, paired)
+        other = numbered(fixed.select(F.col("x").alias("d"), *([f"deal{k}"] if dealt else [])).orderBy(F.col(f"deal{k}") if dealt else F.rand(SEED + k)))
+        pairs = fixed.select("row_number", "label", "x").join(other.select("row_number", "d"), "row_number").select("label", "x", "d")
+        found = grouped_metric(pairs.mapInArrow(_dealt_scores(model.trees, len(spec.features)), "feature long, label double, raw double"), spec.regression)
+        for k_of, f in enumerate(spec.features):
+            drops[f].append(base - found.get(k_of, math.nan))
+        forget(other)
     forget(fixed)
     data = []
     for f, d in drops.items():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,28 @@ def move(spark: SparkSession, path: str, target: str) -> None:
     fs.rename(p, _fs(spark, target)[1])
 
 
+def write_text(spark: SparkSession, path: str, parts: Iterator[bytes]) -> bool:
+    """Write the parts to a file of any file system Spark knows; whether there were any."""
+    fs, target = _fs(spark, path)
+    out = None
+    for part in parts:
+        out = out or fs.create(target)
+        out.write(bytearray(part))
+    if out:
+        out.close()
+    return out is not None
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def replace(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Write beside the target and then swap, so a failed write leaves the old data."""
     spark = df.sparkSession

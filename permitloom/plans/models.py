@@ -5,15 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permitloom.config import MODELS, ModelSpec
 from permitloom.operators import ml
-from permitloom.operators.storage import replace
-from permitloom.sources.portal import write_text
+from permitloom.operators.storage import replace, write_text
 
 SCORED = ("dev_applications", "coa")
 
@@ -22,14 +20,14 @@ def enriched_path(data_dir: str, source: str) -> str:
     return f"{data_dir}/enriched/{source}.parquet"
 
 
-def load_model(model_dir: str, name: str) -> PipelineModel:
-    return PipelineModel.load(f"{model_dir}/{name}")
+def load_model(model_dir: str, name: str) -> ml.Fitted:
+    return ml.Fitted.load(f"{model_dir}/{name}")
 
 
 def train_model(df: DataFrame, spec: ModelSpec, model_dir: str, trees: int = ml.TREES) -> int:
     """Fit, save over what was there, and return the number of labelled rows."""
     model, n = ml.fit(df, spec, trees)
-    model.write().overwrite().save(f"{model_dir}/{spec.name}")
+    model.save(f"{model_dir}/{spec.name}")
     return n
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from permitloom.config import ModelSpec, SourceConfig
 from permitloom.functions import scalars as S
 from permitloom.operators import ml, normalize, spatial
+from permitloom.operators.boosting import Boosted, Tree
 from permitloom.operators.scratch import scratch
 from permitloom.operators.storage import last_modified, replace, row_count, write_source
 from permitloom.plans import enrich, models
@@ -436,6 +437,30 @@ def importance_permutation(spark, sf_dir):
     return ml.permutation_importance(ml.fit(df, _CLASSIFIER)[0], df, _CLASSIFIER)
 
 
+def _auc_drops() -> str:
+    """SQL: each feature's drops of the AUC of the two stumps below, its values dealt out in two fixed orders."""
+    raw = "CASE WHEN {}.p <= 150000 THEN -1e0 ELSE 1e0 END + CASE WHEN coalesce({}.t, 0) <= 1995 THEN 5e-1 ELSE -5e-1 END"
+    sides = [f"SELECT '{f}' AS f, {k} AS k, a.y, {raw.format(*of)} AS raw FROM n a JOIN n b ON a.i = b.d{k}" for k in (0, 1) for f, of in (("o_totalprice", "ba"), ("year", "ab"), ("", "aa"))]
+    return f"""WITH r AS (SELECT o_orderkey AS key, (o_orderstatus = 'F')::INT AS y, o_totalprice AS p, CASE WHEN o_orderkey % 10 <> 0 THEN year(o_orderdate) END AS t FROM orders WHERE o_orderstatus IN ('F', 'O')),
+    n AS (SELECT *, row_number() OVER (ORDER BY key) AS i, {", ".join(f"row_number() OVER (ORDER BY key * {7919 + k} % 10007, key) AS d{k}" for k in (0, 1))} FROM r),
+    s AS ({" UNION ALL ".join(sides)}), c AS (SELECT f, k, raw, count_if(y = 1) AS pos, count_if(y = 0) AS neg FROM s GROUP BY ALL),
+    u AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY f, k ORDER BY raw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS under FROM c),
+    a AS (SELECT f, k, sum(pos * (under + neg / 2e0)) / (sum(pos) * sum(neg)) AS auc FROM u GROUP BY f, k)
+    SELECT a.f AS feature, round(avg(b.auc - a.auc), 9) AS importance_mean, round(stddev_pop(b.auc - a.auc), 9) AS importance_std FROM a JOIN a b ON b.f = '' AND a.k = b.k WHERE a.f <> '' GROUP BY a.f"""
+
+
+@query(_auc_drops())
+def importance_fixed_model(spark, sf_dir):
+    """Permutation importance of a model that is given, two stumps of which one sends missing years left, in given orders."""
+    spec = ModelSpec("orders_done", "orders", "done", (), ("o_totalprice", "year"))
+    stump = lambda feature, limit, low, high: Tree([feature, -1, -1], [0, 0, 0], [limit, 0.0, 0.0], [True, False, False], [1, -1, -1], [2, -1, -1], [0.0, low, high], [1.0, 0.0, 0.0])
+    model = ml.Fitted(Pipeline(stages=[]).fit(spark.range(1)), Boosted(False, 0.0, [stump(0, 150_000.0, -1.0, 1.0), stump(1, 1995.0, 0.5, -0.5)]), [], list(spec.num_cols))
+    key = F.col("o_orderkey")
+    df = table(spark, sf_dir, "orders").select(key, "o_totalprice", F.when(key % 10 != 0, F.year("o_orderdate")).alias("year"), S.label(F.col("o_orderstatus"), (["f"], 1), (["o"], 0)).alias("done"))
+    found = ml.permutation_importance(model, df, spec, 2, first=key, dealt=lambda k: F.struct(key * (7919 + k) % 10007, key))
+    return found.select("feature", *[F.round(c, 9).alias(c) for c in ("importance_mean", "importance_std")])
+
+
 _SAVED = """SELECT count(*) AS n_rows, count_if(o_orderstatus IN ('F', 'O'))::BIGINT AS n_labelled, count(*) AS n_by_threshold, count(*) AS n_probabilities, 5::BIGINT AS n_features, 1e0 AS shares
     FROM orders JOIN customer ON o_custkey = c_custkey"""
 

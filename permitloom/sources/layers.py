@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from permitloom.config import LAYER_URLS, PORTAL
 from permitloom.operators.spatial import edges_of, parse_geojson
-from permitloom.operators.storage import exists, move
+from permitloom.operators.storage import exists, move, write_text
 from permitloom.sources.base import Client, HttpClient
-from permitloom.sources.portal import read_csv, write_text
+from permitloom.sources.portal import read_csv
 
 
 def fetch_layers(spark: SparkSession, folder: str, client: Client | None = None) -> None:

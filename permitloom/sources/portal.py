@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from permitloom.config import PORTAL, SOURCE_CONFIGS, SourceConfig
 from permitloom.operators.normalize import diagonal_union, infer_types, normalize, year_window
+from permitloom.operators.storage import write_text
 from permitloom.sources.base import Client, HttpClient
 
 # Fixed values of the portal: rows of a page, its request paths below, and how a file's name gives its year.
@@ -20,18 +21,6 @@ PACKAGE, RECORDS = "/api/3/action/package_show", "/api/3/action/datastore_search
 _YEAR = re.compile(r"\b(20\d{2})\b")
 
 
-def write_text(spark: SparkSession, path: str, parts: Iterator[bytes]) -> bool:
-    """Write the parts to a file of any file system Spark knows; whether there were any."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs, out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), None
-    for part in parts:
-        out = out or fs.create(target)
-        out.write(bytearray(part))
-    if out:
-        out.close()
-    return out is not None
-
-
 class PortalSource:
     """One dataset; raw pages and files are staged as they are, then read by Spark."""
 

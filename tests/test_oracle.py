@@ -48,7 +48,11 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", ["train_classifier", "train_regressor", "score_batch", "score_one", "importance_gain", "importance_permutation", "cross_validate"])
-def test_model_queries(spark, name):
+def test_model_queries(spark, monkeypatch, name):
+    """With few trees; the next test holds what the queries ask for."""
+    fit_frame, permute = ml.fit_frame, ml.permutation_importance
+    monkeypatch.setattr(ml, "fit_frame", lambda frame, spec, n=ml.TREES: fit_frame(frame, spec, 6))
+    monkeypatch.setattr(ml, "permutation_importance", lambda model, df, spec, n=10: permute(model, df, spec, 2))
     rows = [r.asDict() for r in entry.queries()[name](spark, SF).collect()]
     assert rows
     for r in rows:
@@ -64,17 +68,17 @@ def test_model_queries(spark, name):
 
 @pytest.mark.parametrize("name", ["train_classifier", "train_regressor", "score_batch", "score_one", "importance_gain", "importance_permutation", "cross_validate"])
 def test_model_queries_have_production_size(spark, monkeypatch, name):
-    trees, repeats, pipeline, permute = [], [], ml.pipeline, ml.permutation_importance
+    trees, repeats, fit_frame, permute = [], [], ml.fit_frame, ml.permutation_importance
 
-    def small(spec, n=ml.TREES):
+    def small(frame, spec, n=ml.TREES):
         trees.append(n)
-        return pipeline(spec, 1)
+        return fit_frame(frame, spec, 1)
 
     def once(model, df, spec, n=inspect.signature(permute).parameters["repeats"].default):
         repeats.append(n)
         return permute(model, df, spec, 1)
 
-    monkeypatch.setattr(ml, "pipeline", small)
+    monkeypatch.setattr(ml, "fit_frame", small)
     monkeypatch.setattr(ml, "permutation_importance", once)
     assert entry.queries()[name](spark, SF).count() > 0
     assert set(trees) == {100} and repeats == [10] * (name == "importance_permutation")
