@@ -24,11 +24,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table there: computed once, the same however often and wherever it is read."""
+def stored(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
+    """``df`` as a table there: computed once, the same however often and wherever it is read (by ``reader``, or its own session)."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = (reader or df.sparkSession).read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 

@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from permitloom import config
 from permitloom.functions import scalars as S
 from permitloom.operators import spatial
-from permitloom.operators.storage import replace
+from permitloom.operators.scratch import stored
+from permitloom.operators.storage import read_table, replace
 from permitloom.sources import layers
 
 #: Degrees within which a registered point counts as an application's.
@@ -62,10 +63,13 @@ def spatial_attributes(df: DataFrame, zoning: DataFrame, register: DataFrame, di
 
 
 def spatial_join_dev(df: DataFrame, data_dir: str) -> DataFrame:
-    """Spatial attributes from the cached reference layers."""
+    """Spatial attributes from the cached reference layers.
+
+    Located rows are a table in the shared folder, so that a row has one id in all the joins.
+    """
     spark, base = df.sparkSession, f"{data_dir}/reference"
     return spatial_attributes(
-        locate(df),
+        stored(locate(df), "located"),
         layers.zoning(spark, f"{base}/zoning.csv"),
         layers.shapefile(spark, f"{base}/heritage_register").select("lon", "lat"),
         layers.shapefile(spark, f"{base}/heritage_districts"),
@@ -75,16 +79,11 @@ def spatial_join_dev(df: DataFrame, data_dir: str) -> DataFrame:
 
 def enrich_coa(spark: SparkSession, data_dir: str) -> int:
     """Write data/enriched/coa.parquet; the number of rows."""
-    return _write(label_coa(spark.read.parquet(f"{data_dir}/coa")), f"{data_dir}/enriched/coa.parquet")
+    return replace(label_coa(read_table(spark, f"{data_dir}/coa")), f"{data_dir}/enriched/coa.parquet")
 
 
 def enrich_dev(spark: SparkSession, data_dir: str, join=spatial_join_dev) -> int:
     """Write data/enriched/dev_applications.parquet; the number of rows.  ``join`` adds the spatial columns."""
-    df = year_submitted(spark.read.parquet(f"{data_dir}/dev_applications"), "date_submitted")
+    df = year_submitted(read_table(spark, f"{data_dir}/dev_applications"), "date_submitted")
     df = df.withColumn("has_community_meeting", S.present_flag(F.col("community_meeting_date")))
-    return _write(label_dev(join(df, data_dir)), f"{data_dir}/enriched/dev_applications.parquet")
-
-
-def _write(df: DataFrame, path: str) -> int:
-    replace(df, path)
-    return df.sparkSession.read.parquet(path).count()
+    return replace(label_dev(join(df, data_dir)), f"{data_dir}/enriched/dev_applications.parquet")

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from permitloom.config import MODELS, ModelSpec
 from permitloom.operators import ml
-from permitloom.operators.storage import replace, write_text
+from permitloom.operators.storage import read_table, replace, write_text
 
 SCORED = ("dev_applications", "coa")
 
@@ -35,7 +35,7 @@ def train_all(spark: SparkSession, data_dir: str, model_dir: str, trees: int = m
     """Fit and cross-validate all models; writes metrics.json. Row order for the folds: year, then a hash of the whole row."""
     counts, metrics = {}, {}
     for name, spec in MODELS.items():
-        df = spark.read.parquet(enriched_path(data_dir, spec.source))
+        df = read_table(spark, enriched_path(data_dir, spec.source))
         counts[name] = train_model(df, spec, model_dir, trees)
         year = F.col("year_submitted").cast("int") if "year_submitted" in df.columns else F.lit(0)
         metrics[name] = ml.evaluate(df, spec, F.struct(year, F.xxhash64(*sorted(df.columns))), trees=trees)
@@ -52,7 +52,7 @@ def score_table(df: DataFrame, source: str, model_dir: str) -> DataFrame:
 def score_all(spark: SparkSession, data_dir: str, model_dir: str) -> None:
     """Write data/scores/<source>.parquet of both enriched tables, all rows."""
     for source in SCORED:
-        replace(score_table(spark.read.parquet(enriched_path(data_dir, source)), source, model_dir), f"{data_dir}/scores/{source}.parquet")
+        replace(score_table(read_table(spark, enriched_path(data_dir, source)), source, model_dir), f"{data_dir}/scores/{source}.parquet")
 
 
 def score_one(spark: SparkSession, source: str, features: dict[str, Any], model_dir: str) -> dict[str, Any]:
@@ -80,4 +80,4 @@ def feature_importance(spark: SparkSession, model: str, data_dir: str, model_dir
     spec, fitted = MODELS[model], load_model(model_dir, model)
     if builtin:
         return ml.gain_importance(fitted, spec)
-    return ml.permutation_importance(fitted, spark.read.parquet(enriched_path(data_dir, spec.source)), spec, repeats)
+    return ml.permutation_importance(fitted, read_table(spark, enriched_path(data_dir, spec.source)), spec, repeats)

@@ -9,7 +9,7 @@ import io
 import json
 import struct
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,11 +19,14 @@ from permitloom.config import ModelSpec, SourceConfig
 from permitloom.functions import scalars as S
 from permitloom.operators import ml, normalize, spatial
 from permitloom.operators.boosting import Boosted, Tree
-from permitloom.operators.scratch import scratch
-from permitloom.operators.storage import last_modified, replace, row_count, write_source
+from permitloom.operators.files import StoredFile
+from permitloom.operators.scratch import forget, scratch
+from permitloom.operators.storage import exists, files_below, last_modified, read_table, replace, row_count, write_source
 from permitloom.plans import enrich, models
 from permitloom.sources import layers
-from permitloom.sources.portal import RECORDS, PortalSource, read_csv
+from permitloom.sources.csv_ranges import read_csv
+from permitloom.sources.portal import PortalSource
+from permitloom.sources.served import LocalPortal
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,7 +153,7 @@ def partitioned_roundtrip(spark, sf_dir):
     path = scratch(spark, "roundtrip")
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"))
     replace(df.hint("rebalance", F.col("year")), path, "year")
-    return spark.read.parquet(path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_keys"))
+    return read_table(spark, path).groupBy("year").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("sum_keys"))
 
 
 @query("""SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1998""")
@@ -159,7 +162,7 @@ def partition_pruning(spark, sf_dir):
     path = scratch(spark, "pruning")
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
     replace(df.hint("rebalance", F.col("year")), path, "year")
-    return spark.read.parquet(path).where("year = 1998").drop("year")
+    return read_table(spark, path).where("year = 1998").drop("year")
 
 
 @query("""SELECT c_custkey, (CASE WHEN n IS NULL THEN 0 ELSE 1 END)::TINYINT AS has_orders FROM customer
@@ -478,45 +481,45 @@ def saved_model(spark, sf_dir):
     return counts.select("n_rows", F.lit(n).cast("long").alias("n_labelled"), "n_by_threshold", "n_probabilities", F.lit(shares.n).cast("long").alias("n_features"), F.lit(round(shares.s, 9)).alias("shares"))
 
 
-class _Portal:
-    """A portal that has a table's rows, as pages of records or as files."""
-
-    def __init__(self, resources: list[dict], records: list[dict] = (), files: dict[str, bytes] | None = None):
-        self.resources, self.records, self.files = resources, records, files or {}
-
-    def get_json(self, path, params):
-        if path == RECORDS:
-            return {"result": {"records": self.records[params["offset"] : params["offset"] + params["limit"]]}}
-        return {"result": {"resources": self.resources}}
-
-    def get_bytes(self, url):
-        return self.files[url]
+def _text_of(spark, folder: str) -> Iterator[bytes]:
+    """The files that Spark wrote to a folder, one after another, in parts."""
+    for name in files_below(spark, folder):
+        if name.rpartition("/")[2].startswith("part-"):
+            with io.BufferedReader(StoredFile(spark, f"{folder}/{name}")) as file:
+                yield from iter(lambda: file.read(1 << 20), b"")  # noqa: B023
 
 
 @query("""SELECT k AS supp_key, s_name AS name, s_nationkey::BIGINT AS name_2, d AS application_date, s_acctbal AS balance, coalesce(year(d), 0)::INT AS year, 'suppliers' AS source_name
     FROM (SELECT *, s_suppkey::BIGINT AS k, CASE WHEN s_suppkey % 9 <> 0 THEN make_date((1990 + s_suppkey % 10)::INT, 3, 4) END AS d FROM supplier) WHERE d IS NULL OR year(d) >= 1995""")
 def portal_records(spark, sf_dir):
-    """A dataset fetched page by page: names, dates, year window and source name as ``sync`` stores them."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal").collect()  # the portal's side
-    when = lambda k: None if k % 9 == 0 else f"{1990 + k % 10}-03-04"
-    records = [{"Supp Key#": r.s_suppkey, "NAME": r.s_name, "name": r.s_nationkey, "Application Date": when(r.s_suppkey), "Balance": r.s_acctbal} for r in rows]
-    portal = _Portal([{"id": "files"}, {"id": "rows", "datastore_active": True}], records)
-    return PortalSource(SourceConfig("suppliers", "datastore", 1995), portal, scratch(spark, "staging"), page=97).fetch(spark)
+    """A dataset whose pages executors fetch over HTTP: names, dates, year window and source name as ``sync`` stores them."""
+    # The portal's side: pages that Spark writes, and a server that hands them out.
+    folder, page, k = scratch(spark, "portal"), 97, F.col("s_suppkey")
+    when = F.when(k % 9 != 0, F.concat((1990 + k % 10).cast("string"), F.lit("-03-04")))
+    record = F.to_json(F.struct(k.alias("Supp Key#"), F.col("s_name").alias("NAME"), F.col("s_nationkey").alias("name"), when.alias("Application Date"), F.col("s_acctbal").alias("Balance")), {"ignoreNullFields": "false"})
+    rows = ml.numbered(table(spark, sf_dir, "supplier").select(record.alias("value")))
+    rows.select("value", (F.col("row_number") / page).cast("long").alias("page")).repartition("page").write.partitionBy("page").text(folder)
+    forget(rows)
+    page_of = lambda offset, limit: b"".join(_text_of(spark, f"{folder}/page={offset // limit}")).decode().splitlines() if exists(spark, f"{folder}/page={offset // limit}") else []
+    with LocalPortal([{"id": "files"}, {"id": "rows", "datastore_active": True}], page_of, total=table(spark, sf_dir, "supplier").count()) as portal:
+        return PortalSource(SourceConfig("suppliers", "datastore", 1995), portal.client, page).fetch(spark)
 
 
 @query("""SELECT CASE WHEN s_suppkey % 4 = 3 THEN 'S' ELSE '' END || s_suppkey AS supp_key, s_acctbal AS balance, s_suppkey % 3 = 0 AS flag, s_suppkey || 'D' AS unit,
     CASE WHEN s_suppkey % 4 = 2 THEN s_name END AS name, 0::INT AS year, 'by_year' AS source_name FROM supplier WHERE s_suppkey % 4 > 0""")
 def portal_csv_years(spark, sf_dir):
-    """A dataset of a CSV a year: those from the start year on, whose columns and types differ."""
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").collect()  # the portal's side
-    files = {}
+    """A dataset of a CSV a year, copied in parts and read by ranges: those from the start year on, whose columns and types differ."""
+    # The portal's side: files that Spark writes.
+    folder, k = scratch(spark, "portal"), F.col("s_suppkey")
     for y in range(4):
-        mine = [r for r in rows if r.s_suppkey % 4 == y]
-        lines = [f"{'S' * (y == 3)}{r.s_suppkey},{r.s_acctbal},{str(r.s_suppkey % 3 == 0).lower()},{r.s_suppkey}D" + (f',"{r.s_name}"' if y == 2 else "") for r in mine]
-        files[f"/{2018 + y}.csv"] = "\n".join(["Supp Key,Balance,FLAG,Unit" + ",Name" * (y == 2), *lines, ""]).encode()
+        fields = [F.concat(F.lit("S" * (y == 3)), k), F.col("s_acctbal").cast("string"), (k % 3 == 0).cast("string"), F.concat(k, F.lit("D"))]
+        fields += [F.concat(F.lit('"'), "s_name", F.lit('"'))] if y == 2 else []
+        head = F.when(F.monotonically_increasing_id() == 0, F.lit("Supp Key,Balance,FLAG,Unit" + ",Name" * (y == 2) + "\n")).otherwise("")
+        table(spark, sf_dir, "supplier").where(k % 4 == y).coalesce(1).select(F.concat(head, F.concat_ws(",", *fields)).alias("value")).write.text(f"{folder}/{2018 + y}.csv")
     resources = [{"name": f"Suppliers {2018 + y}", "format": "csv", "url": f"/{2018 + y}.csv"} for y in range(4)]
-    portal = _Portal([*resources, {"name": "Suppliers 2020", "format": "XML", "url": "/none"}, {"name": "Read me", "format": "CSV", "url": "/none"}], files=files)
-    return PortalSource(SourceConfig("by_year", "bulk_csv", 2019), portal, scratch(spark, "staging")).fetch(spark)
+    resources += [{"name": "Suppliers 2020", "format": "XML", "url": "/none"}, {"name": "Read me", "format": "CSV", "url": "/none"}]
+    with LocalPortal(resources, files=lambda path: _text_of(spark, folder + path)) as portal:
+        return PortalSource(SourceConfig("by_year", "bulk_csv", 2019), portal.client).fetch(spark)
 
 
 @query("""SELECT count(*) AS written, count(*) AS counted, true AS changed, true AS gone FROM orders""")
@@ -540,7 +543,7 @@ def enrich_committee(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 25).alias("ward"), F.col("o_orderdate").cast("date").alias("in_date"), final.alias("finaldate"), words[(k % 6).cast("int")].alias("c_of_a_descision"), F.year("o_orderdate").alias("year"))
     write_source(df, "coa", folder)
     enrich.enrich_coa(spark, folder)
-    return spark.read.parquet(f"{folder}/enriched/coa.parquet").select("o_orderkey", "ward_number", "year_submitted", "coa_approved", "coa_days_to_approval")
+    return read_table(spark, f"{folder}/enriched/coa.parquet").select("o_orderkey", "ward_number", "year_submitted", "coa_approved", "coa_days_to_approval")
 
 
 _CITY = {
@@ -551,6 +554,16 @@ _DISTRICT = {"1": {"type": "Polygon", "coordinates": [[[-79.5, 43.7], [-79.4, 43
 _PLAN = {"Midtown": {"type": "Polygon", "coordinates": [[[-79.45, 43.66], [-79.2, 43.68], [-79.25, 43.84], [-79.45, 43.66]]]}}
 
 
+class _Files:
+    """A client that has the files of some URLs."""
+
+    def __init__(self, files: dict[str, bytes]):
+        self.files = files
+
+    def stream(self, url):
+        return iter([self.files[url]])
+
+
 def _shp(records: list[tuple[int, bytes]]) -> bytes:
     body = b""
     for k, (kind, data) in enumerate(records, 1):
@@ -558,9 +571,18 @@ def _shp(records: list[tuple[int, bytes]]) -> bytes:
     return bytes(100) + body
 
 
-def _zip(name: str, data: bytes) -> bytes:
+def _shx(records: list[tuple[int, bytes]]) -> bytes:
+    at, index = 50, b""
+    for _, data in records:
+        index += struct.pack(">2i", at, (len(data) + 4) // 2)
+        at += (len(data) + 12) // 2
+    return bytes(100) + index
+
+
+def _zip(name: str, records: list[tuple[int, bytes]]) -> bytes:
     with zipfile.ZipFile(out := io.BytesIO(), "w") as z:
-        z.writestr(name, data)
+        z.writestr(f"{name}.shp", _shp(records))
+        z.writestr(f"{name}.shx", _shx(records))
     return out.getvalue()
 
 
@@ -579,15 +601,15 @@ def enrich_development(spark, sf_dir):
     folder = scratch(spark, "data")
     lon, lat = S.grid_to_lonlat(*map(S.number, _grid_text(F.col("s_suppkey"))))
     register = table(spark, sf_dir, "supplier").select(lon.alias("lon"), lat.alias("lat")).where("lon is not null").collect()  # the portal's side
-    points = _shp([(1, struct.pack("<2d", r.lon + 1e-4, r.lat)) for r in register])
+    points = [(1, struct.pack("<2d", r.lon + 1e-4, r.lat)) for r in register]
     ring = [v for p in _DISTRICT["1"]["coordinates"][0] for v in p]
-    district = _shp([(5, struct.pack("<4d2i1i", 0, 0, 0, 0, 1, len(ring) // 2, 0) + struct.pack(f"<{len(ring)}d", *ring))])
+    district = [(5, struct.pack("<4d2i1i", 0, 0, 0, 0, 1, len(ring) // 2, 0) + struct.pack(f"<{len(ring)}d", *ring))]
     quoted = lambda g: json.dumps(g).replace('"', '""')
     zoning = "\n".join(["_id,ZN_ZONE,geometry", *(f'{k},{name},"{quoted(g)}"' for k, (name, g) in enumerate(_CITY.items())), ""])
     plans = {"type": "FeatureCollection", "features": [{"type": "Feature", "properties": {"SECONDARY_PLAN_NAME": name}, "geometry": g} for name, g in _PLAN.items()]}
     urls = layers.LAYER_URLS
-    files = {urls["zoning"]: zoning.encode(), urls["secondary_plans"]: json.dumps(plans).encode(), urls["heritage_register"]: _zip("a/points.shp", points), urls["heritage_districts"]: _zip("districts.shp", district)}
-    layers.fetch_layers(spark, f"{folder}/reference", _Portal([], files=files))
+    files = {urls["zoning"]: zoning.encode(), urls["secondary_plans"]: json.dumps(plans).encode(), urls["heritage_register"]: _zip("a/points", points), urls["heritage_districts"]: _zip("districts", district)}
+    layers.fetch_layers(spark, f"{folder}/reference", _Files(files))
     k = F.col("c_custkey")
     x, y = _grid_text(k)
     words = F.array(*[F.lit(w) for w in ("Closed", " refused", "OMB Approved", "Appeal Received", None)])
@@ -595,5 +617,5 @@ def enrich_development(spark, sf_dir):
     df = table(spark, sf_dir, "customer").select("c_custkey", x.alias("x"), y.alias("y"), words[(k % 5).cast("int")].alias("status"), submitted.alias("date_submitted"), F.when(k % 3 != 0, "").alias("community_meeting_date"), F.year(submitted).alias("year"))
     write_source(df, "dev_applications", folder)
     enrich.enrich_dev(spark, folder)
-    out = spark.read.parquet(f"{folder}/enriched/dev_applications.parquet")
+    out = read_table(spark, f"{folder}/enriched/dev_applications.parquet")
     return out.select("c_custkey", "zoning_class", "in_heritage_register", "in_heritage_district", "secondary_plan_name", "in_secondary_plan", "has_community_meeting", "dev_approved", "dev_no_appeal", "year_submitted")

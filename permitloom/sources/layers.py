@@ -3,35 +3,38 @@
 from __future__ import annotations
 
 import io
-import struct
 import zipfile
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from permitloom.config import LAYER_URLS, PORTAL
+from permitloom.operators.files import StoredFile
 from permitloom.operators.spatial import edges_of, parse_geojson
-from permitloom.operators.storage import exists, move, write_text
-from permitloom.sources.base import Client, HttpClient
-from permitloom.sources.portal import read_csv
+from permitloom.operators.storage import delete, exists, files_below, move, write_text
+from permitloom.sources.base import CHUNK, Client, HttpClient
+from permitloom.sources.csv_ranges import read_csv
+from permitloom.sources.shapes import Shapefile
 
 
 def fetch_layers(spark: SparkSession, folder: str, client: Client | None = None) -> None:
-    """Download what is not there yet, to any file system Spark knows; each layer appears under its name when it is whole."""
+    """Download what is not there yet, to any file system Spark knows, in parts; each layer appears under its name when it is whole."""
     client = client or HttpClient(PORTAL)
     for name, target in (("zoning", "zoning.csv"), ("secondary_plans", "secondary_plans.geojson")):
         if not exists(spark, path := f"{folder}/{target}"):
-            write_text(spark, f"{path}.part", iter([client.get_bytes(LAYER_URLS[name])]))
+            write_text(spark, f"{path}.part", client.stream(LAYER_URLS[name]))
             move(spark, f"{path}.part", path)
     for name in ("heritage_register", "heritage_districts"):
         if not exists(spark, path := f"{folder}/{name}"):
-            with zipfile.ZipFile(io.BytesIO(client.get_bytes(LAYER_URLS[name]))) as z:
+            delete(spark, f"{path}.part")
+            write_text(spark, f"{path}.zip", client.stream(LAYER_URLS[name]))
+            with io.BufferedReader(StoredFile(spark, f"{path}.zip"), CHUNK) as packed, zipfile.ZipFile(packed) as z:
                 for member in z.infolist():
                     if not member.is_dir() and ".." not in member.filename.split("/"):
-                        write_text(spark, f"{path}.part/{member.filename.lstrip('/')}", iter([z.read(member)]))
+                        with z.open(member) as content:
+                            write_text(spark, f"{path}.part/{member.filename.lstrip('/')}", iter(lambda: content.read(CHUNK), b""))
             move(spark, f"{path}.part", path)
+            delete(spark, f"{path}.zip")
 
 
 def zoning(spark: SparkSession, path: str) -> DataFrame:
@@ -47,36 +50,11 @@ def geojson(spark: SparkSession, path: str, name: str, out: str) -> DataFrame:
     return features.select(F.col("f.properties")[name].alias(out), edges_of(polygons).alias("edges")).where("edges is not null")
 
 
-def shapes(data: bytes) -> Iterator[tuple[float | None, float | None, list[list[tuple[float, float]]]]]:
-    """Of each record of a .shp file: a point's coordinates, or a polygon's rings (public ESRI layout)."""
-    at = 100
-    while at + 12 <= len(data):
-        words, kind = struct.unpack(">i", data[at + 4 : at + 8])[0], struct.unpack("<i", data[at + 8 : at + 12])[0]
-        body, at = data[at + 8 : at + 8 + 2 * words], at + 8 + 2 * words
-        if kind in (1, 11, 21):
-            yield (*struct.unpack("<2d", body[4:20]), [])
-        elif kind in (5, 15, 25):
-            parts, points = struct.unpack("<2i", body[36:44])
-            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
-            flat = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            xy = list(zip(flat[::2], flat[1::2], strict=True))
-            yield None, None, [xy[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        else:
-            yield None, None, []
-
-
 def shapefile(spark: SparkSession, folder: str) -> DataFrame:
-    """lon, lat (points), edges (polygons) of the first .shp file, by name, in the folder.
-
-    There is no reader for this format, so files are parsed by pandas batches.
-    """
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for data in batch["content"]:
-                rows = [(x, y, [[[list(p) for p in ring] for ring in rings]]) for x, y, rings in shapes(bytes(data))]
-                yield pd.DataFrame(rows, columns=["lon", "lat", "polygons"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").option("recursiveFileLookup", True).load(folder).orderBy("path").limit(1)
-    rows = files.select("content").mapInPandas(parse, "lon double, lat double, polygons array<array<array<array<double>>>>")
+    """lon, lat (points), edges (polygons) of the first .shp file, by name, in the folder, by ranges of its records."""
+    files = [f for f in files_below(spark, folder) if f.lower().endswith(".shp")]
+    if not files:
+        raise FileNotFoundError(f"{folder} has no .shp file")
+    spark.dataSource.register(Shapefile)
+    rows = spark.read.format(Shapefile.name()).load(f"{folder}/{files[0]}")
     return rows.select("lon", "lat", edges_of(F.col("polygons")).alias("edges"))

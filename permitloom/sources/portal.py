@@ -2,46 +2,47 @@
 
 from __future__ import annotations
 
-import itertools
-import json
 import re
-import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from permitloom.config import PORTAL, SOURCE_CONFIGS, SourceConfig
 from permitloom.operators.normalize import diagonal_union, infer_types, normalize, year_window
-from permitloom.operators.storage import write_text
+from permitloom.operators.scratch import forget, scratch, stored
+from permitloom.operators.storage import delete, write_text
 from permitloom.sources.base import Client, HttpClient
+from permitloom.sources.csv_ranges import read_csv
+from permitloom.sources.paged import PAGE, PagedRecords
 
-# Fixed values of the portal: rows of a page, its request paths below, and how a file's name gives its year.
-PAGE = 32_000
-PACKAGE, RECORDS = "/api/3/action/package_show", "/api/3/action/datastore_search"
+# Fixed values of the portal: its request path, and how a file's name gives its year.
+PACKAGE = "/api/3/action/package_show"
 _YEAR = re.compile(r"\b(20\d{2})\b")
 
 
 class PortalSource:
-    """One dataset; raw pages and files are staged as they are, then read by Spark."""
+    """One dataset.  Executors fetch its pages; files are copied to the shared folder in parts and read by ranges."""
 
-    def __init__(self, config: SourceConfig, client: Client | None = None, staging: str | None = None, page: int = PAGE):
+    def __init__(self, config: SourceConfig, client: Client | None = None, page: int = PAGE):
         self.config, self.name, self.page = config, config.dataset_id, page
         self.client = client or HttpClient(PORTAL)
-        self.staging = staging
 
     def fetch(self, spark: SparkSession) -> DataFrame:
-        """Normalized rows from the start year on, and those without a year."""
-        case = spark.conf.get("spark.sql.caseSensitive")
-        spark.conf.set("spark.sql.caseSensitive", "true")  # names may differ in case only until they are renamed
-        try:
-            raw = self._datastore(spark) if self.config.access_mode == "datastore" else self._bulk_csv(spark)
-            return year_window(normalize(raw, self.config), self.config.year_start)
-        finally:
-            spark.conf.set("spark.sql.caseSensitive", case)
-
-    def _stage(self, spark: SparkSession, name: str) -> str:
-        base = self.staging or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        return f"{base.rstrip('/')}/staging-{uuid.uuid4().hex}/{name}"
+        """Normalized rows from the start year on, and those without a year.
+
+        They are read from a table in the shared folder, which goes with the session, or by ``forget``.
+        """
+        # Raw names may differ in case only, until they are renamed.  That is for a session of its own to know.
+        side = spark.newSession()
+        side.conf.set("spark.sql.caseSensitive", "true")
+        raw = self._datastore(side) if self.config.access_mode == "datastore" else self._bulk_csv(side)
+        # Types have been found from all rows; later passes read this table, by position.
+        names = raw.columns
+        kept = stored(raw.toDF(*[f"c{k}" for k in range(len(names))]), "fetched", spark) if names else spark.createDataFrame([], "")
+        forget(*getattr(raw, "reads", []))
+        out = year_window(normalize(kept.toDF(*names), self.config), self.config.year_start)
+        out.scratch_path = getattr(kept, "scratch_path", None)
+        return out
 
     def _resources(self) -> list[dict]:
         return self.client.get_json(PACKAGE, {"id": self.config.dataset_id})["result"]["resources"]
@@ -53,30 +54,20 @@ class PortalSource:
             raise ValueError(f"{self.config.dataset_id} has no resource with an active datastore")
         return found
 
-    def pages(self) -> Iterator[list[dict]]:
-        """Pages of records until an empty one."""
-        resource = self.resource_id()
-        for k in itertools.count():
-            ask = {"id": resource, "limit": self.page, "offset": k * self.page}
-            if not (records := self.client.get_json(RECORDS, ask)["result"]["records"]):
-                return
-            yield records
-
     def _datastore(self, spark: SparkSession) -> DataFrame:
-        """One page is held at a time; types come from all records.
-
-        Raw records are parsed once and kept as a table, which all later passes read.
-        """
-        path = self._stage(spark, "records.json")
-        lines = ("".join(json.dumps(r) + "\n" for r in page).encode() for page in self.pages())
-        return self._kept(spark.read.json(path)) if write_text(spark, path, lines) else spark.createDataFrame([], "")
-
-    def _kept(self, raw: DataFrame) -> DataFrame:
-        """The rows as a table, whose columns go by position: names may differ in case only."""
-        path = self._stage(raw.sparkSession, "table")
-        plain = raw.toDF(*[f"c{k}" for k in range(len(raw.columns))])
-        plain.write.parquet(path)
-        return raw.sparkSession.read.schema(plain.schema).parquet(path).toDF(*raw.columns)
+        """The records, whose types come from all of them, in the order of their pages."""
+        spark.dataSource.register(PagedRecords)
+        asked = spark.read.format(PagedRecords.name()).options(**self.client.options(), resource=self.resource_id(), page=self.page).load()
+        # A page is fetched once: what comes is kept as text, with its place.
+        path = scratch(spark, "pages")
+        asked.select(F.concat(F.lit('{"page":'), "page", F.lit(',"at":'), "at", F.lit(',"record":'), "record", F.lit("}"))).write.text(path)
+        lines = spark.read.json(path)
+        if not lines.columns:
+            delete(spark, path)
+            return spark.createDataFrame([], "")
+        out = lines.orderBy("page", "at").select("record.*")
+        out.reads = [_Scratch(spark, path)]
+        return out
 
     def csv_urls(self) -> list[str]:
         """CSV resources with a year from the start year on in their names."""
@@ -84,17 +75,26 @@ class PortalSource:
         return [r["url"] for r, year in named if year and int(year[1]) >= self.config.year_start]
 
     def _bulk_csv(self, spark: SparkSession) -> DataFrame:
-        frames = []
+        frames, folder = [], scratch(spark, "files")
+        reads = [_Scratch(spark, folder)]
         for k, url in enumerate(self.csv_urls()):
-            path = self._stage(spark, f"{k}.csv")
-            write_text(spark, path, iter([self.client.get_bytes(url)]))
-            frames.append(infer_types(self._kept(read_csv(spark, path))))
-        return diagonal_union(frames) if frames else spark.createDataFrame([], "")
-
-
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all text; longer rows are cut, shorter ones filled with nulls."""
-    return spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", True).csv(path)
+            path = f"{folder}/{k}.csv"
+            if not write_text(spark, path, self.client.stream(url)):
+                continue
+            rows = read_csv(spark, path)
+            reads.append(_Scratch(spark, rows.scratch_path))
+            if rows.columns:
+                frames.append(infer_types(rows))
+        out = diagonal_union(frames) if frames else spark.createDataFrame([], "")
+        out.reads = reads
+        return out
+
+
+class _Scratch:
+    """What ``forget`` takes."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.sparkSession, self.scratch_path = spark, path
 
 
 SOURCES: dict[str, PortalSource] = {key: PortalSource(config) for key, config in SOURCE_CONFIGS.items()}
