@@ -11,7 +11,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,19 +171,3 @@ def string(column: pa.Array) -> pa.Array:
     except pa.ArrowInvalid:
         return pa.array([x if x is None else x.decode(errors="replace") for x in column.cast(pa.binary()).to_pylist()], pa.string())
     return column
-
-
-#: Schemes of Spark's paths under which Arrow knows the same stores.
-_SCHEMES = [(r"^s3[an]://", "s3://"), (r"^wasbs?://([^@/]+)@([^./]+)\.blob\.", r"abfss://\1@\2.dfs."), (r"^hdfs:///", "hdfs://default/"), (r"^file:/(?!/)", "file:///")]
-
-
-def arrow_uri(path: str) -> str:
-    """A path that Spark knows, as Arrow names it."""
-    for pattern, scheme in _SCHEMES:
-        path = re.sub(pattern, scheme, path)
-    return path
-
-
-def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
-    """Arrow's file system of a folder that Spark knows, and the folder in it."""
-    return pafs.FileSystem.from_uri(arrow_uri(folder))

