@@ -1,17 +1,24 @@
-"""Spatial joins as equi-joins on grid cells.
+"""Spatial joins as equi-joins on cells.
 
-Layers are cut by the cells their bounding boxes touch, points fall into one cell each, and the
-two meet on the cell.  The exact test is an expression over the layer's edge array, so no
-edge is ever a row and nothing is broadcast beyond what the optimizer finds small.
+Polygons are covered by quadtree cells: a cell that no edge reaches is inside as a whole or left out, one with few
+edges keeps those that a ray in it may meet, and one with many is split into four.  Points
+fall into one cell of each level, and the two meet on the cell; only in cells that edges reach is there an exact test, an
+expression over the few edges kept, so no edge is ever a row.  Nothing is broadcast beyond what the optimizer finds small.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Degrees of a grid cell for polygons.
-CELL = 0.01
+#: Degrees of the largest cells, how often a cell may be split, and edges of a cell that is not split.
+CELL, DEPTH, FEW = 0.32, 9, 12
+#: Share of a cell's width by which it reaches beyond its borders, for points that rounding puts on the other side.
+SLACK = 1e-6
 _POINT = "array<double>"
 _RINGS = f"array<array<{_POINT}>>"
 
@@ -44,8 +51,67 @@ def inside(x: Column, y: Column, edges: Column) -> Column:
     return (F.size(F.filter(edges, crosses)) % 2 == 1) & ~F.exists(edges, holds)
 
 
-def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+_EDGES = pa.list_(pa.struct([(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")]))
+
+
+def covering(edges: np.ndarray, cell: float, few: int = FEW, depth: int = DEPTH) -> Iterator[tuple[int, int, int, np.ndarray | None]]:
+    """Cells (level, column, row, edges) that cover a polygon of edges (x1, y1, x2, y2); no edges where the whole cell is inside.
+
+    A cell's edges are those that a ray to the right from a point of it may meet: they reach
+    into its row, and not only to its left.
+    """
+    low, high = np.minimum(edges[:, :2], edges[:, 2:]), np.maximum(edges[:, :2], edges[:, 2:])
+    first, last = np.floor(low.min(0) / cell).astype(np.int64), np.floor(high.max(0) / cell).astype(np.int64)
+    # Rows of the largest cells share what reaches into them.
+    for cy in range(first[1], last[1] + 1):
+        here = np.nonzero((high[:, 1] >= (cy - SLACK) * cell) & (low[:, 1] <= (cy + 1 + SLACK) * cell))[0]
+        todo = [(0, cx, cy, here) for cx in range(first[0], last[0] + 1)]
+        while todo:
+            level, x, y, some = todo.pop()
+            size = cell / (1 << level)
+            (x0, x1), (y0, y1) = (((k - SLACK) * size, (k + 1 + SLACK) * size) for k in (x, y))
+            some = some[(high[some, 1] >= y0) & (low[some, 1] <= y1) & (high[some, 0] >= x0)]
+            own = int((low[some, 0] <= x1).sum())
+            if not own:
+                at = (y + 0.5) * size
+                if ((edges[some, 1] > at) != (edges[some, 3] > at)).sum() % 2:
+                    yield level, x, y, None
+            elif own <= few or level == depth:
+                yield level, x, y, edges[some]
+            else:
+                todo += [(level + 1, 2 * x + i, 2 * y + j, some) for i in (0, 1) for j in (0, 1)]
+
+
+def cover(layer: DataFrame, name: str, cell: float = CELL) -> DataFrame:
+    """__name, level, cx, cy, edges (null where the cell is inside as a whole) of a layer's polygons (``name``, edges)."""
+    rows = layer.where(F.size("edges") > 0).select(F.col(name).alias("__name"), "edges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                each = batch.column("edges").slice(k, 1).flatten()
+                edges = np.stack([np.asarray(each.field(c), dtype=np.float64) for c in ("x1", "y1", "x2", "y2")], 1)
+                edges = edges[np.isfinite(edges).all(1)]
+                found = list(covering(edges, cell)) if len(edges) else []
+                for at in range(0, len(found), 4096):
+                    level, x, y, some = zip(*found[at : at + 4096], strict=True)
+                    sizes = [0 if e is None else len(e) for e in some]
+                    flat = np.concatenate([np.zeros((0, 4)), *(e for e in some if e is not None)])
+                    values = pa.StructArray.from_arrays([pa.array(c) for c in flat.T.copy()], names=["x1", "y1", "x2", "y2"])
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values, mask=pa.array([e is None for e in some]))
+                    names = batch.column("__name").take(pa.array([k] * len(some)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(level, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), lists], names=["__name", "level", "cx", "cy", "edges"])
+
+    kind = rows.schema["__name"].dataType.simpleString()
+    return rows.mapInArrow(run, f"__name {kind}, level int, cx long, cy long, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+
+
+def candidates(points: DataFrame, cells: DataFrame, rid: str, cell: float) -> DataFrame:
+    """__rid, lon, lat, __name, edges of the points and the cells of a cover that they fall into."""
+    at = lambda c: F.floor(F.col(c) / (F.lit(cell) / F.pow(F.lit(2.0), F.col("level"))))
+    placed = points.where("lon is not null and lat is not null").select(F.col(rid).alias("__rid"), "lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level"))
+    placed = placed.withColumn("cx", at("lon")).withColumn("cy", at("lat"))
+    return placed.join(cells, ["level", "cx", "cy"]).select("__rid", "lon", "lat", "__name", "edges")
 
 
 def within(points: DataFrame, layer: DataFrame, name: str, rid: str = "rid", cell: float = CELL) -> DataFrame:
@@ -53,16 +119,9 @@ def within(points: DataFrame, layer: DataFrame, name: str, rid: str = "rid", cel
 
     points: rid, lon, lat.  layer: ``name``, edges.  Rows without coordinates or edges match nothing.
     """
-    low = lambda c: F.array_min(F.transform("edges", lambda e: F.least(e[f"{c}1"], e[f"{c}2"])))
-    high = lambda c: F.array_max(F.transform("edges", lambda e: F.greatest(e[f"{c}1"], e[f"{c}2"])))
-    boxes = layer.where(F.size("edges") > 0).select(F.col(name).alias("__name"), "edges", low("x").alias("x0"), high("x").alias("x1"), low("y").alias("y0"), high("y").alias("y1"))
-    cut = boxes.withColumn("cy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
-    # A ray in a row of cells meets only edges that reach into that row.
-    row_edges = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("cy") * cell) & (F.least(e["y1"], e["y2"]) <= (F.col("cy") + 1) * cell))
-    cut = cut.withColumn("edges", row_edges).withColumn("cx", F.explode(_cells(F.col("x0"), F.col("x1"), cell)))
-    placed = points.where("lon is not null and lat is not null").select(F.col(rid).alias("__rid"), "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    near = placed.join(cut, ["cx", "cy"]).where("lon between x0 and x1 and lat between y0 and y1")
-    return near.where(inside(F.col("lon"), F.col("lat"), F.col("edges"))).groupBy(F.col("__rid").alias(rid)).agg(F.min("__name").alias(name))
+    found = candidates(points, cover(layer, name, cell), rid, cell)
+    held = F.col("edges").isNull() | inside(F.col("lon"), F.col("lat"), F.col("edges"))
+    return found.where(held).groupBy(F.col("__rid").alias(rid)).agg(F.min("__name").alias(name))
 
 
 def near(points: DataFrame, layer: DataFrame, radius: float, rid: str = "rid") -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime
 import json
 import math
+import random
 import struct
 
 import pytest
@@ -65,6 +66,60 @@ def test_polygons(spark):
         assert sorted(map(tuple, spatial.within(points, layer, "name", cell=cell).collect())) == [(1, "z"), (4, "p"), (5, "p"), (9, "p")]  # a point on an edge is not inside
 
 
+def by_ray(x, y, edges):
+    """Even-odd by the definition; a point on an edge is not inside."""
+    crossed = 0
+    for x1, y1, x2, y2 in edges:
+        if min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2) and (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1):
+            return False
+        crossed += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+    return crossed % 2 == 1
+
+
+def layer_of(spark, polygons):
+    rows = [(name, [tuple(map(float, e)) for e in edges]) for name, edges in polygons]
+    return spark.createDataFrame(rows, "name string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+
+
+def ring(points):
+    return [(*a, *b) for a, b in zip(points, [*points[1:], points[0]], strict=True)]
+
+
+def test_covers_of_random_polygons(spark):
+    """Stars with holes, points on cells' borders, corners and edges."""
+    rng = random.Random(4)
+    star = lambda x, y, r, n: ring([(x + r * rng.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), y + r * rng.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+    polygons = [(f"p{k}", star(rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(0.05, 0.9), n) + star(0, 0, 0.1, 5)) for k, n in enumerate([3, 7, 40, 300])]
+    polygons.append(("square", ring([(-0.64, -0.64), (0.64, -0.64), (0.64, 0.64), (-0.64, 0.64)])))
+    points = [(rng.uniform(-2, 2), rng.uniform(-2, 2)) for _ in range(300)] + [(a * 0.08, b * 0.04) for a in range(-9, 10) for b in range(-17, 18)] + [p[:2] for _, e in polygons for p in e[:20]]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "rid int, lon double, lat double")
+    want = {}
+    for k, (x, y) in enumerate(points):
+        if names := [name for name, edges in polygons if by_ray(x, y, edges)]:
+            want[k] = min(names)
+    for cell in (0.32, 0.05, 7.0):
+        assert {r.rid: r.name for r in spatial.within(df, layer_of(spark, polygons), "name", cell=cell).collect()} == want and len(want) > 200
+
+
+def test_few_edges_are_tested(spark):
+    """On a polygon of 10,000 edges, at least five times fewer than by a fixed grid of 0.01 degrees."""
+    n = 10_000
+    edges = ring([((0.1 + 0.003 * math.sin(k / 9)) * math.cos(2 * math.pi * k / n), (0.1 + 0.003 * math.sin(k / 9)) * math.sin(2 * math.pi * k / n)) for k in range(n)])
+    rng = random.Random(3)
+    points = [(rng.uniform(-0.12, 0.12), rng.uniform(-0.12, 0.12)) for _ in range(2000)]
+    df = spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(points)], "rid int, lon double, lat double")
+    layer = layer_of(spark, [("p", edges)])
+    tested = spatial.candidates(df, spatial.cover(layer, "name"), "rid", spatial.CELL).agg(F.sum(F.coalesce(F.size("edges"), F.lit(0)))).first()[0]
+    rows = {}
+    for _, y1, _, y2 in edges:
+        for cy in range(math.floor(min(y1, y2) / 0.01), math.floor(max(y1, y2) / 0.01) + 1):
+            rows[cy] = rows.get(cy, 0) + 1
+    low, high = min(e[0] for e in edges), max(e[0] for e in edges)
+    before = sum(rows.get(math.floor(y / 0.01), 0) for x, y in points if low <= x <= high)
+    assert 0 < tested * 5 <= before
+    assert {r.rid for r in spatial.within(df, layer, "name").collect()} == {k for k, (x, y) in enumerate(points) if by_ray(x, y, edges)}
+
+
 def test_near_across_cells(spark):
     r = 0.0002
     layer = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "lon double, lat double")
