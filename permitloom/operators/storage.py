@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,6 +58,8 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 #: The folder of a table's manifests, in the table's; Spark's own readers pass over names with an underscore.
 MANIFESTS = "_manifests"
+#: The column that orders a stored source's rows as they were in the source.
+SOURCE_ROW = "source_row"
 
 
 def _manifests(spark: SparkSession, path: str) -> list[int]:
@@ -166,6 +168,12 @@ def _clean(spark: SparkSession, path: str, generation: int, files: set[str]) ->
             fs.delete(entry.getPath(), True)
 
 
+def positions() -> Column:
+    """A row's place in a table that Spark has written: by file, and by row in it.  Files are numbered as their tasks were."""
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("long")
+    return part * (1 << 33) + F.col("_metadata.row_index")
+
+
 def write_source(df: DataFrame, name: str, data_dir: str) -> int:
     """Replace ``data_dir/name`` by the rows, in a folder per year; the number of rows.
 

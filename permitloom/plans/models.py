@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from permitloom.config import MODELS, ModelSpec
 from permitloom.operators import ml
-from permitloom.operators.storage import read_table, replace, write_text
+from permitloom.operators.storage import SOURCE_ROW, read_table, replace, write_text
 
 SCORED = ("dev_applications", "coa")
 
@@ -32,17 +32,22 @@ def train_model(df: DataFrame, spec: ModelSpec, model_dir: str, trees: int = ml.
 
 
 def train_all(spark: SparkSession, data_dir: str, model_dir: str, trees: int = ml.TREES) -> tuple[dict[str, int], dict[str, dict]]:
-    """Fit and cross-validate all models; writes metrics.json. Row order for the folds: year, then a hash of the whole row."""
+    """Fit and cross-validate all models; writes metrics.json.  Folds are blocks of the rows as they are stored."""
     counts, metrics = {}, {}
     for name, spec in MODELS.items():
         df = read_table(spark, enriched_path(data_dir, spec.source))
         counts[name] = train_model(df, spec, model_dir, trees)
-        year = F.col("year_submitted").cast("int") if "year_submitted" in df.columns else F.lit(0)
-        metrics[name] = ml.evaluate(df, spec, F.struct(year, F.xxhash64(*sorted(df.columns))), trees=trees)
+        metrics[name] = ml.evaluate(df, spec, stored_order(df), trees=trees)
     write_text(spark, f"{model_dir}/metrics.json", iter([json.dumps(metrics, indent=2).encode()]))
     return counts, metrics
 
 
+def stored_order(df: DataFrame) -> Column:
+    """The folders of the years one after another, and each one's rows as they were in the source; a hash of the row where that is not known."""
+    year = next((F.col(c).cast("int") for c in ("year", "year_submitted") if c in df.columns), F.lit(0))
+    return F.struct(year, F.col(SOURCE_ROW) if SOURCE_ROW in df.columns else F.xxhash64(*sorted(df.columns)))
+
+
 def score_table(df: DataFrame, source: str, model_dir: str) -> DataFrame:
     for spec in (m for m in MODELS.values() if m.source == source):
         df = ml.predict(load_model(model_dir, spec.name), df, spec)

@@ -21,7 +21,7 @@ from permitloom.operators import ml, normalize, spatial
 from permitloom.operators.boosting import Boosted, Tree
 from permitloom.operators.files import StoredFile
 from permitloom.operators.scratch import forget, scratch
-from permitloom.operators.storage import exists, files_below, last_modified, read_table, replace, row_count, write_source
+from permitloom.operators.storage import SOURCE_ROW, exists, files_below, last_modified, read_table, replace, row_count, write_source
 from permitloom.plans import enrich, models
 from permitloom.sources import layers
 from permitloom.sources.csv_ranges import read_csv
@@ -339,6 +339,22 @@ def stratified_kfold_assign(spark, sf_dir):
     return ml.folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 3, F.col("o_orderkey"), "o_orderstatus").drop("o_orderstatus")
 
 
+@query("""SELECT o_orderkey, (ntile(3) OVER (PARTITION BY o_orderstatus = 'F' ORDER BY year(o_orderdate), o_orderkey) - 1)::INT AS fold FROM orders""")
+def folds_in_stored_order(spark, sf_dir):
+    """Rows served page by page, fetched, stored by year, and cut into the folds of training: blocks of the stored order within each class."""
+    folder, page = scratch(spark, "portal"), 4096
+    record = F.to_json(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("application_date"), "o_orderstatus"))
+    rows = ml.numbered(table(spark, sf_dir, "orders").orderBy("o_orderkey").select(record.alias("value")))
+    rows.select("value", "row_number", (F.col("row_number") / page).cast("long").alias("page")).repartition("page").sortWithinPartitions("page", "row_number").drop("row_number").write.partitionBy("page").text(folder)
+    forget(rows)
+    page_of = lambda offset, limit: b"".join(_text_of(spark, f"{folder}/page={offset // limit}")).decode().splitlines() if exists(spark, f"{folder}/page={offset // limit}") else []
+    data = scratch(spark, "data")
+    with LocalPortal([{"id": "rows", "datastore_active": True}], page_of, total=table(spark, sf_dir, "orders").count()) as portal:
+        write_source(PortalSource(SourceConfig("orders", "datastore", 1900), portal.client, page).fetch(spark), "orders", data)
+    stored_rows = read_table(spark, f"{data}/orders").withColumn("done", (F.col("o_orderstatus") == "F").cast("int"))
+    return ml.folds(stored_rows, 3, models.stored_order(stored_rows), "done").select("o_orderkey", "fold")
+
+
 @query("""SELECT p_partkey, CASE WHEN p_size > 45 THEN -1e0 ELSE (dense_rank() OVER (ORDER BY p_brand) - 1)::DOUBLE END AS code FROM part""")
 def ordinal_encode(spark, sf_dir):
     """The encoder of the models: fitted on all brands, some of which are replaced by one that it has not seen."""
@@ -502,7 +518,7 @@ def portal_records(spark, sf_dir):
     forget(rows)
     page_of = lambda offset, limit: b"".join(_text_of(spark, f"{folder}/page={offset // limit}")).decode().splitlines() if exists(spark, f"{folder}/page={offset // limit}") else []
     with LocalPortal([{"id": "files"}, {"id": "rows", "datastore_active": True}], page_of, total=table(spark, sf_dir, "supplier").count()) as portal:
-        return PortalSource(SourceConfig("suppliers", "datastore", 1995), portal.client, page).fetch(spark)
+        return PortalSource(SourceConfig("suppliers", "datastore", 1995), portal.client, page).fetch(spark).drop(SOURCE_ROW)
 
 
 @query("""SELECT CASE WHEN s_suppkey % 4 = 3 THEN 'S' ELSE '' END || s_suppkey AS supp_key, s_acctbal AS balance, s_suppkey % 3 = 0 AS flag, s_suppkey || 'D' AS unit,
@@ -519,7 +535,7 @@ def portal_csv_years(spark, sf_dir):
     resources = [{"name": f"Suppliers {2018 + y}", "format": "csv", "url": f"/{2018 + y}.csv"} for y in range(4)]
     resources += [{"name": "Suppliers 2020", "format": "XML", "url": "/none"}, {"name": "Read me", "format": "CSV", "url": "/none"}]
     with LocalPortal(resources, files=lambda path: _text_of(spark, folder + path)) as portal:
-        return PortalSource(SourceConfig("by_year", "bulk_csv", 2019), portal.client).fetch(spark)
+        return PortalSource(SourceConfig("by_year", "bulk_csv", 2019), portal.client).fetch(spark).drop(SOURCE_ROW)
 
 
 @query("""SELECT count(*) AS written, count(*) AS counted, true AS changed, true AS gone FROM orders""")

@@ -143,7 +143,10 @@ def column_names(record: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file or folder with headers, all text, in as many tasks as its bytes ask for; ``forget`` deletes the table it reads."""
+    """A CSV file or folder with headers, all text, in the order of the files, in as many tasks as its bytes ask for.
+
+    ``forget`` deletes the table it reads.
+    """
     rows = records(spark, path)
     heads = rows.groupBy("file").agg(F.min(F.struct("start", "seq", "record")).alias("head")).select("file", "head.*")
     first = heads.orderBy("file").first()
@@ -153,6 +156,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         names = column_names(first.record)
         fields = F.from_csv("record", ", ".join(f"c{k} string" for k in range(len(names))), {"quote": '"', "escape": '"'})
         body = rows.join(F.broadcast(heads.drop("record")), ["file", "start", "seq"], "left_anti")  # a row for each file
-        out = body.select(fields.alias("r")).select("r.*").toDF(*names)
+        out = body.orderBy("file", "start", "seq").select(fields.alias("r")).select("r.*").toDF(*names)
     out.scratch_path = rows.scratch_path
     return out

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from permitloom.config import PORTAL, SOURCE_CONFIGS, SourceConfig
 from permitloom.operators.normalize import diagonal_union, infer_types, normalize, year_window
 from permitloom.operators.scratch import forget, scratch, stored
-from permitloom.operators.storage import delete, write_text
+from permitloom.operators.storage import SOURCE_ROW, delete, positions, write_text
 from permitloom.sources.base import Client, HttpClient
 from permitloom.sources.csv_ranges import read_csv
 from permitloom.sources.paged import PAGE, PagedRecords
@@ -28,7 +28,7 @@ class PortalSource:
         self.client = client or HttpClient(PORTAL)
 
     def fetch(self, spark: SparkSession) -> DataFrame:
-        """Normalized rows from the start year on, and those without a year.
+        """Normalized rows from the start year on, and those without a year; ``source_row`` ascends as they do in the source.
 
         They are read from a table in the shared folder, which goes with the session, or by ``forget``.
         """
@@ -40,7 +40,14 @@ class PortalSource:
         names = raw.columns
         kept = stored(raw.toDF(*[f"c{k}" for k in range(len(names))]), "fetched", spark) if names else spark.createDataFrame([], "")
         forget(*getattr(raw, "reads", []))
-        out = year_window(normalize(kept.toDF(*names), self.config), self.config.year_start)
+        if not names:
+            return kept
+        out = normalize(kept.withColumn("position", positions()).toDF(*names, "position"), self.config)
+        # Where a row stands in the source, in the column after the source's own.
+        taken, place = set(out.columns), SOURCE_ROW
+        while place in taken:
+            place += "_"
+        out = year_window(out.toDF(*[place if k == len(names) else c for k, c in enumerate(out.columns)]), self.config.year_start)
         out.scratch_path = getattr(kept, "scratch_path", None)
         return out
 

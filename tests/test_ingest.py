@@ -147,3 +147,17 @@ def test_date_format_of_most_values(spark):
     for values in (["2021-01-02", "31/12/2021", "30/11/2021"], ["31/12/2021", "2021-01-02", "30/11/2021"]):
         df = N.parse_dates(spark.createDataFrame([(v,) for v in values], "the_date string"))
         assert sorted(str(r[0]) for r in df.collect()) == ["2021-11-30", "2021-12-31", "None"]
+
+
+def test_rows_keep_their_place(spark, tmp_path):
+    """``source_row`` ascends with pages and rows, and with files and their rows, through the folders of the years."""
+    pages = [[{"Application Date": f"{2020 + k % 2}-01-01", "source row": k, "k": p * 50 + k} for k in range(50)] for p in range(3)]
+    df, _ = datastore(spark, tmp_path, pages)
+    assert storage.write_source(df, "a", f"file://{tmp_path}") == 150
+    back = storage.read_table(spark, f"file://{tmp_path}/a")
+    assert "source_row" in back.columns and "source_row_" in back.columns  # a column of the source had the name
+    assert [r.k for r in back.orderBy("source_row_").collect()] == list(range(150))
+    head = "Application Date,k\n"
+    df = bulk(spark, tmp_path, [{"name": f"p {2020 + y}", "data": head + "".join(f'{2022 - y}-02-03,"{y * 40 + k}"\n' for k in range(40))} for y in range(3)])
+    assert storage.write_source(df, "b", f"file://{tmp_path}") == 120
+    assert [r.k for r in storage.read_table(spark, f"file://{tmp_path}/b").orderBy("source_row").collect()] == list(range(120))
