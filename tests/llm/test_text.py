@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from permitloom.llm import decontaminate, langid, quality, queries
@@ -249,7 +250,7 @@ def test_many_languages():
     """A thousand languages with ten thousand letters."""
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 10_000)]
     samples = {f"l{k:04}": ["".join(letters[(k * 10 + j) % 10_000] for j in range(30))] for k in range(1000)}
-    found = langid.Languages.of(samples).predict(pa.array([samples["l0007"][0], samples["l0500"][0]]))
+    found = langid.Languages.learn(samples).predict(pa.array([samples["l0007"][0], samples["l0500"][0]]))
     assert list(found[0]) == ["l0007", "l0500"]
 
 
@@ -261,6 +262,38 @@ def test_languages(spark):
     assert sum(got[d.doc_id].lang_pred == d.lang for d in held) / len(held) > 0.98
 
 
+def test_language_query_against_a_plain_parse(spark, monkeypatch):
+    """Each row's language and score, from the samples that were learned and nothing else of the operator."""
+    taken, learn, small = {}, langid.Languages.learn, "/root/testdata/sf0.001"
+
+    def watched(samples, limit=langid.SAMPLE_SYMBOLS):
+        taken.update(samples)
+        return learn(samples, limit)
+
+    monkeypatch.setattr(langid.Languages, "learn", staticmethod(watched))
+    got = {r.doc_id: r for r in queries.op6_langid(spark, small).collect()}
+    names, whole, bits = sorted(taken), [], []
+    for name in names:
+        parts, left = [], langid.SAMPLE_SYMBOLS
+        for text in map(plain_letters, taken[name]):
+            if left > 0 and text.strip():
+                parts.append(text[:left])
+                left -= len(parts[-1])
+        whole.append("\n".join(parts))
+        bits.append(math.log2(sum(len(x) + 1 for x in parts) + 1))
+    docs = spark.read.parquet(f"{small}/documents.parquet").collect()
+    short = [d for d in docs if len(d.text or "") < 4000]
+    assert len(short) > 0.7 * len(docs)
+    for d in short:
+        text = plain_letters(d.text or "")
+        if not text.strip():
+            assert (got[d.doc_id].lang_pred, got[d.doc_id].score) == ("und", 0)
+            continue
+        rate = [max(phrases(text, s) * b / len(text), 1e-9) for s, b in zip(whole, bits, strict=True)]
+        assert got[d.doc_id].lang_pred == names[rate.index(min(rate))]
+        assert got[d.doc_id].score == pytest.approx((1 / min(rate)) / sum(1 / r for r in rate), abs=1e-12)
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([("the cat and the dog " * 20, "en"), ("der hund und die katze " * 20, "de"), (None, "fr"), ("x", None)], "text string, lang string")
     rows = [(1, None), (2, ""), (3, "123 !!"), (4, "the dog"), (5, "die katze"), (6, "und " * 100_000), (6, "und"), (7, "日本")]
@@ -344,6 +377,22 @@ def test_sites_shrink(spark):
     assert again[7] and all(again[k] == (r.probability >= edge) for k, r in out.items())
 
 
+def test_quality_query_against_the_formula(spark):
+    """Each row of the query: its evidence by the classifier's numbers, and the rest by plain sums."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model, rows = quality.fit(docs, labels), docs.collect()
+    z = np.clip((quality.features(pa.array([d.text or "" for d in rows])) - model.mean) / model.scale, -8, 8)
+    evidence = {d.doc_id: float(np.clip((row * model.weights).sum() + model.offset, -20, 20)) for d, row in zip(rows, z, strict=True)}
+    got = {r.doc_id: r for r in queries.op8_quality(spark, SF).collect()}
+    want = posteriors([(d.doc_id, d.source, d.lang) for d in rows], evidence, model.rate)
+    assert set(got) == set(want) and len(got) == len(rows)
+    for k, (n, site, probability) in want.items():
+        r = got[k]
+        # The whole probability is the document's odds times those of its site.
+        assert r.site_docs == n and r.evidence == pytest.approx(evidence[k], abs=1e-6)
+        assert r.site_rate == pytest.approx(site, abs=1e-6) and r.probability == pytest.approx(probability, abs=1e-6) and r.kept == (r.probability >= 0.5)
+
+
 def test_repeated_labelled_documents(spark):
     """One text teaches of each key, whatever is repeated, and which doesn't depend on the order."""
     rows = [(1, "good words here")] * 40 + [(1, "other words")] + [(2, "### $$")] * 3
