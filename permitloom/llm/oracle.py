@@ -76,9 +76,11 @@ u{n} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM
 b{n + 1} AS (SELECT part, e, coalesce(u.c, b.c) AS c FROM b{n} b LEFT JOIN u{n} u USING (part, e))"""
 
 
-OP13 = f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
-p AS (SELECT r, part, x[part * (len(x) // 16) + 1 : (part + 1) * (len(x) // 16)] AS y FROM k, range(16) q(part)),
+#: Vectors that are shorter than the longest, or than a multiple of 16, are filled up with zeros.
+OP13 = f"""WITH g AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+w AS (SELECT (max(len(embedding)) + 15) // 16 AS w FROM g),
+k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, w, list_resize(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT), 16 * w, 0) AS x FROM g, w),
+p AS (SELECT r, part, x[part * w + 1 : (part + 1) * w] AS y FROM k, range(16) q(part)),
 b0 AS (SELECT part, r - 1 AS e, y AS c FROM p WHERE r <= 64),
 {_assigned(0)},
 {_means(0)},
