@@ -3,7 +3,10 @@
 Polygons are covered by quadtree cells: a cell that no edge reaches is inside as a whole or left out, one with few
 edges keeps those that a ray in it may meet, and one with many is split into four.  Points
 fall into one cell of each level, and the two meet on the cell; only in cells that edges reach is there an exact test, an
-expression over the few edges kept, so no edge is ever a row.  Nothing is broadcast beyond what the optimizer finds small.
+expression over the few edges kept, so no edge is ever a row.
+
+The optimizer doesn't see that exploding makes rows more, and would take a large table of points for a small one.  So
+the sides of these joins are named: a cover is broadcast if its own size, which is counted, is small, and else both sides are shuffled; points never are broadcast.
 """
 
 from __future__ import annotations
@@ -15,10 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from permitloom.operators.scratch import stored
+
 #: Degrees of the largest cells, how often a cell may be split, and edges of a cell that is not split.
 CELL, DEPTH, FEW = 0.32, 9, 12
 #: Share of a cell's width by which it reaches beyond its borders, for points that rounding puts on the other side.
 SLACK = 1e-6
+#: Bytes of a cover up to which it is broadcast.
+SMALL = 8 << 20
 _POINT = "array<double>"
 _RINGS = f"array<array<{_POINT}>>"
 
@@ -107,9 +114,16 @@ def cover(layer: DataFrame, name: str, cell: float = CELL) -> DataFrame:
 
 
 def candidates(points: DataFrame, cells: DataFrame, rid: str, cell: float) -> DataFrame:
-    """__rid, lon, lat, __name, edges of the points and the cells of a cover that they fall into."""
+    """__rid, lon, lat, __name, edges of the points and the cells of a cover that they fall into.
+
+    The cover is a table in the shared folder: a point is a row for each level that it has.
+    """
+    cells = stored(cells, "cover")
+    levels = cells.groupBy("level").agg(F.sum(F.lit(64) + 32 * F.coalesce(F.size("edges"), F.lit(0))).alias("bytes")).collect()  # a row for each level
+    cells = F.broadcast(cells) if sum(r.bytes for r in levels) <= SMALL else cells.hint("merge")
     at = lambda c: F.floor(F.col(c) / (F.lit(cell) / F.pow(F.lit(2.0), F.col("level"))))
-    placed = points.where("lon is not null and lat is not null").select(F.col(rid).alias("__rid"), "lon", "lat", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level"))
+    used = F.array(*[F.lit(k) for k in sorted(r.level for r in levels)]).cast("array<int>")
+    placed = points.where("lon is not null and lat is not null").select(F.col(rid).alias("__rid"), "lon", "lat", F.explode(used).alias("level"))
     placed = placed.withColumn("cx", at("lon")).withColumn("cy", at("lat"))
     return placed.join(cells, ["level", "cx", "cy"]).select("__rid", "lon", "lat", "__name", "edges")
 
@@ -127,14 +141,16 @@ def within(points: DataFrame, layer: DataFrame, name: str, rid: str = "rid", cel
 def near(points: DataFrame, layer: DataFrame, radius: float, rid: str = "rid") -> DataFrame:
     """rid of the points with a layer point (lon, lat) at most ``radius`` degrees away.
 
-    Cells are as wide as the radius; a layer point is put into its own and the eight around it.
+    Cells are as wide as the radius; a layer point is put into its own and the eight around it.  A point is done
+    with the first layer point that is close, so no pairs come out.
     """
     steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     at = lambda c: F.floor(F.col(c) / radius)
     known = "lon is not null and lat is not null"
     around = layer.where(known).select(F.col("lon").alias("x"), F.col("lat").alias("y"), at("lon").alias("cx0"), at("lat").alias("cy0")).distinct()
     around = around.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps))
-    around = around.select("x", "y", (F.col("cx0") + F.col("dx")).alias("cx"), (F.col("cy0") + F.col("dy")).alias("cy"))
+    around = around.select("x", "y", (F.col("cx0") + F.col("dx")).alias("near_x"), (F.col("cy0") + F.col("dy")).alias("near_y"))
     placed = points.where(known).select(F.col(rid).alias("__rid"), "lon", "lat", at("lon").alias("cx"), at("lat").alias("cy"))
     close = F.pow(F.col("lon") - F.col("x"), 2) + F.pow(F.col("lat") - F.col("y"), 2) <= radius * radius
-    return placed.join(around, ["cx", "cy"]).where(close).select(F.col("__rid").alias(rid)).distinct()
+    same = (F.col("cx") == F.col("near_x")) & (F.col("cy") == F.col("near_y"))
+    return placed.join(around.hint("merge"), same & close, "left_semi").select(F.col("__rid").alias(rid)).distinct()

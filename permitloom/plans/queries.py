@@ -262,7 +262,7 @@ def point_in_polygon(spark, sf_dir):
     polygons, _ = spatial.parse_geojson(F.col("geometry"))
     zones = spark.createDataFrame([(n, json.dumps(g)) for n, g in _ZONES.items()], "zone string, geometry string").select("zone", spatial.edges_of(polygons).alias("edges"))
     found = spatial.within(points, zones, "zone", cell=1.0)
-    return points.join(found, "rid", "left").select(F.col("rid").alias("p_partkey"), "zone")
+    return points.join(found.hint("merge"), "rid", "left").select(F.col("rid").alias("p_partkey"), "zone")
 
 
 @query("""WITH p AS (SELECT c_custkey, (c_custkey * 7919 % 100003) / 1e5 AS lon, (c_custkey * 104729 % 99991) / 1e5 AS lat FROM customer),
@@ -273,7 +273,7 @@ def within_distance(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select(c.alias("rid"), (c * 7919 % 100003 / F.lit(1e5)).alias("lon"), (c * 104729 % 99991 / F.lit(1e5)).alias("lat"))
     layer = table(spark, sf_dir, "supplier").select((s * 6007 % 100003 / F.lit(1e5)).alias("lon"), (s * 5003 % 99991 / F.lit(1e5)).alias("lat"))
     near = spatial.near(points, layer, 2e-2).withColumn("hit", F.lit(1))
-    return points.join(near, "rid", "left").select(F.col("rid").alias("c_custkey"), F.coalesce("hit", F.lit(0)).alias("in_register"))
+    return points.join(near.hint("merge"), "rid", "left").select(F.col("rid").alias("c_custkey"), F.coalesce("hit", F.lit(0)).alias("in_register"))
 
 
 _PLACES = """p AS (SELECT c_custkey, (c_custkey * 37 % 1009) / 1009e0 * 10e0 AS lon, (c_custkey * 101 % 997) / 997e0 * 10e0 AS lat FROM customer)"""
