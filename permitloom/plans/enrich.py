@@ -51,7 +51,10 @@ def spatial_attributes(df: DataFrame, zoning: DataFrame, register: DataFrame, di
     plan = spatial.within(points, plans, "secondary_plan_name", "_rid")
     listed = spatial.near(points, register, radius, "_rid").withColumn("in_heritage_register", F.lit(1))
     district = spatial.within(points, districts.select(F.lit("1").alias("district"), "edges"), "district", "_rid").select("_rid", F.lit(1).alias("in_heritage_district"))
-    out = df.join(zone, "_rid", "left").join(listed, "_rid", "left").join(district, "_rid", "left").join(plan, "_rid", "left")
+    out = df
+    for found in (zone, listed, district, plan):
+        # As many rows as there are points at most: sorted on both sides, and never gathered by the driver.
+        out = out.join(found.hint("merge"), "_rid", "left")
     return out.select(
         *[F.col(c) for c in df.columns],
         "zoning_class",

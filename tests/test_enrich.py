@@ -176,3 +176,26 @@ def test_layers_are_fetched_once(spark, tmp_path):
     for _ in range(2):
         layers.fetch_layers(spark, f"file://{tmp_path}/new", Client())
     assert len(asked) == 4 and (tmp_path / "new" / "heritage_register" / "a.shp").exists() and not list((tmp_path / "new").glob("*.part"))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [0, spatial.SMALL])
+def test_points_are_never_broadcast(spark, tmp_path, monkeypatch, small):
+    """Levels multiply the points after the optimizer has judged their size by the file's."""
+    monkeypatch.setattr(spatial, "SMALL", small)
+    path = str(tmp_path / "points")
+    spark.range(3000).select(F.col("id").alias("rid"), (F.col("id") % 61 / 10).alias("lon"), (F.col("id") % 59 / 10).alias("lat")).write.parquet(path)
+    points, square = spark.read.parquet(path), [[0.5, 0.5], [4.5, 0.5], [4.5, 4.5], [0.5, 4.5], [0.5, 0.5]]
+    edges = [(*a, *b) for a, b in zip(square[:-1], square[1:], strict=True)]
+    layer = spark.createDataFrame([("a", edges)], "name string, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    found = spatial.within(points, layer, "name", cell=1.0)
+    assert "BuildLeft" not in plan_of(found) and ("BroadcastHashJoin" in plan_of(found)) == (small > 0)
+    assert {r.rid for r in found.collect()} == {k for k in range(3000) if 0.5 < k % 61 / 10 < 4.5 and 0.5 < k % 59 / 10 < 4.5}
+    near = spatial.near(points, points, 0.05)
+    assert "Broadcast" not in plan_of(near) and near.count() == 3000
+    out = enrich.spatial_attributes(points.withColumnRenamed("rid", "_rid"), layer.withColumnRenamed("name", "zoning_class"), points, layer, layer.withColumnRenamed("name", "secondary_plan_name"))
+    joins = plan_of(out).split("SortMergeJoin [_rid")
+    assert len(joins) == 5 and out.count() == 3000
