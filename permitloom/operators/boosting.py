@@ -5,13 +5,15 @@ gradients, second derivatives and rows by (leaf, feature, bin) for all leaves th
 adds the tasks' sums, and the driver, which holds no more than these, takes the best split of each leaf:
 at which bin, and to which side missing values go.  Leaves are split in the order of their gain until
 there are ``LEAVES``.  Passes are shared: whichever leaves the order may need are summed
-together, so a tree takes about as many passes as it is deep.
+together, so a tree takes about as many passes as it is deep.  Of a split's sides a pass sums the one of fewer
+rows, and the other's sums are what is left of the whole's; rows elsewhere are not looked at.
 
 Sums are of integers (gradients times a power of two that depends on the rows alone), so a model does not depend on
 how the table is partitioned or in what order tasks end.
 
-The binned rows are a table in the shared folder.  Scores are kept in executors for some trees at a time and made
-again from that table and the model if an executor is lost.
+The binned rows are a table in the shared folder.  Passes read blocks of them, columns of up to ``ROWS`` rows with
+the scores by the trees so far, that executors keep: a tree's blocks are made of the last one's by the pass that sums its root, and every
+``REFRESH`` trees from the table again, so what is lost with an executor is made again in few steps.
 """
 
 from __future__ import annotations
@@ -19,12 +21,13 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +35,12 @@ from permitloom.operators.scratch import forget, stored
 
 LEAVES, STEP, LEAF, LEAST_CURVE, BINS = 31, 0.1, 20, 1e-3, 255
 MISSING = BINS
-#: Trees that a pass applies itself; after so many, scores are kept anew.
-REFRESH = 6
+#: After so many trees the blocks are made from the table and not from the last tree's.
+REFRESH = 25
 #: Early stopping: tables of more rows hold this share out, and growth ends when no loss of so many rounds is better than the one before them.
 STOP_ROWS, HELD, PATIENCE, LEAST_GAIN = 10_000, 10, 10, 1e-7
-#: Tasks beyond which Spark adds the sums up, and not the driver; rows of a task's step.
-FEW_TASKS, ROWS = 16, 1 << 14
+#: Tasks beyond which Spark adds the sums up, and not the driver; rows of a block.
+FEW_TASKS, ROWS = 16, 1 << 16
 
 
 @dataclass
@@ -58,34 +61,51 @@ class Tree:
             getattr(self, name).append(x)
         return len(self.feature) - 1
 
-    def places(self, rows: int, goes_left: Callable) -> np.ndarray:
-        """The node that each row ends in; ``goes_left(rows, nodes)`` answers for rows at splits."""
-        feature, left, right = np.array(self.feature), np.array(self.left), np.array(self.right)
-        at, going = np.zeros(rows, np.int64), np.arange(rows)
-        while True:
-            going = going[feature[at[going]] >= 0]
-            if not len(going):
-                return at
-            nodes = at[going]
-            at[going] = np.where(goes_left(going, nodes), left[nodes], right[nodes])
+    def routed(self, rows: int, goes_left: Callable, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """Each leaf (of those ``wanted``) with its rows; ``goes_left(node, rows)`` answers for the rows at a split."""
+        leads = [wanted is None or node in wanted for node in range(len(self.feature))]
+        for node in reversed(range(len(leads))):  # sides come after their split
+            if self.feature[node] >= 0:
+                leads[node] = leads[self.left[node]] or leads[self.right[node]]
+        todo = [(0, np.arange(rows))] if leads[0] else []
+        while todo:
+            node, here = todo.pop()
+            if self.feature[node] < 0:
+                yield node, here
+                continue
+            left = goes_left(node, here)
+            if leads[self.right[node]]:
+                todo.append((self.right[node], here[~left]))
+            if leads[self.left[node]]:
+                todo.append((self.left[node], here[left]))
 
-    def of_bins(self, bins: np.ndarray) -> np.ndarray:
-        feature, limit, missing = np.array(self.feature), np.array(self.bin), np.array(self.missing_left)
+    def routed_bins(self, bins: np.ndarray, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """``routed`` by bins (features x rows)."""
 
-        def left(rows, nodes):
-            b = bins[rows, feature[nodes]]
-            return np.where(b == MISSING, missing[nodes], b <= limit[nodes])
+        def left(node: int, rows: np.ndarray) -> np.ndarray:
+            to = np.arange(BINS + 1) <= self.bin[node]
+            to[MISSING] = self.missing_left[node]
+            of = bins[self.feature[node]]
+            return to[of if len(rows) == len(of) else of[rows]]
 
-        return self.places(len(bins), left)
+        return self.routed(bins.shape[1], left, wanted)
 
-    def of_numbers(self, x: np.ndarray) -> np.ndarray:
-        feature, limit, missing = np.array(self.feature), np.array(self.threshold), np.array(self.missing_left)
+    def routed_numbers(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """``routed`` by numbers (features x rows)."""
 
-        def left(rows, nodes):
-            v = x[rows, feature[nodes]]
-            return np.where(np.isnan(v), missing[nodes], v <= limit[nodes])
+        def left(node: int, rows: np.ndarray) -> np.ndarray:
+            of = x[self.feature[node]]
+            v = of if len(rows) == len(of) else of[rows]
+            return ~(v > self.threshold[node]) if self.missing_left[node] else v <= self.threshold[node]
 
-        return self.places(len(x), left)
+        return self.routed(x.shape[1], left)
+
+    def of_numbers(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row (rows x features)."""
+        at = np.zeros(len(x), np.int64)
+        for node, rows in self.routed_numbers(np.ascontiguousarray(x.T)):
+            at[rows] = node
+        return at
 
 
 @dataclass
@@ -99,15 +119,10 @@ class Boosted:
     losses: list[float] = field(default_factory=list)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
-        for t in self.trees:
-            out += np.array(t.value)[t.of_numbers(x)]
-        return out
-
-    def raw_of_bins(self, bins: np.ndarray, start: np.ndarray) -> np.ndarray:
-        out = start.copy()
+        out, columns = np.full(len(x), self.base), np.ascontiguousarray(x.T)
         for t in self.trees:
-            out += np.array(t.value)[t.of_bins(bins)]
+            for node, rows in t.routed_numbers(columns):
+                out[rows] += t.value[node]
         return out
 
     def gains(self, features: int) -> np.ndarray:
@@ -184,10 +199,44 @@ def _bins_of(batch: pa.RecordBatch, features: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[column.offset * features : (column.offset + len(column)) * features].reshape(len(column), features)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            yield whole.slice(at, ROWS)
+#: Bins (features x rows), labels and scores of rows.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(features: int, base: float, trees: list[Tree]) -> Callable:
+    """Pickled blocks, the rows to learn from and those held out, of label, bins, held."""
+
+    def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        bins = np.concatenate([_bins_of(b, features) for b in batches])
+        label = np.concatenate([np.asarray(b.column("label"), dtype=np.float64) for b in batches])
+        held = np.concatenate([np.asarray(b.column("held"), dtype=bool) for b in batches])
+        sides = [scored((np.ascontiguousarray(bins[on].T), label[on], np.full(int(on.sum()), base)), trees) for on in (~held, held)]
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sides, protocol=5)], pa.binary())], names=["block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, rows = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                if rows + batch.num_rows > ROWS:
+                    yield block(waiting)
+                    waiting, rows = [], 0
+                waiting.append(batch)
+                rows += batch.num_rows
+        if waiting:
+            yield block(waiting)
+
+    return run
+
+
+def scored(rows: Rows, trees: list[Tree]) -> Rows:
+    """The rows with the trees' values added to their scores."""
+    bins, label, raw = rows
+    raw = raw.copy()
+    for t in trees:
+        for node, at in t.routed_bins(bins):
+            raw[at] += t.value[node]
+    return bins, label, raw
 
 
 def slopes(label: np.ndarray, raw: np.ndarray, regression: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,36 +247,41 @@ def slopes(label: np.ndarray, raw: np.ndarray, regression: bool) -> tuple[np.nda
     return p - label, p * (1 - p), np.logaddexp(0, raw) - label * raw
 
 
-def _summed(model: Boosted, tree: Tree, wanted: dict[int, int], features: int, scale: float, loss_scale: float) -> Callable:
-    """slot, n, g, h of the wanted leaves' (leaf, feature, bin); slot -1 has the rows held out, and their loss.
-
-    ``model`` has the trees that the rows' scores lack.
-    """
-    size = features * (BINS + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, held = np.zeros((3, len(wanted) * size), np.int64), np.zeros(2, np.int64)
-        of = np.full(len(tree.feature), -1)
-        of[list(wanted)] = list(wanted.values())
-        for batch in _slices(batches):
-            bins, label = _bins_of(batch, features), np.asarray(batch.column("label"), dtype=np.float64)
-            raw = model.raw_of_bins(bins, np.asarray(batch.column("raw"), dtype=np.float64))
-            g, h, loss = slopes(label, raw, model.regression)
-            out = np.asarray(batch.column("held"), dtype=bool)
-            held += [int(out.sum()), int(np.rint(loss[out] * loss_scale).sum())]
-            slot = of[tree.of_bins(bins)]
-            on = np.nonzero((slot >= 0) & ~out)[0]
-            at = (slot[on, None] * size + np.arange(features) * (BINS + 1) + bins[on]).ravel()
-            for k, v in enumerate((np.ones(len(on)), np.rint(g[on] * scale), np.rint(h[on] * scale))):
-                # Whole numbers whose sums a double holds.
-                sums[k] += np.bincount(at, np.repeat(v, features), sums.shape[1]).astype(np.int64)
+def _summed(tree: Tree, leaves: list[int], features: int, regression: bool, scale: float, loss_scale: float | None) -> Callable:
+    """A task's sums (n, g, h) by (leaf, feature, bin), as the places that are not 0 and what stands there; and, with ``loss_scale``, number and loss of the rows held out."""
+    size, slots = features * (BINS + 1), {node: k for k, node in enumerate(leaves)}
+
+    def run(blocks: Iterator[list[Rows]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        sums, held = np.zeros((3, len(leaves) * size), np.int64), np.zeros(2, np.int64)
+        for (bins, label, raw), (_, out_label, out_raw) in blocks:
+            if loss_scale is not None:
+                loss = slopes(out_label, out_raw, regression)[2]
+                held += [len(loss), int(np.rint(loss * loss_scale).sum())]
+            for node, at in tree.routed_bins(bins, set(leaves)):
+                g, h, _ = slopes(label[at], raw[at], regression)
+                g, h = np.rint(g * scale), np.rint(h * scale)
+                for f in range(features):
+                    of, to = bins[f][at], slice(slots[node] * size + f * (BINS + 1), slots[node] * size + (f + 1) * (BINS + 1))
+                    count = np.bincount(of, minlength=BINS + 1)
+                    sums[0, to] += count
+                    # Whole numbers whose sums a double holds.
+                    sums[1, to] += np.bincount(of, g, BINS + 1).astype(np.int64)
+                    sums[2, to] += count * int(np.rint(scale)) if regression else np.bincount(of, h, BINS + 1).astype(np.int64)
         on = np.nonzero(sums[0])[0]
-        columns = [np.append(on, -1), *(np.append(s[on], x) for s, x in zip(sums, (held[0], held[1], 0), strict=True))]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["slot", "n", "g", "h"])
+        yield on, sums[:, on], held
 
     return run
 
 
+def _added(a: tuple, b: tuple) -> tuple:
+    """Two tasks' sums as one."""
+    on = np.union1d(a[0], b[0])
+    sums = np.zeros((3, len(on)), np.int64)
+    for places, values, _ in (a, b):
+        sums[:, np.searchsorted(on, places)] += values
+    return on, sums, a[2] + b[2]
+
+
 def best_split(sums: np.ndarray, bins: list[int]) -> tuple[float, int, int, bool, np.ndarray, np.ndarray] | None:
     """Of a leaf's sums (features x bins x (n, g, h)): gain, feature, bin, whether missing values go left, and both sides' sums.
 
@@ -253,9 +307,16 @@ def best_split(sums: np.ndarray, bins: list[int]) -> tuple[float, int, int, bool
     return best
 
 
-def _grow(total: np.ndarray, sums_of: Callable, edges: list[np.ndarray]) -> tuple[Tree, dict[int, np.ndarray]]:
-    """The tree of the best splits in order of gain; ``sums_of(tree, leaves)`` gives leaves' sums by one pass."""
-    tree, stats, splits, known = Tree(), {}, {}, set()
+def numbers(sums: np.ndarray, scale: float) -> np.ndarray:
+    """Features x bins x (n, g, h) as they are, of whole numbers."""
+    out = sums.astype(np.float64)
+    out[..., 1:] /= scale
+    return out
+
+
+def _grow(whole: np.ndarray, scale: float, sums_of: Callable, edges: list[np.ndarray]) -> Tree:
+    """The tree of the best splits in order of gain; ``sums_of(tree, leaves)`` gives leaves' sums, of whole numbers, by one pass."""
+    tree, stats, splits, known = Tree(), {}, {}, {}
     bins = [len(e) + 1 for e in edges]
 
     def leaf(stat: np.ndarray) -> int:
@@ -272,14 +333,14 @@ def _grow(total: np.ndarray, sums_of: Callable, edges: list[np.ndarray]) -> tupl
         # Beyond the last bin there are missing values only.
         tree.threshold[node] = float(edges[f][b]) if b < len(edges[f]) else math.inf
 
-    root = leaf(total)
-    wanted = [root]
+    def learn(node: int, sums: np.ndarray) -> None:
+        known[node] = sums
+        if found := best_split(numbers(sums, scale), bins):
+            splits[node] = found
+
+    root = leaf(numbers(whole, scale)[0].sum(0))
+    learn(root, whole)
     while True:
-        if wanted:
-            for node, sums in sums_of(tree, wanted).items():
-                known.add(node)
-                if found := best_split(sums, bins):
-                    splits[node] = found
         # Take the best splits in order, as far as leaves are known; those that are not may be needed.
         heap, chosen, wanted = [(-splits[root][0], root)] if root in splits else [], [], []
         while heap and len(chosen) < LEAVES - 1:
@@ -290,13 +351,18 @@ def _grow(total: np.ndarray, sums_of: Callable, edges: list[np.ndarray]) -> tupl
                 if side in known:
                     if side in splits:
                         heapq.heappush(heap, (-splits[side][0], side))
-                elif stats[side][0] >= 2 * LEAF:
-                    wanted.append(side)
+                elif stats[side][0] >= 2 * LEAF and node not in wanted:
+                    wanted.append(node)
         if not wanted:
             # What was opened on the way and is not among the best is closed again.
             for node in set(splits) - set(chosen):
                 tree.feature[node], tree.gain[node] = -1, 0.0
-            return tree, stats
+            return tree
+        fewer = {node: min((tree.left[node], tree.right[node]), key=lambda side: stats[side][0]) for node in wanted}
+        found = sums_of(tree, list(fewer.values()))
+        for node, side in fewer.items():
+            learn(side, found[side])
+            learn(tree.left[node] + tree.right[node] - side, known[node] - found[side])
 
 
 def _pruned(tree: Tree) -> Tree:
@@ -324,6 +390,7 @@ def fit(df: DataFrame, features: int, regression: bool, trees: int = 100) -> tup
     rows, low, high, tasks = table.withColumn("part", F.spark_partition_id()).agg(F.count("*"), F.min("label"), F.max("label"), F.max("part")).first()
     held = F.pmod(F.xxhash64("row"), F.lit(HELD)) == 0 if rows > STOP_ROWS else F.lit(False)
     table_of = table.withColumn("held", held)
+    parts = min(tasks + 1, -(-rows // ROWS)) if rows else 1  # a task has a block at least
     n, mean = table_of.where("not held").agg(F.count("*"), F.avg("label")).first()
     mean = mean or 0.0
     base = mean if regression else math.log(min(max(mean, 1e-9), 1 - 1e-9) / (1 - min(max(mean, 1e-9), 1 - 1e-9)))
@@ -335,52 +402,42 @@ def fit(df: DataFrame, features: int, regression: bool, trees: int = 100) -> tup
     unit = lambda most: 2.0 ** min(36 - math.ceil(math.log2(most)), 61 - math.ceil(math.log2(rows * most)))
     scale = unit(max(1.0, high - low))
     loss_scale = unit(max(64.0, (high - low) ** 2))
-    kept, first = None, 0
-
-    def scored() -> DataFrame:
-        """Rows with the score by the trees so far, kept in the executors."""
-        so_far = Boosted(regression, base, list(model.trees))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in _slices(batches):
-                raw = so_far.raw_of_bins(_bins_of(batch, features), np.full(batch.num_rows, base))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("bins"), batch.column("held"), pa.array(raw)], names=["label", "bins", "held", "raw"])
-
-        return table_of.select("label", "bins", "held").mapInArrow(run, "label double, bins binary, held boolean, raw double").persist(StorageLevel.MEMORY_AND_DISK)
-
-    def sums_of(tree: Tree, leaves: list[int]) -> dict[int, np.ndarray]:
-        wanted = {node: k for k, node in enumerate(leaves)}
-        rest = Boosted(regression, base, model.trees[first:])
-        out = kept.mapInArrow(_summed(rest, tree, wanted, features, scale, loss_scale), "slot long, n long, g long, h long")
-        if tasks >= FEW_TASKS:
-            out = out.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
-        slot, *values = (np.asarray(c) for c in out.toArrow().columns)
-        sums = np.zeros((3, len(leaves) * features * (BINS + 1) + 1), np.int64)
-        for total, v in zip(sums, values, strict=True):
-            np.add.at(total, slot, v)  # slot -1 is the last
+    kept = None
+
+    def blocks(last: RDD | None) -> RDD:
+        """Blocks with the scores by the trees so far, kept in the executors."""
+        if last is not None:
+            new = model.trees[-1:]
+            return last.map(lambda sides: [scored(rows, new) for rows in sides]).persist(StorageLevel.MEMORY_AND_DISK)
+        made = table_of.select("label", "bins", "held").coalesce(parts).mapInArrow(_blocks(features, base, list(model.trees)), "block binary")
+        return made.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def sums_of(tree: Tree, leaves: list[int], loss_scale: float | None = None) -> dict[int, np.ndarray]:
         nonlocal loss
-        loss = sums[1, -1] / loss_scale / sums[0, -1] if sums[0, -1] else None
-        each = sums[:, :-1].reshape(3, len(leaves), features, BINS + 1).astype(np.float64)
-        each[1:] /= scale
-        return dict(zip(leaves, np.moveaxis(each, 0, -1), strict=True))
+        out = kept.mapPartitions(_summed(tree, leaves, features, regression, scale, loss_scale))
+        sums, held = np.zeros((3, len(leaves) * features * (BINS + 1)), np.int64), np.zeros(2, np.int64)
+        for on, values, own in [out.treeReduce(_added)] if parts > FEW_TASKS else out.collect():
+            sums[:, on] += values
+            held += own
+        if loss_scale is not None:
+            loss = held[1] / loss_scale / held[0] if held[0] else None
+        return dict(zip(leaves, np.moveaxis(sums.reshape(3, len(leaves), features, BINS + 1), 0, -1), strict=True))
 
     loss = None
     try:
-        kept = scored()
         while len(model.trees) < trees and features:
-            root = sums_of(Tree([-1], [0], [0.0], [False], [-1], [-1], [0.0], [0.0]), [0])[0]
+            last, kept = kept, blocks(kept if len(model.trees) % REFRESH else None)
+            root = sums_of(Tree([-1], [0], [0.0], [False], [-1], [-1], [0.0], [0.0]), [0], loss_scale)[0]
+            if last is not None:
+                last.unpersist()
             if loss is not None:
                 model.losses.append(loss)
                 if len(model.losses) > PATIENCE and min(model.losses[-PATIENCE:]) >= model.losses[-PATIENCE - 1] - LEAST_GAIN:
                     break
-            again = {0: root}
-            tree, _ = _grow(root[0].sum(0), lambda t, leaves: {0: again.pop(0)} if 0 in again else sums_of(t, leaves), edges)
+            tree = _grow(root, scale, sums_of, edges)
             if tree.feature[0] < 0:
                 break
             model.trees.append(_pruned(tree))
-            if len(model.trees) - first >= REFRESH:
-                old, kept, first = kept, scored(), len(model.trees)
-                old.unpersist()
     finally:
         if kept is not None:
             kept.unpersist()

@@ -2,8 +2,10 @@
 
 import heapq
 import math
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +185,42 @@ def test_permutation_is_that_of_one_feature_at_a_time(spark):
         mixed = x.copy()
         mixed[:, f] = x[order, f]
         assert got[name] == pytest.approx(auc(y, model.trees.raw(x)) - auc(y, model.trees.raw(mixed)))
+
+
+def test_a_pass_sums_the_smaller_sides(spark, monkeypatch):
+    """After the root, a pass looks at no more than half the rows of the leaves it splits, and the rest follows by subtraction."""
+    seen, summed = [], boosting._summed
+
+    def watched(tree, leaves, *rest):
+        seen.append((tree.feature[:], [{tree.left[p]: tree.right[p], tree.right[p]: tree.left[p]}.get(k) for k in leaves for p in range(len(tree.feature)) if k and k in (tree.left[p], tree.right[p])]))
+        return summed(tree, leaves, *rest)
+
+    monkeypatch.setattr(boosting, "_summed", watched)
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=(2000, 2)), r.normal(size=2000)
+    x[r.random((2000, 2)) < 0.1] = np.nan
+    model, _ = boosting.fit(frame(spark, x, y), 2, True, trees=3)
+    asked = sum(len(others) for _, others in seen)
+    assert sum(len(f) == 1 for f, _ in seen) == 3 and 0 < asked <= 3 * 40  # 30 splits a tree, and some that were opened on the way
+    raw = np.full(2000, model.base)
+    for t in model.trees:
+        g = raw - y
+        at = t.of_numbers(x)
+        for leaf in np.unique(at):
+            assert t.value[leaf] == pytest.approx(-0.1 * g[at == leaf].mean(), abs=1e-6)
+        raw += np.array(t.value)[at]
+    assert raw == pytest.approx(model.raw(x))
+
+
+def test_blocks_are_full_and_keep_every_row(spark, monkeypatch):
+    """Scores kept in blocks are those of the whole model, made anew from the table or not."""
+    r = np.random.default_rng(9)
+    x, y = r.normal(size=(900, 2)), r.normal(size=900)
+    one = boosting.fit(frame(spark, x, y), 2, True, trees=5)[0].to_json()
+    monkeypatch.setattr(boosting, "REFRESH", 2)
+    assert boosting.fit(frame(spark, x, y), 2, True, trees=5)[0].to_json() == one
+    batch = lambda n: pa.RecordBatch.from_arrays([pa.array(np.zeros(n)), pa.array([b"\x01\x02"] * n, pa.binary()), pa.array([k % 3 == 0 for k in range(n)])], names=["label", "bins", "held"])
+    monkeypatch.setattr(boosting, "ROWS", 100)
+    made = [pickle.loads(b.column("block")[0].as_py()) for b in boosting._blocks(2, 0.5, [])(iter([batch(30), batch(60), batch(250)]))]
+    assert sum(side[0].shape[1] for sides in made for side in sides) == 340 and max(s[0][0].shape[1] + s[1][0].shape[1] for s in made) <= 100
+    assert all((side[0] == [[1], [2]]).all() and (side[2] == 0.5).all() for sides in made for side in sides)
