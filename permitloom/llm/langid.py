@@ -14,8 +14,8 @@ that doesn't happen the next piece is entered again too.  So the count is that o
 the whole text.  A text of over ``PART_CHARS`` characters goes through in parts, each
 beginning with the state that the last one left.
 
-Automata are one hash table of (state, symbol) with room for twice its entries or more, so their
-size follows from the samples' symbols and not from the alphabet.
+Automata are one table, in which states with few ways on fill the gaps of others, with room for twice its entries
+or more, so its size follows from the samples' symbols and not from the alphabet.
 
 Training takes for each language up to ``SAMPLE_TEXTS`` different texts in order of a hash of
 the text (those of 200 to 8,000 characters first), and of these up to ``SAMPLE_SYMBOLS`` symbols; that
@@ -79,7 +79,7 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Steps:
-    """A hash table from (state, symbol) to the next state, asked for many at once.
+    """A hash table from (state, symbol) to the next state, asked for many at once, by any keys; languages use ``Placed``.
 
     An entry is one number of key and value, so a look takes one access; where they don't fit (hundreds
     of languages), values are in an array of their own.
@@ -120,6 +120,55 @@ class Steps:
         return np.where(out < 0, -1, value).reshape(shape)
 
 
+class Placed:
+    """The next state of (state, symbol), asked for many at once.
+
+    A state is known by its place in one table: its way by a symbol is the entry so many places
+    further, which names the state that it belongs to, so a look takes one access.  Places are
+    chosen at random, for states with many ways first, until no entry is taken twice.
+    """
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, width: int, states: int):
+        state, symbol = keys // width, keys % width
+        order = np.argsort(state, kind="stable")
+        state, symbol, values = state[order], symbol[order], values[order]
+        ways = np.bincount(state, minlength=states)
+        begin = np.cumsum(ways) - ways
+        random, size = np.random.default_rng(0), 1 << int(2 * max(len(keys), states) + 8).bit_length()
+        while (place := self._places(ways, begin, symbol, size, width, random)) is None:
+            size *= 2
+        #: Where each state is, by its number in the keys.
+        self.place, self.low = place, int(size).bit_length()
+        self.mask = (1 << self.low) - 1
+        self.entries = np.full(size + width, -1, np.int64)
+        self.entries[place[state] + symbol] = (place[state] << self.low) | place[values]
+
+    @staticmethod
+    def _places(ways: np.ndarray, begin: np.ndarray, symbol: np.ndarray, size: int, width: int, random: np.random.Generator) -> np.ndarray | None:
+        """Places without a clash; none if they are not found in some rounds."""
+        place, named, taken = np.full(len(ways), -1), np.zeros(size, bool), np.zeros(size + width, bool)
+        for n in np.unique(ways)[::-1].tolist():
+            todo = np.nonzero(ways == n)[0]
+            of = symbol[begin[todo][:, None] + np.arange(n)]
+            for _ in range(1000):
+                if not len(todo):
+                    break
+                at = random.integers(0, size, len(todo))
+                _, nth, clash = np.unique(at, return_index=True, return_inverse=True)
+                good = (nth[clash] == np.arange(len(todo))) & ~named[at]
+                slots = at[:, None] + of
+                good &= ~taken[slots].any(1)
+                # Of those that want one entry, the first takes it.
+                mine = slots[good].ravel()
+                _, nth, clash = np.unique(mine, return_index=True, return_inverse=True)
+                good[good] = (nth[clash] == np.arange(len(mine))).reshape(int(good.sum()), n).all(1)
+                place[todo[good]], named[at[good]], taken[slots[good]] = at[good], True, True
+                todo, of = todo[~good], of[~good]
+            if len(todo):
+                return None
+        return place
+
+
 def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the lower-cased texts with 0 for non-letters, and the number of each text's."""
     lower = pc.utf8_lower(pc.fill_null(texts, ""))
@@ -150,7 +199,7 @@ class Languages:
 
     names: list[str]
     alphabet: np.ndarray
-    steps: Steps
+    steps: Placed
     #: The first state of each language, and where each symbol leads from there.
     roots: np.ndarray
     first: np.ndarray
@@ -185,16 +234,22 @@ class Languages:
             bits.append(math.log2(len(row) + 1))
             base += len(automaton)
         none = [np.zeros(0, np.int64)]
-        return Languages(list(points), alphabet, Steps(np.concatenate(keys or none), np.concatenate(values or none)), np.array(roots, dtype=np.int64), first, np.array(bits))
+        steps = Placed(np.concatenate(keys or none), np.concatenate(values or none), width, base)
+        return Languages(list(points), alphabet, steps, steps.place[np.array(roots, dtype=np.int64)], np.where(first < 0, -1, steps.place[first]) if base else first, np.array(bits))
 
-    def _begins(self, state: np.ndarray, open_: np.ndarray, c: np.ndarray, roots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _begins(self, state: np.ndarray, open_: np.ndarray, c: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """One symbol further: whether a phrase begins with it, the state, and whether the phrase is still open."""
-        to = self.steps(state * first.shape[-1] + c)
-        begins = ~open_ | (to < 0)
-        again = first[roots[0], c] if len(roots) == 2 else first[:, c]
-        lone = (to < 0) & (again < 0)  # a letter that the language lacks is a phrase by itself
-        home = roots[1] if len(roots) == 2 else self.roots[:, None]
-        return begins, np.where(to >= 0, to, np.where(lone, home, again)), ~lone
+        found = self.steps.entries[state + c]
+        none = (found >> self.steps.low) != state
+        to = found & self.steps.mask
+        begins, open_ = ~open_ | none, np.ones(none.shape, bool)
+        # Where there is no way on, the symbol begins a phrase.
+        at = np.nonzero(none)
+        lang = at[0] if none.ndim == 2 else lang[at]
+        again = self.first[lang, c[at[-1]]]
+        lone = again < 0  # a letter that the language lacks is a phrase by itself
+        to[at], open_[at] = np.where(lone, self.roots[lang], again), ~lone
+        return begins, to, open_
 
     def phrases(self, classes: np.ndarray, sizes: np.ndarray, entry: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
         """Phrases of each text (rows) against each language (columns), and the states that the last text ends with.
@@ -217,7 +272,7 @@ class Languages:
             while lengths[active - 1] <= k:
                 active -= 1
             at = t[:active] + k
-            begins, s[:, :active], o[:, :active] = self._begins(s[:, :active], o[:, :active], classes[at], (), self.first)
+            begins, s[:, :active], o[:, :active] = self._begins(s[:, :active], o[:, :active], classes[at], None)
             starts_here[:, at] = begins
         state[:, order], open_[:, order] = s, o
         for k in range(n):
@@ -265,7 +320,7 @@ class Languages:
                 on, state, open_ = on[~over], state[~over], open_[~over]
                 continue
             at = start[piece[on]] + k
-            begins, state, open_ = self._begins(state, open_, classes[at], (lang[on], self.roots[lang[on]]), self.first)
+            begins, state, open_ = self._begins(state, open_, classes[at], lang[on])
             both = begins & plain[lang[on], at]
             met[on[both]] = at[both]
             total[on] += begins & ~both

@@ -246,6 +246,21 @@ def test_steps():
     assert wide.apart is not None and (wide(keys << 20) == np.arange(len(keys)) << 20).all() and (wide(keys) == -1).all()
 
 
+def test_places_of_states_do_not_clash():
+    """Every way is found by one access, and no other; states without a way have places of their own."""
+    rng = random.Random(5)
+    automaton = langid.suffix_automaton([rng.randrange(40) for _ in range(6000)])
+    ways = {(k, c): v for k, t in enumerate(automaton) for c, v in t.items()}
+    keys, values = np.array([k * 42 + c for k, c in ways]), np.array(list(ways.values()))
+    shuffled = np.random.default_rng(2).permutation(len(keys))
+    table = langid.Placed(keys[shuffled], values[shuffled], 42, len(automaton))
+    assert len(np.unique(table.place)) == len(automaton) and (table.place >= 0).all()
+    found = table.entries[table.place[:, None] + np.arange(42)]
+    there = (found >> table.low) == table.place[:, None]
+    assert there.sum() == len(ways) and all(there[k, c] and found[k, c] & table.mask == table.place[v] for (k, c), v in ways.items())
+    assert langid.Placed(np.zeros(0, np.int64), np.zeros(0, np.int64), 2, 0).entries.max() == -1
+
+
 def test_many_languages():
     """A thousand languages with ten thousand letters."""
     letters = [chr(c) for c in range(0x4E00, 0x4E00 + 10_000)]
