@@ -11,7 +11,9 @@ rows, and the other's sums are what is left of the whole's; rows elsewhere are n
 Sums are of integers (gradients times a power of two that depends on the rows alone), so a model does not depend on
 how the table is partitioned or in what order tasks end.
 
-The binned rows are a table in the shared folder.  Passes read blocks of them, columns of up to ``ROWS`` rows with
+Rows that agree in bins, label and whether they are held out can't be told apart by any tree, so the table that is learned from,
+in the shared folder, has each such row once with its number: its size is bounded by the bins and labels that
+occur, whatever the rows.  Passes read blocks of it, columns of up to ``ROWS`` rows with
 the scores by the trees so far, that executors keep: a tree's blocks are made of the last one's by the pass that sums its root, and every
 ``REFRESH`` trees from the table again, so what is lost with an executor is made again in few steps.
 """
@@ -24,6 +26,8 @@ import math
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,51 +65,143 @@ class Tree:
             getattr(self, name).append(x)
         return len(self.feature) - 1
 
-    def routed(self, rows: int, goes_left: Callable, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """Each leaf (of those ``wanted``) with its rows; ``goes_left(node, rows)`` answers for the rows at a split."""
-        leads = [wanted is None or node in wanted for node in range(len(self.feature))]
-        for node in reversed(range(len(leads))):  # sides come after their split
-            if self.feature[node] >= 0:
-                leads[node] = leads[self.left[node]] or leads[self.right[node]]
-        todo = [(0, np.arange(rows))] if leads[0] else []
+    def reach(self, leaves: list[int], limits: list[int], sizes: list[int]) -> dict[int, np.ndarray]:
+        """Of each feature that is asked, the leaves (up to 32, as bits) that a row may end in, by the place of its value.
+
+        A place up to ``limits[node]`` goes left at the node; of a feature's ``sizes`` places the last is that of missing values.  A row ends
+        in the leaf that all its places allow, if that is one of ``leaves``.
+        """
+        bits, below = {node: 1 << k for k, node in enumerate(leaves)}, [0] * len(self.feature)
+        out: dict[int, np.ndarray] = {}
+        for node in reversed(range(len(below))):  # sides come after their split
+            f = self.feature[node]
+            if f < 0:
+                below[node] = bits.get(node, 0)
+                continue
+            left, right = below[self.left[node]], below[self.right[node]]
+            below[node] = left | right
+            if below[node]:
+                to = out.setdefault(f, np.full(sizes[f], _ALL, np.uint32))
+                here = np.arange(sizes[f]) <= limits[node]
+                here[-1] = self.missing_left[node]
+                to[here] &= np.uint32(_ALL ^ right)
+                to[~here] &= np.uint32(_ALL ^ left)
+        if not out:
+            return {}
+        some = next(iter(out.values()))
+        some &= np.uint32(below[0])
+        return out
+
+    def ends(self, places: np.ndarray, leaves: list[int], limits: list[int] | None = None, sizes: list[int] | None = None) -> np.ndarray:
+        """Of each row the place of its leaf among ``leaves``, or their number; by the places of its values (features x rows), which are bins by default."""
+        limits, sizes = limits or self.bin, sizes or [BINS + 1] * len(places)
+        if self.feature[0] < 0:
+            return np.full(places.shape[1], leaves.index(0) if 0 in leaves else len(leaves))
+        out = np.full(places.shape[1], len(leaves))
+        for start in range(0, len(leaves), 32):
+            some = leaves[start : start + 32]
+            met = reduce(np.bitwise_and, [_look(to, places[f]) for f, to in self.reach(some, limits, sizes).items()])
+            slot = np.full(37, len(leaves))
+            slot[[(1 << k) % 37 for k in range(len(some))]] = np.arange(start, start + len(some))
+            out = np.minimum(out, _look(slot, met % 37))
+        return out
+
+    def leaves(self) -> list[int]:
+        """All leaves that can be reached."""
+        out, todo = [], [0]
         while todo:
-            node, here = todo.pop()
+            node = todo.pop()
             if self.feature[node] < 0:
-                yield node, here
-                continue
-            left = goes_left(node, here)
-            if leads[self.right[node]]:
-                todo.append((self.right[node], here[~left]))
-            if leads[self.left[node]]:
-                todo.append((self.left[node], here[left]))
+                out.append(node)
+            else:
+                todo += [self.right[node], self.left[node]]
+        return out
 
-    def routed_bins(self, bins: np.ndarray, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
-        """``routed`` by bins (features x rows)."""
+    def of_numbers(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row (rows x features)."""
+        leaves, grid = self.leaves(), Grid([self], x.shape[1])
+        return np.array(leaves)[self.ends(grid.places(x), leaves, grid.limits[0], grid.sizes)]
 
-        def left(node: int, rows: np.ndarray) -> np.ndarray:
-            to = np.arange(BINS + 1) <= self.bin[node]
-            to[MISSING] = self.missing_left[node]
-            of = bins[self.feature[node]]
-            return to[of if len(rows) == len(of) else of[rows]]
 
-        return self.routed(bins.shape[1], left, wanted)
+#: All leaves of up to 32; the powers of two below 2^36 have different remainders by 37, and none has that of 0.
+_ALL = (1 << 32) - 1
 
-    def routed_numbers(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """``routed`` by numbers (features x rows)."""
 
-        def left(node: int, rows: np.ndarray) -> np.ndarray:
-            of = x[self.feature[node]]
-            v = of if len(rows) == len(of) else of[rows]
-            return ~(v > self.threshold[node]) if self.missing_left[node] else v <= self.threshold[node]
+def _look(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``table[places]`` of places that are within it (without a check, which takes longer than the look)."""
+    return table.take(places, mode="clip")
 
-        return self.routed(x.shape[1], left)
 
-    def of_numbers(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row (rows x features)."""
-        at = np.zeros(len(x), np.int64)
-        for node, rows in self.routed_numbers(np.ascontiguousarray(x.T)):
-            at[rows] = node
-        return at
+class Grid:
+    """Numbers as places among the thresholds of trees, so that a tree is a few looks into tables for each feature."""
+
+    def __init__(self, trees: list[Tree], features: int):
+        asked: list[set[float]] = [set() for _ in range(features)]
+        for t in trees:
+            for f, limit in zip(t.feature, t.threshold, strict=True):
+                if f >= 0:
+                    asked[f].add(limit)
+        self.thresholds = [np.array(sorted(a), np.float64) for a in asked]
+        self.sizes = [len(a) + 2 for a in asked]
+        self.limits = [[int(np.searchsorted(self.thresholds[f], limit)) if f >= 0 else -1 for f, limit in zip(t.feature, t.threshold, strict=True)] for t in trees]
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Features x rows, of rows x features."""
+        return np.stack([np.where(np.isnan(v), len(limits) + 1, np.searchsorted(limits, v)) for v, limits in zip(x.T, self.thresholds, strict=True)])
+
+
+class Scorer:
+    """The sums of a model's trees, for many rows."""
+
+    def __init__(self, model: Boosted, features: int):
+        self.base, self.grid, self.trees = model.base, Grid(model.trees, features), []
+        for t, limits in zip(model.trees, self.grid.limits, strict=True):
+            leaves = t.leaves()
+            if len(leaves) > 32 or len(leaves) < 2:
+                self.trees.append((t, leaves, limits))
+                continue
+            values = np.zeros(37)
+            values[[(1 << k) % 37 for k in range(len(leaves))]] = [t.value[node] for node in leaves]
+            self.trees.append((t.reach(leaves, limits, self.grid.sizes), values, None))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        """The score of each row (rows x features)."""
+        return self._sums(self.grid.places(x))
+
+    def _sums(self, places: np.ndarray) -> np.ndarray:
+        out = np.full(places.shape[1], self.base)
+        for reach, values, limits in self.trees:
+            if limits is None:
+                out += _look(values, reduce(np.bitwise_and, [_look(to, places[f]) for f, to in reach.items()]) % 37)
+            else:
+                out += np.array([reach.value[node] for node in values])[reach.ends(places, values, limits, self.grid.sizes)]
+        return out
+
+    def dealt(self, x: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Features x rows: the scores of ``x`` with one feature's values from ``d``."""
+        of, other = self.grid.places(x), self.grid.places(d)
+        out = np.full((len(of), len(x)), self.base)
+        for reach, values, limits in self.trees:
+            if limits is not None:
+                for f in range(len(of)):
+                    out[f] += np.array([reach.value[node] for node in values])[reach.ends(np.stack([other[k] if k == f else of[k] for k in range(len(of))]), values, limits, self.grid.sizes)]
+                continue
+            met, asked = {f: _look(to, of[f]) for f, to in reach.items()}, list(reach)
+            # What the features before, and those after, leave of the leaves.
+            before = list(accumulate([met[f] for f in asked], np.bitwise_and))
+            after = list(accumulate([met[f] for f in reversed(asked)], np.bitwise_and))[::-1]
+            same = _look(values, before[-1] % 37)
+            for f in range(len(of)):
+                if f not in reach:
+                    out[f] += same
+                    continue
+                k, here = asked.index(f), _look(reach[f], other[f])
+                if k:
+                    here = here & before[k - 1]
+                if k + 1 < len(asked):
+                    here = here & after[k + 1]
+                out[f] += _look(values, here % 37)
+        return out
 
 
 @dataclass
@@ -119,11 +215,7 @@ class Boosted:
     losses: list[float] = field(default_factory=list)
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        out, columns = np.full(len(x), self.base), np.ascontiguousarray(x.T)
-        for t in self.trees:
-            for node, rows in t.routed_numbers(columns):
-                out[rows] += t.value[node]
-        return out
+        return Scorer(self, x.shape[1]).raw(x)
 
     def gains(self, features: int) -> np.ndarray:
         """Summed split gains of each feature."""
@@ -147,8 +239,12 @@ class Boosted:
         model = self
 
         @F.arrow_udf("double")
-        def score(rows: pa.Array) -> pa.Array:
-            return pa.array(model.raw(matrix(rows)))
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            scorer = None
+            for rows in batches:
+                x = matrix(rows)
+                scorer = scorer or Scorer(model, x.shape[1])
+                yield pa.array(scorer.raw(x))
 
         return score(x)
 
@@ -199,18 +295,19 @@ def _bins_of(batch: pa.RecordBatch, features: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[column.offset * features : (column.offset + len(column)) * features].reshape(len(column), features)
 
 
-#: Bins (features x rows), labels and scores of rows.
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Bins (features x rows), labels and scores of rows, and how many there are of each.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _blocks(features: int, base: float, trees: list[Tree]) -> Callable:
-    """Pickled blocks, the rows to learn from and those held out, of label, bins, held."""
+    """Pickled blocks, the rows to learn from and those held out, of label, bins, held and n (1 where there is none)."""
 
     def block(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         bins = np.concatenate([_bins_of(b, features) for b in batches])
         label = np.concatenate([np.asarray(b.column("label"), dtype=np.float64) for b in batches])
         held = np.concatenate([np.asarray(b.column("held"), dtype=bool) for b in batches])
-        sides = [scored((np.ascontiguousarray(bins[on].T), label[on], np.full(int(on.sum()), base)), trees) for on in (~held, held)]
+        times = np.concatenate([np.asarray(b.column("n"), dtype=np.int64) if "n" in b.schema.names else np.ones(len(b), np.int64) for b in batches])
+        sides = [scored((np.ascontiguousarray(bins[on].T), narrow(label[on]), np.full(int(on.sum()), base), narrow(times[on])), trees) for on in (~held, held)]
         return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sides, protocol=5)], pa.binary())], names=["block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,14 +326,22 @@ def _blocks(features: int, base: float, trees: list[Tree]) -> Callable:
     return run
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in fewer bytes if they are small whole ones: what a pass takes is mostly reading its blocks."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if len(values) and values.min() >= 0 and values.max() <= np.iinfo(kind).max and (values == values.astype(kind)).all():
+            return values.astype(kind)
+    return values
+
+
 def scored(rows: Rows, trees: list[Tree]) -> Rows:
     """The rows with the trees' values added to their scores."""
-    bins, label, raw = rows
+    bins, label, raw, times = rows
     raw = raw.copy()
     for t in trees:
-        for node, at in t.routed_bins(bins):
-            raw[at] += t.value[node]
-    return bins, label, raw
+        leaves = t.leaves()
+        raw += np.array([t.value[node] for node in leaves])[t.ends(bins, leaves)]
+    return bins, label, raw, times
 
 
 def slopes(label: np.ndarray, raw: np.ndarray, regression: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,30 +354,40 @@ def slopes(label: np.ndarray, raw: np.ndarray, regression: bool) -> tuple[np.nda
 
 def _summed(tree: Tree, leaves: list[int], features: int, regression: bool, scale: float, loss_scale: float | None) -> Callable:
     """A task's sums (n, g, h) by (leaf, feature, bin), as the places that are not 0 and what stands there; and, with ``loss_scale``, number and loss of the rows held out."""
-    size, slots = features * (BINS + 1), {node: k for k, node in enumerate(leaves)}
+    size = len(leaves) * (BINS + 1)
 
     def run(blocks: Iterator[list[Rows]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        sums, held = np.zeros((3, len(leaves) * size), np.int64), np.zeros(2, np.int64)
-        for (bins, label, raw), (_, out_label, out_raw) in blocks:
+        sums, held = np.zeros((3, features, size), np.int64), np.zeros(2, np.int64)
+        for (bins, label, raw, times), (_, out_label, out_raw, out_times) in blocks:
             if loss_scale is not None:
                 loss = slopes(out_label, out_raw, regression)[2]
-                held += [len(loss), int(np.rint(loss * loss_scale).sum())]
-            for node, at in tree.routed_bins(bins, set(leaves)):
-                g, h, _ = slopes(label[at], raw[at], regression)
-                g, h = np.rint(g * scale), np.rint(h * scale)
-                for f in range(features):
-                    of, to = bins[f][at], slice(slots[node] * size + f * (BINS + 1), slots[node] * size + (f + 1) * (BINS + 1))
-                    count = np.bincount(of, minlength=BINS + 1)
-                    sums[0, to] += count
-                    # Whole numbers whose sums a double holds.
-                    sums[1, to] += np.bincount(of, g, BINS + 1).astype(np.int64)
-                    sums[2, to] += count * int(np.rint(scale)) if regression else np.bincount(of, h, BINS + 1).astype(np.int64)
+                held += [int(out_times.sum()), int((np.rint(loss * loss_scale).astype(np.int64) * out_times).sum())]
+            end = tree.ends(bins, leaves)
+            at = np.nonzero(end < len(leaves))[0]
+            slot, n = end[at] * (BINS + 1), times[at]
+            g, h, _ = slopes(label[at], raw[at], regression)
+            g, h = np.rint(g * scale).astype(np.int64) * n, None if regression else np.rint(h * scale).astype(np.int64) * n
+            few = int(n.sum()) <= 2 * ROWS
+            for f in range(features):
+                to = slot + _look(bins[f], at)
+                count = np.bincount(to, n, size).astype(np.int64)
+                sums[0, f] += count
+                sums[1, f] += whole_sums(to, g, size, few)
+                sums[2, f] += count * int(np.rint(scale)) if regression else whole_sums(to, h, size, few)
+        sums = sums.reshape(3, features, len(leaves), BINS + 1).swapaxes(1, 2).reshape(3, -1)
         on = np.nonzero(sums[0])[0]
         yield on, sums[:, on], held
 
     return run
 
 
+def whole_sums(to: np.ndarray, values: np.ndarray, size: int, few: bool) -> np.ndarray:
+    """Sums of whole numbers by place; unless a double holds them (``few``), of their upper and lower bits apart."""
+    if few:
+        return np.bincount(to, values, size).astype(np.int64)
+    return (np.bincount(to, values >> 26, size).astype(np.int64) << 26) + np.bincount(to, values & ((1 << 26) - 1), size).astype(np.int64)
+
+
 def _added(a: tuple, b: tuple) -> tuple:
     """Two tasks' sums as one."""
     on = np.union1d(a[0], b[0])
@@ -386,21 +501,22 @@ def fit(df: DataFrame, features: int, regression: bool, trees: int = 100) -> tup
     A table without rows gives 0 everywhere; one class alone, or equal labels, give that class or label.
     """
     edges = bin_edges(df, features)
-    table = stored(df.select("label", "x").mapInArrow(_binned(edges), "row long, label double, bins binary"), "bins")
-    rows, low, high, tasks = table.withColumn("part", F.spark_partition_id()).agg(F.count("*"), F.min("label"), F.max("label"), F.max("part")).first()
-    held = F.pmod(F.xxhash64("row"), F.lit(HELD)) == 0 if rows > STOP_ROWS else F.lit(False)
-    table_of = table.withColumn("held", held)
-    parts = min(tasks + 1, -(-rows // ROWS)) if rows else 1  # a task has a block at least
-    n, mean = table_of.where("not held").agg(F.count("*"), F.avg("label")).first()
-    mean = mean or 0.0
+    binned = df.select("label", "x").mapInArrow(_binned(edges), "row long, label double, bins binary")
+    kinds = binned.groupBy("label", "bins", (F.pmod(F.xxhash64("row"), F.lit(HELD)) == 0).alias("held")).agg(F.count("*").alias("n"))
+    table = stored(kinds, "bins")
+    rows, different, low, high, tasks = table.withColumn("part", F.spark_partition_id()).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.min("label"), F.max("label"), F.max("part")).first()
+    table_of = table if rows > STOP_ROWS else table.withColumn("held", F.lit(False))
+    parts = min(tasks + 1, -(-different // ROWS)) if rows else 1  # a task has a block at least
+    # Powers of two by which whole numbers come out whose sums over a step fit a double, and over the table a long.
+    unit = lambda most: 2.0 ** min(36 - math.ceil(math.log2(most)), 61 - math.ceil(math.log2(rows * most)))
+    scale = unit(max(1.0, high - low)) if rows else 1.0
+    n, total = table_of.where("not held").agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum(F.rint((F.col("label") - low) * scale).cast("long") * F.col("n"))).first() if rows else (0, 0)
+    mean = (low * n + total / scale) / n if n else 0.0
     base = mean if regression else math.log(min(max(mean, 1e-9), 1 - 1e-9) / (1 - min(max(mean, 1e-9), 1 - 1e-9)))
     model = Boosted(regression, base)
     if not n or low == high:
         forget(table)
         return model, rows
-    # Powers of two by which whole numbers come out whose sums over a step fit a double, and over the table a long.
-    unit = lambda most: 2.0 ** min(36 - math.ceil(math.log2(most)), 61 - math.ceil(math.log2(rows * most)))
-    scale = unit(max(1.0, high - low))
     loss_scale = unit(max(64.0, (high - low) ** 2))
     kept = None
 
@@ -409,7 +525,7 @@ def fit(df: DataFrame, features: int, regression: bool, trees: int = 100) -> tup
         if last is not None:
             new = model.trees[-1:]
             return last.map(lambda sides: [scored(rows, new) for rows in sides]).persist(StorageLevel.MEMORY_AND_DISK)
-        made = table_of.select("label", "bins", "held").coalesce(parts).mapInArrow(_blocks(features, base, list(model.trees)), "block binary")
+        made = table_of.select("label", "bins", "held", "n").coalesce(parts).mapInArrow(_blocks(features, base, list(model.trees)), "block binary")
         return made.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def sums_of(tree: Tree, leaves: list[int], loss_scale: float | None = None) -> dict[int, np.ndarray]:

@@ -118,8 +118,15 @@ def training_frame(df: DataFrame, spec: ModelSpec) -> DataFrame:
 
 
 def fit(df: DataFrame, spec: ModelSpec, trees: int = TREES) -> tuple[Fitted, int]:
-    """The fitted model, and the number of rows it saw."""
-    return fit_frame(training_frame(df, spec).select("label", *inputs(spec)), spec, trees)
+    """The fitted model, and the number of rows it saw.
+
+    Labels and features are a table in the shared folder, so that ``df`` is computed once and not by each pass over them.
+    """
+    frame = stored(training_frame(df, spec).select("label", *inputs(spec)), "frame")
+    try:
+        return fit_frame(frame, spec, trees)
+    finally:
+        forget(frame)
 
 
 def predict(model: Fitted, df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -201,13 +208,11 @@ def _dealt_scores(trees: Boosted, features: int) -> Callable:
     """Of each row a row per feature: its score with that feature's value from the partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = boosting.Scorer(trees, features)
         for batch in batches:
-            label = batch.column("label")
-            x, d = boosting.matrix(batch.column("x")), boosting.matrix(batch.column("d"))
+            raw = scorer.dealt(boosting.matrix(batch.column("x")), boosting.matrix(batch.column("d")))
             for f in range(features):
-                mixed = x.copy()
-                mixed[:, f] = d[:, f]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), f)), label, pa.array(trees.raw(mixed))], names=["feature", "label", "raw"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(raw.shape[1], f)), batch.column("label"), pa.array(raw[f])], names=["feature", "label", "raw"])
 
     return run
 

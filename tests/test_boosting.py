@@ -224,3 +224,75 @@ def test_blocks_are_full_and_keep_every_row(spark, monkeypatch):
     made = [pickle.loads(b.column("block")[0].as_py()) for b in boosting._blocks(2, 0.5, [])(iter([batch(30), batch(60), batch(250)]))]
     assert sum(side[0].shape[1] for sides in made for side in sides) == 340 and max(s[0][0].shape[1] + s[1][0].shape[1] for s in made) <= 100
     assert all((side[0] == [[1], [2]]).all() and (side[2] == 0.5).all() for sides in made for side in sides)
+
+
+def test_equal_rows_are_learned_from_once(spark, monkeypatch):
+    """Copies change a model as their number says, and nothing else: blocks hold each row once, whatever its copies, and sums are exact."""
+    made = boosting._blocks
+
+    def watched(*of):
+        def run(batches):
+            for b in made(*of)(batches):
+                seen.add(sum(len(side[1]) for side in pickle.loads(b.column("block")[0].as_py())))
+                yield b
+
+        return run
+
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(boosting, "_blocks", watched)
+    r = np.random.default_rng(10)
+    x, y = r.integers(0, 3, (70, 2)).astype(float), r.integers(0, 2, 70).astype(float)
+    x[:9, 0] = np.nan
+    model, n = boosting.fit(frame(spark, np.repeat(x, 100, 0), np.repeat(y, 100)), 2, False, trees=2)
+    kinds = len({(str(a), b, c) for (a, b), c in zip(x.tolist(), y, strict=True)})
+    assert n == 7000 and kinds <= seen.value <= 2 * kinds < 60  # held out or not
+    raw = np.full(70, model.base)
+    for t in model.trees:
+        at = t.of_numbers(x)
+        g, h, _ = boosting.slopes(y, raw, False)
+        for leaf in np.unique(at):
+            assert t.value[leaf] == pytest.approx(-0.1 * g[at == leaf].sum() / h[at == leaf].sum(), abs=1e-9)
+        raw += np.array(t.value)[at]
+    assert raw == pytest.approx(model.raw(x))
+
+
+def test_sums_beyond_a_double():
+    to, values = np.array([0, 1, 0, 1]), np.array([(1 << 58) + 1, -(1 << 57) - 3, 1 << 40, 5])
+    assert boosting.whole_sums(to, values, 2, False).tolist() == [(1 << 58) + (1 << 40) + 1, -(1 << 57) + 2]
+    assert boosting.whole_sums(to, values >> 20, 2, True).tolist() == np.bincount(to, values >> 20).astype(int).tolist()
+    for a in ([0, 255], [0, 256], [1.0, 1 << 17], [0.5, 1], [-1, 3], [2.0**40, 1]):
+        assert (boosting.narrow(np.array(a)) == a).all()
+
+
+def test_scores_by_looks_are_those_of_a_walk():
+    """Trees of few leaves and of many, missing values, places beside thresholds, and each feature dealt from other rows."""
+    r = np.random.default_rng(11)
+
+    def grown(leaves):
+        t = boosting.Tree()
+        t.add(0.0)
+        while sum(f < 0 for f in t.feature) < leaves:
+            node = int(r.choice([k for k, f in enumerate(t.feature) if f < 0]))
+            t.feature[node], t.threshold[node], t.missing_left[node] = int(r.integers(0, 3)), float(r.choice([*range(9), math.inf])), bool(r.integers(0, 2))
+            t.left[node], t.right[node] = t.add(float(r.normal())), t.add(float(r.normal()))
+        return t
+
+    def walk(row):
+        score = model.base
+        for t in model.trees:
+            node = 0
+            while t.feature[node] >= 0:
+                v = row[t.feature[node]]
+                node = t.left[node] if (t.missing_left[node] if math.isnan(v) else v <= t.threshold[node]) else t.right[node]
+            score += t.value[node]
+        return score
+
+    model = boosting.Boosted(True, 0.25, [grown(k) for k in (1, 2, 31, 32, 33, 90)])
+    x = r.integers(-1, 10, (200, 3)).astype(float)
+    x[r.random(x.shape) < 0.2] = np.nan
+    d = x[r.permutation(200)]
+    assert model.raw(x).tolist() == [walk(row) for row in x]
+    for f, got in enumerate(boosting.Scorer(model, 3).dealt(x, d)):
+        mixed = x.copy()
+        mixed[:, f] = d[:, f]
+        assert got.tolist() == [walk(row) for row in mixed]
