@@ -25,6 +25,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -98,17 +99,17 @@ class WordEncoder:
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
 
     def _places(self, words: list[str]) -> np.ndarray:
-        at = [self.place.get(w, -1) for w in words]
-        new = [k for k, p in enumerate(at) if p < 0]
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        new = np.nonzero(at < 0)[0].tolist()
         # Words with the mark are together at the end, so that few texts hold any.
         new = [k for k in new if self.MARK not in words[k]] + [k for k in new if self.MARK in words[k]]
         base = len(self.sizes)
         self._add([words[k] for k in new])
+        at[new] = np.arange(base, base + len(new))
         for p, k in enumerate(new, base):
-            at[k] = p
             if len(words[k]) <= MEMO_CHARS:
                 self.place[words[k]] = p
-        return np.array(at, np.int64)
+        return at
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of each text's; long ones are encoded in parts."""
@@ -123,10 +124,15 @@ class WordEncoder:
             self._anew()
         offsets, words = split_words(texts)
         codes, distinct = coded(words)
-        places = self._places(distinct.to_pylist())[codes]
-        begins, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[places]
+        places = self._places(words_of(distinct)).take(codes)
+        begins, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes.take(places)
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[ragged(begins[places], sizes)], upto[offsets[1:]] - upto[offsets[:-1]]
+        return self.flat.take(ragged(begins.take(places), sizes)), upto[offsets[1:]] - upto[offsets[:-1]]
+
+
+def words_of(words: pa.Array) -> list[str]:
+    """Words without white space as Python's, by one text: several times faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ") if len(words) else []
 
 
 @lru_cache(maxsize=1)

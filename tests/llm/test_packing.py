@@ -121,3 +121,17 @@ def test_query(spark):
         texts[d.text].append(place[d.doc_id])
     copies = [sorted(p) for p in texts.values() if len(p) > 1]
     assert copies and all(p[-1] - p[0] == len(p) - 1 for p in copies)
+
+
+def test_words_leave_arrow_as_one_text(monkeypatch):
+    """A slice's words are taken from Arrow at once, and are the same as one by one; none, odd letters and a part of an array alike."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    words = pa.array(["a", "x\x1cy", "é́", "日本語", "0", "z\x85", "\xa0", "😀"])
+    for some in (words, words.slice(2, 3), words.slice(0, 0)):
+        assert packing.words_of(some) == some.to_pylist()
+    joined, seen = pc.binary_join, []
+    monkeypatch.setattr(packing.pc, "binary_join", lambda *a: seen.append(len(a[0].values)) or joined(*a))
+    ids, n = packing.WordEncoder(PATH)(pa.array(["b a b", None, "a c"]))
+    assert seen == [3] and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library("b a b"), [], library("a c")]
