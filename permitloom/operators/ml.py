@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer
@@ -22,6 +24,8 @@ from permitloom.operators.storage import read_text, write_text
 
 MISSING = "__missing__"
 TREES, SEED = 100, 42
+#: Folds that are fitted at the same time.
+SIDE_BY_SIDE = 3
 
 
 def with_missing_columns(df: DataFrame, spec: ModelSpec) -> DataFrame:
@@ -158,35 +162,40 @@ def folds(df: DataFrame, k: int, order: Column, label: str | None = None) -> Dat
         index = F.when(here, F.col("row_number") - start).otherwise(index)
         short, extra = F.when(here, F.lit(n // k)).otherwise(short), F.when(here, F.lit(n % k)).otherwise(extra)
         start += n
-    rows = rows.withColumns({"__i": index, "__q": short, "__r": extra})
+    dealt = rows.withColumns({"__i": index, "__q": short, "__r": extra})
     large = F.col("__r") * (F.col("__q") + 1)
     fold = F.when(F.col("__i") < large, F.expr("__i div (__q + 1)")).otherwise(F.col("__r") + F.expr("(__i - __r * (__q + 1)) div greatest(__q, 1)"))
-    return rows.select(*kept, fold.cast("int").alias("fold"))
+    out = dealt.select(*kept, fold.cast("int").alias("fold"))
+    out.scratch_path = rows.scratch_path
+    return out
 
 
 def evaluate(df: DataFrame, spec: ModelSpec, order: Column, k: int = 3, trees: int = TREES) -> dict:
     """Mean and population spread of the metric over k folds, and the number of rows.
 
     A fold that can't be judged (one class, or no rows to fit or test) counts as not a number,
-    and so do the mean and the spread of no other folds.
+    and so do the mean and the spread of no other folds.  ``df`` is computed once, and of it only order, label and features are kept.
+    Most of a fit is short passes over few blocks, so folds are fitted side by side.
     """
-    frame = training_frame(df, spec)
-    frame = folds(frame, k, order, None if spec.regression else "label").select("label", "fold", *inputs(spec)).cache()
+    whole = stored(training_frame(df, spec).select(order.alias("order"), "label", *inputs(spec)), "frame")
+    ranked = folds(whole, k, F.col("order"), None if spec.regression else "label")
+    frame = ranked.drop("order")
+    seen = {r.fold: (r.n, r.kinds) for r in frame.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("label").alias("kinds")).collect()}
+    total = sum(n for n, _ in seen.values())
+
+    def judged(fold: int) -> float:
+        model, _ = fit_frame(frame.where(F.col("fold") != fold), spec, trees)
+        return metric(model.transform(frame.where(F.col("fold") == fold)), spec)
+
+    fit = [fold for fold, (n, kinds) in sorted(seen.items()) if total != n and (kinds > 1 or spec.regression)]
     try:
-        seen = {r.fold: (r.n, r.kinds) for r in frame.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("label").alias("kinds")).collect()}
-        total, scores = sum(n for n, _ in seen.values()), []
-        for fold in range(k):
-            n, kinds = seen.get(fold, (0, 0))
-            if not n or total == n or (kinds < 2 and not spec.regression):
-                continue
-            model, _ = fit_frame(frame.where(F.col("fold") != fold), spec, trees)
-            scores.append(metric(model.transform(frame.where(F.col("fold") == fold)), spec))
-        scores = [s for s in scores if not math.isnan(s)]
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            scores = [s for s in pool.map(inheritable_thread_target(df.sparkSession)(judged), fit) if not math.isnan(s)]
         mean = sum(scores) / len(scores) if scores else math.nan
         std = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores)) if scores else math.nan
         return {"mean": mean, "std": std, "n": total}
     finally:
-        frame.unpersist()
+        forget(whole, ranked)
 
 
 def metric(predicted: DataFrame, spec: ModelSpec) -> float:

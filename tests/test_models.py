@@ -2,8 +2,10 @@
 
 import json
 import math
+import threading
 
 import pytest
+from pyspark.sql import functions as F
 
 from permitloom import cli
 from permitloom.config import MODELS
@@ -71,6 +73,34 @@ def test_degenerate_cross_validation(spark):
     assert r["n"] == 5 and (math.isnan(r["mean"]) or 0 <= r["mean"] <= 1)
 
 
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """All three fits have begun before one ends, the table is computed once, and scores are those of the folds one after another."""
+    spec, met, seen = MODELS["coa_approved"], threading.Barrier(3), spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    fit_frame = ml.fit_frame
+
+    def fit(frame, spec, n):
+        met.wait(60)
+        return fit_frame(frame, spec, n)
+
+    monkeypatch.setattr(ml, "fit_frame", fit)
+    label = lambda k: int(k * 7 % 11 < 6)
+    rows = [(k, label(k), "ab"[label(k) if k % 5 else k % 2]) for k in range(150)]
+    df = spark.createDataFrame(rows, "year_submitted int, coa_approved int, application_type string")
+    got = ml.evaluate(df.withColumn("application_type", F.when(counted("year_submitted") >= 0, F.col("application_type"))), spec, df.year_submitted, trees=2)
+    assert got["n"] == seen.value == 150
+    monkeypatch.setattr(ml, "fit_frame", fit_frame)
+    cut = ml.folds(ml.training_frame(df, spec), 3, F.col("year_submitted"), "label").cache()
+    alone = [ml.metric(ml.fit_frame(cut.where(F.col("fold") != f), spec, 2)[0].transform(cut.where(F.col("fold") == f)), spec) for f in range(3)]
+    assert got["mean"] == pytest.approx(sum(alone) / 3) and 0.6 < got["mean"] < 1
+    assert got["std"] == pytest.approx(math.sqrt(sum((a - sum(alone) / 3) ** 2 for a in alone) / 3))
+
+
 def test_small_tables_give_constant_models(spark, tmp_path):
     df = spark.createDataFrame([(2020, 1), (2021, 0), (2022, None)], "year_submitted int, coa_approved int")
     assert models.train_model(df, MODELS["coa_approved"], str(tmp_path), 1) == 2
