@@ -9,7 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark import inheritable_thread_target
+import pyarrow.compute
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import SQLTransformer, StringIndexer
@@ -213,19 +214,204 @@ def gain_importance(model: Fitted, spec: ModelSpec) -> DataFrame:
     return ranked(SparkSession.active().createDataFrame(data, "feature string, importance_mean double, importance_std double"))
 
 
-def _dealt_scores(trees: Boosted, features: int) -> Callable:
-    """Of each row a row per feature: its score with that feature's value from the partner."""
+def _placed(trees: Boosted, features: int) -> Column:
+    """x as places among the trees' thresholds, two bytes each (four where there are more): all that a score depends on."""
+
+    @F.arrow_udf("binary")
+    def places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        grid = boosting.Grid(trees.trees, features)
+        kind = _place_kind(grid)
+        for rows in batches:
+            x = boosting.matrix(rows)
+            flat = np.ascontiguousarray(grid.places(x).T.astype(kind)) if len(rows) else np.zeros((0, features), kind)
+            yield _pieces(flat, np.arange(len(rows) + 1))
+
+    return places(F.col("x"))
+
+
+def _place_kind(grid: boosting.Grid) -> type:
+    return np.uint16 if max(grid.sizes, default=0) < 1 << 16 else np.uint32
+
+
+def _pieces(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Rows of ``values`` from cut to cut, as bytes."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _bytes_of(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    """The rows' bytes one after another."""
+    parts = []
+    for chunk in column.chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] if len(chunk) else np.zeros(1, np.int32)
+        parts.append(memoryview(chunk.buffers()[2] or b"")[ends[0] : ends[-1]])
+    return np.frombuffer(b"".join(parts), kind)
+
+
+def mixed(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Where a random permutation of 0..n-1 takes these: a keyed Feistel network, run again on what it takes beyond n."""
+    half = np.uint64(max(1, (n.bit_length() + 1) // 2))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    keys = np.random.default_rng(seed).integers(0, 1 << 63, 6, np.uint64)
+    out, todo = rows.astype(np.uint64), np.arange(len(rows))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for key in keys:
+            h = (right ^ key) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            left, right = right, left ^ ((h ^ (h >> np.uint64(32))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+#: Rows of a block of pairs, at least, and the most blocks; scores of a range, about; rows whose scores give the ranges' limits.
+PAIRS, BLOCKS, RANGE, LIMITS = 1 << 16, 1 << 10, 1 << 20, 200_000
+
+
+def _in_blocks(size: int, number: np.ndarray, places: np.ndarray, label: np.ndarray | None) -> pa.RecordBatch:
+    """For each block of ``size`` numbers a row: where in it these rows are, their places and, of the first side, labels, as bytes."""
+    block = number // size
+    order = np.argsort(block.astype(np.uint16), kind="stable")
+    block = block[order]
+    cuts = np.append(np.nonzero(np.diff(block, prepend=-1))[0], len(block))
+    columns = [pa.array(block[cuts[:-1]]), _pieces((number % size).astype(np.uint32)[order], cuts), _pieces(places[order], cuts), pa.nulls(len(cuts) - 1, pa.binary()) if label is None else _pieces(label[order], cuts)]
+    return pa.RecordBatch.from_arrays(columns, names=["block", "at", "p", "label"])
+
+
+def _to_blocks(size: int, kind: type) -> Callable:
+    """Rows (row_number, p, and of the first side label) as those of blocks."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        number, places = (np.concatenate(c) for c in zip(*[(np.asarray(b.column("row_number")), _bytes_of(pa.chunked_array([b.column("p")]), kind).reshape(b.num_rows, -1)) for b in batches], strict=True))
+        return _in_blocks(size, number, places, np.concatenate([np.asarray(b.column("label"), dtype=np.float64) for b in batches]) if "label" in batches[0].schema.names else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = boosting.Scorer(trees, features)
+        waiting, rows = [], 0
         for batch in batches:
-            raw = scorer.dealt(boosting.matrix(batch.column("x")), boosting.matrix(batch.column("d")))
-            for f in range(features):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(raw.shape[1], f)), batch.column("label"), pa.array(raw[f])], names=["feature", "label", "raw"])
+            if batch.num_rows:
+                waiting.append(batch)
+                rows += batch.num_rows
+            if rows >= PAIRS:
+                yield packed(waiting)
+                waiting, rows = [], 0
+        if waiting:
+            yield packed(waiting)
 
     return run
 
 
+def _permuted(size: int, kind: type, n: int, seed: int) -> Callable:
+    """Rows of blocks as partners: their numbers dealt out by a random permutation."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.table(batch.slice(k, 1))
+                at = _bytes_of(row.column("at"), np.uint32)
+                number = mixed(row.column("block")[0].as_py() * size + at.astype(np.int64), n, seed)
+                yield _in_blocks(size, number, _bytes_of(row.column("p"), kind).reshape(len(at), -1), None)
+
+    return run
+
+
+def _scores(scorer: boosting.Scorer, of: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each feature the rows' scores with its value from the partner, and last the scores with none."""
+    return np.concatenate([scorer.dealt_places(of, other), scorer.sums(of)[None]])
+
+
+def _block_scores(trees: Boosted, features: int, kind: type, whole: bool) -> Callable:
+    """Of a block's rows the labels and, for each feature, the scores with that feature's value from the partner; with ``whole``, also those with none."""
+    scorer = boosting.Scorer(trees, features)
+
+    def run(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        first = block.column("label").is_valid()
+        sides, label = [], None
+        for side in (block.filter(first), block.filter(pa.compute.invert(first))):
+            at = _bytes_of(side.column("at"), np.uint32)
+            places = np.empty((features, len(at)), np.intp)
+            places[:, at] = _bytes_of(side.column("p"), kind).reshape(len(at), features).T
+            sides.append(places)
+            if label is None:
+                label = np.empty(len(at))
+                label[at] = _bytes_of(side.column("label"), np.float64)
+        return label, _scores(scorer, *sides) if whole else scorer.dealt_places(*sides)
+
+    return run
+
+
+def _plain_scores(scores: Callable) -> Callable:
+    def run(block: pa.Table) -> pa.Table:
+        label, raw = scores(block)
+        return pa.table({"feature": np.repeat(np.arange(len(raw)), len(label)), "label": np.tile(label, len(raw)), "raw": raw.ravel()})
+
+    return run
+
+
+def _ranged_scores(scores: Callable, limits: list[np.ndarray]) -> Callable:
+    """Different scores of a block by (feature, range of scores), those of class 1 and the others, and how many there are of each."""
+
+    def run(block: pa.Table) -> pa.Table:
+        label, raw = scores(block)
+        out = []
+        for f, (limit, dealt) in enumerate(zip(limits, raw, strict=False)):  # without those of the whole, mostly
+            for one in (True, False):
+                values, times = np.unique(dealt[(label == 1) == one], return_counts=True)
+                cuts = np.concatenate([[0], np.searchsorted(values, limit), [len(values)]])
+                on = np.nonzero(np.diff(cuts))[0]
+                if len(on):
+                    cuts = np.append(cuts[on], len(values))
+                    out.append(pa.table([pa.array(np.full(len(on), f)), pa.array(on), pa.array(np.full(len(on), one)), _pieces(values, cuts), _pieces(times.astype(np.uint32), cuts)], names=["feature", "range", "one", "raw", "n"]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _pairs_won(scores: pa.Table) -> pa.Table:
+    """Of a range of one feature's scores: rows of class 1, others, and twice the pairs that class 1 wins, ties by half."""
+    raw, times = _bytes_of(scores.column("raw"), np.float64), _bytes_of(scores.column("n"), np.uint32).astype(np.int64)
+    one = np.repeat(np.asarray(scores.column("one")), np.asarray(pa.compute.binary_length(scores.column("raw"))) // raw.itemsize)
+    order = np.argsort(raw)
+    first = np.nonzero(np.diff(raw[order], prepend=np.nan))[0]
+    p, n = (np.add.reduceat(np.where(of, times, 0)[order], first) for of in (one, ~one))
+    won = int((p * (2 * np.cumsum(n) - n)).sum())
+    return pa.table({"feature": scores.column("feature")[:1], "range": scores.column("range")[:1], "p": [int(p.sum())], "n": [int(n.sum())], "won": [won]})
+
+
+def _some_scores(trees: Boosted, features: int, kind: type, share: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, r = boosting.Scorer(trees, features), np.random.default_rng(SEED + TaskContext.get().partitionId())
+        for batch in batches:
+            places = _bytes_of(pa.chunked_array([batch.column("p")]), kind).reshape(-1, features)
+            places = places[r.random(len(places)) < share].T.astype(np.intp)
+            raw = _scores(scorer, places, places[:, r.permutation(places.shape[1])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(raw)), raw.shape[1])), pa.array(raw.ravel())], names=["feature", "raw"])
+
+    return run
+
+
+def _limits(fixed: DataFrame, trees: Boosted, features: int, kind: type, n: int) -> list[np.ndarray]:
+    """Of each feature, and of the whole, scores that cut the dealt scores into ranges of about ``RANGE``; by some rows, as only the ranges' sizes depend on them."""
+    ranges = -(-n // RANGE)
+    if ranges < 2:
+        return [np.zeros(0)] * (features + 1)
+    some = fixed.select("p").mapInArrow(_some_scores(trees, features, kind, LIMITS / n), "feature long, raw double")
+    found = {r.feature: r.limits for r in some.groupBy("feature").agg(F.percentile_approx("raw", [k / ranges for k in range(1, ranges)], 1000 + 10 * ranges).alias("limits")).collect()}
+    return [np.unique(np.array(found.get(f, []), np.float64)) for f in range(features + 1)]
+
+
+def _dealt_metric(blocks: DataFrame, scores: Callable, limits: list[np.ndarray], regression: bool) -> dict[int, float]:
+    """The metric of each feature's scores; of the AUC, each range of scores adds its pairs, and the driver those between ranges."""
+    if regression:
+        return grouped_metric(blocks.applyInArrow(_plain_scores(scores), "feature long, label double, raw double"), True)
+    ranges = blocks.applyInArrow(_ranged_scores(scores, limits), "feature long, range long, one boolean, raw binary, n binary")
+    sums: dict[int, tuple[int, int, int]] = {}
+    for r in sorted(ranges.groupBy("feature", "range").applyInArrow(_pairs_won, "feature long, range long, p long, n long, won long").collect()):
+        p, n, won = sums.get(r.feature, (0, 0, 0))
+        sums[r.feature] = (p + r.p, n + r.n, won + r.won + 2 * r.p * n)
+    return {f: won / (2 * p * n) if p and n else math.nan for f, (p, n, won) in sums.items()}
+
+
 def grouped_metric(scores: DataFrame, regression: bool) -> dict[int, float]:
     """Exact ROC AUC or R squared of each feature's rows (feature, label, raw); not a number where there is none.
 
@@ -257,25 +443,35 @@ def grouped_metric(scores: DataFrame, regression: bool) -> dict[int, float]:
 def permutation_importance(model: Fitted, df: DataFrame, spec: ModelSpec, repeats: int = 10, first: Column | None = None, dealt: Callable[[int], Column] | None = None) -> DataFrame:
     """Mean and population spread of the metric's drop when one feature's values are dealt out anew.
 
-    A repeat numbers the rows in a random order (or by ``dealt``) once and pairs that order with the first one; one pass then
-    scores every row once for each feature, with that feature's value from the partner, and one
-    aggregate ranks all features' scores.
+    A repeat deals the rows' numbers out by a random permutation (or numbers the rows by ``dealt``), and blocks of numbers
+    bring rows and partners together as bytes, by one shuffle; each block scores its rows once for each feature, with that
+    feature's value from the partner, and ranges of scores rank all features'.
     """
-    frame = training_frame(df, spec)
-    rows = model.encoded(frame.withColumns({f"deal{k}": dealt(k) for k in range(repeats)} if dealt else {}))
+    frame, features = training_frame(df, spec), len(spec.features)
+    deals = [f"deal{k}" for k in range(repeats)] if dealt else []
+    rows = model.encoded(frame.withColumns({d: dealt(k) for k, d in enumerate(deals)}) if dealt else frame)
     rows = rows.orderBy(first) if first is not None else rows
-    fixed = numbered(rows.select("label", "x", *([f"deal{k}" for k in range(repeats)] if dealt else [])))
-    whole = fixed.select(F.lit(0).cast("long").alias("feature"), "label", model.trees.column(F.col("x")).alias("raw"))
-    base = grouped_metric(whole, spec.regression).get(0, math.nan)
+    fixed = numbered(rows.select("label", _placed(model.trees, features).alias("p"), *deals))
+    kind, n = _place_kind(boosting.Grid(model.trees.trees, features)), fixed.count()
+    size = max(PAIRS, -(-n // BLOCKS))
+    limits = [] if spec.regression else _limits(fixed, model.trees, features, kind, n)
+    base, packed = math.nan, "block long, at binary, p binary, label binary"
     drops: dict[str, list[float]] = {f: [] for f in spec.features}
+    one = stored(fixed.select("row_number", "p", "label").mapInArrow(_to_blocks(size, kind), packed), "blocks")
     for k in range(repeats):
-        other = numbered(fixed.select(F.col("x").alias("d"), *([f"deal{k}"] if dealt else [])).orderBy(F.col(f"deal{k}") if dealt else F.rand(SEED + k)))
-        pairs = fixed.select("row_number", "label", "x").join(other.select("row_number", "d"), "row_number").select("label", "x", "d")
-        found = grouped_metric(pairs.mapInArrow(_dealt_scores(model.trees, len(spec.features)), "feature long, label double, raw double"), spec.regression)
+        if dealt:
+            other = numbered(fixed.select("p", f"deal{k}").orderBy(f"deal{k}"))
+            sides = one.unionByName(other.select("row_number", "p").mapInArrow(_to_blocks(size, kind), packed))
+        else:
+            sides = one.unionByName(one.mapInArrow(_permuted(size, kind, n, SEED + k), packed))
+        scores = _block_scores(model.trees, features, kind, whole=k == 0)
+        found = _dealt_metric(sides.repartition(max(1, -(-n // size)), "block").groupBy("block"), scores, limits, spec.regression)
+        base = found.get(features, base)
         for k_of, f in enumerate(spec.features):
             drops[f].append(base - found.get(k_of, math.nan))
-        forget(other)
-    forget(fixed)
+        if dealt:
+            forget(other)
+    forget(fixed, one)
     data = []
     for f, d in drops.items():
         mean = sum(d) / len(d)

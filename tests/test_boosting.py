@@ -187,6 +187,36 @@ def test_permutation_is_that_of_one_feature_at_a_time(spark):
         assert got[name] == pytest.approx(auc(y, model.trees.raw(x)) - auc(y, model.trees.raw(mixed)))
 
 
+def test_repeats_pair_blocks_and_rank_ranges(spark, monkeypatch):
+    """A repeat sorts and numbers nothing; over many blocks and ranges each row has one partner, each number is dealt once, and the AUC is that of all pairs."""
+    for name, v in (("PAIRS", 16), ("RANGE", 32), ("LIMITS", 150)):
+        monkeypatch.setattr(ml, name, v)
+    for n in (1, 2, 5, 64, 1001):
+        assert sorted(ml.mixed(np.arange(n), n, 3).tolist()) == list(range(n))
+    calls, made, ranked = [], ml.numbered, ml._dealt_metric
+    monkeypatch.setattr(ml, "numbered", lambda df: calls.append("numbered") or made(df))
+
+    def watched(blocks, scores, limits, regression):
+        plain = blocks.applyInArrow(ml._plain_scores(scores), "feature long, label double, raw double").collect()
+        got = ranked(blocks, scores, limits, regression)
+        kinds = {r.feature for r in plain}
+        assert len(limits) == 3 and all(len(limit) > 1 for limit in limits[:2]) and set(got) == kinds
+        for f in kinds:
+            here = [(r.label, r.raw) for r in plain if r.feature == f]
+            assert len(here) == 240 and got[f] == pytest.approx(auc(*zip(*here, strict=True)))
+        calls.append("repeat")
+        return got
+
+    monkeypatch.setattr(ml, "_dealt_metric", watched)
+    spec = ModelSpec("m", "t", "y", ("c",), ("v",))
+    r = np.random.default_rng(12)
+    data = [(float(r.normal()) if k % 5 else None, "ab"[k % 2]) for k in range(240)]
+    df = spark.createDataFrame([(v, c, int((v or 1.5) + (c == "a") > 0.6)) for v, c in data], "v double, c string, y int")
+    model, _ = ml.fit(df, spec, 6)
+    found = {r.feature: r for r in ml.permutation_importance(model, df, spec, 3).collect()}
+    assert calls == ["numbered", "repeat", "repeat", "repeat"] and found["v"].importance_mean > 0.2 and found["v"].importance_std > 0
+
+
 def test_a_pass_sums_the_smaller_sides(spark, monkeypatch):
     """After the root, a pass looks at no more than half the rows of the leaves it splits, and the rest follows by subtraction."""
     seen, summed = [], boosting._summed
